@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm import packing, sharding
+from agora.llm import bpe, neardup, packing, quality_rules, sharding
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,13 +16,31 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_by_key(spark.read.parquet(f"{sf_dir}/documents.parquet"), 8)
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.clean(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return neardup.near_duplicates(docs, neardup.Params(shingle=4, percent=80))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op2_bpe": op2_bpe,
     "op3_shard": op3_shard,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_minhash": op10_minhash,
 }
 ORACLES: dict[str, str] = {}

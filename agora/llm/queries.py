@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm import bpe, neardup, packing, quality_rules, sharding
+from agora.llm import bpe, langid, neardup, packing, quality_model, quality_rules, sharding
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,24 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def _fold(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs.where(_fold(5) != 0))
+    return langid.predict(docs, model).select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_model.fit(docs, labels.where(_fold(3) != 1))
+    return quality_model.score(docs, model, ["doc_id"]).select("doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.clean(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -40,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_bpe": op2_bpe,
     "op3_shard": op3_shard,
+    "op6_language": op6_language,
+    "op8_quality": op8_quality,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash": op10_minhash,
 }

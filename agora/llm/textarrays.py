@@ -86,8 +86,8 @@ class Rolling:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
 
-def chunks(column: pa.Array, size: int = 1 << 20) -> Iterator[Chunk]:
-    """The texts of a string column in order; null is an empty text."""
+def chunks(column: pa.Array, size: int = 1 << 20, rows: int = 1 << 16) -> Iterator[Chunk]:
+    """The texts of a string column in order, at most `rows` in a chunk; null is an empty text."""
     column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
@@ -100,7 +100,7 @@ def chunks(column: pa.Array, size: int = 1 << 20) -> Iterator[Chunk]:
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
-        j = min(j, n)
+        j = min(j, n, i + rows)
         yield Chunk(i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         i = j
 

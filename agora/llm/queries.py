@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm import bpe, langid, neardup, packing, quality_model, quality_rules, sharding
+from agora.llm import bpe, fingerprint, langid, neardup, packing, quality_model, quality_rules, sharding, urls
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,27 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+#: The rules of the URL query.
+URL_RULES = [
+    urls.Rule("block", "com", "/en/"),
+    urls.Rule("allow", "example.com", "/en/7"),
+    urls.Rule("allow", "net", "/de/"),
+    urls.Rule("block", "example.net", "/de/8"),
+    urls.Rule("block", "org", "/es/"),
+]
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    # The tables hold no labelled URLs; words of the host name label them for the fit.
+    labelled = pages.select("url", urls.label_by_words(urls.host_and_path(F.col("url"))[0]).alias("label"))
+    return urls.judge(pages, urls.fit(labelled), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_likeness(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def _fold(n: int) -> Column:
     """crc32 of doc_id as text, modulo n."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
@@ -58,7 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_bpe": op2_bpe,
     "op3_shard": op3_shard,
+    "op5_urls": op5_urls,
     "op6_language": op6_language,
+    "op7_fingerprint": op7_fingerprint,
     "op8_quality": op8_quality,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash": op10_minhash,

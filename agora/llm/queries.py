@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm import bpe, fingerprint, langid, neardup, packing, quality_model, quality_rules, sharding, urls
+from agora.llm import bpe, fingerprint, langid, neardup, packing, pages, quality_model, quality_rules, sharding, urls
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
 #: The rules of the URL query.
 URL_RULES = [
     urls.Rule("block", "com", "/en/"),
@@ -37,10 +41,10 @@ URL_RULES = [
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    table = spark.read.parquet(f"{sf_dir}/pages.parquet")
     # The tables hold no labelled URLs; words of the host name label them for the fit.
-    labelled = pages.select("url", urls.label_by_words(urls.host_and_path(F.col("url"))[0]).alias("label"))
-    return urls.judge(pages, urls.fit(labelled), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    labelled = table.select("url", urls.label_by_words(urls.host_and_path(F.col("url"))[0]).alias("label"))
+    return urls.judge(table, urls.fit(labelled), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_bpe": op2_bpe,
     "op3_shard": op3_shard,
+    "op4_html": op4_html,
     "op5_urls": op5_urls,
     "op6_language": op6_language,
     "op7_fingerprint": op7_fingerprint,

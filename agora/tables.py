@@ -19,7 +19,7 @@ PROFILES = [
 PROFILE_SQL = "profile(classifier_idx, true_value, pred_value, n) AS (VALUES " + ", ".join(f"({a}, {b}, {c}, {n})" for a, b, c, n in PROFILES) + ")"
 
 #: Observations: a user's stance (-1, 0, 1) on an issue at a time, by one of three classifiers.
-OBS_SQL = """obs AS (SELECT event_id AS comment_id, user_id, CAST(epoch(ts) AS BIGINT) AS t, event_type,
+OBS_SQL = """obs AS (SELECT event_id AS comment_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, event_type,
   CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) % 3 AS issue,
   CASE WHEN event_type IN ('purchase', 'signup') THEN 1 WHEN event_type = 'error' THEN -1 ELSE 0 END AS value,
   CAST(event_id % 3 AS INTEGER) AS classifier_idx, value AS raw FROM events)"""
@@ -73,4 +73,4 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-EDGE_SQL = "edge AS (SELECT o_custkey AS src, l_suppkey + 10000000 AS dst, l_returnflag AS type, CAST(epoch(o_orderdate) AS BIGINT) AS t, l_orderkey AS order_id, l_linenumber AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+EDGE_SQL = "edge AS (SELECT o_custkey AS src, l_suppkey + 10000000 AS dst, l_returnflag AS type, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS t, l_orderkey AS order_id, l_linenumber AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"

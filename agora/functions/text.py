@@ -99,7 +99,7 @@ def suffix_label(answer: Column) -> Column:
 def field_of(text: Column, header: str) -> Column:
     """What follows a `Header:` up to the next line that begins with a header, or to ---."""
     body = F.split_part(text, F.lit("---"), F.lit(1))
-    return F.trim(extract(body, rf"(?s){header}:\s*(.*?)(?:\n[A-Z][A-Za-z ]*:|\z)"))
+    return extract(body, rf"(?s){header}:\s*(.*?)\s*(?:\n[A-Z][A-Za-z ]*:|\z)")
 
 
 def year_month(path: Column) -> Column:

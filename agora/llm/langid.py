@@ -47,8 +47,10 @@ def counts(chunk: Chunk, bits: int) -> np.ndarray:
     n, width = chunk.n, 1 << bits
     if len(data) < 2:
         return np.zeros((n, width), np.float32)
-    # A blank after a blank tells nothing; the start of a text counts as the start of a word.
-    keep = (data != 32) | np.concatenate([[True], data[:-1] != 32])
+    # A blank after a blank, or at the start of a text, tells nothing.
+    before = np.concatenate([[32], data[:-1]])
+    before[chunk.offsets[:-1][chunk.offsets[:-1] < len(data)]] = 32
+    keep = (data != 32) | (before != 32)
     data, at = data[keep].astype(np.uint32), at[keep]
     out = np.zeros(n * width, np.float32)
     for size in (2, 3):
@@ -142,7 +144,7 @@ def fit(labelled: DataFrame, params: Params = Params(), key: str = "doc_id", tex
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred, score and rejected of every row.
 
-    lang_pred is the language of the nearest centroid and score their cosine; a text that
+    lang_pred is the language of the nearest centroid and score their cosine to five places; a text that
     is null, has no letter, or comes before any language is learned is `und` with score 0.
     rejected: und, or farther from the centroid than it allows. Equal texts are judged
     alike, ties go to the first language by name; an empty table gives an empty table,
@@ -160,6 +162,6 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 score = np.where(known, likeness[np.arange(chunk.n), best], 0) if model.languages else np.zeros(chunk.n)
                 rejected = ~known | (score < (model.least[best] if model.languages else 1))
                 named = names[np.where(known, best, len(names) - 1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), pa.array(named.tolist(), pa.string()), pa.array(np.clip(score, 0, 1).astype(np.float64)), pa.array(rejected)], ["id", "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), pa.array(named.tolist(), pa.string()), pa.array(np.round(np.clip(score, 0, 1).astype(np.float64), 5)), pa.array(rejected)], ["id", "lang_pred", "score", "rejected"])
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(run, schema).withColumnRenamed("id", key)

@@ -75,11 +75,7 @@ def mixture_1d(rows: DataFrame, keys: list[str], points: int = 25) -> DataFrame:
 
     The grid is an array made of `points` numbers, so users meet it without a join.
     """
-    xs = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda g: g * (2.0 / (points - 1)) - 1.0)
-    nearest = F.least(F.greatest(F.ceil((F.col("mean") + 1) * ((points - 1) / 2.0) - 0.5), F.lit(0)), F.lit(points - 1))
-    point = F.transform(xs, lambda x, g: F.when(g == nearest, 1.0).otherwise(0.0))
-    curve = F.transform(xs, lambda x: _density(x, F.col("mean"), F.greatest(F.col("var"), F.lit(1e-300))))
-    rows = rows.where("mean is not null and var is not null").withColumn("ps", F.when(F.col("var") <= 1e-9, point).otherwise(curve))
+    rows = rows.where("mean is not null and var is not null").withColumn("ps", _share_curve("mean", "var", points))
     total = F.aggregate("ps", F.lit(0.0), lambda s, p: s + p)
     rows = rows.withColumn("total", total).where("total > 0").select(*keys, "total", F.posexplode("ps").alias("g", "p"))
     sums = rows.groupBy(*keys, "g").agg(F.sum(F.col("p") / F.col("total")).alias("p"))
@@ -87,20 +83,29 @@ def mixture_1d(rows: DataFrame, keys: list[str], points: int = 25) -> DataFrame:
     return sums.select(*keys, F.col("g").cast("long").alias("g"), (F.col("p") / whole).alias("p"))
 
 
+def _share_curve(mean: str, var: str, points: int) -> Column:
+    """A user's density on the grid, normalised over it: a Gaussian, or all at the nearest point."""
+    xs = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda g: g * (2.0 / (points - 1)) - 1.0)
+    nearest = F.least(F.greatest(F.ceil((F.col(mean) + 1) * ((points - 1) / 2.0) - 0.5), F.lit(0)), F.lit(points - 1))
+    point = F.transform(xs, lambda x, g: F.when(g == nearest, 1.0).otherwise(0.0))
+    curve = F.transform(xs, lambda x: _density(x, F.col(mean), F.greatest(F.col(var), F.lit(1e-300))))
+    return F.when(F.col(var) <= 1e-9, point).otherwise(curve)
+
+
 def mixture_2d(pairs: DataFrame, keys: list[str], points: int = 25) -> DataFrame:
-    """The same over two issues; users with exactly one variance of 0 are left out."""
-    step = 2.0 / (points - 1)
-    cells = F.sequence(F.lit(0), F.lit(points * points - 1))
-    gx, gy = lambda c: F.floor(c / points), lambda c: F.pmod(c, F.lit(points))
-    near = lambda m: F.least(F.greatest(F.ceil((m + 1) / step - 0.5), F.lit(0)), F.lit(points - 1))
-    flat = (F.col("vx") <= 1e-9) & (F.col("vy") <= 1e-9)
-    point = F.transform(cells, lambda c: F.when((gx(c) == near(F.col("x"))) & (gy(c) == near(F.col("y"))), 1.0).otherwise(0.0))
-    curve = F.transform(cells, lambda c: _density(gx(c) * step - 1.0, F.col("x"), F.greatest(F.col("vx"), F.lit(1e-300))) * _density(gy(c) * step - 1.0, F.col("y"), F.greatest(F.col("vy"), F.lit(1e-300))))
-    rows = pairs.where("vx is not null and vy is not null").where(flat | ((F.col("vx") > 1e-9) & (F.col("vy") > 1e-9))).withColumn("ps", F.when(flat, point).otherwise(curve))
-    rows = rows.withColumn("total", F.aggregate("ps", F.lit(0.0), lambda s, p: s + p)).where("total > 0").select(*keys, "total", F.posexplode("ps").alias("cell", "p"))
-    sums = rows.groupBy(*keys, "cell").agg(F.sum(F.col("p") / F.col("total")).alias("p"))
+    """The same over two issues; users with exactly one variance of 0 are left out.
+
+    A user's density is a product of two curves, so only the curves are computed for a
+    user, and cells are products of their entries.
+    """
+    rows = pairs.where("vx is not null and vy is not null").where("(vx <= 1e-9) = (vy <= 1e-9)")
+    rows = rows.select(*keys, _share_curve("x", "vx", points).alias("px"), _share_curve("y", "vy", points).alias("py"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, p: s + p)
+    rows = rows.withColumn("total", total("px") * total("py")).where("total > 0")
+    cells = rows.select(*keys, "total", "py", F.posexplode("px").alias("gx", "a")).select(*keys, "total", "gx", "a", F.posexplode("py").alias("gy", "b"))
+    sums = cells.groupBy(*keys, "gx", "gy").agg(F.sum(F.col("a") * F.col("b") / F.col("total")).alias("p"))
     whole = F.sum("p").over(Window.partitionBy(*keys))
-    return sums.select(*keys, gx(F.col("cell")).cast("long").alias("gx"), gy(F.col("cell")).cast("long").alias("gy"), (F.col("p") / whole).alias("p"))
+    return sums.select(*keys, F.col("gx").cast("long").alias("gx"), F.col("gy").cast("long").alias("gy"), (F.col("p") / whole).alias("p"))
 
 
 def beliefs(rows: DataFrame) -> DataFrame:

@@ -91,4 +91,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash": op10_minhash,
 }
-ORACLES: dict[str, str] = {}
+
+#: Line rules and counts of op9_quality_rules in SQL.
+OP9_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
+p AS (SELECT doc_id, unnest(generate_series(1, len(ws) - 2)) AS i, ws FROM w WHERE len(ws) >= 3),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS k FROM p),
+r AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM g, (VALUES (0), (1), (2)) v(o) WHERE k > 1 GROUP BY 1),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+f AS (SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again, length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols, length(regexp_replace(line, '[^|>]', '', 'g')) AS separators, length(regexp_replace(line, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(line, '[^a-z]', '', 'g')) AS low, length(regexp_replace(line, '[^.!?:;]', '', 'g')) AS stops FROM l),
+j AS (SELECT doc_id, n, again, again OR symbols > 0.2 * n OR (n > 1 AND separators > 0.25 * n) OR (up + low >= 20 AND up > 0.6 * (up + low)) OR (n >= 40 AND stops = 0) OR PHRASES AS failed FROM f WHERE n > 0),
+s AS (SELECT doc_id, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(n) FILTER (failed), 0) AS lost FROM j GROUP BY 1),
+b AS (SELECT doc_id, len(ws) AS n_words, coalesce(CAST(list_sum(list_transform(ws, lambda x: length(x))) AS BIGINT), 0) AS word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost, 0) AS lost FROM w LEFT JOIN r USING (doc_id) LEFT JOIN s USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= 0.4 * n_words AS kept FROM b"""
+
+#: op10_minhash in SQL, by all pairs that share a shingle.
+OP10_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(generate_series(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh FROM w),
+n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles FROM s), e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n_shingles + y.n_shingles - i)),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.doc_id)
+SELECT doc_id, n_shingles, min(m) AS component_id, doc_id = min(m) AS kept FROM r JOIN n USING (doc_id) GROUP BY doc_id, n_shingles"""
+
+ORACLES: dict[str, str] = {
+    "op9_quality_rules": OP9_SQL.replace("\\\\", "\\").replace("PHRASES", "(" + " OR ".join(f"contains(lower(line), '{p}')" for p in quality_rules.BOILERPLATE) + ")"),
+    "op10_minhash": OP10_SQL.replace("\\\\", "\\"),
+}

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agora.llm.components import components
-from agora.llm.scratch import save
+from agora.llm.scratch import save, shuffle_partitions
 from agora.llm.textarrays import IS_SPACE, Rolling, chunks, mix, shingle_hashes
 from agora.llm.textarrays import BYTE_CODE
 
@@ -25,7 +25,7 @@ FOLDED[65:91] += 32
 
 @dataclass(frozen=True)
 class Params:
-    """Words in a shingle, the least similarity in hundredths, and registers in a band.
+    """Words in a shingle, the least similarity in hundredths, registers in a band, rows in a block.
 
     With 42 bands of 6 registers, a pair at similarity 0.8 shares none with probability
     (1 - 0.8**6)**42 = 3e-6; below 256 shingles buckets hold one shingle each and the
@@ -35,6 +35,7 @@ class Params:
     shingle: int = 5
     percent: int = 80
     band: int = 6
+    block: int = 512
 
     @property
     def bands(self) -> int:
@@ -58,6 +59,20 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray
         yield chunk.first, hashes[new], kept[at]
 
 
+def set_list(column: pa.Array, width: int) -> list[np.ndarray]:
+    return [hashes[i:j] for _, hashes, at in shingle_sets(column, width) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def similar_sets(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union, of rising distinct numbers; never for empty sets."""
+    if not len(u) or not len(v):
+        return False
+    if len(u) > len(v):
+        u, v = v, u
+    shared = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
+    return shared * 100 >= percent * (len(u) + len(v) - shared)
+
+
 def registers(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The registers (texts x BUCKETS, 16 bits) of distinct rising hashes of each text."""
     out = np.zeros((len(at) - 1, BUCKETS), np.uint16)
@@ -79,8 +94,8 @@ def registers(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, params: Params, key: str, text: str) -> DataFrame:
-    """id, number of shingles, two checksums of the set, the registers and one bit of each register."""
-    schema = "id long, n_shingles long, set1 long, set2 long, registers binary, bits array<long>"
+    """id, number of shingles, two checksums of the set, the and the registers."""
+    schema = "id long, n_shingles long, set1 long, set2 long, registers binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,10 +106,8 @@ def sketch(docs: DataFrame, params: Params, key: str, text: str) -> DataFrame:
                 np.cumsum(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), out=total[1, 1:])
                 sums = (total[:, at[1:]] - total[:, at[:-1]]).view(np.int64)
                 regs = registers(hashes, at)
-                packed = np.packbits((mix(regs.astype(np.uint64)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
                 raw = pa.array([r.tobytes() for r in regs.astype("<u2")], pa.binary())
-                bits = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * packed.shape[1], pa.int32()), pa.array(packed.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(np.diff(at)), pa.array(sums[0]), pa.array(sums[1]), raw, bits], ["id", "n_shingles", "set1", "set2", "registers", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(np.diff(at)), pa.array(sums[0]), pa.array(sums[1]), raw], ["id", "n_shingles", "set1", "set2", "registers"])
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(run, schema)
 
@@ -111,20 +124,19 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(same - chance, 0) / np.maximum(used - chance, 1e-9)
 
 
-def _differing_bits(a: str, b: str) -> Column:
-    out = F.lit(0)
-    for i in range(BUCKETS // 64):
-        out = out + F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i]))
-    return out
-
-
 def _near_in_size(n: Column, m: Column, percent: int) -> Column:
     return (n * 100 >= m * percent) & (m * 100 >= n * percent)
 
 
+def least_estimate(params: Params, sigmas: float = 5.0) -> float:
+    """An estimate below this is not from a similar enough pair."""
+    share = params.percent / 100
+    return share - sigmas * float(np.sqrt(share * (1 - share) / BUCKETS))
+
+
 def confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, params: Params, key: str, text: str) -> DataFrame:
     """The pairs (a, b) whose estimate is not clearly too low and whose full sets are similar enough."""
-    floor = params.percent / 100 - 6 * np.sqrt(params.percent / 100 * (1 - params.percent / 100) / BUCKETS)
+    floor = least_estimate(params)
     regs = sketches.select("id", "registers")
     both = pairs.join(regs.select(F.col("id").alias("a"), F.col("registers").alias("ra")), "a")
     both = both.join(regs.select(F.col("id").alias("b"), F.col("registers").alias("rb")), "b").select("a", "b", "ra", "rb")
@@ -136,18 +148,10 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, params: Pa
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for (_, x, i), (_, y, j) in zip(_each(batch.column(2)), _each(batch.column(3)), strict=True):
-                for k in range(len(i) - 1):
-                    u, v = x[i[k] : i[k + 1]], y[j[k] : j[k + 1]]
-                    at = np.minimum(np.searchsorted(u, v), len(u) - 1)
-                    shared = int((u[at] == v).sum())
-                    good.append(shared * 100 >= params.percent * (len(u) + len(v) - shared))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    def _each(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        for k in range(len(column)):
-            yield from shingle_sets(column.slice(k, 1), params.shingle)
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                sets = zip(set_list(part.column(2), params.shingle), set_list(part.column(3), params.shingle), strict=True)
+                yield part.select([0, 1]).filter(pa.array([similar_sets(u, v, params.percent) for u, v in sets], pa.bool_()))
 
     both = save(both.mapInArrow(likely, "a long, b long"), "likely")
     # Only texts that a pair needs are moved.
@@ -158,6 +162,113 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, params: Pa
     return whole.mapInArrow(similar, "a long, b long")
 
 
+def likely_rows(regs: np.ndarray, sizes: np.ndarray, owner: np.ndarray, i: int, js: np.ndarray, params: Params) -> np.ndarray:
+    """Of js, those of another owner, of similar size and of an estimate that may be enough, best first."""
+    n = sizes[js]
+    js = js[(owner[js] != owner[i]) & (n * 100 >= sizes[i] * params.percent) & (sizes[i] * 100 >= n * params.percent)]
+    if not len(js):
+        return js
+    own, others = regs[i], regs[js]
+    used = own > 0
+    same = ((others == own) & used).sum(1)
+    wide = used.sum() + (others[:, ~used] > 0).sum(1)
+    chance = wide * 2.0**-MANTISSA / 3
+    likeness = (same - chance) / np.maximum(wide - chance, 1e-9)
+    return js[np.argsort(-likeness, kind="stable")[: int((likeness >= least_estimate(params)).sum())]]
+
+
+def later_rows(side: np.ndarray, i: int) -> np.ndarray:
+    """Partners of row i: the rows of the other block, or the later rows where all are of one."""
+    js = np.arange(i + 1, len(side))
+    return js if side[0] == side[-1] else js[side[js] != side[i]]
+
+
+def links_across(sets: list[np.ndarray], owner: np.ndarray, side: np.ndarray, params: Params) -> list[tuple[int, int]]:
+    """Places of pairs of similar sets of different owners, as few as join the same owners."""
+    sizes = np.array([len(x) for x in sets])
+    at = np.zeros(len(sets) + 1, np.int64)
+    np.cumsum(sizes, out=at[1:])
+    regs = registers(np.concatenate([np.zeros(0, np.uint64), *sets]), at)
+    root, out = {c: c for c in owner.tolist()}, []
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    for i in range(len(sets)):
+        for j in likely_rows(regs, sizes, owner, i, later_rows(side, i), params).tolist():
+            x, y = find(int(owner[i])), find(int(owner[j]))
+            if x != y and similar_sets(sets[i], sets[j], params.percent):
+                root[max(x, y)] = min(x, y)
+                out.append((i, j))
+    return out
+
+
+def dealt(rows: DataFrame, group: str, params: Params) -> DataFrame:
+    """rows over the tasks (group, i, j) in which every two blocks of a group meet; side is a row's block.
+
+    Groups of one component have nothing to find and go.
+    """
+    blocks = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    blocks = blocks.select(group, F.ceil(F.col("n") / params.block).cast("int").alias("k"))
+    rows = rows.join(blocks, group).withColumn("side", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return rows.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).drop("other")
+
+
+def meeting(members: DataFrame, sketches: DataFrame, params: Params) -> DataFrame:
+    """(hub, id, c): texts of (bucket, id, c, hub) that registers find likely similar to a text of that hub.
+
+    Small buckets share a task; those over params.block rows are dealt over blocks.
+    """
+    spark = members.sparkSession
+    tasks = 16 * shuffle_partitions(spark)
+    rows = dealt(members, "bucket", params).join(sketches.select("id", "n_shingles", "registers"), "id")
+    rows = rows.withColumn("task", F.when(F.col("k") > 1, F.col("bucket")).otherwise(F.pmod("bucket", F.lit(tasks))))
+
+    def meet(table: pa.Table) -> pa.Table:
+        ids, owner, hub, bucket, side, sizes = (table.column(c).to_numpy() for c in ("id", "c", "hub", "bucket", "side", "n_shingles"))
+        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u2").reshape(-1, BUCKETS)
+        order = np.lexsort((ids, side, bucket))
+        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        found = set()
+        for part in np.split(order, cuts):
+            r, n, c, s, h = regs[part], sizes[part], owner[part], side[part], hub[part]
+            if c.min() == c.max():
+                continue
+            for i in range(len(part)):
+                js = likely_rows(r, n, c, i, later_rows(s, i), params)
+                if len(js):
+                    found.update((x, int(ids[part[i]]), int(c[i])) for x in set(h[js].tolist()) | {int(h[i])})
+                    found.update((x, int(ids[part[j]]), int(c[j])) for j in js.tolist() for x in (int(h[i]), int(h[j])))
+        rows = list(found)
+        return pa.table({k: pa.array([r[i] for r in rows], pa.int64()) for i, k in enumerate(("hub", "id", "c"))})
+
+    return rows.select("task", "i", "j", "bucket", "side", "id", "c", "hub", "n_shingles", "registers").groupBy("task", "i", "j").applyInArrow(meet, "hub long, id long, c long").distinct()
+
+
+def searched(mixed: DataFrame, docs: DataFrame, params: Params, key: str, text: str) -> DataFrame:
+    """Links (a, b) between components inside groups of (hub, id, c).
+
+    A group is dealt over blocks of about params.block rows; every two blocks meet in one
+    task, which compares registers, then full sets, and returns as few links as join the
+    same components.
+    """
+    rows = dealt(mixed, "hub", params)
+    needed = rows.select("id").distinct()
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(needed, "id", "left_semi")
+
+    def search(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("side", "ascending"), ("id", "ascending")])
+        ids = table.column("id").to_pylist()
+        found = links_across(set_list(table.column("t"), params.shingle), table.column("c").to_numpy(), table.column("side").to_numpy(), params)
+        return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
+
+    return rows.join(texts, "id").select("hub", "i", "j", "side", "id", "c", "t").groupBy("hub", "i", "j").applyInArrow(search, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, params: Params = Params(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id and kept of every row.
 
@@ -170,11 +281,13 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), key: str = "doc_
 
     1. Rows with equal sets collapse to the smallest key, with partial aggregation, so a
        group of copies of any size costs a row for each task.
-    2. Bands of registers give buckets. Every member is compared with the smallest key of
-       its bucket, which joins a group of near copies with as many pairs as members.
-    3. Buckets that still hold several components are searched again: pairs across
-       components, of similar size and similar register bits, are compared as well. A
-       pair inside a component can add nothing and is never made.
+    2. Bands of registers give buckets. Every member is compared with its bucket's head,
+       the text that shares most buckets: a group of copies of one text is mostly joined
+       by as many pairs as it has members.
+    3. In buckets that still hold several components, tasks compare registers across them,
+       block by block, and note which texts may be similar to texts of which other head.
+       Those groups are then compared on full sets, again block by block, and give as few
+       links as join components. A pair inside a component can add nothing and is skipped.
     """
     sketches = save(sketch(docs, params, key, text), "sketches")
     filled = sketches.where("n_shingles > 0")
@@ -190,25 +303,26 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), key: str = "doc_
 
     buckets = F.explode(F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(params.bands - 1)), band)))
     rows = ours.select("id", "n_shingles", buckets.alias("bucket"))
-    heads = rows.groupBy("bucket").agg(F.min("id").alias("head"), F.min_by("n_shingles", "id").alias("head_n"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = save(rows.join(heads, "bucket"), "buckets")
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = save(rows.join(sizes, "bucket"), "buckets")
+    # A text that its copies were made from shares more buckets with them than they do with each other.
+    met = shared.groupBy("id").agg(F.sum("members").alias("met"))
+    shared = save(shared.join(met, "id"), "buckets")
+    rank = F.struct("met", -F.col("id"))
+    heads = shared.groupBy("bucket").agg(F.max_by("id", rank).alias("head"), F.max_by("n_shingles", rank).alias("head_n"), F.max("met").alias("head_met"))
+    shared = save(shared.join(heads, "bucket"), "buckets")
     first = shared.where("id <> head").where(_near_in_size(F.col("n_shingles"), F.col("head_n"), params.percent))
     first = first.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     links = save(confirmed(first, sketches, docs, params, key, text), "links")
     found = components(links)
 
-    wide = shared.where("members > 2").join(found.withColumnRenamed("node", "id"), "id", "left")
-    wide = wide.select("bucket", "id", "n_shingles", "head", F.coalesce("component", "id").alias("c"))
-    mixed = wide.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")
-    again = save(wide.join(mixed, "bucket").join(sketches.select("id", "bits"), "id"), "mixed")
-    x, y = again.alias("x"), again.alias("y")
-    # The head has been compared with all; the most bits that may differ at the least similarity.
-    share = (1 - params.percent / 100) / 2
-    most = int(BUCKETS * share + 6 * np.sqrt(BUCKETS * share * (1 - share)))
-    crossing = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.id") != F.col("x.head"))
-    crossing &= _near_in_size(F.col("x.n_shingles"), F.col("y.n_shingles"), params.percent) & (_differing_bits("x", "y") <= most)
-    second = x.join(y, crossing).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = save(confirmed(second, sketches, docs, params, key, text), "links")
+    wide = shared.join(found.withColumnRenamed("node", "id"), "id", "left")
+    hubs = wide.groupBy("id").agg(F.max_by("head", F.struct("head_met", -F.col("head"))).alias("hub"))
+    wide = save(wide.select("bucket", "id", F.coalesce("component", "id").alias("c")).join(hubs, "id"), "wide")
+    # A bucket of two has been compared already.
+    crowded = shared.where("members > 2").select("bucket").distinct()
+    groups = save(meeting(wide.join(crowded, "bucket", "left_semi"), sketches, params), "groups")
+    more = save(searched(groups, docs, params, key, text), "links")
     found = save(components(links.unionByName(more)), "components")
 
     nodes = nodes.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))

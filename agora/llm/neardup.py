@@ -35,7 +35,7 @@ class Params:
     shingle: int = 5
     percent: int = 80
     band: int = 6
-    block: int = 512
+    block: int = 2048
 
     @property
     def bands(self) -> int:
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), key: str = "doc_
        Those groups are then compared on full sets, again block by block, and give as few
        links as join components. A pair inside a component can add nothing and is skipped.
     """
-    sketches = save(sketch(docs, params, key, text), "sketches")
+    sketches = save(sketch(docs, params, key, text), "sketches", fewer=False)
     filled = sketches.where("n_shingles > 0")
     same = ["set1", "set2", "n_shingles"]
     nodes = save(filled.groupBy(*same).agg(F.min("id").alias("node")), "nodes")

@@ -146,7 +146,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, key: str = "doc_id",
     Other columns are ignored. The driver gets the counts of at most `size` lengths.
     """
     spark = docs.sparkSession
-    pieces = save(cut(docs, tokenizer, size, key, text, end_id), "pieces")
+    pieces = save(cut(docs, tokenizer, size, key, text, end_id), "pieces", fewer=False)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     planned = spark.createDataFrame(plan(counts, size), "length int, low long, high long, bin long, at long, slots long")
     # The plan has a few rows for each length. Its ranges are cut at multiples of a grid,

@@ -21,13 +21,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, fewer: bool = True) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, which cuts its lineage.
 
     A lost executor then costs only the tasks it was running. The tables go when the
-    session ends, or earlier by drop().
+    session ends, or earlier by drop(). What comes from a shuffle is written in fewer
+    files than it has partitions: two for each core, or one for 16 partitions where that
+    is more; a task writes its partitions one after another. fewer=False keeps a file for
+    each task, for what comes from the input.
     """
     spark = df.sparkSession
+    if fewer:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-shuffle_partitions(spark) // 16)))
     path = f"{shared_folder(spark)}/agora-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))

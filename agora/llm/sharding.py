@@ -52,4 +52,4 @@ def shard_by_key(docs: DataFrame, shards: int, key: str = "doc_id", text: str =
         jump_shard(F.col(key), shards).alias("shard"),
         jump_shard(F.col(key), shards + 1).alias("grown_shard"),
     )
-    return numbered(save(rows, "shards"), ["shard"], [key], "slot")
+    return numbered(save(rows, "shards", fewer=False), ["shard"], [key], "slot")

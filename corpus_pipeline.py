@@ -54,6 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name)
+        docs = save(stage(spark, docs, sf_dir), name, fewer=False)
     name, stage = STAGES[-1]
     return stage(spark, docs, sf_dir)

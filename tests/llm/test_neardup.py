@@ -56,6 +56,10 @@ def test_chains_that_the_smallest_of_a_bucket_does_not_show(spark):
     assert got == plain(docs, 4, 80)
 
 
+def test_small_blocks_find_the_same(spark, edge):
+    assert result(edge, neardup.Params(shingle=4, block=3))[0] == plain(texts(), 4, 80)
+
+
 def test_nothing_and_repeated_rows(spark, edge, nothing):
     assert result(nothing, neardup.Params())[1] == 0
     got, n = result(edge.unionByName(edge), neardup.Params(shingle=4))

@@ -108,6 +108,30 @@ def mixture_2d(pairs: DataFrame, keys: list[str], points: int = 25) -> DataFrame
     return sums.select(*keys, F.col("gx").cast("long").alias("gx"), F.col("gy").cast("long").alias("gy"), (F.col("p") / whole).alias("p"))
 
 
+def beta_mixture(rows: DataFrame, keys: list[str], points: int = 25) -> DataFrame:
+    """Density of users' beliefs on a grid inside (0, 1): a beta(alpha, beta) each, normalised over the grid.
+
+    The beta function cancels in that, so a power of x and one of 1 - x are all it takes;
+    logarithms are shifted by their largest, which keeps narrow densities in range.
+    """
+    xs = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda g: (g + 0.5) / points)
+    logs = F.transform(xs, lambda x: (F.col("alpha") - 1) * F.log(x) + (F.col("beta") - 1) * F.log(1 - x))
+    rows = rows.withColumn("logs", logs)
+    rows = rows.withColumn("ps", F.transform("logs", lambda v: F.exp(v - F.array_max("logs"))))
+    rows = rows.withColumn("total", F.aggregate("ps", F.lit(0.0), lambda s, p: s + p)).select(*keys, "total", F.posexplode("ps").alias("g", "p"))
+    sums = rows.groupBy(*keys, "g").agg(F.sum(F.col("p") / F.col("total")).alias("p"))
+    whole = F.sum("p").over(Window.partitionBy(*keys))
+    return sums.select(*keys, F.col("g").cast("long").alias("g"), (F.col("p") / whole).alias("p"))
+
+
+def mean_products(rows: DataFrame, shares: list[str]) -> DataFrame:
+    """For issues i < j, the mean over users of the products of their shares: (i, j, a, b, p)."""
+    left = rows.select("user_id", F.col("issue").alias("i"), F.posexplode(F.array(*shares)).alias("a", "x"))
+    right = rows.select("user_id", F.col("issue").alias("j"), F.posexplode(F.array(*shares)).alias("b", "y"))
+    both = left.join(right, "user_id").where("i < j")
+    return both.groupBy("i", "j", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).agg(F.avg(F.col("x") * F.col("y")).alias("p"))
+
+
 def beliefs(rows: DataFrame) -> DataFrame:
     """(user_id, issue, b): means from [-1, 1] to [0, 1], a missing one in the middle."""
     return rows.select("user_id", "issue", (0.5 * (F.coalesce("mean", F.lit(0.0)) + 1)).alias("b"))

@@ -75,6 +75,24 @@ def gaussian_mixture_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(la.mixture_2d(la.issue_pairs(opinions(spark, sf_dir)), ["i", "j"]), "p")
 
 
+@query(f"""WITH {WEIGHT_SQL}, ab AS (SELECT user_id, issue, 1.0::DOUBLE + count(*) FILTER (value = 1) AS a, 1.0::DOUBLE + count(*) FILTER (value = -1) AS b FROM wobs GROUP BY 1, 2), g AS (SELECT i AS g, (i + 0.5::DOUBLE) / 25 AS x FROM range(25) r(i)),
+l AS (SELECT issue, user_id, g, (a - 1) * ln(x) + (b - 1) * ln(1 - x) AS v FROM ab, g), e AS (SELECT issue, user_id, g, exp(v - max(v) OVER (PARTITION BY issue, user_id)) AS p FROM l), u AS (SELECT issue, g, p / sum(p) OVER (PARTITION BY issue, user_id) AS p FROM e), s AS (SELECT issue, g, sum(p) AS p FROM u GROUP BY 1, 2)
+SELECT issue, g, round(p / sum(p) OVER (PARTITION BY issue), 6) + 0.0 AS p FROM s""")
+def beta_mixture_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Betas of counts: one more than a user's favor and against observations."""
+    favor, against = (F.count(F.when(F.col("value") == k, 1)).cast("double") + 1 for k in (1, -1))
+    rows = weighted(spark, sf_dir).groupBy("user_id", "issue").agg(favor.alias("alpha"), against.alias("beta"))
+    return rounded(la.beta_mixture(rows, ["issue"]), "p")
+
+
+@query(f"""WITH {WEIGHT_SQL}, s AS (SELECT user_id, issue, [avg(CASE WHEN value = -1 THEN 1.0::DOUBLE ELSE 0 END), avg(CASE WHEN value = 0 THEN 1.0::DOUBLE ELSE 0 END), avg(CASE WHEN value = 1 THEN 1.0::DOUBLE ELSE 0 END)] AS p FROM wobs GROUP BY 1, 2)
+SELECT x.issue AS i, y.issue AS j, a, b, round(avg(x.p[a + 1] * y.p[b + 1]), 6) AS p FROM s x JOIN s y ON x.user_id = y.user_id AND x.issue < y.issue, range(3) r(a), range(3) q(b) GROUP BY 1, 2, 3, 4""")
+def mean_outer_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = [F.avg(F.when(F.col("value") == k, 1.0).otherwise(0.0)).alias(n) for k, n in ((-1, "against"), (0, "neutral"), (1, "favor"))]
+    rows = weighted(spark, sf_dir).groupBy("user_id", "issue").agg(*shares)
+    return rounded(la.mean_products(rows, ["against", "neutral", "favor"]), "p")
+
+
 BELIEF_SQL = f"{OPINION_SQL}, belief AS (SELECT user_id, issue, 0.5 * (coalesce(mean, 0) + 1) AS b FROM opinion)"
 
 

@@ -175,3 +175,18 @@ def best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = runs.withColumn("ties", F.struct("num_docs", -F.regexp_extract("source", r"(\d+)", 1).cast("int")))
     found = rel.best_run(runs, ["lang"], "metric", "ties", F.col("num_docs") >= 2)
     return found.select("lang", "source", "num_docs", "metric")
+
+
+@query(f"WITH {OBS_SQL} SELECT user_id, comment_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, comment_id DESC) AS r FROM obs) WHERE r = 2")
+def previous_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second most recent content of each user."""
+    order = [F.col("t").desc(), F.col("comment_id").desc()]
+    return rel.top_k(observations(spark, sf_dir), ["user_id"], order, 2).where("rank = 2").select("user_id", "comment_id", "event_type")
+
+
+@query(f"WITH {OBS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, comment_id) AS r FROM obs) SELECT comment_id, user_id, CASE WHEN r <= 10 THEN 'train' WHEN r <= 20 THEN 'dev' ELSE 'test' END AS part FROM r")
+def ordered_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's first ten rows to train, the next ten to tune, the rest to test."""
+    rows = rel.top_k(observations(spark, sf_dir), ["user_id"], [F.col("t"), F.col("comment_id")], 2**31 - 1)
+    part = F.when(F.col("rank") <= 10, "train").when(F.col("rank") <= 20, "dev").otherwise("test")
+    return rows.select("comment_id", "user_id", part.alias("part"))

@@ -141,27 +141,46 @@ def fit(labelled: DataFrame, params: Params = Params(), key: str = "doc_id", tex
     return model
 
 
-def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, lang_pred, score and rejected of every row.
-
-    lang_pred is the language of the nearest centroid and score their cosine to five places; a text that
-    is null, has no letter, or comes before any language is learned is `und` with score 0.
-    rejected: und, or farther from the centroid than it allows. Equal texts are judged
-    alike, ties go to the first language by name; an empty table gives an empty table,
-    other columns are ignored.
+def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` (the key) of every row, and lang_pred, score and rejected.
+
+    lang_pred is the language of the nearest centroid and score their cosine to five places;
+    a text that is null, has no letter, or comes before any language is learned is `und`
+    with score 0. rejected: und, or farther from the centroid than it allows. Equal texts
+    are judged alike, ties go to the first language by name; an empty table gives an empty
+    table, other columns are ignored. Columns to keep pass through the task with the text,
+    so a filter on the result needs no join.
     """
-    schema = "id long, lang_pred string, score double, rejected boolean"
+    keep = keep or [key]
+    return _predicted(docs, model, text, keep).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs without the rows that predict() rejects, whatever its columns are called."""
+    rows = _predicted(docs, model, text, docs.columns).where("not rejected")
+    return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _predicted(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
+    """predict() with the columns to keep named k0, k1, ..."""
+    place = keep.index(text) if text in keep else len(keep)
+    kinds = dict(docs.dtypes)
+    names = [*(f"k{i}" for i in range(len(keep))), "lang_pred", "score", "rejected"]
+    schema = ", ".join(f"k{i} {kinds[c]}" for i, c in enumerate(keep)) + ", lang_pred string, score double, rejected boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*model.languages, UNKNOWN], object)
+        languages = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
-            for chunk in chunks(batch.column(1), rows=256):
+            for chunk in chunks(batch.column(place), rows=256):
                 likeness = model.vectors(counts(chunk, model.bits)) @ model.centroids.T
                 known = has_letters(chunk) & bool(model.languages)
                 best = likeness.argmax(1) if model.languages else np.zeros(chunk.n, np.int64)
                 score = np.where(known, likeness[np.arange(chunk.n), best], 0) if model.languages else np.zeros(chunk.n)
                 rejected = ~known | (score < (model.least[best] if model.languages else 1))
-                named = names[np.where(known, best, len(names) - 1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), pa.array(named.tolist(), pa.string()), pa.array(np.round(np.clip(score, 0, 1).astype(np.float64), 5)), pa.array(rejected)], ["id", "lang_pred", "score", "rejected"])
+                named = languages[np.where(known, best, len(languages) - 1)]
+                kept = [batch.column(i).slice(chunk.first, chunk.n) for i in range(len(keep))]
+                found = [pa.array(named.tolist(), pa.string()), pa.array(np.round(np.clip(score, 0, 1).astype(np.float64), 5)), pa.array(rejected)]
+                yield pa.RecordBatch.from_arrays([*kept, *found], names)
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(run, schema).withColumnRenamed("id", key)
+    columns = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    return docs.select(*columns, *([] if text in keep else [F.col(text).alias("t")])).mapInArrow(run, schema)

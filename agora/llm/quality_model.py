@@ -63,19 +63,23 @@ def statistics(chunk: Chunk) -> np.ndarray:
 
 def with_statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep` of docs and the statistics of its texts, as columns s_<name>."""
-    kinds = dict(docs.dtypes)
+    return _with_statistics(docs, keep, text).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+
+
+def _with_statistics(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """with_statistics() with the columns to keep named k0, k1, ..."""
+    kinds, place = dict(docs.dtypes), keep.index(text) if text in keep else len(keep)
     schema = ", ".join([f"k{i} {kinds[c]}" for i, c in enumerate(keep)] + [f"s_{s} double" for s in STATISTICS])
     names = [f"k{i}" for i in range(len(keep))] + [f"s_{s}" for s in STATISTICS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(len(keep))):
+            for chunk in chunks(batch.column(place)):
                 values = statistics(chunk)
                 kept = [batch.column(i).slice(chunk.first, chunk.n) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(values[:, j]) for j in range(values.shape[1]))], names)
 
-    out = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("t")).mapInArrow(run, schema)
-    return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *([] if text in keep else [F.col(text).alias("t")])).mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -170,3 +174,9 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     """
     out = with_statistics(docs, keep, text).withColumn("score", model.score())
     return out.select(*keep, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def good(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs without the rows that score() predicts to be bad, whatever its columns are called."""
+    rows = _with_statistics(docs, docs.columns, text).where(model.score() >= 0.5)
+    return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])

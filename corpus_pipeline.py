@@ -23,15 +23,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without a letter go, and those that the nearest centroid rejects.
     """
     model = langid.fit(docs)
-    kept = langid.predict(docs, model).where("not rejected").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return langid.accepted(docs, model)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, taught by the labels, predicts to be good."""
     model = quality_model.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = quality_model.score(docs, model, ["doc_id"]).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return quality_model.good(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

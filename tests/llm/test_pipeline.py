@@ -31,3 +31,15 @@ def test_query_is_registered():
     import __spark_entry__ as entry
 
     assert "pipeline" in entry.queries() and sum(n.startswith("op") and n[2].isdigit() for n in entry.queries()) == 10
+
+
+def test_stages_keep_columns_of_any_name(spark, nothing):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for name in ("rejected", "score", "s_words", "k0", "t", "predicted", "kept", "component_id"):
+        docs = docs.withColumn(name, docs.doc_id)
+    for stage in (corpus_pipeline.language, corpus_pipeline.quality, corpus_pipeline.near_duplicates):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() > 0
+    assert corpus_pipeline.pack(spark, docs, SF).count() >= 60
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, SF).count() == 0

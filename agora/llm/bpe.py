@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agora.llm.pretokens import PieceIds
+from agora.llm.scratch import whole_texts
 from agora.llm.textarrays import chunks
 
 NONE = np.int32(2**31 - 1)
@@ -169,4 +170,4 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
                     back.append(hashlib.sha256(b"".join(map(token.__getitem__, own))).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), pa.array(np.diff(at)), pa.array(said), pa.array(back)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(run, schema).withColumnRenamed("id", key)
+    return whole_texts(docs).select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(run, schema).withColumnRenamed("id", key)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from agora.llm.scratch import whole_texts
 from agora.llm.textarrays import Chunk, chunks
 
 UNKNOWN = "und"
@@ -183,4 +184,4 @@ def _predicted(docs: DataFrame, model: Model, text: str, keep: list[str]) -> Dat
                 yield pa.RecordBatch.from_arrays([*kept, *found], names)
 
     columns = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    return docs.select(*columns, *([] if text in keep else [F.col(text).alias("t")])).mapInArrow(run, schema)
+    return whole_texts(docs).select(*columns, *([] if text in keep else [F.col(text).alias("t")])).mapInArrow(run, schema)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agora.llm.components import components
-from agora.llm.scratch import save, shuffle_partitions
+from agora.llm.scratch import save, shuffle_partitions, whole_texts
 from agora.llm.textarrays import IS_SPACE, Rolling, chunks, mix, shingle_hashes
 from agora.llm.textarrays import BYTE_CODE
 
@@ -109,7 +109,7 @@ def sketch(docs: DataFrame, params: Params, key: str, text: str) -> DataFrame:
                 raw = pa.array([r.tobytes() for r in regs.astype("<u2")], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(np.diff(at)), pa.array(sums[0]), pa.array(sums[1]), raw], ["id", "n_shingles", "set1", "set2", "registers"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(run, schema)
+    return whole_texts(docs).select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(run, schema)
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.llm.pretokens import PieceIds
-from agora.llm.scratch import numbered, save
+from agora.llm.scratch import numbered, save, whole_texts
 from agora.llm.textarrays import chunks
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -71,7 +71,7 @@ def cut(docs: DataFrame, tokenizer: str, size: int, key: str, text: str, end_id:
                         a, b, k = b, b + size, k + 1
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text)).mapInArrow(pieces, PIECES)
+    return whole_texts(docs).select(F.col(key).cast("long").alias(key), F.col(text)).mapInArrow(pieces, PIECES)
 
 
 def fullest(counts: dict[int, int], size: int) -> list[int]:

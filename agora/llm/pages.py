@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.scratch import save, shuffle_partitions
+from agora.llm.scratch import save, shuffle_partitions, whole_texts
 from agora.llm.urls import host_and_path
 
 # Fixed values of HTML: how elements nest and which of them start a block.
@@ -234,7 +234,7 @@ def extract(pages: DataFrame, params: Params = Params(), key: str = "page_id", u
     texts; an empty table gives an empty table; other columns are ignored.
     """
     host, _ = host_and_path(F.col(url))
-    rows = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), host.alias("host"), F.col(source).alias("html"))
+    rows = whole_texts(pages).select(F.col(key).alias("k"), F.col(url).alias("u"), host.alias("host"), F.col(source).alias("html"))
     found = save(noise(style_nodes(rows), params), "noise")
     lists = found.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("noise"))
     if found.count() <= params.broadcast:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agora.llm.quality_rules import IS_LOWER, IS_SEPARATOR, IS_STOP, IS_SYMBOL, IS_UPPER, Rules, _sums, _table, judge
+from agora.llm.scratch import whole_texts
 from agora.llm.textarrays import BYTE_CODE, Chunk, Rolling, chunks
 from agora.llm.trees import Path, boost
 
@@ -79,7 +80,7 @@ def _with_statistics(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
                 kept = [batch.column(i).slice(chunk.first, chunk.n) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(values[:, j]) for j in range(values.shape[1]))], names)
 
-    return docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *([] if text in keep else [F.col(text).alias("t")])).mapInArrow(run, schema)
+    return whole_texts(docs).select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *([] if text in keep else [F.col(text).alias("t")])).mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)

@@ -60,6 +60,18 @@ def _clear() -> None:
             return
 
 
+def whole_texts(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of at most 1000 rows from now on in its session.
+
+    Rows hold whole texts; the usual 10 000 of them take tens of MB outside the heap, once
+    on the way to Python and once on the way back, for each task.
+    """
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(conf, "10000")) > 1000:
+        df.sparkSession.conf.set(conf, "1000")
+    return df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

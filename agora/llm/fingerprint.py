@@ -1,7 +1,8 @@
 """Document fingerprints by consistent weighted sampling, in columns only.
 
-A text is a set of terms (hashed words) weighted by their counts. For each of `samples`
-independent draws, every term has gamma(2, 1) variables r and c and a uniform b. With
+A text is a set of terms (words by their 64-bit hash) weighted by their counts. For each
+of `samples` independent draws, every term has gamma(2, 1) variables r and c and a uniform
+b, made in columns from hashes of the term, so that the vocabulary has no bound. With
 t = floor(ln w / r + b), the term with the smallest ln c - r (t - b + 1) is sampled; the
 pair (term, t) is the same for two texts with the probability of their generalised
 Jaccard similarity. The smallest value tells the pair, so a signature keeps its hash.
@@ -9,61 +10,57 @@ Jaccard similarity. The smallest value tells the pair, so a signature keeps its
 
 from __future__ import annotations
 
-import math
-import random
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEX = 4  # digits of a fingerprint for each sample
+ABREAST = 4  # samples that one row's columns hold: more make a method too long for Java to compile
 
 
 @dataclass(frozen=True)
 class Params:
-    """Samples, and hash buckets for terms: words that share a bucket are one term.
-
-    The table of variables has terms x samples rows of three doubles, a fixed size that is
-    broadcast: 1024 x 32 x 24 bytes = 0.8 MB.
-    """
+    """Samples, and the seed of their variables; `terms` is ignored, as no words share a term."""
 
     samples: int = 32
     terms: int = 1024
     seed: int = 20010
 
 
-def variables(spark: SparkSession, params: Params) -> DataFrame:
-    """(term, r, shift): for each sample r, and ln c + r (b - 1) so that a sample's value is shift - r t; b / 1 in third."""
-    rnd = random.Random(params.seed)
-    gamma = lambda: -math.log((1 - rnd.random()) * (1 - rnd.random()))
-    rows = []
-    for term in range(params.terms):
-        r, b, shift = [], [], []
-        for _ in range(params.samples):
-            r.append(gamma())
-            b.append(rnd.random())
-            shift.append(math.log(gamma()) + r[-1] * (b[-1] - 1))
-        rows.append((term, r, b, shift))
-    return spark.createDataFrame(rows, "term int, r array<double>, b array<double>, shift array<double>")
+def draw(term: Column, weight: Column, sample: Column, params: Params) -> Column:
+    """A term's value ln c - r (t - b + 1) in a sample; weight is the log of its count."""
+
+    def bits(k: int) -> Column:
+        return F.xxhash64(term, sample * 3 + (params.seed + k))
+
+    def high(h: Column) -> Column:
+        return (F.shiftrightunsigned(h, 32) + F.lit(0.5)) / F.lit(2.0**32)
+
+    def low(h: Column) -> Column:
+        return (h.bitwiseAND(F.lit((1 << 32) - 1)) + F.lit(0.5)) / F.lit(2.0**32)
+
+    r, c = (-F.log(high(bits(k)) * low(bits(k))) for k in (0, 1))
+    b = high(bits(2))
+    return F.log(c) - r * (F.floor(weight / r + b) - b + 1)
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str, params: Params = Params()) -> DataFrame:
     """keys and the fingerprint of each row's text; rows must differ in their keys.
 
     Where texts is already partitioned by a key, nothing is shuffled. A text without words
-    has the fingerprint of zeros. Keys may not be named term, weight, r, b or shift.
+    has the fingerprint of zeros. Keys may not be named term, weight or group.
     """
     words = F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+")
     terms = texts.select(*keys, F.explode(F.concat(F.array(F.lit("")), words)).alias("word"))
     # The empty word keeps texts without words; it is no term.
-    terms = terms.select(*keys, F.when(F.col("word") == "", F.lit(-1)).otherwise(F.pmod(F.xxhash64("word"), F.lit(params.terms))).cast("int").alias("term"))
+    terms = terms.select(*keys, F.when(F.col("word") != "", F.xxhash64("word")).alias("term"))
     weights = terms.groupBy(*keys, "term").agg(F.log(F.count(F.lit(1)).cast("double")).alias("weight"))
-    weights = weights.join(F.broadcast(variables(texts.sparkSession, params)), "term", "left")
-    least = []
-    for i in range(params.samples):
-        r, b, shift = F.col("r")[i], F.col("b")[i], F.col("shift")[i]
-        least.append(F.min(shift - r * F.floor(F.col("weight") / r + b)).alias(f"m{i}"))
-    drawn = weights.groupBy(*keys).agg(*least)
+    groups = -(-params.samples // ABREAST)
+    rows = weights.select("*", F.explode(F.array(*[F.lit(g) for g in range(groups)])).alias("group"))
+    value = lambda j: F.when(F.col("term").isNotNull(), draw(F.col("term"), F.col("weight"), F.col("group") * ABREAST + j, params))
+    mins = rows.groupBy(*keys, "group").agg(*[F.min(value(j)).alias(f"m{j}") for j in range(ABREAST)])
+    drawn = mins.groupBy(*keys).agg(*[F.max(F.when(F.col("group") == i // ABREAST, F.col(f"m{i % ABREAST}"))).alias(f"m{i}") for i in range(params.samples)])
 
     def part(i: int) -> Column:
         return F.lpad(F.hex(F.pmod(F.xxhash64(F.col(f"m{i}")), F.lit(16**HEX - 1)) + 1), HEX, "0")

@@ -47,3 +47,16 @@ def test_nothing_one_and_repeated_rows(spark, nothing, edge):
     assert fp.edited_likeness(edge.unionByName(edge)).count() == len(texts())
     odd = spark.createDataFrame([(None, "x"), (2, None), (5_000_000_000_000, "y")], "doc_id long, text string")
     assert sorted(r.doc_id for r in fp.edited_likeness(odd).collect()) == [2, 5_000_000_000_000]
+
+
+def test_long_texts_are_as_like_as_their_words(spark):
+    rnd = np.random.default_rng(4)
+    rows = []
+    for k in range(12):
+        one, half, none = ([f"{name}{k}x{i}" for i in range(20_000)] for name in ("a", "b", "c"))
+        for version, words in enumerate((one, one[:10_000] + half[:10_000], none)):
+            rows.append((k, version, " ".join(rnd.permutation(words))))
+    got = {(r.k, r.v): r.fingerprint for r in fp.fingerprints(spark.createDataFrame(rows, "k int, v int, t string"), ["k", "v"], "t").collect()}
+    same = lambda a, b: sum(a[j : j + fp.HEX] == b[j : j + fp.HEX] for j in range(0, len(a), fp.HEX)) / (len(a) // fp.HEX)
+    assert abs(np.mean([same(got[k, 0], got[k, 1]) for k in range(12)]) - 1 / 3) < 0.1
+    assert np.mean([same(got[k, 0], got[k, 2]) for k in range(12)]) < 0.02

@@ -26,14 +26,17 @@ class Params:
     """Hashed n-gram features, training rows for each language, centroids, and rejection.
 
     The fit uses at most about `rows` labelled rows of each language, those of smallest
-    hash; `slack` times the least similarity that a centroid has to its own rows is what a
-    text must reach.
+    hash; rows without a gram teach nothing. `slack` times the quantile `low` of the
+    similarities that a centroid has to its own rows is what a text must reach. A centroid
+    holds the share `least` of its language's rows or goes.
     """
 
     bits: int = 12
     rows: int = 600
     centroids: int = 4
     slack: float = 0.5
+    low: float = 0.05
+    least: float = 0.02
     seed: int = 17
 
     @property
@@ -92,17 +95,21 @@ class Model:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def _clusters(vectors: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Unit centroids by spherical k-means, begun from the rows farthest from each other."""
-    rnd = np.random.default_rng(seed)
+def _clusters(vectors: np.ndarray, params: Params) -> np.ndarray:
+    """Unit centroids by spherical k-means, begun as k-means++; those of too few rows go."""
+    rnd = np.random.default_rng(params.seed)
     centers = vectors[[int(rnd.integers(len(vectors)))]]
-    while len(centers) < min(k, len(vectors)):
-        centers = np.vstack([centers, vectors[np.argmin((vectors @ centers.T).max(1))]])
+    while len(centers) < min(params.centroids, len(vectors)):
+        far = np.maximum(1 - (vectors @ centers.T).max(1), 0).astype(np.float64)
+        if far.sum() < 1e-6:
+            break
+        centers = np.vstack([centers, vectors[rnd.choice(len(vectors), p=far / far.sum())]])
     for _ in range(12):
         nearest = (vectors @ centers.T).argmax(1)
         centers = np.stack([vectors[nearest == i].mean(0) if (nearest == i).any() else centers[i] for i in range(len(centers))])
         centers /= np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
-    return centers
+    sizes = np.bincount((vectors @ centers.T).argmax(1), minlength=len(centers))
+    return centers[(sizes >= params.least * len(vectors)) & (sizes > 0) | (sizes == sizes.max())]
 
 
 def fit(labelled: DataFrame, params: Params = Params(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
@@ -124,17 +131,19 @@ def fit(labelled: DataFrame, params: Params = Params(), key: str = "doc_id", tex
     got.sort(key=lambda r: (r["l"], r["grams"]))
     grams = np.stack([np.frombuffer(r["grams"], "<u2") for r in got]).astype(np.float32) if got else np.zeros((0, params.features), np.float32)
     named = np.array([r["l"] for r in got])
+    taught = grams.any(1)
+    grams, named = grams[taught], named[taught]
     idf = np.log((1 + len(grams)) / (1 + (grams > 0).sum(0))).astype(np.float32) + 1
     model = Model([], idf, np.zeros((0, params.features), np.float32), np.zeros(0), params.bits)
     vectors_ = model.vectors(grams)
     parts, least = [], []
     for language in sorted(set(named.tolist())):
         own = vectors_[named == language]
-        centers = _clusters(own, params.centroids, params.seed)
+        centers = _clusters(own, params)
         nearest = own @ centers.T
         for i in range(len(centers)):
             mine = nearest[nearest.argmax(1) == i, i]
-            least.append(params.slack * float(mine.min()) if len(mine) else 0.0)
+            least.append(params.slack * float(np.quantile(mine, params.low, method="higher")) if len(mine) else 0.0)
         model.languages += [language] * len(centers)
         parts.append(centers)
     if parts:

@@ -59,3 +59,13 @@ def test_edges(spark, edge, nothing):
     assert {r.lang_pred for r in langid.predict(edge, blank).collect()} == {"und"}
     twice = langid.predict(edge.unionByName(edge), model)
     assert twice.groupBy("doc_id").agg(F.count_distinct("score").alias("n"), F.count("*").alias("k")).where("n <> 1 or k <> 2").count() == 0
+
+
+def test_junk_among_the_labelled_rows_teaches_nothing(spark):
+    junk = [(1000 + 10 * i + k, text, lang) for i, lang in enumerate(WORDS) for k, text in enumerate(["", "12 345", "x", "漢字仮名交文 日本語文"])]
+    rows = labelled(spark)
+    model = langid.fit(rows.unionByName(spark.createDataFrame(junk, rows.schema)))
+    assert langid.predict(rows, model).where("rejected").count() == 0
+    strange = ["漢字仮名交文 日本語文", "только что пришли домой", "9f3ac0de77b1", "x"]
+    got = langid.predict(spark.createDataFrame(list(enumerate(strange)), "doc_id long, text string"), model)
+    assert got.where("not rejected").count() == 0

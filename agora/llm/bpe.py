@@ -23,6 +23,7 @@ from agora.llm.textarrays import chunks
 
 NONE = np.int32(2**31 - 1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+ALONE_BITS = 9  # words of over 2**8 bytes are merged one at a time
 
 
 class Ranks:
@@ -77,12 +78,59 @@ class Ranks:
             elif word:
                 by_width.setdefault(max(1, (len(word) - 1).bit_length()), []).append(i)
         for bits, members in by_width.items():
+            if bits >= ALONE_BITS:
+                for i in members:
+                    out[i] = self._merge_alone(words[i])
+                continue
             for at in range(0, len(members), step := max(1, (1 << 18) >> bits)):
                 part = members[at : at + step]
                 for i, ids in zip(part, self._merge([words[i] for i in part], 1 << bits), strict=True):
                     out[i] = ids
         return out
 
+    def _merge_alone(self, word: bytes) -> list[int]:
+        """A long word by itself: the same tree in lists, and ranks looked up by the joined bytes."""
+        n, rank, none = len(word), self.rank.get, int(NONE)
+        half = 1 << (n - 1).bit_length()
+        tree = [none] * (2 * half)
+        tree[half : half + n - 1] = [rank(word[i : i + 2], none) for i in range(n - 1)]
+        for node in range(half - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+        # A live token at i covers word[i:after[i]]; before[i] is where the one before begins.
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+
+        def put(leaf: int, value: int) -> None:
+            node = leaf + half
+            tree[node] = value
+            while node > 1:
+                node >>= 1
+                low = min(tree[2 * node], tree[2 * node + 1])
+                if tree[node] == low:
+                    return
+                tree[node] = low
+
+        while tree[1] != none:
+            node = 1
+            while node < half:
+                node *= 2
+                node += tree[node] != tree[node // 2]
+            here = node - half
+            gone = after[here]
+            then = after[here] = after[gone]
+            put(gone, none)
+            if then < n:
+                before[then] = here
+                put(here, rank(word[here : after[then]], none))
+            else:
+                put(here, none)
+            if here:
+                put(before[here], rank(word[before[here] : then], none))
+        out, i = [], 0
+        while i < n:
+            out.append(self.rank[word[i : after[i]]])
+            i = after[i]
+        return out
+
     def _merge(self, words: list[bytes], width: int) -> list[list[int]]:
         n, sizes = len(words), np.array([len(w) for w in words])
         raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
@@ -144,7 +192,7 @@ def ranks(path: str) -> Ranks:
 
 @functools.cache
 def rank_pieces(path: str) -> PieceIds:
-    return PieceIds(lambda words: ranks(path).merge([w.encode() for w in words]))
+    return PieceIds(ranks(path).merge)
 
 
 def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

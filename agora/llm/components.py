@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     node, then the rest; the links shrink to stars in a number of rounds that grows with
     the logarithm of the longest chain. Only counts and checksums reach the driver.
     """
-    edges = save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    edges = save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links", fewer=True)
     state = _state(edges)
     while state[0]:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b")
         small = small.select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x <> y")
-        new = save(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+        new = save(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links", fewer=True)
         was, state = state, _state(new)
         drop(edges)
         edges = new

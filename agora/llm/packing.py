@@ -17,18 +17,41 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from agora.llm.pretokens import PieceIds
 from agora.llm.scratch import numbered, save, whole_texts
-from agora.llm.textarrays import chunks
+from agora.llm.textarrays import Chunk, chunks
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
+class Tokens:
+    """Ids of whole texts as the tokenizers library gives them, without the tokens it adds around a text.
+
+    Pieces go through the file's model once each. Texts that hold a token which the
+    library finds before it splits (such as an end of text) are left to the library.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, pieces: PieceIds):
+        self.tokenizer, self.pieces = tokenizer, pieces
+        self.added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def of(self, chunk: Chunk) -> list[np.ndarray]:
+        ids, at = self.pieces.of(chunk)
+        out = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        whole = chunk.text()
+        if any(token in whole for token in self.added):
+            for i in range(chunk.n):
+                text = whole[chunk.offsets[i] : chunk.offsets[i + 1]]
+                if any(token in text for token in self.added):
+                    out[i] = np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+        return out
+
+
 @functools.cache
-def json_pieces(path: str) -> PieceIds:
-    """A tokenizer file's model, for pieces of the splitting pattern."""
-    from tokenizers import Tokenizer
+def json_tokens(path: str) -> Tokens:
+    """The ids that a tokenizer file gives to texts."""
 
     tokenizer = Tokenizer.from_file(path)
     layout = json.loads(tokenizer.to_str())
@@ -40,26 +63,24 @@ def json_pieces(path: str) -> PieceIds:
     byte_chars = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(hidden)}
     model = tokenizer.model
 
-    def encode(words: list[str]) -> list[list[int]]:
-        return [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(byte_chars))] for w in words]
+    def encode(words: list[bytes]) -> list[list[int]]:
+        return [[t.id for t in model.tokenize(w.decode("latin-1").translate(byte_chars))] for w in words]
 
-    return PieceIds(encode)
+    return Tokens(tokenizer, PieceIds(encode))
 
 
 def cut(docs: DataFrame, tokenizer: str, size: int, key: str, text: str, end_id: int) -> DataFrame:
     """Each document's ids and `end_id`, cut into pieces of `size` where longer; the first piece takes the rest."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = json_pieces(tokenizer)
+        tokens = json_tokens(tokenizer)
         for batch in batches:
             keys = batch.column(0)
             for chunk in chunks(batch.column(1)):
-                ids, at = ids_of.of(chunk)
                 rows, number, start, length, crc = [], [], [], [], []
-                ids = ids.astype("<u4")
                 last = np.array([end_id], "<u4").tobytes()
-                for i in range(chunk.n):
-                    own = ids[at[i] : at[i + 1]].tobytes() + last
+                for i, ids in enumerate(tokens.of(chunk)):
+                    own = ids.astype("<u4").tobytes() + last
                     n = len(own) // 4
                     a, b, k = 0, (n - 1) % size + 1, 0
                     while a < n:
@@ -146,11 +167,10 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, key: str = "doc_id",
     Other columns are ignored. The driver gets the counts of at most `size` lengths.
     """
     spark = docs.sparkSession
-    pieces = save(cut(docs, tokenizer, size, key, text, end_id), "pieces", fewer=False)
+    pieces = save(cut(docs, tokenizer, size, key, text, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     planned = spark.createDataFrame(plan(counts, size), "length int, low long, high long, bin long, at long, slots long")
-    # The plan has a few rows for each length. Its ranges are cut at multiples of a grid,
-    # so that pieces find their range by an equal key and a short comparison.
+    # The plan has a few rows for each length; a piece finds its own by its length and its number.
     ranked = numbered(pieces, ["length"], ["doc_id", "piece"], "rank")
     planned = planned.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("low", "high", "bin", "at", "slots"))).alias("parts"))
     placed = ranked.join(F.broadcast(planned), "length")

@@ -1,18 +1,19 @@
 """The byte-level splitting pattern over whole texts, and ids per distinct piece.
 
 public_tokenizers.PATTERN is evaluated as rules on runs of character classes, so numpy
-splits a chunk at once; each distinct piece is then encoded once per worker.
+splits a chunk at once; each distinct piece is then encoded once.
 """
 
 from __future__ import annotations
 
 import functools
 import unicodedata
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 
-from agora.llm.textarrays import Chunk, Rolling, mix
+from agora.llm.textarrays import Chunk, distinct
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Characters with the Unicode property White_Space.
@@ -30,18 +31,16 @@ def classes() -> np.ndarray:
     return out
 
 
-def split(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Code points, starts and ends of pieces, and for each text the number of its first piece (n + 1)."""
+def split(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Where pieces begin in the chunk's bytes, and for each text the number of its first piece (n + 1)."""
     codes = np.frombuffer(chunk.text().decode("utf-8").encode("utf-32-le"), np.uint32)
     n = len(codes)
-    at = np.zeros(len(chunk.data) + 1, np.int64)
-    np.cumsum((chunk.data & 0xC0) != 0x80, out=at[1:])
-    offsets = at[chunk.offsets]
     if not n:
-        return codes, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(chunk.n + 1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(chunk.n + 1, np.int64)
+    begins = np.flatnonzero((chunk.data & 0xC0) != 0x80)  # of each code point in the bytes
     kind = classes()[codes]
     head = np.zeros(n + 1, bool)
-    head[offsets] = True
+    head[np.searchsorted(begins, chunk.offsets)] = True
     head[n] = True
     mark = head.copy()
     mark[1:n] |= kind[1:] != kind[:-1]
@@ -62,60 +61,37 @@ def split(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
         mark[quote[short | long] + 1] = False
         mark[quote[short] + 2] = True
         mark[quote[long] + 3] = True
-    starts = np.flatnonzero(mark[:n])
-    return codes, starts, np.append(starts[1:], n), np.searchsorted(starts, offsets)
+    starts = begins[np.flatnonzero(mark[:n])]
+    return starts, np.searchsorted(starts, chunk.offsets)
 
 
 class PieceIds:
-    """Ids of pieces, remembered by a 64-bit hash that a second sum confirms."""
+    """Ids of pieces; those of at most `longest` bytes are remembered, up to `most` of them."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], slots: int = 1 << 20):
-        self.encode, self.mask = encode, np.uint64(slots - 1)
-        self.forget()
-
-    def forget(self) -> None:
-        m = int(self.mask) + 1
-        self.keys, self.slot = np.zeros(m, np.uint64), np.zeros(m, np.int64)
-        self.sums, self.start, self.count, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def _add(self, words: list[str], sums: np.ndarray) -> np.ndarray:
-        ids = self.encode(words)
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = len(self.start)
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.sums = np.concatenate([self.sums, sums])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))])
-        return np.arange(first, first + len(ids))
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 1 << 17, longest: int = 48):
+        self.encode, self.most, self.longest = encode, most, longest
+        self.known: dict[bytes, bytes] = {}
 
     def of(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the chunk's texts in order, and where each text's begin (n + 1)."""
-        codes, starts, ends, first = split(chunk)
+        starts, first = split(chunk)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(chunk.n + 1, np.int64)
-        if len(self.start) > int(self.mask) // 2:
-            self.forget()
-        spread = mix(codes.astype(np.uint64) + np.uint64(1))
-        hashes = Rolling(spread).spans(starts, ends)
-        total = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(mix(spread), out=total[1:])
-        sums = total[ends] - total[starts]
-        place = hashes & self.mask
-        slot = self.slot[place]
-        miss = np.flatnonzero(self.keys[place] != hashes)
-        if len(miss):
-            fresh, index, inverse = np.unique(hashes[miss], return_index=True, return_inverse=True)
-            index = miss[index]
-            raw = codes.tobytes()
-            words = [raw[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)]
-            made = self._add(words, sums[index])
-            self.keys[fresh & self.mask], self.slot[fresh & self.mask] = fresh, made
-            slot[miss] = made[inverse]
-        wrong = np.flatnonzero(self.sums[slot] != sums)
-        if len(wrong):  # two pieces share a hash
-            raw = codes.tobytes()
-            slot[wrong] = self._add([raw[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(starts[wrong].tolist(), ends[wrong].tolist(), strict=True)], sums[wrong])
-        count = self.count[slot]
-        at = np.zeros(len(slot) + 1, np.int64)
+        number, pieces = distinct(chunk.data, np.diff(np.append(starts, len(chunk.data))))
+        pieces = pieces.to_pylist()
+        ids = [self.known.get(p) for p in pieces]
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            if len(self.known) + len(missing) > self.most:
+                self.known.clear()
+            for i, made in zip(missing, self.encode([pieces[i] for i in missing]), strict=True):
+                ids[i] = array("I", made).tobytes()
+                if len(pieces[i]) <= self.longest:
+                    self.known[pieces[i]] = ids[i]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        count = size[number]
+        at = np.zeros(len(number) + 1, np.int64)
         np.cumsum(count, out=at[1:])
-        return self.flat[np.repeat(self.start[slot] - at[:-1], count) + np.arange(at[-1])], at[first]
+        return flat[np.repeat(begin[number] - at[:-1], count) + np.arange(at[-1])], at[first]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from agora.llm.quality_rules import IS_LOWER, IS_SEPARATOR, IS_STOP, IS_SYMBOL, IS_UPPER, Rules, _sums, _table, judge
 from agora.llm.scratch import whole_texts
-from agora.llm.textarrays import BYTE_CODE, Chunk, Rolling, chunks
+from agora.llm.textarrays import Chunk, chunks, first_of_each, word_numbers
 from agora.llm.trees import Path, boost
 
 #: The statistics of a text that rules are made of.
@@ -32,15 +32,11 @@ def statistics(chunk: Chunk) -> np.ndarray:
     per_word = np.maximum(n_words, 1)
     upper, lower = count(IS_UPPER[data]), count(IS_LOWER[data])
     starts, ends, first = chunk.words()
-    hashes = Rolling(BYTE_CODE[data]).spans(starts, ends)
-    distinct, run = np.zeros(chunk.n), np.zeros(chunk.n)
-    same = np.zeros(len(hashes), bool)
-    same[1:] = hashes[1:] == hashes[:-1]
-    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-        if b > a:
-            own = np.sort(hashes[a:b])
-            distinct[i] = 1 + (own[1:] != own[:-1]).sum()
-            run[i] = same[a + 1 : b].sum()
+    numbers, _ = word_numbers(data, starts, ends)
+    owner = np.repeat(np.arange(chunk.n), np.diff(first))
+    distinct = np.bincount(owner[first_of_each(owner, numbers)], minlength=chunk.n)
+    same = (numbers[1:] == numbers[:-1]) & (owner[1:] == owner[:-1])
+    run = np.bincount(owner[1:][same], minlength=chunk.n)
     line_starts, _ = chunk.edges(data != 10)
     lines = np.bincount(np.searchsorted(at, line_starts, "right") - 1, minlength=chunk.n) if len(line_starts) else np.zeros(chunk.n)
     columns = (

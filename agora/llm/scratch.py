@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,22 +14,23 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only in local mode, where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="agora-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def save(df: DataFrame, name: str, fewer: bool = True) -> DataFrame:
+def save(df: DataFrame, name: str, fewer: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, which cuts its lineage.
 
     A lost executor then costs only the tasks it was running. The tables go when the
-    session ends, or earlier by drop(). What comes from a shuffle is written in fewer
-    files than it has partitions: two for each core, or one for 16 partitions where that
-    is more; a task writes its partitions one after another. fewer=False keeps a file for
-    each task, for what comes from the input.
+    session ends, or earlier by drop(). fewer: for narrow tables that come from a
+    shuffle and take no work, two files for each core or one for 16 partitions, where
+    that is more; a task writes its partitions one after another.
     """
     spark = df.sparkSession
     if fewer:
@@ -60,15 +62,23 @@ def _clear() -> None:
             return
 
 
+#: Bounds of an Arrow batch of whole texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
 def whole_texts(df: DataFrame) -> DataFrame:
-    """df, with Arrow batches of at most 1000 rows from now on in its session.
+    """df, with Arrow batches of at most BATCH_ROWS rows and about BATCH_BYTES from now on in its session.
 
-    Rows hold whole texts; the usual 10 000 of them take tens of MB outside the heap, once
-    on the way to Python and once on the way back, for each task.
+    Rows hold whole texts; the usual 10 000 of them, of any size, take tens of MB outside
+    the heap for each task, once on the way to Python and once on the way back. Spark has
+    these bounds as settings of a session only; smaller ones that a user has set stay.
     """
-    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(conf, "10000")) > 1000:
-        df.sparkSession.conf.set(conf, "1000")
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{name}", None)
+        size = re.fullmatch(r"(-?\d+)b?", str(now).lower())
+        if size is None or not 0 < int(size[1]) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return df
 
 

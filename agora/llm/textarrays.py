@@ -1,7 +1,8 @@
-"""Whole texts as numpy arrays: words, hashes of words and spans, per Arrow batch.
+"""Whole texts as numpy arrays: words, exact numbers of spans and their hashes, per Arrow batch.
 
 A batch is cut into chunks of whole texts; a text longer than the chunk size is a
-chunk of its own, so memory follows the longest text, not the partition.
+chunk of its own, so memory follows the longest text, not the partition. Spans are
+told apart by their bytes: Arrow's dictionary numbers the distinct ones of a chunk.
 """
 
 from __future__ import annotations
@@ -9,28 +10,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-
-_random = np.random.default_rng(20240229)
-#: A random 64-bit number for each byte, and the odd base of the rolling hash.
-BYTE_CODE = _random.integers(0, 2**64, 256, dtype=np.uint64)
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+import xxhash
 
 #: `[^\x20\x09-\x0D]+` is a word.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i up to n, kept between calls."""
-    if len(_powers[0]) <= n:
-        for k, base in enumerate((BASE, BASE_INVERSE)):
-            out = np.full(max(n + 1, 1 << 20), base, np.uint64)
-            out[0] = 1
-            _powers[k] = np.multiply.accumulate(out)
-    return _powers[0], _powers[1]
+#: A-Z lower-cased, all other bytes as they are.
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] += 32
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,9 +42,6 @@ class Chunk:
     def text(self) -> bytes:
         return self.data.tobytes()
 
-    def rolling(self, codes: np.ndarray) -> "Rolling":
-        return Rolling(codes)
-
     def edges(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the runs of `inside`, cut at the ends of texts."""
         n = len(inside)
@@ -74,19 +61,7 @@ class Chunk:
         return starts, ends, np.searchsorted(starts, self.offsets)
 
 
-class Rolling:
-    """Hashes of any spans of an array of 64-bit codes, in constant time each."""
-
-    def __init__(self, codes: np.ndarray):
-        up, self.down = powers(len(codes))
-        self.sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * up[: len(codes)], out=self.sums[1:])
-
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
-
-
-def chunks(column: pa.Array, size: int = 1 << 20, rows: int = 1 << 16) -> Iterator[Chunk]:
+def chunks(column: pa.Array, size: int = CHUNK, rows: int = 1 << 16) -> Iterator[Chunk]:
     """The texts of a string column in order, at most `rows` in a chunk; null is an empty text."""
     column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_string())
     if column.null_count:
@@ -105,17 +80,70 @@ def chunks(column: pa.Array, size: int = 1 << 20, rows: int = 1 << 16) -> Iterat
         i = j
 
 
-def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of `width` words in a row within each text, and each text's first shingle (n + 1).
+def distinct(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Of spans that lie one after another in data: a number for each, and the distinct ones by number.
 
-    A text of fewer words, but at least one, has its whole sequence as its only shingle.
+    Two spans have the same number if and only if their bytes are the same.
     """
-    count = np.diff(first)
-    short = (count > 0) & (count < width)
-    made = np.where(short, 1, np.maximum(count - width + 1, 0))
-    at = np.zeros(len(made) + 1, np.int64)
-    np.cumsum(made, out=at[1:])
-    roll = Rolling(words)
-    starts = np.arange(at[-1]) + np.repeat(first[:-1] - at[:-1], made)
-    ends = starts + np.repeat(np.where(short, count, width), made)
-    return roll.spans(starts, ends), at
+    offsets = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    data = np.ascontiguousarray(data)
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    return spans.indices.to_numpy().astype(np.int64), spans.dictionary
+
+
+def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """distinct() of the words of a chunk, whose bytes are all that is no white space."""
+    return distinct(data[~IS_SPACE[data]], ends - starts)
+
+
+def hashes_of(spans: pa.Array) -> np.ndarray:
+    """128 bits for each span: two rows of 64-bit numbers."""
+    raw = b"".join(map(xxhash.xxh3_128_digest, spans.to_pylist()))
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint64).reshape(-1, 2).T)
+
+
+class Windows:
+    """All runs of `width` words within each text; `at` (n + 1) is each text's first.
+
+    A text of fewer words, but at least one, has its whole sequence as its only window.
+    """
+
+    def __init__(self, words: np.ndarray, kinds: int, first: np.ndarray, width: int):
+        count = np.diff(first)
+        short = (count > 0) & (count < width)
+        made = np.where(short, 1, np.maximum(count - width + 1, 0))
+        self.at = np.zeros(len(made) + 1, np.int64)
+        np.cumsum(made, out=self.at[1:])
+        self.kinds, self.width = kinds, width
+        self.starts = starts = np.arange(self.at[-1]) + np.repeat(first[:-1] - self.at[:-1], made)
+        size = np.repeat(np.where(short, count, width), made)
+        padded = np.append(words, kinds)
+        # The number `kinds` stands for no word, so a short text equals no other window.
+        self.words = [padded[np.where(j < size, starts + j, len(words))] for j in range(width)]
+
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+
+    def numbers(self) -> np.ndarray:
+        """The same number for the same words in the same order, and for these alone."""
+        out = self.words[0]
+        for words in self.words[1:]:
+            # Both factors are below 2**31, as a chunk has fewer words than that.
+            out = pd.factorize(out * (self.kinds + 1) + words)[0].astype(np.int64)
+        return out
+
+    def hashes(self, of_words: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each window from those of its words."""
+        of_words = np.append(of_words, np.uint64(0x2545F4914F6CDD1D))
+        out = of_words[self.words[0]]
+        for words in self.words[1:]:
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) ^ of_words[words]
+        return mix(out)
+
+
+def first_of_each(owner: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Which entries are the first of their number with their owner."""
+    if not len(numbers):
+        return np.zeros(0, bool)
+    return ~pd.Index(owner * (numbers.max() + 1) + numbers).duplicated()

@@ -20,26 +20,41 @@ SEQUENCE = 2048
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is near enough to a language that the labelled ones teach.
 
-    Documents without a letter go, and those that the nearest centroid rejects.
+    Documents without a letter go (null and empty texts among them), and those that the
+    nearest centroid rejects; where no row has a language, all go. Ties in likeness go to
+    the first language by name. Repeated rows are judged alike and all stay or go; an
+    empty table gives an empty table.
     """
     model = langid.fit(docs)
     return langid.accepted(docs, model)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble, taught by the labels, predicts to be good."""
+    """Documents that the rule ensemble, taught by the labels, scores 0.5 or more.
+
+    Null and empty texts are scored by statistics that are all 0. Null labels and labels
+    of unknown documents teach nothing; without labels every document has 0.5 and stays.
+    Repeated rows are judged alike; an empty table gives an empty table.
+    """
     model = quality_model.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_model.good(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates (five words, 0.8)."""
-    kept = neardup.near_duplicates(docs, neardup.Params()).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near duplicates (five words, 0.8): that of the smallest id.
+
+    Rows without an id come last; of rows of one id and one group, one stays. Null texts
+    and texts without words are near nothing and stay. An empty table gives an empty table.
+    """
+    return neardup.deduplicated(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents left, packed into sequences of SEQUENCE tokens."""
+    """Pieces of the documents left, packed into sequences of SEQUENCE tokens.
+
+    Null and empty texts are a piece of the end token alone; rows without an id and
+    repeated rows are packed like others; an empty table gives an empty table.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), SEQUENCE)
 
 
@@ -52,6 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name, fewer=False)
+        docs = save(stage(spark, docs, sf_dir), name)
     name, stage = STAGES[-1]
     return stage(spark, docs, sf_dir)

@@ -1,4 +1,10 @@
-"""Main text of web pages: known furniture goes first, then what a host's style tree shows as noise."""
+"""Main text of web pages: what is no text by its element goes, and what style trees show as noise.
+
+The pages of a host are merged into a style tree. Its nodes are elements by their path of
+tags and names; a node's importance comes from the entropy of what it shows over the
+pages. Names that claim to be adverts or notices are merged over all hosts into a tree of
+their own, as most hosts have too few pages to judge them.
+"""
 
 from __future__ import annotations
 
@@ -23,97 +29,130 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes plainte
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th", "thead", "tbody"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}}
 
-# Elements, roles and words of class or id that mark furniture.
+# Elements, roles and names of class or id of what an article is without by definition.
 FURNITURE = frozenset("head nav footer aside form script style noscript template iframe svg math button select textarea input dialog object embed applet canvas audio video menu title map datalist fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form status".split())
-WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar sidenav footer notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup comment comments commentlist disqus replies respond share sharing social related recommended recirculation form login search pagination pager toolbar widget masthead".split()
-)
+PARTS = frozenset("menu nav navbar navigation breadcrumb breadcrumbs sidebar sidenav footer comment comments commentlist disqus replies respond form login search pagination pager toolbar masthead".split())
+#: Names that adverts and notices bear; a style tree over all hosts says whether they are what they claim.
+CLAIMS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recirculation widget".split())
+#: Words that say where something stands, not what it is.
+LAYOUT = frozenset("slot box container wrapper wrap area section list bar block top bottom left right unit inner outer item link links panel holder group row col column primary secondary header heading title".split())
+#: Elements whose names are about their own text.
+UNNAMED = frozenset("h1 h2 h3 h4 h5 h6 article main body html".split())
+DEEPEST = 48  # levels of a page that have style nodes
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _furniture(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
-    """Whether an element is furniture, and its signature in the style tree."""
+@dataclass
+class Element:
+    """What an open tag says: furniture by itself, a claim (one of CLAIMS) or none, its signature in the style tree."""
+
+    furniture: bool
+    claim: str
+    signature: str
+
+
+def element(tag: str, attributes: str, in_article: bool) -> Element:
+    """Class and id name an element only where all of their words do, so `form factor` is no form."""
     words: set[str] = set()
-    role = ""
-    if attributes:
-        for name, a, b, c in _NAMED.findall(attributes):
-            name = name.lower()
-            if name in ("class", "id"):
-                words.update(w for w in _SPLIT.split((a or b or c).lower()) if w)
-            elif name == "role":
-                role = (a or b or c).lower().strip()
-    bad = tag in FURNITURE or (tag == "header" and not in_article) or role in ROLES or bool(words & WORDS) or bool(attributes and _HIDDEN.search(attributes))
+    furniture = tag in FURNITURE or (tag == "header" and not in_article)
+    for name, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
+        name, value = name.lower(), a or b or c
+        if name in ("class", "id"):
+            words.update(w for w in _SPLIT.split(value.lower()) if w and not w.isdigit())
+        elif name == "role":
+            furniture |= value.lower().strip() in ROLES
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _UNSHOWN.search(value):
+            furniture = True
+    claim = ""
+    if words and tag not in UNNAMED and words <= PARTS | CLAIMS | LAYOUT:
+        furniture |= bool(words & PARTS)
+        claim = min(words & CLAIMS, default="")
     kept = sorted(w for w in words if not any(ch.isdigit() for ch in w))
-    return bad, f"{tag}.{'.'.join(kept)}"
+    return Element(furniture, claim, f"{tag}.{'.'.join(kept)}")
 
 
 @dataclass
 class Block:
     text: str
     chain: tuple[int, ...]  # style nodes from the root to the block
-    article: bool
+    article: bool  # inside article or main
+    furniture: bool
+    claims: tuple[str, ...]
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks of text outside furniture, in page order, with their style nodes."""
+    """All blocks of text of a page in page order, furniture too; scripts and the like have none."""
     out: list[Block] = []
-    # Open elements: tag, furniture, style node, article (0 none, 1 article or main inside).
-    stack: list[tuple[str, bool, int, bool]] = []
-    bad_depth, parts, at, n = 0, [], 0, len(page)
+    # Open elements: tag, element, style node.
+    stack: list[tuple[str, Element, int]] = []
+    open_tags: Counter[str] = Counter()
+    chain: list[int] = []  # style nodes of the open block elements, the first DEEPEST
+    parts: list[tuple[bool, tuple[str, ...], str]] = []
+    claims: list[str] = []
+    furniture = articles = blocks_open = at = 0
+    n = len(page)
+
+    def say(text: str) -> None:
+        # A reference ends with its piece of text: tags do not join its parts.
+        parts.append((furniture > 0, tuple(claims), html.unescape(text) if "&" in text else text))
 
     def flush() -> None:
-        if parts:
-            text = "".join(parts)
-            parts.clear()
-            if "&" in text:
-                text = html.unescape(text)
-            text = _SPACE.sub(" ", text).strip()
+        # What an inline element hides or claims is a block of its own; the text around it stays one.
+        while parts:
+            hidden, claimed, _ = parts[0]
+            text = _SPACE.sub(" ", "".join(p[2] for p in parts if p[:2] == (hidden, claimed))).strip()
+            parts[:] = [p for p in parts if p[:2] != (hidden, claimed)]
             if text:
-                chain = tuple(s[2] for s in stack if s[0] not in INLINE)
-                out.append(Block(text, chain, any(s[3] for s in stack)))
+                out.append(Block(text, tuple(chain), articles > 0, hidden, claimed))
 
     def pop_to(k: int) -> None:
-        nonlocal bad_depth
+        nonlocal furniture, articles, blocks_open
         while len(stack) > k:
-            if stack.pop()[1]:
-                bad_depth -= 1
+            tag, what, _ = stack.pop()
+            open_tags[tag] -= 1
+            furniture -= what.furniture
+            articles -= tag in ("article", "main")
+            if what.claim:
+                claims.pop()
+            if tag not in INLINE:
+                blocks_open -= 1
+                if blocks_open < DEEPEST:
+                    chain.pop()
 
     while at < n:
         m = _TAG.search(page, at)
         if m is None:
-            if not bad_depth:
-                parts.append(page[at:])
+            say(page[at:])
             break
-        if m.start() > at and not bad_depth:
-            parts.append(page[at : m.start()])
+        if m.start() > at:
+            say(page[at : m.start()])
         at = m.end()
         tag = m[2]
         if tag is None:  # a comment or a declaration
             continue
         tag = tag.lower()
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if tag not in INLINE and not bad_depth:
+            if not open_tags[tag]:
+                if tag not in INLINE:
+                    flush()
+                continue
+            k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
+            if tag not in INLINE:
                 flush()
-            if k >= 0:
-                pop_to(k)
+            pop_to(k)
             continue
-        if tag == "br" or tag == "hr":
-            if not bad_depth:
-                if tag == "hr":
-                    flush()
-                else:
-                    parts.append(" ")
+        if tag == "br":
+            say(" ")
             continue
         block = tag not in INLINE and tag not in VOID
+        if block or tag == "hr":
+            flush()
         if block:
-            if not bad_depth:
-                flush()
             # A new block ends an open paragraph, and entries end entries before them.
             for i in range(len(stack) - 1, -1, -1):
                 name = stack[i][0]
@@ -135,34 +174,50 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in INLINE and tag not in ("p", "div", "article", "section", "main", "body"):
             continue
-        in_article = any(s[3] for s in stack)
-        bad, signature = _furniture(tag, m[3], in_article)
-        node = xxhash.xxh64_intdigest(signature, stack[-1][2] if stack else 0) if block else (stack[-1][2] if stack else 0)
-        stack.append((tag, bad, node, tag in ("article", "main")))
-        bad_depth += bad
-    if not bad_depth:
-        flush()
+        what = element(tag, m[3], articles > 0)
+        above = stack[-1][2] if stack else 0
+        node = xxhash.xxh64_intdigest(what.signature, above) if block else above
+        stack.append((tag, what, node))
+        open_tags[tag] += 1
+        furniture += what.furniture
+        articles += tag in ("article", "main")
+        if what.claim:
+            claims.append(what.claim)
+        if block:
+            if blocks_open < DEEPEST:
+                chain.append(node)
+            blocks_open += 1
+    flush()
     return out
 
 
-def main_blocks(page: str) -> list[Block]:
-    """Those inside article or main where the page has such, else all."""
-    found = blocks(page)
-    inside = [b for b in found if b.article]
-    return inside or found
+def main_blocks(found: list[Block], noise: set[int] = frozenset(), acquitted: frozenset[str] = frozenset()) -> list[Block]:
+    """Blocks that are no furniture, claim only what is acquitted and have no noise above them.
+
+    Of a page with article or main, those inside. Where the style tree would leave
+    nothing, it is not applied.
+    """
+    found = [b for b in found if not b.furniture and acquitted.issuperset(b.claims)]
+    kept = [b for b in found if noise.isdisjoint(b.chain)] or found
+    return [b for b in kept if b.article] or [b for b in found if b.article] or kept
 
 
 @dataclass(frozen=True)
 class Params:
     """A style node of at least `pages` pages with an importance below `least` is noise.
 
-    `broadcast` bounds the noise nodes that are broadcast; beyond it pages and nodes are
-    shuffled by host and a salt.
+    A claim is acquitted where `claim_pages` pages over all hosts show it with an importance
+    of `sure` or more: what hardly ever repeats is no advert and no notice. With `tree` off
+    nothing is noise and every claim is acquitted. `broadcast` bounds the noise nodes that
+    are broadcast; beyond it pages and nodes are shuffled by host and a salt.
     """
 
     pages: int = 8
     least: float = 0.3
+    claim_pages: int = 200
+    sure: float = 0.95
     decay: float = 0.9
+    tree: bool = True
     broadcast: int = 20_000
     salts: int = 64
 
@@ -171,36 +226,43 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _claim_node(name: str) -> int:
+    return xxhash.xxh64_intdigest(name, 1)
+
+
 def style_nodes(pages: DataFrame) -> DataFrame:
     """(host, node, kind, feature, n): on how many pages a node has a content or a presentation.
 
-    Kind 0 counts pages with the node, 1 each text below it, 2 each sequence of blocks below it.
+    Kind 0 counts pages with the node, 1 each text below it, 2 each sequence of blocks
+    below it. The tree of the claims of all pages has no host.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total: Counter[tuple[str, int, int, int]] = Counter()
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                below: dict[int, list[tuple[int, int]]] = {}
-                for block in main_blocks(page or ""):
-                    content = xxhash.xxh64_intdigest(block.text)
-                    for node in dict.fromkeys(block.chain):
-                        below.setdefault(node, []).append((content, block.chain[-1]))
-                for node, found in below.items():
-                    total[host, node, 0, 0] += 1
+                below: dict[tuple[str, int], list[tuple[int, int]]] = {}
+                for block in blocks(page or ""):
+                    shown = xxhash.xxh64_intdigest(block.text), block.chain[-1] if block.chain else 0
+                    for node in dict.fromkeys(block.chain) if host else ():
+                        below.setdefault((host, node), []).append(shown)
+                    for name in dict.fromkeys(block.claims):
+                        below.setdefault(("", _claim_node(name)), []).append(shown)
+                for (tree, node), found in below.items():
+                    total[tree, node, 0, 0] += 1
                     for content in {c for c, _ in found}:
-                        total[host, node, 1, content] += 1
-                    total[host, node, 2, xxhash.xxh64_intdigest(repr(list(dict.fromkeys(k for _, k in found))))] += 1
+                        total[tree, node, 1, content] += 1
+                    total[tree, node, 2, xxhash.xxh64_intdigest(repr(list(dict.fromkeys(k for _, k in found))))] += 1
             keys = list(total)
             columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([_signed(k[1]) for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int32()), pa.array([_signed(k[3]) for k in keys], pa.int64()), pa.array(list(total.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["host", "node", "kind", "feature", "n"])
 
-    rows = pages.where("host <> ''").select("host", "html").mapInArrow(run, "host string, node long, kind int, feature long, n long")
+    rows = pages.select("host", "html").mapInArrow(run, "host string, node long, kind int, feature long, n long")
     return rows.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"))
 
 
-def noise(nodes: DataFrame, params: Params = Params()) -> DataFrame:
-    """(host, node) of low composite importance.
+def importance(nodes: DataFrame, params: Params = Params()) -> DataFrame:
+    """(host, node, m, importance) of the nodes of at least params.pages pages.
 
     With m pages, a text on k of them has entropy log k / log m, and content importance is
     1 less the mean entropy of the node's texts. Presentation importance is the entropy of
@@ -221,40 +283,55 @@ def noise(nodes: DataFrame, params: Params = Params()) -> DataFrame:
     content_importance = 1 - F.col("content") / log_m
     shown_importance = (F.log(F.col("pages").cast("double")) - F.col("shown") / F.col("pages")) / log_m
     weight = F.pow(F.lit(params.decay), F.col("kinds").cast("double"))
-    return node.where((1 - weight) * shown_importance + weight * content_importance < params.least).select("host", "node")
+    # A claim's element stands alone in its tree, so that only its content tells.
+    weight = F.when(F.col("host") == "", 1.0).otherwise(weight)
+    return node.select("host", "node", "m", ((1 - weight) * shown_importance + weight * content_importance).alias("importance"))
 
 
 def extract(pages: DataFrame, params: Params = Params(), key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """key, url, text and n_chars of every row: the page's main text.
 
     Blocks are trimmed, white space inside is one blank, character references are decoded,
-    and blocks are joined by an empty line. Where the style tree would leave nothing of a
-    page, it is not applied to that page. Null and empty pages have an empty text; pages
-    without a host have no style tree; repeated rows stay, equal pages of a host get equal
-    texts; an empty table gives an empty table; other columns are ignored.
+    and blocks are joined by an empty line. The style trees are built over whole pages and
+    name noise first; then the article is taken, less what is furniture by definition.
+    Where the style tree would leave nothing of a page, it is not applied to it. Null and
+    empty pages have an empty text; pages without a host have no style tree of their own;
+    repeated rows stay, equal pages of a host get equal texts; an empty table gives an
+    empty table; other columns are ignored.
     """
     host, _ = host_and_path(F.col(url))
     rows = whole_texts(pages).select(F.col(key).alias("k"), F.col(url).alias("u"), host.alias("host"), F.col(source).alias("html"))
-    found = save(noise(style_nodes(rows), params), "noise")
-    lists = found.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("noise"))
-    if found.count() <= params.broadcast:
-        rows = rows.join(F.broadcast(lists), "host", "left")
+    acquitted = frozenset(CLAIMS)
+    if params.tree:
+        judged = importance(style_nodes(rows), params)
+        odd = (F.col("host") != "") & (F.col("importance") < params.least)
+        sure = (F.col("host") == "") & (F.col("importance") >= params.sure) & (F.col("m") >= params.claim_pages)
+        found = save(judged.where(odd | sure).select("host", "node"), "noise")
+        # At most as many as there are CLAIMS.
+        named = {r["node"] for r in found.where("host = ''").collect()}
+        acquitted = frozenset(c for c in CLAIMS if _signed(_claim_node(c)) in named)
+        rows = _with_noise(rows, found.where("host <> ''"), params)
     else:
-        salts = min(params.salts, shuffle_partitions(pages.sparkSession))
-        lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("u", "k"), F.lit(salts)).cast("int")).join(lists, ["host", "salt"], "left")
+        rows = rows.withColumn("noise", F.lit(None).cast("array<long>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for page, bad in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                found = main_blocks(page or "")
-                if bad:
-                    low = {x % (1 << 64) for x in bad}
-                    found = [b for b in found if low.isdisjoint(b.chain)] or found
-                texts.append("\n\n".join(b.text for b in found))
+                noise = {x % (1 << 64) for x in bad or ()}
+                texts.append("\n\n".join(b.text for b in main_blocks(blocks(page or ""), noise, acquitted)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["k", "u", "text"])
 
     kinds = dict(rows.dtypes)
     out = rows.select("k", "u", "html", "noise").mapInArrow(run, f"k {kinds['k']}, u string, text string")
     return out.select(F.col("k").alias(key), F.col("u").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def _with_noise(rows: DataFrame, found: DataFrame, params: Params) -> DataFrame:
+    """rows with the list of noise nodes of their host."""
+    lists = found.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("noise"))
+    if found.count() <= params.broadcast:
+        return rows.join(F.broadcast(lists), "host", "left")
+    salts = min(params.salts, shuffle_partitions(rows.sparkSession))
+    lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("u", "k"), F.lit(salts)).cast("int")).join(lists, ["host", "salt"], "left")

@@ -1,3 +1,8 @@
+import collections
+import math
+
+from pyspark.sql import functions as F
+
 from agora.llm import pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -6,8 +11,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <ul><li>a<li>b</ul><p hidden>gone</p><div class="comments"><p>First!</p></div></article><footer>&copy; me</footer>"""
 
 
-def text(page):
-    return "\n\n".join(b.text for b in pages.main_blocks(page))
+def text(page, **how):
+    return "\n\n".join(b.text for b in pages.main_blocks(pages.blocks(page), **how))
 
 
 def test_one_page():
@@ -16,6 +21,73 @@ def test_one_page():
     assert text("<p>a<div>b</div>c") == "a\n\nb\n\nc"
     assert text("<main>in</main><p>out</p>") == "in"
     assert text("<p>1 < 2 and <b>bold") == "1 < 2 and bold"
+    assert text("<p>a <span class='ad'>buy</span> b<button>c</button>d") == "a b\n\nd"
+
+
+def test_names_drop_only_what_they_name():
+    for kept in ('<p title="a hidden gem">Keep</p>', '<h2 id="search">Keep</h2>', '<h2 class="share price">Keep</h2>', '<section class="related work">Keep</section>', '<div class="form factor">Keep</div>', '<p data-x="display:none">Keep</p>', "<p aria-hidden=false>Keep</p>"):
+        assert text(f"<article>{kept}</article>") == "Keep", kept
+    for gone in ("<p hidden>x</p>", '<p hidden="">x</p>', '<div style="color:red; DISPLAY : none">x</div>', '<div class="form">x</div>', '<div id="comments-list">x</div>', '<div class="ad ad-7">x</div>', '<div class="cookie-notice bottom">x</div>', "<div role=navigation>x</div>"):
+        assert text(f"<article><p>Keep</p>{gone}</article>") == "Keep", gone
+    assert text("<p>&am<b>p;</b> &amp;amp;</p>") == "&amp; &amp;"
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert text("<div>" * 20000 + "x" + "</div>" * 20000 + "</nav>" * 20000) == "x"
+    assert time.perf_counter() - began < 5
+
+
+def plain_importance(rows, params):
+    """Importance of every style node by plain counting."""
+    seen = {}
+    for url, page in rows:
+        host = url.split("://")[1].split("/")[0]
+        below = {}
+        for b in pages.blocks(page):
+            keys = [(host, n) for n in dict.fromkeys(b.chain)] + [("", pages._claim_node(c)) for c in dict.fromkeys(b.claims)]
+            for k in keys:
+                below.setdefault(k, []).append((b.text, b.chain[-1]))
+        for k, found in below.items():
+            seen.setdefault(k, []).append(({t for t, _ in found}, tuple(dict.fromkeys(n for _, n in found))))
+    out = {}
+    for (host, node), shown in seen.items():
+        m = len(shown)
+        if m < params.pages:
+            continue
+        texts = collections.Counter(t for s, _ in shown for t in s)
+        content = 1 - sum(math.log(k) for k in texts.values()) / len(texts) / math.log(m)
+        styles = collections.Counter(s for _, s in shown)
+        style = -sum(k / m * math.log(k / m) for k in styles.values()) / math.log(m)
+        weight = params.decay ** len(styles) if host else 1.0
+        out[host, pages._signed(node)] = (m, (1 - weight) * style + weight * content)
+    return out
+
+
+def test_importance_matches_a_plain_count(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    params = pages.Params()
+    want = plain_importance([(r.url, r.html) for r in table.collect()], params)
+    host, _ = pages.host_and_path(F.col("url"))
+    got = {(r.host, r.node): (r.m, r.importance) for r in pages.importance(pages.style_nodes(table.select(host.alias("host"), "html")), params).collect()}
+    assert got.keys() == want.keys() and len(got) > 50
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in got)
+
+
+def test_the_tree_decides_on_adverts(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    on = {r.page_id: r.text for r in pages.extract(table).collect()}
+    off = {r.page_id: r.text for r in pages.extract(table.withColumn("html", F.expr("replace(replace(html, '<article>', '<div>'), '</article>', '</div>')")), pages.Params(tree=False)).collect()}
+    assert all(off[k] != on[k] and off[k].endswith(on[k]) for k in on)  # without a tree every advert stays
+    # What claims to be an advert and never repeats is none.
+    rows = [(i, f"http://h{i % 9}.com/{i}", f"<div class='ad'>Only here {i}</div><p>text {i}</p>") for i in range(240)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.text for r in pages.extract(frame).collect()} == {f"Only here {i}\n\ntext {i}" for i in range(240)}
+    again = frame.withColumn("html", F.regexp_replace("html", r"here \d+", "now"))
+    assert {r.text for r in pages.extract(again).collect()} == {f"text {i}" for i in range(240)}
+    assert {r.text for r in pages.extract(frame.where("page_id < 100")).collect()} == {f"text {i}" for i in range(100)}
 
 
 def test_documents_come_back_from_their_pages(spark):

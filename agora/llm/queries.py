@@ -42,9 +42,9 @@ URL_RULES = [
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    # The tables hold no labelled URLs; words of the host name label them for the fit.
-    labelled = table.select("url", urls.label_by_words(urls.host_and_path(F.col("url"))[0]).alias("label"))
-    return urls.judge(table, urls.fit(labelled), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = urls.fit(urls.labelled_by_documents(table, labels))
+    return urls.judge(table, model, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

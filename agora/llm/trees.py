@@ -41,6 +41,10 @@ class Boosted:
                 out += value * path.holds(x)
         return out
 
+    def kept(self, n: int) -> Boosted:
+        """The first n trees."""
+        return Boosted(self.base, self.trees[:n])
+
     def column(self, columns: list[Column]) -> Column:
         """The log odds as an expression: each tree is nested CASEs over its leaves."""
         out = F.lit(self.base)

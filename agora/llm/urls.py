@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -12,9 +12,6 @@ from agora.llm.trees import Boosted, boost
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Words of host names that mark a URL as unwanted where no labels are given.
-UNWANTED = ("ad", "ads", "adult", "bet", "bets", "casino", "cheap", "click", "farm", "free", "loan", "loans", "pills", "poker", "porn", "promo", "spam", "track", "tracker", "viagra", "win", "xxx")
-
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "url_digits", "host_digits", "host_hyphens", "host_entropy", "parameters", "fragment", "longest_label", "vowels", "suffix_rate")
 
 
@@ -36,12 +33,17 @@ class Rule:
 
 @dataclass(frozen=True)
 class Params:
-    """`rows` bounds the labelled sample; suffixes with fewer than `support` rows have the mean rate."""
+    """`rows` bounds the labelled sample; suffixes with fewer than `support` rows have the mean rate.
+
+    A share `held` of the sample takes no part in the trees and says how many of them to
+    keep: where labels do not follow the URL that is none, and all URLs have the mean.
+    """
 
     rows: int = 6000
     rounds: int = 20
     depth: int = 3
     support: int = 20
+    held: float = 0.25
     seed: int = 31
 
 
@@ -92,9 +94,16 @@ def features(url: Column, host: Column, path: Column) -> list[Column]:
     return [c.cast("double") for c in columns]
 
 
-def label_by_words(host: Column) -> Column:
-    """1 where a part of the host is one of UNWANTED, else 0: labels for a table that has none."""
-    return F.when(F.arrays_overlap(F.split(host, r"[.\-_]"), F.array(*map(F.lit, UNWANTED))), 1).otherwise(0)
+def labelled_by_documents(urls: DataFrame, labels: DataFrame, url: str = "url") -> DataFrame:
+    """(url, label) of the URLs whose path holds the number of a labelled document.
+
+    label is 1 where the document is of no quality or toxic. A URL whose document has
+    several labels counts as unwanted if one says so; null marks say nothing.
+    """
+    number = F.try_to_number(F.regexp_extract(F.col("url"), r"://[^/?#]*/(?:[^/?#]*/)*([0-9]{1,18})(?:\.[a-z]+)?/?(?:[?#]|$)", 1), F.lit("9" * 18)).cast("long")
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    marked = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("number")).agg(F.max(F.coalesce(bad, F.lit(False)).cast("int")).alias("label"))
+    return urls.select(F.col(url).alias("url")).withColumn("number", number).where("number is not null").join(marked, "number").select("url", "label")
 
 
 @dataclass
@@ -102,6 +111,7 @@ class Model:
     trees: Boosted
     rates: dict[str, float]
     mean: float
+    held_out: dict[str, float] = field(default_factory=dict)  # accuracy, that of the mean alone, and rows
 
     def probability(self, url: Column, host: Column, path: Column) -> Column:
         """That a URL is unwanted: the trees as CASE expressions."""
@@ -115,10 +125,13 @@ class Model:
 def fit(labelled: DataFrame, params: Params = Params(), url: str = "url", label: str = "label") -> Model:
     """Boosted trees on at most about params.rows labelled URLs, those of smallest hash; the driver gets these alone.
 
-    Suffix statistics are the share of label 1 among the sample's URLs of a suffix, with
-    the mean for one more row, so that a suffix of one kind does not give the label away.
+    A URL counts once, however often it is repeated, with the largest of its labels; null
+    URLs and labels teach nothing. Suffix statistics are the share of label 1 among the
+    sample's URLs of a suffix, with the mean for one more row, so that a suffix of one kind
+    does not give the label away.
     """
     rows = labelled.select(F.col(url).alias("u"), F.col(label).cast("double").alias("y")).where("u is not null and y is not null")
+    rows = rows.groupBy("u").agg(F.max("y").alias("y"))
     n = rows.count()
     share = min(1.0, params.rows / max(n, 1))
     rows = rows.where(F.pmod(F.xxhash64("u", F.lit(params.seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
@@ -126,15 +139,33 @@ def fit(labelled: DataFrame, params: Params = Params(), url: str = "url", label:
     rows = rows.withColumn("h", host).withColumn("p", path)
     got = rows.select("y", suffix(F.col("h")).alias("s"), *features(F.col("u"), F.col("h"), F.col("p"))).collect()
     got.sort(key=tuple)
+    if not got:
+        return Model(Boosted(-6.0), {}, 0.0)
     y = np.array([r[0] for r in got])
-    mean = float(y.mean()) if len(y) else 0.0
+    held = np.random.default_rng(params.seed).random(len(y)) < params.held
+    taught = [r for r, h in zip(got, held, strict=True) if not h] or got
+    mean = float(np.mean([r[0] for r in taught]))
     sums: dict[str, list[float]] = {}
-    for r in got:
+    for r in taught:
         sums.setdefault(r[1], []).append(r[0])
     often = sorted(sums, key=lambda s: (-len(sums[s]), s))[:50]
     rates = {s: (sum(sums[s]) + mean) / (len(sums[s]) + 1) for s in often if len(sums[s]) >= params.support}
-    x = np.array([[*r[2:], rates.get(r[1], mean)] for r in got]).reshape(len(got), len(FEATURES))
-    return Model(boost(x, y, params.rounds, params.depth) if len(y) else Boosted(-6.0), rates, mean)
+    x = np.array([[*r[2:], rates.get(r[1], mean)] for r in got])
+    train = ~held if (~held).any() else np.ones(len(y), bool)
+    trees = boost(x[train], y[train], params.rounds, params.depth)
+    said = {"rows": float(held.sum())}
+    if held.any():
+        trees = trees.kept(_best(trees, x[held], y[held]))
+        said["accuracy"] = float(((trees.raw(x[held]) >= 0) == (y[held] > 0)).mean())
+        said["of_mean"] = float(((mean >= 0.5) == (y[held] > 0)).mean())
+    return Model(trees, rates, mean, said)
+
+
+def _best(trees: Boosted, x: np.ndarray, y: np.ndarray) -> int:
+    """How many of the trees have the least log loss on rows they have not seen."""
+    raws = [trees.kept(k).raw(x) for k in range(len(trees.trees) + 1)]
+    losses = [np.logaddexp(0, np.where(y > 0, -raw, raw)).mean() for raw in raws]
+    return int(np.argmin(losses))
 
 
 def judge(urls: DataFrame, model: Model, rules: list[Rule], key: str = "page_id", url: str = "url") -> DataFrame:

@@ -42,13 +42,53 @@ def test_features(spark):
         assert abs(f["host_entropy"] - -sum(p * math.log2(p) for p in counts)) < 1e-9
 
 
-def test_trees_learn_labels_and_columns_agree(spark):
+def labelled(n):
     rnd = np.random.default_rng(4)
-    rows = [(f"http://{'x-y' if k else 'xy'}{rnd.integers(1000)}.com/{rnd.integers(99)}", int(k)) for k in rnd.integers(0, 2, 600)]
-    frame = spark.createDataFrame(rows, "url string, label int")
+    return [(f"http://{'x-y' if k else 'xy'}{rnd.integers(1000)}.com/{rnd.integers(99)}", int(k)) for k in rnd.integers(0, 2, n)]
+
+
+def test_trees_learn_labels_and_columns_agree(spark):
+    frame = spark.createDataFrame(labelled(600), "url string, label int")
     model = urls.fit(frame.where("hash(url) % 3 <> 0"))
-    got = urls.judge(frame.where("hash(url) % 3 = 0").withColumn("page_id", F.col("label").cast("long")), model, []).collect()
+    assert model.trees.trees and model.held_out["accuracy"] > 0.95
+    rest = frame.where("hash(url) % 3 = 0").withColumn("page_id", F.col("label").cast("long"))
+    got = urls.judge(rest, model, []).collect()
     assert sum((r.verdict == "block") == (r.page_id == 1) for r in got) >= 0.97 * len(got)
+    # The CASE columns give what the trees give.
+    host, path = urls.host_and_path(F.col("url"))
+    x = rest.select("url", urls.suffix(host).alias("s"), F.array(*urls.features(F.col("url"), host, path)).alias("f")).collect()
+    raw = model.trees.raw(np.array([[*r.f, model.rates.get(r.s, model.mean)] for r in x]))
+    want = {r.url: 1 / (1 + math.exp(-v)) for r, v in zip(x, raw)}
+    shown = urls.judge(rest.withColumn("page_id", F.col("url")), model, []).select("page_id", "probability").collect()
+    assert all(abs(r.probability - want[r.page_id]) < 1e-9 for r in shown)
+
+
+def test_labels_that_do_not_follow_the_url_teach_nothing(spark):
+    rnd = np.random.default_rng(1)
+    frame = spark.createDataFrame([(u, int(rnd.random() < 0.25)) for u, _ in labelled(3000)], "url string, label int")
+    model = urls.fit(frame)
+    assert len(model.trees.trees) <= 2
+    assert {r.verdict for r in urls.judge(frame.withColumn("page_id", F.lit(1)), model, []).collect()} == {"allow"}
+
+
+def test_sample_is_bounded_under_one_repeated_url(spark):
+    frame = spark.createDataFrame(labelled(400), "url string, label int")
+    hot = frame.limit(1).crossJoin(spark.range(50_000)).select("url", "label")
+    seen = []
+    real, urls.boost = urls.boost, lambda x, y, *a: seen.append(len(y)) or real(x, y, *a)
+    try:
+        urls.fit(frame.unionByName(hot), urls.Params(rows=200))
+    finally:
+        urls.boost = real
+    assert 0 < seen[0] <= 260
+
+
+def test_urls_take_the_labels_of_their_documents(spark):
+    cases = {"http://h/en/7?x=9": 1, "http://h/en/7/": 1, "http://h/8.html": 0, "http://h/8": 0, "http://h/en/9#top": 1, "http://h/no": None, "http://7": None, None: None, "http://h/77": None}
+    marks = spark.createDataFrame([(7, 1, 1), (7, 1, 0), (8, 1, 0), (8, None, None), (9, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    frame = spark.createDataFrame([(u,) for u in cases], "url string")
+    got = {r.url: r.label for r in urls.labelled_by_documents(frame, marks).collect()}
+    assert got == {u: k for u, k in cases.items() if k is not None}
 
 
 def test_nothing(spark):

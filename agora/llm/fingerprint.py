@@ -12,24 +12,25 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agora.llm.scratch import save, shuffle_partitions
+
 HEX = 4  # digits of a fingerprint for each sample
 ABREAST = 4  # samples that one row's columns hold: more make a method too long for Java to compile
 
 
 @dataclass(frozen=True)
 class Params:
-    """Samples, and the seed of their variables; `terms` is ignored, as no words share a term."""
+    """Samples, and the seed of their variables."""
 
     samples: int = 32
-    terms: int = 1024
     seed: int = 20010
 
 
-def draw(term: Column, weight: Column, sample: Column, params: Params) -> Column:
-    """A term's value ln c - r (t - b + 1) in a sample; weight is the log of its count."""
+def draws(term: Column, weights: list[Column], sample: Column, params: Params) -> list[Column]:
+    """A term's values ln c - r (t - b + 1) in a sample for several weights, which are logs of counts."""
 
     def bits(k: int) -> Column:
         return F.xxhash64(term, sample * 3 + (params.seed + k))
@@ -42,36 +43,50 @@ def draw(term: Column, weight: Column, sample: Column, params: Params) -> Column
 
     r, c = (-F.log(high(bits(k)) * low(bits(k))) for k in (0, 1))
     b = high(bits(2))
-    return F.log(c) - r * (F.floor(weight / r + b) - b + 1)
+    return [F.log(c) - r * (F.floor(w / r + b) - b + 1) for w in weights]
 
 
-def fingerprints(texts: DataFrame, keys: list[str], text: str, params: Params = Params()) -> DataFrame:
-    """keys and the fingerprint of each row's text; rows must differ in their keys.
+def fingerprints(texts: DataFrame, keys: list[str], bodies: list[str], params: Params = Params()) -> DataFrame:
+    """keys, and for each of the columns `bodies` the fingerprint of its text, named p0, p1, ...
 
-    Where texts is already partitioned by a key, nothing is shuffled. A text without words
-    has the fingerprint of zeros. Keys may not be named term, weight or group.
+    Rows must differ in their keys. Where texts is already partitioned by a key, nothing is
+    shuffled: a text's words are counted, drawn and reduced where the text lies. Texts of a
+    row share the variables of their common terms. A text without words has the
+    fingerprint of zeros. Keys may not be named term, group or like the columns here.
     """
-    words = F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+")
-    terms = texts.select(*keys, F.explode(F.concat(F.array(F.lit("")), words)).alias("word"))
+    n = len(bodies)
+    texts = texts.select(*keys, F.posexplode(F.array(*bodies)).alias("version", "body"))
+    words = F.split(F.lower("body"), r"[\x20\x09-\x0D]+")
     # The empty word keeps texts without words; it is no term.
-    terms = terms.select(*keys, F.when(F.col("word") != "", F.xxhash64("word")).alias("term"))
-    weights = terms.groupBy(*keys, "term").agg(F.log(F.count(F.lit(1)).cast("double")).alias("weight"))
+    terms = texts.select(*keys, "version", F.explode(F.concat(F.array(F.lit("")), words)).alias("word"))
+    terms = terms.select(*keys, "version", F.when(F.col("word") != "", F.xxhash64("word")).alias("term"))
+    counts = [F.count(F.when(F.col("version") == v, 1)).alias(f"n{v}") for v in range(n)]
+    weights = terms.groupBy(*keys, "term").agg(*counts)
+    weights = weights.select(*keys, "term", *[F.when(F.col("term").isNotNull() & (F.col(f"n{v}") > 0), F.log(F.col(f"n{v}").cast("double"))).alias(f"w{v}") for v in range(n)])
     groups = -(-params.samples // ABREAST)
     rows = weights.select("*", F.explode(F.array(*[F.lit(g) for g in range(groups)])).alias("group"))
-    value = lambda j: F.when(F.col("term").isNotNull(), draw(F.col("term"), F.col("weight"), F.col("group") * ABREAST + j, params))
-    mins = rows.groupBy(*keys, "group").agg(*[F.min(value(j)).alias(f"m{j}") for j in range(ABREAST)])
-    drawn = mins.groupBy(*keys).agg(*[F.max(F.when(F.col("group") == i // ABREAST, F.col(f"m{i % ABREAST}"))).alias(f"m{i}") for i in range(params.samples)])
+    mins = []
+    for j in range(ABREAST):
+        values = draws(F.col("term"), [F.col(f"w{v}") for v in range(n)], F.col("group") * ABREAST + j, params)
+        mins += [F.min(value).alias(f"m{v}_{j}") for v, value in enumerate(values)]
+    reduced = rows.groupBy(*keys, "group").agg(*mins)
 
-    def part(i: int) -> Column:
-        return F.lpad(F.hex(F.pmod(F.xxhash64(F.col(f"m{i}")), F.lit(16**HEX - 1)) + 1), HEX, "0")
+    def part(v: int, j: int) -> Column:
+        m = F.col(f"m{v}_{j}")
+        digits = F.lpad(F.hex(F.pmod(F.xxhash64(m), F.lit(16**HEX - 1)) + 1), HEX, "0")
+        return F.lower(F.when(m.isNull(), F.lit("0" * HEX)).otherwise(digits))
 
-    nothing = F.lit("0" * HEX)
-    parts = [F.lower(F.when(F.col(f"m{i}").isNull(), nothing).otherwise(part(i))) for i in range(params.samples)]
-    return drawn.select(*keys, F.concat(*parts).alias("fingerprint"))
+    parts = [F.struct("group", F.concat(*[part(v, j) for j in range(ABREAST)]).alias("digits")) for v in range(n)]
+    joined = reduced.groupBy(*keys).agg(*[F.array_sort(F.collect_list(parts[v])).alias(f"parts{v}") for v in range(n)])
+    return joined.select(*keys, *[F.substring(F.array_join(F.col(f"parts{v}.digits"), ""), 1, HEX * params.samples).alias(f"p{v}") for v in range(n)])
 
 
 def likeness(one: Column, other: Column, params: Params = Params()) -> Column:
-    """The share of samples on which two fingerprints agree, less what hashes give by chance."""
+    """The share of samples on which two fingerprints agree.
+
+    Of 16**HEX - 1 values two that differ agree by chance once in 65 535, far below the
+    error of the sampling.
+    """
     same = F.lit(0)
     for i in range(params.samples):
         a, b = (F.substring(c, i * HEX + 1, HEX) for c in (one, other))
@@ -79,62 +94,70 @@ def likeness(one: Column, other: Column, params: Params = Params()) -> Column:
     return same / F.lit(float(params.samples))
 
 
-def next_keys(ids: DataFrame, key: str, width: int) -> DataFrame:
-    """(key, next): the next smaller key, and the largest after the smallest.
+def successors(ids: DataFrame, order: list[Column], names: list[str]) -> DataFrame:
+    """ids with the columns next_<name> of the row that follows in `order`; after the last comes the first.
 
-    Keys are dealt over ranges of `width` keys; only the largest of each range is ordered
-    across ranges, again by ranges, so that no task orders all.
+    Rows are dealt over ranges, each ordered by itself; one row of each range is carried to
+    the range before, so no task orders all.
     """
-    from pyspark.sql import Window
-
-    rows = ids.select(F.col(key).alias("k")).where("k is not null").distinct().withColumn("g", F.floor(F.col("k") / width))
-    inside = F.lag("k").over(Window.partitionBy("g").orderBy("k"))
-    rows = rows.select("k", "g", inside.alias("before"))
-    tops = rows.groupBy("g").agg(F.max("k").alias("top")).withColumn("gg", F.floor(F.col("g") / width))
-    tops = tops.withColumn("before", F.lag("top").over(Window.partitionBy("gg").orderBy("g")))
-    high = tops.groupBy("gg").agg(F.max("top").alias("top"), F.min("g").alias("g"))
-    # One row for each width * width keys is left.
-    high = high.select("g", F.coalesce(F.lag("top").over(Window.orderBy("gg")), F.max("top").over(Window.partitionBy())).alias("far"))
-    tops = tops.join(high, "g", "left").select("g", F.coalesce("before", "far").alias("below"))
-    return rows.join(tops, "g").select(F.col("k").alias(key), F.coalesce("before", "below").alias("next"))
-
-
-def edited_likeness(docs: DataFrame, params: Params = Params(), key: str = "doc_id", text: str = "text", width: int = 4096) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and their likeness.
+    ranged = ids.repartitionByRange(shuffle_partitions(ids.sparkSession), *order).withColumn("_range", F.spark_partition_id())
+    ranged = save(ranged, "ranges")
+    row = F.struct(*names)
+    inside = Window.partitionBy("_range").orderBy(*order)
+    rows = ranged.withColumn("_next", F.lead(row).over(inside)).withColumn("_place", F.row_number().over(inside))
+    heads = rows.where("_place = 1").select(F.col("_range").alias("_at"), row.alias("_head"))
+    # One row for each range that holds any.
+    whole = Window.orderBy("_at")
+    heads = heads.withColumn("_first", F.first("_head").over(Window.partitionBy().orderBy("_at")))
+    heads = heads.select(F.col("_at").alias("_range"), F.coalesce(F.lead("_head").over(whole), "_first").alias("_carried"))
+    out = rows.join(heads, "_range").withColumn("_next", F.coalesce("_next", "_carried"))
+    return out.select(*ids.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in names])
+
+
+def edited_likeness(docs: DataFrame, params: Params = Params(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Fingerprints of every row's text and of its edited text, and their likeness.
 
     The edited text has its last third, floor(n_chars / 3) code points, replaced by the
     first as many of the next row's text, by descending key; after the last comes the
-    first. Null texts are empty; texts without words have a fingerprint of zeros, which is
-    like itself. Of rows that repeat a key one is kept, as the order of keys must be
-    clear (the least text); rows without a key are left out. One row is its own next. An
-    empty table gives an empty table; other columns are ignored.
+    first. Every row gives a row: rows that repeat a key follow one another in the order
+    of their texts' hashes, and rows without a key come after all others. Null texts are
+    empty; texts without words have a fingerprint of zeros, which is like itself. One row
+    is its own next. An empty table gives an empty table; other columns are ignored.
+
+    Rows of one key and one text are one until the end: of m such rows, m - 1 have their
+    like as next. Within a key, texts are told apart by a 64-bit hash and their length.
     """
-    bare = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("k is not null")
-    order = next_keys(bare.select("k"), "k", width)
-    texts = bare.groupBy("k").agg(F.min("t").alias("t")).withColumn("n", F.length("t").cast("long"))
+    bare = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    # s: twice the length, and one more for rows without a key.
+    name = ["k", "h", "s"]
+    bare = bare.select(F.coalesce("id", F.lit(0)).alias("k"), F.xxhash64("t").alias("h"), (F.length("t").cast("long") * 2 + F.col("id").isNull().cast("long")).alias("s"), "t")
+    ids = bare.groupBy(*name).agg(F.count(F.lit(1)).alias("m"))
+    order = [F.pmod("s", F.lit(2)).asc(), F.desc("k"), F.asc("h"), F.asc("s")]
+    asks = successors(ids, order, name)
+    # Rows of a key and a text beside one another follow themselves: ask 1.
+    asked = [(0, F.lit(1).cast("long"), "next_"), (1, F.col("m") - 1, "")]
+    asked = F.array(*[F.struct(F.lit(i).alias("ask"), m.alias("times"), *[F.col(prefix + c).alias("next_" + c) for c in name]) for i, m, prefix in asked])
+    asks = asks.select(*name, F.explode(F.filter(asked, lambda a: a["times"] > 0)).alias("a")).select(*name, "a.*")
+    texts = bare.groupBy(*name).agg(F.first("t").alias("t"))
     # The next row gives its first characters to the row that asks for them.
-    asked = texts.select("k", "n").join(order, "k")
-    lent = asked.select(F.col("next"), F.col("k").alias("to"), F.floor(F.col("n") / 3).alias("take")).join(texts.select(F.col("k").alias("next"), "t"), "next")
-    lent = lent.select(F.col("to").alias("k"), "next", F.substring(F.col("t"), F.lit(1), F.col("take").cast("int")).alias("lent"))
-    both = texts.join(lent, "k")
-    both = both.withColumn("edited", F.concat(F.substring(F.col("t"), F.lit(1), (F.col("n") - F.floor(F.col("n") / 3)).cast("int")), F.col("lent")))
-    facts = F.struct(F.col("n"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), F.col("next"))
-    versions = both.select("k", facts.alias("facts"), F.explode(F.array(F.struct(F.lit(0).alias("version"), F.col("t").alias("body")), F.struct(F.lit(1).alias("version"), F.col("edited").alias("body")))).alias("v"))
-    versions = versions.select("k", F.col("facts.n").alias("n"), F.col("facts.sha").alias("sha"), F.col("facts.next").alias("next"), "v.version", "v.body")
-    prints = fingerprints(versions, ["k", "n", "sha", "next", "version"], "body", params)
-    pick = lambda v: F.max(F.when(F.col("version") == v, F.col("fingerprint")))
-    rows = prints.groupBy("k", "n", "sha", "next").agg(pick(0).alias("fingerprint"), pick(1).alias("edited_fingerprint"))
-    from agora.llm.scratch import save
-
-    rows = save(rows, "prints")
-    other = rows.select(F.col("k").alias("next"), F.col("fingerprint").alias("next_fingerprint"))
-    rows = rows.join(other, "next")
+    next_name = ["next_" + c for c in name]
+    lenders = texts.select(*[F.col(c).alias("next_" + c) for c in name], F.col("t").alias("other"))
+    n = F.floor(F.col("s") / 2)
+    third = F.floor(n / 3)
+    lent = save(asks, "asks").join(lenders, next_name).select(*name, "ask", "times", *next_name, F.substring(F.col("other"), F.lit(1), third.cast("int")).alias("lent"))
+    both = texts.join(lent, name)
+    both = both.withColumn("edited", F.concat(F.substring(F.col("t"), F.lit(1), (n - third).cast("int")), "lent"))
+    facts = both.select(*name, "ask", "times", *next_name, F.sha2(F.col("edited").cast("binary"), 256).alias("sha"))
+    prints = fingerprints(both.select(*name, "ask", "t", "edited"), [*name, "ask"], ["t", "edited"], params)
+    rows = save(prints.join(facts, [*name, "ask"]), "prints")
+    after = rows.where("ask = 0").select(*[F.col(c).alias("next_" + c) for c in name], F.col("p0").alias("next_print"))
+    rows = rows.join(after, next_name).withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     return rows.select(
-        F.col("k").alias(key),
-        F.col("n").alias("n_chars"),
+        F.when(F.pmod("s", F.lit(2)) == 0, F.col("k")).alias(key),
+        n.cast("long").alias("n_chars"),
         F.col("sha").alias("edited_sha256"),
-        "fingerprint",
-        "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint"), params).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint"), params).alias("near_next"),
+        F.col("p0").alias("fingerprint"),
+        F.col("p1").alias("edited_fingerprint"),
+        likeness(F.col("p0"), F.col("p1"), params).alias("near_edited"),
+        likeness(F.col("p0"), F.col("next_print"), params).alias("near_next"),
     )

@@ -11,6 +11,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from agora.functions import draws
+from agora.sources import store
+
 
 def issue_pairs(rows: DataFrame, without_zero: bool = False) -> DataFrame:
     """(user_id, i, j, x, y, vx, vy) for issues i < j on which a user has a mean."""
@@ -139,8 +142,8 @@ def beliefs(rows: DataFrame) -> DataFrame:
 
 def symmetric_polarization(rows: DataFrame) -> DataFrame:
     """Sum over issues of the mean distance from the mean, halved."""
-    mean = F.avg("b").over(Window.partitionBy("issue"))
-    by_issue = rows.withColumn("d", F.abs(F.col("b") - mean)).groupBy("issue").agg((F.sum("d") / (2 * F.count("d"))).alias("p"))
+    means = rows.groupBy("issue").agg(F.avg("b").alias("_mean"))
+    by_issue = rows.join(means, "issue").withColumn("d", F.abs(F.col("b") - F.col("_mean"))).groupBy("issue").agg((F.sum("d") / (2 * F.count("d"))).alias("p"))
     return by_issue.agg(F.sum("p").alias("polarization"))
 
 
@@ -154,19 +157,29 @@ def asymmetric_polarization(rows: DataFrame, issues: list) -> DataFrame:
     """For each two-block partition, the largest split of users by the block's mean belief.
 
     With users in order of belief y, a split after i of n has i * (sum above) - (n - i) *
-    (sum below), over 4 n**2. The number of partitions doubles with each issue; users are
-    ordered within a partition, so there should be as many partitions as tasks.
+    (sum below), over 4 n**2. Users of one belief are one row; rows are dealt over ranges
+    of (partition, belief), and what the ranges before hold is added from one row for each
+    partition and range, so no task orders a partition. Partitions double with each issue.
     """
     spark = rows.sparkSession
     blocks = [(k, issue) for k, block in enumerate(two_blocks(issues)) for issue in block]
     kind = dict(rows.dtypes)["issue"]
     parts = spark.createDataFrame(blocks, f"part int, issue {kind}")
     y = rows.join(F.broadcast(parts), "issue").groupBy("part", "user_id").agg(F.avg("b").alias("y"))
-    own = Window.partitionBy("part")
-    order = own.orderBy("y", "user_id").rowsBetween(Window.unboundedPreceding, 0)
-    y = y.withColumn("i", F.row_number().over(own.orderBy("y", "user_id"))).withColumn("low", F.sum("y").over(order))
-    y = y.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("all", F.sum("y").over(own))
-    value = (F.col("i") * (F.col("all") - F.col("low")) - (F.col("n") - F.col("i")) * F.col("low")) / (4.0 * F.col("n") * F.col("n"))
+    y = y.groupBy("part", "y").agg(F.count(F.lit(1)).alias("k"))
+    y = y.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "part", "y").withColumn("_range", F.spark_partition_id())
+    y = store.saved(y, "beliefs")
+    sums = [F.sum("k").alias("rk"), F.sum(F.col("k") * F.col("y")).alias("ry")]
+    ranges = y.groupBy("part", "_range").agg(*sums)
+    own, upto = Window.partitionBy("part"), Window.partitionBy("part").orderBy("_range")
+    before = [(F.sum(c).over(upto) - F.col(c)).alias(f"before_{c}") for c in ("rk", "ry")]
+    ranges = ranges.select("part", "_range", *before, *[F.sum(c).over(own).alias(f"all_{c}") for c in ("rk", "ry")])
+    order = Window.partitionBy("part", "_range").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
+    y = y.withColumn("i", F.sum("k").over(order)).withColumn("low", F.sum(F.col("k") * F.col("y")).over(order))
+    y = y.join(ranges, ["part", "_range"])
+    i, low, n = F.col("before_rk") + F.col("i"), F.col("before_ry") + F.col("low"), F.col("all_rk")
+    # Within users of one belief the value is linear in i, so its largest is at an end.
+    value = (i * (F.col("all_ry") - low) - (n - i) * low) / (4.0 * n * n)
     return y.groupBy("part").agg(F.max(value).alias("polarization"))
 
 
@@ -199,18 +212,16 @@ def farthest_windows(line: DataFrame) -> DataFrame:
     return far.groupBy("user_id").agg(F.max("d").alias("distance"))
 
 
-def bootstrap(rows: DataFrame, keys: list[str], replicates: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the correlation, each pair drawn Poisson(1) times in each replicate."""
-    u = F.rand(seed)
-    times, left, p = F.lit(0), 1.0, math.exp(-1)
-    draws = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_u", u)
-    left = p
-    for k in range(1, 8):
-        times = F.when(F.col("_u") > left, F.lit(k)).otherwise(times)
-        p /= k
-        left += p
-    draws = draws.withColumn("w", times.cast("double"))
-    sums = draws.groupBy(*keys, "replicate").agg(*_sums(F.col("w"), F.col("x"), F.col("y")))
+def bootstrap(rows: DataFrame, keys: list[str], unit: list[str], replicates: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """Percentile interval of the correlation, each pair drawn Poisson(1) times in each replicate.
+
+    The draws come from a hash of the row's `unit` columns and the replicate. A row meets
+    its replicates inside the task, where partial sums take them up: what is shuffled is a
+    row for each key, replicate and task.
+    """
+    draws_ = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    draws_ = draws_.withColumn("w", draws.poisson(draws.uniform(seed, "replicate", *unit)).cast("double")).where("w > 0")
+    sums = draws_.groupBy(*keys, "replicate").agg(*_sums(F.col("w"), F.col("x"), F.col("y")))
     cov = F.col("sxy") * F.col("sw") - F.col("sx") * F.col("sy")
     vx, vy = F.col("sxx") * F.col("sw") - F.col("sx") * F.col("sx"), F.col("syy") * F.col("sw") - F.col("sy") * F.col("sy")
     r = F.try_divide(cov, F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0))))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agora.functions import draws
+from agora.sources import store
+
 DAY = 86_400.0
 
 
@@ -71,28 +74,62 @@ def every_kth(rows: DataFrame, keys: list[str], order: list[Column], k: int) ->
     return rows.withColumn("_n", n).where(F.col("_n") % k == 1 % k).drop("_n")
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str = "place") -> DataFrame:
+    """rows with their place 0, 1, ... in `order` within each key, and the key's number of rows in <name>_of.
+
+    Rows are dealt over ranges of (keys, order) and numbered inside a range; what the
+    ranges before hold is added from one row for each key and range. So a key that holds
+    most rows is numbered by many tasks. The ranges are a table in the shared folder, as
+    they are read twice.
+    """
+    spark = rows.sparkSession
+    key = [F.col(k) for k in keys]
+    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *key, *order)
+    ranged = store.saved(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range")
+    sizes = sizes.select(*keys, "_range", (F.sum("_n").over(before) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(*(keys or [F.lit(0)]))).alias(f"{name}_of"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)) - 1
+    return ranged.withColumn("_inside", inside).join(sizes, [*keys, "_range"]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+
+
 def stratified_split(rows: DataFrame, label: str, order: list[Column], shares: tuple[float, ...]) -> DataFrame:
-    """split 0, 1, ... within each label, cut at int(share * n); the last takes the rest."""
-    own = Window.partitionBy(label)
-    rows = rows.withColumn("_i", F.row_number().over(own.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(own))
+    """split 0, 1, ... within each label, cut at int(share * n); the last takes the rest. Null labels go."""
+    rows = numbered(rows.where(F.col(label).isNotNull()), [label], order, "_i")
     split, total = F.lit(len(shares)), F.lit(0)
     cuts = []
     for share in shares:
-        total = total + F.floor(F.lit(share) * F.col("_n"))
+        total = total + F.floor(F.lit(share) * F.col("_i_of"))
         cuts.append(total)
     for k in reversed(range(len(cuts))):
-        split = F.when(F.col("_i") <= cuts[k], F.lit(k)).otherwise(split)
-    return rows.withColumn("split", split.cast("int")).drop("_i", "_n")
+        split = F.when(F.col("_i") < cuts[k], F.lit(k)).otherwise(split)
+    return rows.withColumn("split", split.cast("int")).drop("_i", "_i_of")
+
+
+def shuffled(rows: DataFrame, keys: list[str], seed: int = 0) -> DataFrame:
+    """rows with a place 0, 1, ... in an order drawn by hash of their keys."""
+    return numbered(rows.withColumn("_draw", draws.uniform(seed, *keys)), [], [F.col("_draw"), *map(F.col, keys)]).drop("_draw", "place_of")
 
 
 def hash_sample(rows: DataFrame, keys: list[str], share: float, seed: int = 0) -> DataFrame:
     """A share of rows by a hash of their key: the same rows on any cluster."""
-    return rows.where(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    return rows.where(draws.uniform(seed, *keys) < share)
 
 
 def fixed_sample(rows: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
     """n rows of smallest hash."""
-    return rows.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    return rows.orderBy(draws.uniform(seed, *keys), *keys).limit(n)
+
+
+def sample_again(rows: DataFrame, keys: list[str], share: float, seed: int = 0, parts: int = 64) -> DataFrame:
+    """Rows drawn with replacement: each comes a Poisson number of times, `share` on average.
+
+    Its count is how many of `parts` Poisson(1) draws, each taken with probability
+    share / parts, come up; a row of several is there several times.
+    """
+    u = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: (draws.uniform(seed, *keys, i) < share / parts).cast("int"))
+    times = F.aggregate(u, F.lit(0), lambda a, b: a + b)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), times))).where("_copy > 0").drop("_copy")
 
 
 def bin_of(x: Column, low: Column | float, high: Column | float, n: int) -> Column:

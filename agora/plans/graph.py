@@ -14,16 +14,16 @@ from agora.registry import query
 from agora.tables import EDGE_SQL, OBS_SQL, PROFILE_SQL, edges, observations, profiles, read
 
 
-@query(f"""WITH {EDGE_SQL}, b AS (SELECT src, dst, 'typed_' || type AS type, t AS unix_createtime FROM edge WHERE type <> 'N') SELECT type, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets, min(unix_createtime) AS first FROM b GROUP BY 1""")
+@query(f"""WITH {EDGE_SQL}, b AS (SELECT src, dst, 'typed_' || type AS type, t AS unix_createtime FROM edge) SELECT type, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets, min(unix_createtime) AS first FROM b GROUP BY 1""")
 def typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = edges(spark, sf_dir)
-    both = gr.graph(*[gr.typed_edges(rows.where(F.col("type") == k), "src", "dst", f"typed_{k}", "t", ["order_id", "line"]) for k in ("A", "R")])
+    both = gr.graph(*[gr.typed_edges(rows.where(F.col("type") == k), "src", "dst", f"typed_{k}", "t", ["order_id", "line"]) for k in ("A", "N", "R")])
     return both.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"), F.min("unix_createtime").alias("first"))
 
 
-@query(f"WITH {EDGE_SQL} SELECT src AS node FROM edge WHERE type = 'A' UNION SELECT dst FROM edge WHERE type = 'A' UNION SELECT c_custkey FROM customer")
+@query(f"WITH {EDGE_SQL} SELECT src AS node FROM edge UNION SELECT dst FROM edge UNION SELECT c_custkey FROM customer")
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gr.nodes(edges(spark, sf_dir).where("type = 'A'"), read(spark, sf_dir, "customer").select("c_custkey"))
+    return gr.nodes(edges(spark, sf_dir), read(spark, sf_dir, "customer").select("c_custkey"))
 
 
 @query("""WITH m AS (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{12,}'))) AS word FROM conversations) SELECT conv_id AS src, word AS dst, count(*) AS n FROM m GROUP BY 1, 2""")
@@ -47,15 +47,15 @@ def degree_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.degree_histogram(edges(spark, sf_dir))
 
 
-RING_SQL = f"""{EDGE_SQL}, b AS (SELECT DISTINCT src, dst FROM edge WHERE type = 'R' AND order_id % 16 = 0 UNION SELECT DISTINCT dst, src FROM edge WHERE type = 'R' AND order_id % 16 = 0),
-u AS (SELECT DISTINCT src AS u FROM edge WHERE src <= 20), r1 AS (SELECT DISTINCT u, dst AS node FROM u JOIN b ON src = u WHERE dst <> u), r2 AS (SELECT DISTINCT u, dst AS node FROM r1 JOIN b ON src = node WHERE dst <> u AND (u, dst) NOT IN (SELECT u, node FROM r1)), r3 AS (SELECT DISTINCT u, dst AS node FROM r2 JOIN b ON src = node WHERE dst <> u AND (u, dst) NOT IN (SELECT u, node FROM r1) AND (u, dst) NOT IN (SELECT u, node FROM r2))"""
+RING_SQL = f"""{EDGE_SQL}, b AS (SELECT DISTINCT src, dst FROM edge UNION SELECT DISTINCT dst, src FROM edge),
+u AS (SELECT DISTINCT src AS u FROM edge WHERE src % 100 = 0), r1 AS (SELECT DISTINCT u, dst AS node FROM u JOIN b ON src = u WHERE dst <> u), r2 AS (SELECT DISTINCT u, dst AS node FROM r1 JOIN b ON src = node WHERE dst <> u AND (u, dst) NOT IN (SELECT u, node FROM r1)), r3 AS (SELECT DISTINCT u, dst AS node FROM r2 JOIN b ON src = node WHERE dst <> u AND (u, dst) NOT IN (SELECT u, node FROM r1) AND (u, dst) NOT IN (SELECT u, node FROM r2))"""
 
 
 @query(f"WITH {RING_SQL} SELECT u AS \"user\", 1 AS ring, count(*) AS n FROM r1 GROUP BY 1 UNION ALL SELECT u, 2, count(*) FROM r2 GROUP BY 1 UNION ALL SELECT u, 3, count(*) FROM r3 GROUP BY 1")
 def neighbor_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings over all edges around the users whose id is divisible by 100: rings of all users are pairs of nearly all."""
     rows = edges(spark, sf_dir)
-    starts = rows.where("src <= 20").select("src").distinct()
-    found = gr.rings(rows.where("type = 'R' and order_id % 16 = 0"), starts)
+    found = gr.rings(rows, rows.where("src % 100 = 0").select("src").distinct())
     return found.groupBy("user", "ring").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -112,24 +112,28 @@ def hmm_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inf.movement_index(inf.hidden_markov(observations(spark, sf_dir), profiles(spark), "event_type", rounds=4), ["event_type"])
 
 
-PAIRS_SQL = "pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, b.embedding[1]::DOUBLE - a.embedding[1]::DOUBLE AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)"
+#: What each event's user has just seen: up to 20 events before it on its issue and day. d is how far the seen value lies above the user's.
+SEEN_SQL = f"{OBS_SQL}, r AS (SELECT comment_id, issue, t // 86400 AS day, raw, row_number() OVER (PARTITION BY issue, t // 86400 ORDER BY t, comment_id) AS r FROM obs), pairs AS (SELECT a.comment_id AS a, b.comment_id AS b, b.raw - a.raw AS d FROM r a JOIN r b ON a.issue = b.issue AND a.day = b.day AND b.r BETWEEN a.r - 20 AND a.r - 1)"
 
 
-def label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"))
-    a, b = rows.toDF("a", "label", "x"), rows.toDF("b", "label", "y")
-    return a.join(b, "label").where("a < b").select("a", "b", (F.col("y") - F.col("x")).alias("d"))
+def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
 
+    rows = observations(spark, sf_dir).select("comment_id", "issue", F.floor(F.col("t") / 86_400).alias("day"), "t", "raw")
+    last = Window.partitionBy("issue", "day").orderBy("t", "comment_id").rowsBetween(-20, -1)
+    rows = rows.withColumn("seen", F.collect_list(F.struct("comment_id", "raw")).over(last)).select(F.col("comment_id").alias("a"), "raw", F.explode("seen").alias("s"))
+    return rows.select("a", F.col("s.comment_id").alias("b"), (F.col("s.raw") - F.col("raw")).alias("d"))
 
-@query(f"WITH {PAIRS_SQL}, w AS (SELECT a, b, CASE WHEN d = 0 THEN 100.0::DOUBLE ELSE least(power(abs(d), -2.0), 100.0) END AS weight FROM pairs) SELECT a, b, round(weight / sum(weight) OVER (PARTITION BY a), 6) AS p FROM w")
+
+@query(f"WITH {SEEN_SQL}, w AS (SELECT a, b, CASE WHEN d = 0 THEN 100.0::DOUBLE ELSE least(power(abs(d), -2.0), 100.0) END AS weight FROM pairs) SELECT a, b, round(weight / sum(weight) OVER (PARTITION BY a), 6) AS p FROM w")
 def sbc_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dy.choice_probabilities(label_pairs(spark, sf_dir).withColumn("d", F.abs("d")), ["a"], "d", 2.0)
+    rows = dy.choice_probabilities(seen(spark, sf_dir).withColumn("d", F.abs("d")), ["a"], "d", 2.0)
     return rounded(rows.select("a", "b", "p"), "p")
 
 
-@query(f"WITH {PAIRS_SQL} SELECT a, round(coalesce(avg(d) FILTER (abs(d) < 0.1), 0), 6) + 0.0 AS move FROM pairs GROUP BY 1")
+@query(f"WITH {SEEN_SQL} SELECT a, round(coalesce(avg(d) FILTER (abs(d) < 10), 0), 6) + 0.0 AS move FROM pairs GROUP BY 1")
 def bounded_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(dy.bounded_confidence(label_pairs(spark, sf_dir), ["a"], "d", 0.1), "move")
+    return rounded(dy.bounded_confidence(seen(spark, sf_dir), ["a"], "d", 10.0), "move")
 
 
 @query()

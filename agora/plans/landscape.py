@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agora.functions import vectors as vec
+from agora.functions.draws import poisson_sql, uniform_sql
 from agora.operators import landscape as la
 from agora.operators import opinions as op
 from agora.plans.opinions import VAR_SQL, WEEK, WINDOW_SQL, rounded, weeks, weighted
@@ -138,9 +139,11 @@ def extreme_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(f"""WITH {PAIR_SQL}, d AS (SELECT i, j, x, y, k AS replicate, CAST({poisson_sql(uniform_sql(0, 'k', 'user_id', 'i', 'j'))} AS DOUBLE) AS w FROM pairs, generate_series(1, 200) g(k)), s AS (SELECT i, j, replicate, {SUMS_SQL} FROM d WHERE w > 0 GROUP BY 1, 2, 3),
+r AS (SELECT i, j, (sxy * sw - sx * sy) / nullif(sqrt(greatest(sxx * sw - sx * sx, 0) * greatest(syy * sw - sy * sy, 0)), 0) AS r FROM s) SELECT i, j, round(quantile_cont(r, 0.025), 6) + 0.0 AS low, round(quantile_cont(r, 0.975), 6) + 0.0 AS high, round(avg(r), 6) + 0.0 AS mean FROM r GROUP BY 1, 2""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return la.bootstrap(la.issue_pairs(opinions(spark, sf_dir)).select("i", "j", "x", "y"), ["i", "j"])
+    rows = la.issue_pairs(opinions(spark, sf_dir)).select("user_id", "i", "j", "x", "y")
+    return rounded(la.bootstrap(rows, ["i", "j"], ["user_id", "i", "j"]), "low", "high", "mean")
 
 
 #: Embeddings in order of id; each is compared with the one before.
@@ -166,10 +169,10 @@ def centroid_by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.groupBy("label", F.col("dim").cast("long").alias("dim")).agg(F.avg(F.col("x").cast("double")).alias("mean")), "mean")
 
 
-@query("""WITH x AS (SELECT label, vec_id, k - 1 AS dim, embedding[k]::DOUBLE AS v FROM embeddings, generate_series(1, 4) g(k))
+@query("""WITH x AS (SELECT label, vec_id, k - 1 AS dim, embedding[k]::DOUBLE AS v FROM embeddings, generate_series(1, 64) g(k))
 SELECT label, vec_id, dim, round(avg(v) OVER (PARTITION BY label, dim ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) + 0.0 AS before_mean, round(avg(v) OVER (PARTITION BY label, dim ORDER BY vec_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) + 0.0 AS after_mean FROM x""")
 def before_after_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", "vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("dim", "v"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", "vec_id", F.posexplode("embedding").alias("dim", "v"))
     order = Window.partitionBy("label", "dim").orderBy("vec_id")
     v = F.avg(F.col("v").cast("double"))
     before, after = v.over(order.rowsBetween(Window.unboundedPreceding, -1)), v.over(order.rowsBetween(0, Window.unboundedFollowing))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.functions import text as tx
+from agora.functions.draws import uniform_sql
 from agora.operators import relational as rel
 from agora.plans.opinions import rounded
 from agora.registry import query
@@ -58,16 +59,16 @@ def active_thread_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.thread_context(lines, "thread", "author", active).select("thread", "item", "author")
 
 
-@query("SELECT coalesce(a.k, b.k) AS nation, coalesce(a.n, 0) AS customers, coalesce(b.n, 0) AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) b ON a.k = b.k")
+@query("SELECT coalesce(a.k, b.k) AS nation, coalesce(a.n, 0) AS customers, coalesce(b.n, 0) AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k")
 def user_counts_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = read(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("nation"))
-    right = read(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("nation"))
+    left = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"))
+    right = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"))
     return rel.outer_counts(left, right, "nation", ("customers", "suppliers"))
 
 
-@query("SELECT l_orderkey, l_linenumber, o_orderstatus, o_orderpriority FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'O') ON l_orderkey = o_orderkey WHERE l_quantity >= 45")
+@query("SELECT l_orderkey, l_linenumber, o_orderstatus, o_orderpriority FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
 def submission_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, orders = read(spark, sf_dir, "lineitem").where("l_quantity >= 45"), read(spark, sf_dir, "orders").where("o_orderstatus <> 'O'")
+    lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey, "left").select("l_orderkey", "l_linenumber", "o_orderstatus", "o_orderpriority")
 
 
@@ -92,7 +93,7 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.stratified_split(read(spark, sf_dir, "labels"), "quality", [F.col("doc_id")], (0.7, 0.2)).select("doc_id", "quality", "split")
 
 
-@query()
+@query(f"SELECT event_id, user_id FROM events WHERE {uniform_sql(0, 'event_id')} < 0.2")
 def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.hash_sample(read(spark, sf_dir, "events"), ["event_id"], 0.2).select("event_id", "user_id")
 
@@ -141,17 +142,20 @@ def prompt_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", F.md5(made.cast("binary")).alias("prompt"))
 
 
-#: Answers of every telling kind, made from numbers.
-ANSWER_SQL = "CASE doc_id % 6 WHEN 0 THEN 'I strongly agree.' WHEN 1 THEN 'They disagree with it' WHEN 2 THEN 'Neutral, I think' WHEN 3 THEN 'against' || chr(10) || 'favor' WHEN 4 THEN 'No idea' ELSE 'Yes, in FAVOR of it' END"
+#: Answers of every telling kind before the text of each document.
+ANSWER_SQL = "CASE doc_id % 6 WHEN 0 THEN 'I strongly agree.' WHEN 1 THEN 'They disagree with it' WHEN 2 THEN 'Neutral, I think' WHEN 3 THEN 'against' || chr(10) || 'favor' WHEN 4 THEN 'No idea' ELSE 'Yes, in FAVOR of it' END || ' ' || coalesce(text, '')"
+TOLD_SQL = f"""a AS (SELECT doc_id, {ANSWER_SQL} AS answer FROM documents), l AS (SELECT doc_id, lower(split_part(answer, chr(10), 1)) AS line, lower(answer) AS low FROM a), w AS (SELECT doc_id, low, list_filter(list_transform(regexp_extract_all(line, '(\\w+)'), lambda x: CASE WHEN contains(x, 'favor') OR contains(x, 'support') OR (contains(x, 'agree') AND NOT contains(x, 'disagree')) THEN 'favor' WHEN contains(x, 'against') OR contains(x, 'disagree') THEN 'against' WHEN contains(x, 'neutral') THEN 'neutral' END), lambda x: x IS NOT NULL) AS told FROM l)"""
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = ["I strongly agree.", "They disagree with it", "Neutral, I think", "against\nfavor", "No idea", "Yes, in FAVOR of it"]
+    answer = F.concat(F.element_at(F.array(*map(F.lit, kinds)), (F.col("doc_id") % 6 + 1).cast("int")), F.lit(" "), F.coalesce("text", F.lit("")))
+    return read(spark, sf_dir, "documents").select("doc_id", answer.alias("answer"))
 
 
-@query(f"""WITH a AS (SELECT doc_id, {ANSWER_SQL} AS answer FROM documents), l AS (SELECT doc_id, lower(split_part(answer, chr(10), 1)) AS line, lower(answer) AS low FROM a), w AS (SELECT doc_id, low, list_filter(list_transform(regexp_extract_all(line, '(\\w+)'), lambda x: CASE WHEN contains(x, 'favor') OR contains(x, 'support') OR (contains(x, 'agree') AND NOT contains(x, 'disagree')) THEN 'favor' WHEN contains(x, 'against') OR contains(x, 'disagree') THEN 'against' WHEN contains(x, 'neutral') THEN 'neutral' END), lambda x: x IS NOT NULL) AS told FROM l)
-SELECT doc_id, coalesce(told[1], 'neutral') AS stance, CASE WHEN contains(low, 'yes') THEN 'yes' ELSE 'no' END AS yes_no FROM w""")
+@query(f"WITH {TOLD_SQL} SELECT doc_id, coalesce(told[1], 'neutral') AS stance, CASE WHEN contains(low, 'yes') THEN 'yes' ELSE 'no' END AS yes_no FROM w")
 def parse_stance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("doc_id") % 6
-    answers = ["I strongly agree.", "They disagree with it", "Neutral, I think", "against\nfavor", "No idea", "Yes, in FAVOR of it"]
-    answer = F.element_at(F.array(*map(F.lit, answers)), (k + 1).cast("int"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", answer.alias("answer"))
+    docs = answers(spark, sf_dir)
     return docs.select("doc_id", tx.parse_stance(F.col("answer")).alias("stance"), tx.parse_yes_no(F.col("answer")).alias("yes_no"))
 
 

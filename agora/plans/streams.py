@@ -10,24 +10,25 @@ from pyspark.sql import functions as F
 from agora.operators import interactions as it
 from agora.operators import stance as st
 from agora.plans.opinions import VAR_SQL, rounded
-from agora.plans.relational import ANSWER_SQL
+from agora.plans.relational import TOLD_SQL, answers
 from agora.registry import query
 from agora.sources.store import shared_folder
 from agora.streaming import opinions as so
 from agora.tables import OBS_SQL, WEIGHT_SQL, observations, profiles, read
 
 #: A user's content is the embedding of the event's number, what they viewed another one.
-CONTENT_SQL = f"""{OBS_SQL}, v AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS v FROM embeddings),
-c AS (SELECT comment_id, user_id, t, a.v AS own, b.v AS viewed, lag(a.v) OVER (PARTITION BY user_id ORDER BY t, comment_id) AS prev FROM obs JOIN v a ON a.vec_id = comment_id % 500 JOIN v b ON b.vec_id = (comment_id * 7 + 3) % 500)"""
-_EUCLID = "sqrt(list_sum(list_transform(generate_series(1, 8), lambda k: power({a}[k] - {b}[k], 2))))"
-_DOT = "list_sum(list_transform(generate_series(1, 8), lambda k: {a}[k] * {b}[k]))"
+CONTENT_SQL = f"""{OBS_SQL}, v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), many AS (SELECT count(*) AS many FROM embeddings),
+c AS (SELECT comment_id, user_id, t, event_type, a.v AS own, b.v AS viewed, lag(a.v) OVER (PARTITION BY user_id ORDER BY t, comment_id) AS prev FROM obs, many JOIN v a ON a.vec_id = comment_id % many JOIN v b ON b.vec_id = (comment_id * 7 + 3) % many)"""
+_EUCLID = "sqrt(list_sum(list_transform(generate_series(1, len({a})), lambda k: power({a}[k] - {b}[k], 2))))"
+_DOT = "list_sum(list_transform(generate_series(1, len({a})), lambda k: {a}[k] * {b}[k]))"
 _COSINE = f"{_DOT} / (sqrt({_DOT.replace('{b}', '{a}')}) * sqrt({_DOT.replace('{a}', '{b}')}))"
 
 
 def content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = observations(spark, sf_dir).select("comment_id", "user_id", "t")
-    vectors = read(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("v"))
-    rows = obs.withColumn("own_id", F.col("comment_id") % 500).withColumn("viewed_id", (F.col("comment_id") * 7 + 3) % 500)
+    obs = observations(spark, sf_dir).select("comment_id", "user_id", "t", "event_type")
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    rows = obs.join(F.broadcast(vectors.agg(F.count(F.lit(1)).alias("many"))))  # one row
+    rows = rows.withColumn("own_id", F.col("comment_id") % F.col("many")).withColumn("viewed_id", (F.col("comment_id") * 7 + 3) % F.col("many")).drop("many")
     rows = rows.join(vectors.toDF("own_id", "own"), "own_id").join(vectors.toDF("viewed_id", "viewed"), "viewed_id")
     return it.with_previous(rows, "user_id", ["t", "comment_id"], "own")
 
@@ -51,7 +52,7 @@ def movement_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram(moved, F.col("viewed_between"), 0.0, 1.0, 20).select("bin", "n")
 
 
-@query(f"""WITH {CONTENT_SQL}, x AS (SELECT user_id, comment_id, t, k - 1 AS dim, own[k] AS v FROM c, generate_series(1, 8) g(k)) SELECT comment_id, round(sum(b * b), 6) AS before_square, round(sum(a * a), 6) AS after_square FROM (SELECT comment_id, avg(v) OVER (PARTITION BY user_id, dim ORDER BY t, comment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, avg(v) OVER (PARTITION BY user_id, dim ORDER BY t, comment_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM x) GROUP BY 1 HAVING sum(b * b) IS NOT NULL""")
+@query(f"""WITH {CONTENT_SQL}, x AS (SELECT user_id, comment_id, t, unnest(generate_series(1, len(own))) - 1 AS dim, unnest(own) AS v FROM c) SELECT comment_id, round(sum(b * b), 6) AS before_square, round(sum(a * a), 6) AS after_square FROM (SELECT comment_id, avg(v) OVER (PARTITION BY user_id, dim ORDER BY t, comment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, avg(v) OVER (PARTITION BY user_id, dim ORDER BY t, comment_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM x) GROUP BY 1 HAVING sum(b * b) IS NOT NULL""")
 def changepoint_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     from agora.functions.vectors import dot
 
@@ -59,11 +60,9 @@ def changepoint_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("comment_id", dot(F.col("before"), F.col("before")).alias("before_square"), dot(F.col("after"), F.col("after")).alias("after_square")), "before_square", "after_square")
 
 
-@query(f"WITH a AS (SELECT doc_id, {ANSWER_SQL} AS answer FROM documents), s AS (SELECT CASE doc_id % 6 WHEN 0 THEN 'favor' WHEN 1 THEN 'against' WHEN 2 THEN 'neutral' WHEN 3 THEN 'against' WHEN 4 THEN 'neutral' ELSE 'favor' END AS stance FROM a) SELECT stance, count(*) AS n FROM s GROUP BY 1")
+@query(f"WITH {TOLD_SQL} SELECT coalesce(told[1], 'neutral') AS stance, count(*) AS n FROM w GROUP BY 1")
 def classify_stance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = ["I strongly agree.", "They disagree with it", "Neutral, I think", "against\nfavor", "No idea", "Yes, in FAVOR of it"]
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, answers)), (F.col("doc_id") % 6 + 1).cast("int")).alias("answer"))
-    return st.one_step(docs, "it", "answer").groupBy("stance").agg(F.count(F.lit(1)).alias("n"))
+    return st.one_step(answers(spark, sf_dir), "it", "answer").groupBy("stance").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {WEIGHT_SQL} SELECT user_id, issue, round(sum(w * value) / nullif(sum(w), 0), 6) + 0.0 AS mean, {VAR_SQL} AS var, count(*) AS n FROM wobs GROUP BY 1, 2")

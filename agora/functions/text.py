@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -139,15 +141,36 @@ def is_blank(text: Column) -> Column:
     return text.rlike("(?U)^[\\s\\uFE0E]+$")
 
 
-def normalized_tokens(text: Column) -> Column:
-    """Tweet tokens: users and links by a name, plain quotes and dots, contractions apart."""
+#: Tokens of short messages: links, users, tags, words with inner apostrophes and hyphens, numbers, runs of dots, single signs.
+TOKEN = r"https?://\S+|www\.\S+|@[\p{L}\p{N}_]+|#[\p{L}\p{N}_]+|\p{N}+(?:[.,:/]\p{N}+)+|[\p{L}\p{N}_]+(?:['\-][\p{L}\p{N}_]+)*|\.{2,}|\S"
+
+
+def sign_names() -> dict[str, str]:
+    """The signs of the pictograph blocks as :name:, by their Unicode names."""
+    blocks = [range(0x2600, 0x27C0), range(0x1F300, 0x1F650), range(0x1F680, 0x1F700), range(0x1F900, 0x1FA00)]
+    names = {chr(i): unicodedata.name(chr(i), "") for block in blocks for i in block}
+    return {c: ":" + n.lower().replace(" ", "_").replace("-", "_") + ":" for c, n in names.items() if n}
+
+
+def tokens(text: Column) -> Column:
+    """Tokens in order, with plain quotes and dots."""
     plain = F.replace(F.replace(text, F.lit("’"), F.lit("'")), F.lit("…"), F.lit("..."))
+    return F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0))
+
+
+def normalized_tokens(text: Column, signs: bool = False) -> Column:
+    """Tokens with users and links by a name; with `signs`, pictographs by theirs."""
+    named = F.create_map(*[F.lit(x) for pair in sign_names().items() for x in pair]) if signs else None
 
     def one(token: Column) -> Column:
         low = F.lower(token)
-        return F.when(token.startswith("@") & (F.length(token) > 1), "@USER").when(low.startswith("http") | low.startswith("www"), "HTTPURL").otherwise(token)
+        out = F.when(token.startswith("@") & (F.length(token) > 1), "@USER").when(low.startswith("http") | low.startswith("www"), "HTTPURL")
+        if signs:
+            # Few tokens are one sign beyond ASCII, so few look it up.
+            out = out.when((F.length(token) == 1) & (F.octet_length(token) > 2), F.coalesce(F.try_element_at(named, token), token))
+        return out.otherwise(token)
 
-    return F.transform(F.filter(F.split(plain, r"\s+"), lambda t: t != ""), one)
+    return F.transform(tokens(text), one)
 
 
 #: Contractions and times of day, as written after tokens were set apart.
@@ -158,8 +181,34 @@ REWRITES = [
 ]
 
 
-def normalized(text: Column) -> Column:
-    out = F.array_join(normalized_tokens(text), " ")
+def normalized(text: Column, signs: bool = False) -> Column:
+    """Tokens joined by blanks, contractions and times of day set apart, white space squeezed."""
+    out = F.array_join(normalized_tokens(text, signs), " ")
     for a, b in REWRITES:
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.array_join(F.filter(F.split(out, " "), lambda t: t != ""), " ")
+
+
+#: Common words that tell English.
+ENGLISH = ("the", "of", "and", "to", "in", "is", "that", "it", "for", "was", "on", "with", "as", "are", "this", "be", "at", "have", "not", "you", "i", "a")
+
+
+def is_english(text: Column, least: float = 0.15) -> Column:
+    """Whether enough words are common English ones; false for null and for texts without a letter."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
+    known = F.filter(words, lambda w: w.isin(*ENGLISH))
+    return (F.size(words) > 0) & (F.size(known) >= least * F.size(words))
+
+
+#: What an answer may consist of, by kind of question.
+CHOICES = {"stance": ("favor", "against", "neutral"), "sided": ("yes", "no"), "polar": ("favor", "against")}
+
+
+def choice_pattern(kind: str) -> str:
+    """A pattern that only the choices of a kind match, in any case and with white space around."""
+    return r"(?i)^\s*(" + "|".join(CHOICES[kind]) + r")\s*[.!]?\s*$"
+
+
+def chosen(answer: Column, kind: str) -> Column:
+    """The choice that an answer consists of, in lower case; null for any other answer."""
+    return F.lower(extract(answer, choice_pattern(kind)))

@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions import vectors as vec
+from agora.operators.graph import capped
+from agora.operators.ordered import running
+from agora.sources import store
 
 
-def with_previous(rows: DataFrame, user: str, order: list[str], embedding: str) -> DataFrame:
-    """prev: a user's content before this one (null for the first); users with one row go."""
+def with_previous(rows: DataFrame, user: str, order: list[str], embedding: str, least: int = 2) -> DataFrame:
+    """prev: a user's content before this one (null for the first); users with fewer than `least` rows go."""
     own = Window.partitionBy(user)
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(own)).where("_n >= 2").drop("_n")
+    if least > 1:
+        rows = rows.withColumn("_n", F.count(F.lit(1)).over(own)).where(F.col("_n") >= least).drop("_n")
     return rows.withColumn("prev", F.lag(embedding).over(own.orderBy(*order)))
 
 
@@ -63,3 +67,52 @@ def readable(rows: DataFrame, texts: list[str], user: str, previous: str, least:
     for c in texts:
         short &= F.coalesce(F.length(c), F.lit(0)) < least
     return rows.where(~short & ~F.col(user).eqNullSafe(F.col(previous)))
+
+
+def global_means(content: DataFrame, asks: DataFrame, t: str, item: str, embedding: str, at: str, span: int, dims: int) -> DataFrame:
+    """asks with the mean of all content of the `span` seconds up to each, both ends included, less its first and last row.
+
+    Content and asks are put in one order of time, and running sums of each dimension are
+    read off where a window begins and ends; so a window costs two rows, however much it
+    holds. Adds global_n (rows in the mean), global_content (null without any), and
+    first_item and last_item, the two rows left out.
+    """
+    x = [F.col(embedding)[k].cast("double") for k in range(dims)]
+    rows = content.select(F.col(t).alias("_t"), F.lit(1).alias("_kind"), F.col(item).alias("_item"), F.lit(None).cast("long").alias("_ask"), F.lit(1).cast("long").alias("_one"), *[v.alias(f"_x{k}") for k, v in enumerate(x)])
+    asks = store.saved(asks.withColumn("_ask", F.monotonically_increasing_id()), "asks")
+    nothing = [F.lit(0.0).alias(f"_x{k}") for k in range(dims)]
+    # A window begins before the content of its first second and ends after that of its last.
+    marks = [asks.select(when.alias("_t"), F.lit(kind).alias("_kind"), F.lit(None).cast(dict(content.dtypes)[item]).alias("_item"), "_ask", F.lit(0).cast("long").alias("_one"), *nothing) for when, kind in ((F.col(at) - span, 0), (F.col(at), 2))]
+    sums = {"_c": F.col("_one")} | {f"_s{k}": F.col(f"_x{k}") for k in range(dims)}
+    line = store.saved(running(rows.unionByName(marks[0]).unionByName(marks[1]), [], [F.col("_t"), F.col("_kind"), F.col("_item"), F.col("_ask")], sums), "line")
+    place = line.where("_kind = 1").select((F.col("_c") - 1).alias("_place"), F.col("_item"), F.array(*[F.col(f"_x{k}") for k in range(dims)]).alias("_x"))
+    sides = []
+    for name, kind in (("lo", 0), ("hi", 2)):
+        sides.append(line.where(F.col("_kind") == kind).select("_ask", F.col("_c").alias(f"_{name}"), F.array(*[F.col(f"_s{k}") for k in range(dims)]).alias(f"_{name}_sum")))
+    out = asks.join(sides[0], "_ask").join(sides[1], "_ask")
+    first = place.select(F.col("_place").alias("_lo"), F.col("_item").alias("first_item"), F.col("_x").alias("_first"))
+    last = place.select((F.col("_place") + 1).alias("_hi"), F.col("_item").alias("last_item"), F.col("_x").alias("_last"))
+    out = out.join(first, "_lo", "left").join(last, "_hi", "left")
+    n = F.col("_hi") - F.col("_lo") - 2
+    parts = F.arrays_zip("_hi_sum", "_lo_sum", "_first", "_last")
+    mean = F.transform(parts, lambda p: (p["_hi_sum"] - p["_lo_sum"] - p["_first"] - p["_last"]) / n)
+    out = out.withColumn("global_n", F.greatest(n, F.lit(0).cast("long"))).withColumn("global_content", F.when(n > 0, mean))
+    return out.drop("_ask", "_lo", "_hi", "_lo_sum", "_hi_sum", "_first", "_last")
+
+
+def circle_means(content: DataFrame, asks: DataFrame, circles: DataFrame, user: str, author: str, t: str, item: str, embedding: str, at: str, span: int, dims: int, key: str, cap: int | None = None) -> DataFrame:
+    """(key, ring, n, mean) of the content in each ask's window by the authors of each circle around its user.
+
+    circles is (user, node, ring); asks have first_item and last_item, which global_means
+    leaves out of the window. Content is met by author and an equal cell of time. A cap
+    takes that many rows of each ask and circle, those of smallest hash.
+    """
+    who = asks.select(key, F.col(user).alias("user"), F.col(at).alias("_at"), "first_item", "last_item").join(circles, "user")
+    cells = who.withColumn("_cell", F.explode(F.array(F.floor(F.col("_at") / span) - 1, F.floor(F.col("_at") / span))))
+    rows = content.select(F.col(author).alias("node"), F.col(t).alias("_t"), F.col(item).alias("_item"), F.col(embedding).alias("_e")).withColumn("_cell", F.floor(F.col("_t") / span))
+    found = cells.join(rows, ["node", "_cell"]).where((F.col("_t") >= F.col("_at") - span) & (F.col("_t") <= F.col("_at")))
+    found = found.where((F.col("_item") != F.col("first_item")) & (F.col("_item") != F.col("last_item")))
+    if cap:
+        found = capped(found, [key, "ring"], F.col("_item"), cap)
+    means = [F.avg(F.col("_e")[k].cast("double")).alias(f"_m{k}") for k in range(dims)]
+    return found.groupBy(key, "ring").agg(F.count(F.lit(1)).alias("n"), *means).select(key, "ring", "n", F.array(*[F.col(f"_m{k}") for k in range(dims)]).alias("mean"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions import draws
-from agora.sources import store
+from agora.operators.ordered import numbered
 
 DAY = 86_400.0
 
@@ -74,25 +76,6 @@ def every_kth(rows: DataFrame, keys: list[str], order: list[Column], k: int) ->
     return rows.withColumn("_n", n).where(F.col("_n") % k == 1 % k).drop("_n")
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str = "place") -> DataFrame:
-    """rows with their place 0, 1, ... in `order` within each key, and the key's number of rows in <name>_of.
-
-    Rows are dealt over ranges of (keys, order) and numbered inside a range; what the
-    ranges before hold is added from one row for each key and range. So a key that holds
-    most rows is numbered by many tasks. The ranges are a table in the shared folder, as
-    they are read twice.
-    """
-    spark = rows.sparkSession
-    key = [F.col(k) for k in keys]
-    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *key, *order)
-    ranged = store.saved(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
-    sizes = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range")
-    sizes = sizes.select(*keys, "_range", (F.sum("_n").over(before) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(*(keys or [F.lit(0)]))).alias(f"{name}_of"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)) - 1
-    return ranged.withColumn("_inside", inside).join(sizes, [*keys, "_range"]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
-
-
 def stratified_split(rows: DataFrame, label: str, order: list[Column], shares: tuple[float, ...]) -> DataFrame:
     """split 0, 1, ... within each label, cut at int(share * n); the last takes the rest. Null labels go."""
     rows = numbered(rows.where(F.col(label).isNotNull()), [label], order, "_i")
@@ -158,3 +141,140 @@ def best_run(runs: DataFrame, keys: list[str], metric: str, ties: str, least: Co
     """The run of the best metric over 0 for each key, more rows on a tie, among those that meet `least`."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(metric).desc(), F.col(ties).desc()))
     return runs.where(least & (F.col(metric) > 0)).withColumn("_n", n).where("_n = 1").drop("_n")
+
+
+def listed(rows: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """A row for each key: the values of every column in order, and how many there are (null keys go).
+
+    Meant for groups that a reader looks at: a list holds all rows of its key.
+    """
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull())
+    one = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *[F.col(c).alias(f"_{c}") for c in columns]))).alias("_rows"))
+    return one.select(*keys, *[F.col(f"_rows._{c}").alias(c) for c in columns], F.size("_rows").cast("long").alias("count"))
+
+
+def largest_group(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: the size of the largest group."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("largest"))
+
+
+def histogram_moments(bins: DataFrame, keys: list[str], low: float, high: float, n: int) -> DataFrame:
+    """Mean and variance of a histogram's bin centers, and its fullest (the lowest of several), first and last bin."""
+    x = F.lit(low) + (F.col("bin") + 0.5) * ((high - low) / n)
+    rows = bins.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * x).alias("_x"), F.sum(F.col("n") * x * x).alias("_xx"),
+        F.max_by("bin", F.struct("n", -F.col("bin"))).alias("mode_bin"), F.min("bin").alias("first_bin"), F.max("bin").alias("last_bin"),
+    )
+    mean = F.col("_x") / F.col("n")
+    return rows.withColumn("mean", mean).withColumn("var", F.col("_xx") / F.col("n") - mean * mean).drop("_x", "_xx")
+
+
+def by_length(rows: DataFrame, sequence: str, item: str) -> DataFrame:
+    """Batches of sequences of one length: (length, items, count)."""
+    return rows.groupBy(F.size(sequence).cast("long").alias("length")).agg(F.sort_array(F.collect_list(item)).alias("items"), F.count(F.lit(1)).alias("count"))
+
+
+def of_sample(rows: DataFrame, parents: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
+    """Rows of a hash sample of their parents."""
+    return rows.join(hash_sample(parents.select(key).distinct(), [key], share, seed), key, "left_semi")
+
+
+def in_order(rows: DataFrame, ordered: DataFrame, key: str, columns: list[str], place: str) -> DataFrame:
+    """The rows of `ordered` that have a match, with columns of it, in the order of `place`."""
+    return ordered.join(rows.select(key, *columns), key).orderBy(place)
+
+
+def zipped(left: DataFrame, right: DataFrame, left_order: list[Column], right_order: list[Column]) -> DataFrame:
+    """Rows of two tables beside one another by an explicit order of each, as far as the shorter goes."""
+    a, b = numbered(left, [], left_order), numbered(right, [], right_order)
+    return a.drop("place_of").join(b.drop("place_of"), "place")
+
+
+def exactly_one(rows: DataFrame, asks: DataFrame, keys: list[str]) -> DataFrame:
+    """asks with the one row of each; an ask with none or several raises."""
+    found = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    out = asks.join(found, keys, "left")
+    ok = F.coalesce(F.col("_n"), F.lit(0)) == 1
+    name = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    return out.withColumn("_n", F.when(ok, 1).otherwise(F.raise_error(F.concat(F.lit("not exactly one row for "), name)))).where("_n = 1").drop("_n")
+
+
+def latest(asks: DataFrame, rows: DataFrame, keys: list[str], at: str, t: str, order: list[str], columns: list[str]) -> DataFrame:
+    """asks with columns of the last row of their key at or before their time (null without one).
+
+    Asks and rows of a key meet in one order, where an ask takes the last row before it.
+    """
+    mark = rows.select(*keys, F.col(t).alias("_t"), F.struct(*columns).alias("_row"), F.lit(None).cast(_struct(asks)).alias("_ask"), F.struct(*[F.col(c) for c in order]).alias("_o"))
+    ask = asks.select(*keys, F.col(at).alias("_t"), F.lit(None).cast(mark.schema["_row"].dataType).alias("_row"), F.struct(*asks.columns).alias("_ask"), F.lit(None).cast(mark.schema["_o"].dataType).alias("_o"))
+    both = mark.unionByName(ask).withColumn("_kind", F.col("_ask").isNotNull())
+    own = Window.partitionBy(*keys).orderBy("_t", "_kind", "_o").rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("_last", F.last("_row", True).over(own)).where("_kind")
+    return both.select("_ask.*", *[F.col(f"_last.{c}").alias(f"last_{c}") for c in columns])
+
+
+def _struct(rows: DataFrame):
+    return rows.select(F.struct(*rows.columns).alias("s")).schema["s"].dataType
+
+
+def stacked(parts: dict[str, tuple[DataFrame, Column, Column]]) -> DataFrame:
+    """(kind, id, text) of several tables under one another; ids are told apart by kind."""
+    out = None
+    for kind, (rows, key, text) in parts.items():
+        one = rows.select(F.lit(kind).alias("kind"), key.cast("string").alias("id"), text.alias("text"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: whether two tables hold the same rows, each as often."""
+    key = F.struct(*sorted(a.columns))
+    both = a.select(key.alias("r"), F.lit(1).alias("d")).unionByName(b.select(key.alias("r"), F.lit(-1).alias("d")))
+    apart = both.groupBy("r").agg(F.sum("d").alias("d")).where("d <> 0")
+    return apart.agg((F.count(F.lit(1)) == 0).alias("same"))
+
+
+def row_concat(parts: list[DataFrame], row: str) -> DataFrame:
+    """Tables of numbered rows under one another: the rows of each are numbered on after those before."""
+    out, before = None, None
+    for part in parts:
+        size = part.agg((F.max(row) + 1).alias("_n"))
+        one = part if before is None else part.join(F.broadcast(before)).withColumn(row, F.col(row) + F.col("_before")).drop("_before")  # one row
+        out = one if out is None else out.unionByName(one)
+        before = size.select(F.col("_n").alias("_before")) if before is None else before.join(size).select((F.col("_before") + F.col("_n")).alias("_before"))
+    return out
+
+
+def without_columns(rows: DataFrame, pattern: str) -> DataFrame:
+    """rows without the columns whose names match."""
+    return rows.select(*[F.col(f"`{c}`") for c in rows.columns if not re.search(pattern, c)])
+
+
+def parents(comments: DataFrame, submissions: DataFrame, permalink: Column, parent: Column) -> DataFrame:
+    """Comments with their submission's title and text, whether they answer it, and what they answer.
+
+    Needs id, body and author of comments, and permalink, title and selftext of submissions.
+    """
+    posts = submissions.select(F.col("permalink").alias("post_permalink"), "title", "selftext")
+    rows = comments.withColumn("post_permalink", permalink).join(posts, "post_permalink", "left")
+    rows = rows.withColumn("is_base_comment", parent.contains("t3_")).withColumn("parent_specific_id", parent_id(parent))
+    above = comments.select(F.col("id").alias("parent_specific_id"), F.col("body").alias("body_parent"), F.col("author").alias("author_parent"))
+    return rows.join(above, "parent_specific_id", "left")
+
+
+def parent_id(parent: Column) -> Column:
+    from agora.functions.text import bare_id
+
+    return bare_id(parent)
+
+
+def best_in_steps(runs: DataFrame, keys: list[str], metric: str, ties: str) -> DataFrame:
+    """The run of the best metric to four places for each key, the one of more rows among equal ones."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.round(metric, 4).desc(), F.col(ties).desc()))
+    return runs.where(F.round(metric, 4) > 0).withColumn("_n", n).where("_n = 1").drop("_n")
+
+
+def best_by_class(metrics: DataFrame, keys: list[str], label: str, metric: str) -> DataFrame:
+    """For each class the best metric of any run, and its mean over the keys: (label, best, mean)."""
+    best = metrics.groupBy(*keys, label).agg(F.max(metric).alias("_best"))
+    return best.groupBy(label).agg(F.max("_best").alias("best"), F.avg("_best").alias("mean"), F.count(F.lit(1)).alias("n"))

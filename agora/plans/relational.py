@@ -166,11 +166,6 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("lang is not null")
 
 
-@query()
-def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", tx.normalized(F.col("text")).alias("text"))
-
-
 @query("WITH r AS (SELECT source, lang, count(*) AS num_docs, avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END) AS metric FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2) SELECT lang, source, num_docs, round(metric, 6) AS metric FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY round(metric, 6) DESC, num_docs DESC, CAST(regexp_extract(source, '([0-9]+)', 1) AS INTEGER)) AS k FROM r WHERE metric > 0 AND num_docs >= 2) WHERE k = 1")
 def best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").groupBy("source", "lang")

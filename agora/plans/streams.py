@@ -25,12 +25,24 @@ _COSINE = f"{_DOT} / (sqrt({_DOT.replace('{b}', '{a}')}) * sqrt({_DOT.replace('{
 
 
 def content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return it.with_previous(_content(spark, sf_dir), "user_id", ["t", "comment_id"], "own")
+
+
+def _content(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observations(spark, sf_dir).select("comment_id", "user_id", "t", "event_type")
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     rows = obs.join(F.broadcast(vectors.agg(F.count(F.lit(1)).alias("many"))))  # one row
     rows = rows.withColumn("own_id", F.col("comment_id") % F.col("many")).withColumn("viewed_id", (F.col("comment_id") * 7 + 3) % F.col("many")).drop("many")
-    rows = rows.join(vectors.toDF("own_id", "own"), "own_id").join(vectors.toDF("viewed_id", "viewed"), "viewed_id")
-    return it.with_previous(rows, "user_id", ["t", "comment_id"], "own")
+    return rows.join(vectors.toDF("own_id", "own"), "own_id").join(vectors.toDF("viewed_id", "viewed"), "viewed_id")
+
+
+def everything(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All content, that of users with one row too."""
+    return it.with_previous(_content(spark, sf_dir), "user_id", ["t", "comment_id"], "own", least=1)
+
+
+def dimensions(spark: SparkSession, sf_dir: str) -> int:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").agg(F.max(F.size("embedding"))).first()[0] or 0
 
 
 DISTANCE_SQL = f"{CONTENT_SQL}, d AS (SELECT comment_id, {_EUCLID.format(a='prev', b='own')} AS prev_user_euclid_dist, {_COSINE.format(a='prev', b='own')} AS prev_user_cosine_sim, {_EUCLID.format(a='viewed', b='own')} AS viewed_user_euclid_dist, {_COSINE.format(a='viewed', b='own')} AS viewed_user_cosine_sim, {_EUCLID.format(a='viewed', b='prev')} AS viewed_prev_euclid_dist FROM c WHERE prev IS NOT NULL)"
@@ -60,6 +72,52 @@ def changepoint_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("comment_id", dot(F.col("before"), F.col("before")).alias("before_square"), dot(F.col("after"), F.col("after")).alias("after_square")), "before_square", "after_square")
 
 
+#: Who answered whom: the user before on the same issue and day, where the event is an error.
+LINK_SQL = "link AS (SELECT user_id AS src, dst FROM (SELECT user_id, event_type, lag(user_id) OVER (PARTITION BY issue, t // 86400 ORDER BY t, comment_id) AS dst FROM obs) WHERE event_type = 'error' AND dst IS NOT NULL AND dst <> user_id), linked AS (SELECT src, dst FROM link UNION SELECT dst, src FROM link)"
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = observations(spark, sf_dir).withColumn("day", F.floor(F.col("t") / 86_400))
+    before = F.lag("user_id").over(Window.partitionBy("issue", "day").orderBy("t", "comment_id"))
+    return rows.withColumn("dst", before).where("event_type = 'error' and dst is not null").select(F.col("user_id").alias("src"), "dst")
+
+
+AROUND_SQL = f"""{CONTENT_SQL}, ask AS (SELECT comment_id AS ask, user_id, t AS asked, own, prev FROM c WHERE comment_id % 100 = 0 AND prev IS NOT NULL),
+near AS (SELECT ask, item, author, own FROM (SELECT ask.ask, c.comment_id AS item, c.user_id AS author, c.own, row_number() OVER (PARTITION BY ask.ask ORDER BY c.t, c.comment_id) AS r, count(*) OVER (PARTITION BY ask.ask) AS n FROM ask JOIN c ON c.t >= asked - 604800 AND c.t <= asked) WHERE r > 1 AND r < n)"""
+_SPREAD = "unnest(generate_series(1, len({v}))) AS k, unnest({v}) AS x"
+_COMPARE = "round(sqrt(sum(power(m - o, 2))), 6) AS user_euclid_dist, round(sum(m * o) / (sqrt(sum(m * m)) * sqrt(sum(o * o))), 6) + 0.0 AS user_cosine_sim, round(sqrt(sum(power(m - p, 2))), 6) AS prev_euclid_dist, round(sum(m * p) / (sqrt(sum(m * m)) * sqrt(sum(p * p))), 6) + 0.0 AS prev_cosine_sim"
+
+
+def compared(rows: DataFrame, keys: list[str], mean: str) -> DataFrame:
+    """Distances of a mean from the user's content and from what they wrote before."""
+    found = it.distances(rows, {"user": (mean, "own"), "prev": (mean, "prev")})
+    return rounded(found.select(*keys, *[f"{p}_{k}" for p in ("user", "prev") for k in ("euclid_dist", "cosine_sim")]), *[f"{p}_{k}" for p in ("user", "prev") for k in ("euclid_dist", "cosine_sim")])
+
+
+@query(f"WITH {AROUND_SQL}, d AS (SELECT ask, k, avg(x) AS m, count(*) AS n FROM (SELECT ask, {_SPREAD.format(v='own')} FROM near) GROUP BY 1, 2), o AS (SELECT ask, unnest(generate_series(1, len(own))) AS k, unnest(own) AS o, unnest(prev) AS p FROM ask) SELECT ask, max(n) AS n, {_COMPARE} FROM d JOIN o USING (ask, k) GROUP BY 1")
+def global_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of a week's content from what a user then wrote, for every hundredth event against all content."""
+    rows = content(spark, sf_dir)
+    asks = rows.where("comment_id % 100 = 0 and prev is not null").select(F.col("comment_id").alias("ask"), "user_id", F.col("t").alias("at"), "own", "prev")
+    found = it.global_means(everything(spark, sf_dir), asks, "t", "comment_id", "own", "at", 604_800, dimensions(spark, sf_dir)).where("global_n > 0")
+    return compared(found.withColumnRenamed("global_n", "n"), ["ask", "n"], "global_content")
+
+
+@query(f"""WITH {AROUND_SQL}, {LINK_SQL}, u AS (SELECT DISTINCT user_id AS u FROM ask), r1 AS (SELECT DISTINCT u, dst AS node FROM u JOIN linked ON src = u WHERE dst <> u), r2 AS (SELECT DISTINCT u, dst AS node FROM r1 JOIN linked ON src = node WHERE dst <> u AND (u, dst) NOT IN (SELECT u, node FROM r1)), r3 AS (SELECT DISTINCT u, dst AS node FROM r2 JOIN linked ON src = node WHERE dst <> u AND (u, dst) NOT IN (SELECT u, node FROM r1) AND (u, dst) NOT IN (SELECT u, node FROM r2)),
+ring AS (SELECT u, node, 1 AS ring FROM r1 UNION ALL SELECT u, node, 2 FROM r2 UNION ALL SELECT u, node, 3 FROM r3), d AS (SELECT ask, ring, k, avg(x) AS m, count(*) AS n FROM (SELECT near.ask, ring, {_SPREAD.format(v='near.own')} FROM near JOIN ask ON ask.ask = near.ask JOIN ring ON u = user_id AND node = author) GROUP BY 1, 2, 3), o AS (SELECT ask, unnest(generate_series(1, len(own))) AS k, unnest(own) AS o, unnest(prev) AS p FROM ask) SELECT ask, ring, max(n) AS n, {_COMPARE} FROM d JOIN o USING (ask, k) GROUP BY 1, 2""")
+def neighbour_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the content of first, second and third neighbours."""
+    from agora.operators import graph as gr
+
+    rows, dims = content(spark, sf_dir), dimensions(spark, sf_dir)
+    asks = rows.where("comment_id % 100 = 0 and prev is not null").select(F.col("comment_id").alias("ask"), "user_id", F.col("t").alias("at"), "own", "prev")
+    whole = everything(spark, sf_dir)
+    asks = it.global_means(whole, asks, "t", "comment_id", "own", "at", 604_800, dims)
+    circles = gr.rings(links(spark, sf_dir), asks.select("user_id").distinct())
+    found = it.circle_means(whole, asks, circles, "user_id", "user_id", "t", "comment_id", "own", "at", 604_800, dims, "ask")
+    return compared(found.join(asks.select("ask", "own", "prev"), "ask"), ["ask", "ring", "n"], "mean")
+
+
 @query(f"WITH {TOLD_SQL} SELECT coalesce(told[1], 'neutral') AS stance, count(*) AS n FROM w GROUP BY 1")
 def classify_stance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.one_step(answers(spark, sf_dir), "it", "answer").groupBy("stance").agg(F.count(F.lit(1)).alias("n"))

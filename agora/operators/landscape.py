@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -227,3 +228,80 @@ def bootstrap(rows: DataFrame, keys: list[str], unit: list[str], replicates: int
     r = F.try_divide(cov, F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0))))
     cut = (1 - level) / 2
     return sums.groupBy(*keys).agg(F.percentile(r, F.lit(cut)).alias("low"), F.percentile(r, F.lit(1 - cut)).alias("high"), F.avg(r).alias("mean"))
+
+
+def _incomplete_beta(a: float, b: float, x: float) -> float:
+    """The regularized incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _incomplete_beta(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
+    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
+    out = d
+    for m in range(1, 300):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + step * d or 1e-300)
+            c = 1 + step / c or 1e-300
+            out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * out
+
+
+def two_sided_p(t: Column, freedom: Column) -> Column:
+    """P(|T| >= |t|) of Student's distribution; null without freedom."""
+
+    @F.pandas_udf("double")
+    def p(ts: pd.Series, freedoms: pd.Series) -> pd.Series:
+        return pd.Series([_incomplete_beta(f / 2, 0.5, f / (f + v * v)) if f > 0 and v == v else None for v, f in zip(ts, freedoms, strict=True)], dtype="float64")
+
+    return p(t.cast("double"), freedom.cast("double"))
+
+
+def with_p_values(fits: DataFrame) -> DataFrame:
+    """Fits of least_squares with the p-value of their slope: a few rows, so a small helper inside tasks does."""
+    return fits.withColumn("p", two_sided_p(F.col("t"), F.col("n") - 2))
+
+
+def weighted_description(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Weighted means, standard deviations and correlation of x and y, weighted as least_squares does; n - 1 is not used."""
+    w = 1 / F.greatest((F.col("vx") + F.col("vy")) / 2, F.lit(0.01))
+    rows = pairs.where("vx is not null and vy is not null").groupBy(*keys).agg(*_sums(w, F.col("x"), F.col("y")))
+    mx, my = F.col("sx") / F.col("sw"), F.col("sy") / F.col("sw")
+    vx, vy = F.greatest(F.col("sxx") / F.col("sw") - mx * mx, F.lit(0.0)), F.greatest(F.col("syy") / F.col("sw") - my * my, F.lit(0.0))
+    corr = F.try_divide(F.col("sxy") / F.col("sw") - mx * my, F.sqrt(vx * vy))
+    return rows.select(*keys, "n", mx.alias("mean_x"), my.alias("mean_y"), F.sqrt(vx).alias("std_x"), F.sqrt(vy).alias("std_y"), corr.alias("corr"))
+
+
+def beta_mixture_2d(pairs: DataFrame, keys: list[str], points: int = 25) -> DataFrame:
+    """Density on a grid inside (0, 1) x (0, 1) of users with betas (ax, bx) and (ay, by), each normalised over the grid."""
+    xs = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda g: (g + 0.5) / points)
+
+    def curve(a: str, b: str) -> Column:
+        return F.transform(xs, lambda x: (F.col(a) - 1) * F.log(x) + (F.col(b) - 1) * F.log(1 - x))
+
+    rows = pairs.select(*keys, curve("ax", "bx").alias("lx"), curve("ay", "by").alias("ly"))
+    # Logarithms less their largest: narrow densities stay in range.
+    rows = rows.withColumns({c: F.transform(c, _shifted(c)) for c in ("lx", "ly")})
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, p: s + p)
+    rows = rows.withColumn("total", total("lx") * total("ly"))
+    cells = rows.select(*keys, "total", "ly", F.posexplode("lx").alias("gx", "a")).select(*keys, "total", "gx", "a", F.posexplode("ly").alias("gy", "b"))
+    sums = cells.groupBy(*keys, "gx", "gy").agg(F.sum(F.col("a") * F.col("b") / F.col("total")).alias("p"))
+    whole = F.sum("p").over(Window.partitionBy(*keys))
+    return sums.select(*keys, F.col("gx").cast("long").alias("gx"), F.col("gy").cast("long").alias("gy"), (F.col("p") / whole).alias("p"))
+
+
+def _shifted(column: str):
+    return lambda v: F.exp(v - F.array_max(column))
+
+
+def mixture_mean(density: DataFrame, keys: list[str], low: float, high: float, points: int, inside: bool = False) -> DataFrame:
+    """The mean of a density (keys, g, p) over its grid, whose points are its ends or (inside) the middles of its cells."""
+    x = F.lit(low) + ((F.col("g") + 0.5) * ((high - low) / points) if inside else F.col("g") * ((high - low) / (points - 1)))
+    return density.groupBy(*keys).agg((F.sum(F.col("p") * x) / F.sum("p")).alias("mean"))
+
+
+def for_each(rows: DataFrame, community: str) -> DataFrame:
+    """rows once as community `all` and once as their own, so that one grouping gives both."""
+    return rows.withColumn(community, F.explode(F.array(F.lit("all"), F.col(community).cast("string"))))

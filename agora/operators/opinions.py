@@ -205,3 +205,38 @@ def synthetic(spark, users: int, points: int, spread: float, seed: int, low: flo
     draw = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), truth + F.randn(seed) * spread))
     value = F.when(draw > 1 / 3, 1).when(draw < -1 / 3, -1).otherwise(0)
     return rows.withColumn("truth", truth).withColumn("value", value).withColumn("issue", F.lit(0).cast("long")).withColumn("classifier_idx", F.lit(0))
+
+
+def from_best_runs(runs: DataFrame, predictions: DataFrame, exclude: tuple[str, ...] = (), least_precision: float = 0.5) -> DataFrame:
+    """One stance for each comment and issue, folded from the best run of each focus label.
+
+    runs is (issue, focus, run, metric, precision, num_comments); predictions (run, issue,
+    comment_id, value). For each issue and focus the run of the best metric over 0 is taken
+    among those of enough precision, the larger one on a tie; comments need a prediction of
+    each focus that its issue has a run for. Predictions are folded in the order of focus,
+    as ensemble() does. Issues in `exclude` are left out.
+    """
+    from agora.operators.relational import best_run
+
+    kept = runs.where(~F.col("issue").cast("string").isin(*exclude)) if exclude else runs
+    best = best_run(kept.withColumn("_ties", F.struct("num_comments", "run")), ["issue", "focus"], "metric", "_ties", F.col("precision") > least_precision)
+    foci = best.groupBy("issue").agg(F.count(F.lit(1)).alias("_foci"))
+    # A row for each issue and focus: small beside the predictions.
+    chosen = best.select("issue", "run", F.col("focus").alias("classifier_idx"), F.col("precision").alias("w")).join(foci, "issue")
+    rows = predictions.join(chosen, ["issue", "run"])
+    folded = ensemble(rows, ["issue", "comment_id"])
+    whole = rows.groupBy("issue", "comment_id").agg(F.count_distinct("classifier_idx").alias("_n"), F.first("_foci").alias("_foci")).where("_n = _foci")
+    return folded.join(whole.select("issue", "comment_id"), ["issue", "comment_id"])
+
+
+def from_simulator(posts: DataFrame, comments: DataFrame) -> DataFrame:
+    """Observations (comment_id, user_id, t, issue, value, classifier_idx) of a simulation's posts and comments.
+
+    The stance of a text is its position on the nearest of -1, 0, 1; comments are numbered after posts.
+    """
+    from agora.operators.dynamics import nearest_stance
+
+    parts = []
+    for kind, rows in ((0, posts), (1, comments)):
+        parts.append(rows.select(F.xxhash64(F.lit(kind), "replica", "id").alias("comment_id"), "replica", "user_id", F.col("time").alias("t"), F.lit(0).cast("long").alias("issue"), nearest_stance(F.col("position")).alias("value"), F.lit(0).alias("classifier_idx")))
+    return parts[0].unionByName(parts[1])

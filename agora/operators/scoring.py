@@ -54,9 +54,10 @@ def majority(votes: DataFrame, item: str, label: str, draw: str) -> DataFrame:
 
 
 def label_counts(votes: DataFrame, keys: list[str], item: str, label: str = "label") -> DataFrame:
-    """A row for each item with a count for each of CLASSES; keys with fewer than two annotators go."""
-    counts = [F.count(F.when(F.col(label) == c, 1)).alias(c) for c in CLASSES]
-    rows = votes.groupBy(*keys, item).agg(*counts)
+    """A row for each item with a count for each of CLASSES; items with fewer than two votes go, other labels raise."""
+    known = F.when(F.col(label).isin(*CLASSES), F.col(label)).otherwise(F.raise_error(F.concat(F.lit("unknown label "), F.coalesce(F.col(label), F.lit("null")))))
+    counts = [F.count(F.when(F.col("_label") == c, 1)).alias(c) for c in CLASSES]
+    rows = votes.withColumn("_label", known).groupBy(*keys, item).agg(*counts)
     return rows.where(sum((F.col(c) for c in CLASSES), F.lit(0)) >= 2)
 
 
@@ -82,3 +83,30 @@ def gold(first: DataFrame, adjudicated: DataFrame, item: str, label: str = "labe
     """The adjudicated label where there is one, else the first annotator's."""
     other = adjudicated.select(item, F.col(label).alias("_other"))
     return first.join(other, item, "left").select(item, F.coalesce("_other", label).alias(label))
+
+
+def constant(rows: DataFrame, label: str) -> DataFrame:
+    """rows as a classifier that always says `label` predicts them."""
+    return rows.withColumn("predicted", F.lit(label))
+
+
+def annotator_as_classifier(votes: DataFrame, gold: DataFrame, item: str, annotator: str, who) -> DataFrame:
+    """(item, gold, predicted): an annotator's labels against the gold ones."""
+    said = votes.where(F.col(annotator) == who).select(item, F.col("label").alias("predicted"))
+    return said.join(gold.select(item, F.col("label").alias("gold")), item)
+
+
+def averaged(metrics: DataFrame, keys: list[str], over: list[str], columns: list[str]) -> DataFrame:
+    """The mean of each metric over `over`, for each key; a key that lacks some is the mean of those it has."""
+    rows = metrics.groupBy(*keys, *over).agg(*[F.avg(c).alias(c) for c in columns])
+    return rows.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in columns], F.count(F.lit(1)).alias("n"))
+
+
+def to_adjudicate(counts: DataFrame, item: str, before: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """Items whose votes differ, and whether `before` lists the same ones, so that it may be used again."""
+    open_ = counts.where(F.greatest(*(F.col(c) for c in CLASSES)) < sum((F.col(c) for c in CLASSES), F.lit(0)))
+    if before is None:
+        return open_, False
+    from agora.operators.relational import same_rows
+
+    return open_, bool(same_rows(open_.select(item).distinct(), before.select(item).distinct()).first()["same"])

@@ -23,7 +23,7 @@ def opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(op.timeline(weighted(spark, sf_dir), weeks(spark), WEEK), "mean", "var")
+    return rounded(op.timeline(weighted(spark, sf_dir), weeks(spark, sf_dir), WEEK), "mean", "var")
 
 
 SUMS_SQL = "sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * y * y) AS syy, sum(w * x * y) AS sxy, count(*) AS n"
@@ -183,3 +183,48 @@ def before_after_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def between_away(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = distances(spark, sf_dir).select("vec_id", F.col("euclid").alias("p"), (1 - F.col("cosine")).alias("o"))
     return rounded(rows.select("vec_id", vec.between(F.col("p"), F.col("o")).alias("nearer"), vec.away(F.col("p"), F.col("o"), F.lit(2.0)).alias("beyond")), "nearer", "beyond")
+
+
+FIT_SQL = f"""{PAIR_SQL}, s AS (SELECT i, j, {SUMS_SQL} FROM (SELECT *, 1 / greatest((vx + vy) / 2, 0.01) AS w FROM pairs WHERE vx IS NOT NULL AND vy IS NOT NULL) GROUP BY 1, 2),
+c AS (SELECT *, sxx - sx * sx / sw AS cxx, syy - sy * sy / sw AS cyy, sxy - sx * sy / sw AS cxy FROM s)"""
+
+
+@query(f"""WITH {FIT_SQL}, t AS (SELECT i, j, n, sqrt(cxy * cxy / (cxx * cyy) * (n - 2) / (1 - cxy * cxy / (cxx * cyy))) AS t, n - 2 AS f FROM c),
+h AS (SELECT i, j, n, t, f, k, CASE WHEN k = 0 OR k = 4000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END AS w FROM t, generate_series(0, 4000) g(k))
+SELECT i, j, n, round(greatest(1 - 2 * sum(w * exp(lgamma((f + 1) / 2.0) - lgamma(f / 2.0)) / sqrt(f * pi()) * power(1 + power(t * k / 4000.0, 2) / f, -(f + 1) / 2.0)) * max(t) / 12000.0, 0), 5) + 0.0 AS p FROM h GROUP BY 1, 2, 3""")
+def regression_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held against Simpson's rule over the density."""
+    rows = la.with_p_values(la.least_squares(la.issue_pairs(opinions(spark, sf_dir)), ["i", "j"]))
+    return rows.select("i", "j", "n", (F.round("p", 5) + F.lit(0.0)).alias("p"))
+
+
+@query(f"WITH {FIT_SQL} SELECT i, j, n, round(sx / sw, 6) + 0.0 AS mean_x, round(sy / sw, 6) + 0.0 AS mean_y, round(sqrt(cxx / sw), 6) AS std_x, round(sqrt(cyy / sw), 6) AS std_y, round(cxy / sqrt(cxx * cyy), 6) + 0.0 AS corr FROM c")
+def weighted_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = la.weighted_description(la.issue_pairs(opinions(spark, sf_dir)), ["i", "j"])
+    return rounded(rows, "mean_x", "mean_y", "std_x", "std_y", "corr")
+
+
+BETA_SQL = f"{WEIGHT_SQL}, ab AS (SELECT user_id, issue, 1.0::DOUBLE + count(*) FILTER (value = 1) AS a, 1.0::DOUBLE + count(*) FILTER (value = -1) AS b FROM wobs GROUP BY 1, 2), g AS (SELECT i AS g, (i + 0.5::DOUBLE) / 25 AS x FROM range(25) r(i))"
+
+
+@query(f"""WITH {BETA_SQL}, l AS (SELECT issue, user_id, g, (a - 1) * ln(x) + (b - 1) * ln(1 - x) AS v FROM ab, g), e AS (SELECT issue, user_id, g, exp(v - max(v) OVER (PARTITION BY issue, user_id)) AS p FROM l), u AS (SELECT issue, user_id, g, p / sum(p) OVER (PARTITION BY issue, user_id) AS p FROM e),
+s AS (SELECT x.issue AS i, y.issue AS j, x.g AS gx, y.g AS gy, sum(x.p * y.p) AS p FROM u x JOIN u y ON x.user_id = y.user_id AND x.issue < y.issue GROUP BY 1, 2, 3, 4) SELECT i, j, gx, gy, round(p / sum(p) OVER (PARTITION BY i, j), 6) + 0.0 AS p FROM s""")
+def beta_mixture_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    favor, against = (F.count(F.when(F.col("value") == k, 1)).cast("double") + 1 for k in (1, -1))
+    rows = weighted(spark, sf_dir).groupBy("user_id", "issue").agg(favor.alias("a"), against.alias("b"))
+    one = rows.select("user_id", F.col("issue").alias("i"), F.col("a").alias("ax"), F.col("b").alias("bx"))
+    two = rows.select("user_id", F.col("issue").alias("j"), F.col("a").alias("ay"), F.col("b").alias("by"))
+    return rounded(la.beta_mixture_2d(one.join(two, "user_id").where("i < j"), ["i", "j"]), "p")
+
+
+@query(f"""WITH {BETA_SQL}, l AS (SELECT issue, user_id, g, x, (a - 1) * ln(x) + (b - 1) * ln(1 - x) AS v FROM ab, g), e AS (SELECT issue, user_id, g, x, exp(v - max(v) OVER (PARTITION BY issue, user_id)) AS p FROM l), u AS (SELECT issue, x, p / sum(p) OVER (PARTITION BY issue, user_id) AS p FROM e) SELECT issue, round(sum(p * x) / sum(p), 6) AS mean FROM u GROUP BY 1""")
+def mixture_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    favor, against = (F.count(F.when(F.col("value") == k, 1)).cast("double") + 1 for k in (1, -1))
+    rows = weighted(spark, sf_dir).groupBy("user_id", "issue").agg(favor.alias("alpha"), against.alias("beta"))
+    return rounded(la.mixture_mean(la.beta_mixture(rows, ["issue"]), ["issue"], 0.0, 1.0, 25, inside=True), "mean")
+
+
+@query(f"""WITH {WEIGHT_SQL}, o AS (SELECT issue, event_type AS community, w, value FROM wobs UNION ALL SELECT issue, 'all', w, value FROM wobs) SELECT community, issue, round(sum(w * value) / nullif(sum(w), 0), 6) + 0.0 AS mean, count(*) AS n FROM o GROUP BY 1, 2""")
+def opinion_by_community(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = la.for_each(weighted(spark, sf_dir).withColumnRenamed("event_type", "community"), "community")
+    return rounded(op.opinion(rows, ["community", "issue"]).drop("var"), "mean")

@@ -10,10 +10,9 @@ from agora.registry import query
 from agora.tables import EDGE_SQL, OBS_SQL, PROFILE_SQL, WEIGHT_SQL, observations, profiles, read, seconds
 
 WEEK = 7 * 86_400
-START = 1_704_067_200  # 2024-01-01
-WEEKS = 5
+MONDAY = 345_600  # the first Monday after 1970-01-01
 VAR_SQL = "CASE WHEN count(value) > 1 THEN round((sum(w * value * value) / nullif(sum(w), 0) - power(sum(w * value) / nullif(sum(w), 0), 2)) * count(value) / (count(value) - 1), 6) + 0.0 END"
-WINDOW_SQL = f"win AS (SELECT i AS window_id, {START} + i * {WEEK} AS lo, {START} + (i + 1) * {WEEK} AS hi FROM range({WEEKS}) r(i))"
+WINDOW_SQL = f"span AS (SELECT (min(t) - {MONDAY}) // {WEEK} AS a, max(t) AS z FROM obs), win AS (SELECT i - a AS window_id, {MONDAY} + i * {WEEK} AS lo, {MONDAY} + (i + 1) * {WEEK} AS hi FROM span, generate_series(a, (z - {MONDAY}) // {WEEK}) r(i))"
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -25,8 +24,13 @@ def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.weighted(observations(spark, sf_dir), profiles(spark))
 
 
-def weeks(spark: SparkSession) -> DataFrame:
-    return op.windows(spark, START, START + WEEKS * WEEK, WEEK)
+def weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weeks from Monday that hold an event, in one row each; two times reach the driver."""
+    low, high = observations(spark, sf_dir).agg(F.min("t"), F.max("t")).first()
+    if low is None:
+        return op.windows(spark, 0, 0, WEEK)
+    start = MONDAY + (low - MONDAY) // WEEK * WEEK
+    return op.windows(spark, start, high + 1, WEEK)
 
 
 @query(f"WITH {WEIGHT_SQL} SELECT user_id, issue, round(sum(w * value) / nullif(sum(w), 0), 6) + 0.0 AS mean, {VAR_SQL} AS var, count(*) AS n FROM wobs GROUP BY 1, 2")
@@ -36,20 +40,20 @@ def weighted_opinion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {WEIGHT_SQL}, {WINDOW_SQL} SELECT window_id, user_id, issue, round(sum(w * value) / nullif(sum(w), 0), 6) + 0.0 AS mean, {VAR_SQL} AS var, count(*) AS n FROM wobs JOIN win ON t >= lo AND t <= hi GROUP BY 1, 2, 3")
 def opinion_timeline_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(op.timeline(weighted(spark, sf_dir), weeks(spark), WEEK), "mean", "var")
+    return rounded(op.timeline(weighted(spark, sf_dir), weeks(spark, sf_dir), WEEK), "mean", "var")
 
 
 @query(f"""WITH {WEIGHT_SQL}, {WINDOW_SQL}, line AS (SELECT window_id, user_id, issue, round(sum(w * value) / nullif(sum(w), 0), 6) + 0.0 AS mean FROM wobs JOIN win ON t >= lo AND t <= hi GROUP BY 1, 2, 3)
 SELECT window_id, user_id, issue, mean FROM (SELECT DISTINCT user_id FROM obs) u CROSS JOIN (SELECT DISTINCT issue FROM obs) i CROSS JOIN (SELECT window_id FROM win) w LEFT JOIN line USING (window_id, user_id, issue)""")
 def opinion_timeline_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, spans = weighted(spark, sf_dir), weeks(spark)
+    rows, spans = weighted(spark, sf_dir), weeks(spark, sf_dir)
     line = rounded(op.timeline(rows, spans, WEEK), "mean").select("window_id", "user_id", "issue", "mean")
     return op.complete(line, spans, rows)
 
 
 @query(f"WITH {WEIGHT_SQL}, {WINDOW_SQL}, aged AS (SELECT window_id, user_id, issue, value, w * power(0.5, floor((hi - t) / 86400.0) / 50.0) AS w FROM wobs JOIN win ON t >= lo AND t <= hi) SELECT window_id, user_id, issue, round(sum(w * value) / nullif(sum(w), 0), 6) + 0.0 AS mean, {VAR_SQL} AS var, count(*) AS n FROM aged GROUP BY 1, 2, 3")
 def exp_smoothed_opinion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(op.timeline(weighted(spark, sf_dir), weeks(spark), WEEK, 50.0), "mean", "var")
+    return rounded(op.timeline(weighted(spark, sf_dir), weeks(spark, sf_dir), WEEK, 50.0), "mean", "var")
 
 
 @query(f"WITH {OBS_SQL}, p AS (SELECT *, power(0.9, row_number() OVER (PARTITION BY user_id, issue ORDER BY t, comment_id) - 1) AS w FROM obs) SELECT user_id, issue, round(sum(w * value) / sum(w), 6) + 0.0 AS mean FROM p GROUP BY 1, 2")
@@ -147,4 +151,28 @@ def synthetic_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.opinion(op.weighted(rows, profiles(spark)), ["user_id", "truth"])
 
 
+#: Six runs of a classifier for each issue, two for each focus label; a run errs on every fourth comment.
+BEST_SQL = f"""{OBS_SQL}, seen AS (SELECT issue, count(*) AS num_comments FROM obs GROUP BY 1), runs AS (SELECT issue, CAST(run % 3 AS INTEGER) AS focus, run, ((issue * 7 + run * 3) % 10) / 10.0::DOUBLE AS metric, CASE WHEN (issue + run) % 5 = 0 THEN 0.5::DOUBLE ELSE 0.6 + run / 20.0::DOUBLE END AS precision, num_comments + run % 2 AS num_comments FROM seen, range(6) r(run)),
+best AS (SELECT issue, focus, run, precision AS w FROM (SELECT *, row_number() OVER (PARTITION BY issue, focus ORDER BY metric DESC, num_comments DESC, run DESC) AS k FROM runs WHERE precision > 0.5 AND metric > 0 AND issue <> 2) WHERE k = 1),
+said AS (SELECT b.issue, comment_id, focus, w, CASE WHEN (comment_id + run) % 4 = 0 THEN 0 ELSE value END AS value FROM obs JOIN best b USING (issue) WHERE comment_id % 7 <> run),
+full_ AS (SELECT issue, comment_id FROM said GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM best WHERE best.issue = said.issue)),
+wide AS (SELECT issue, comment_id, max(CASE WHEN focus = 0 THEN value END) AS v0, max(CASE WHEN focus = 0 THEN w END) AS w0, max(CASE WHEN focus = 1 THEN value END) AS v1, max(CASE WHEN focus = 1 THEN w END) AS w1, max(CASE WHEN focus = 2 THEN value END) AS v2, max(CASE WHEN focus = 2 THEN w END) AS w2 FROM said JOIN full_ USING (issue, comment_id) GROUP BY 1, 2),
+a AS (SELECT *, coalesce(w0, 0) AS b0, CASE WHEN w0 > 0.5 AND v0 <> 0 THEN v0 ELSE 0 END AS l0 FROM wide), b AS (SELECT *, CASE WHEN w1 > b0 THEN w1 ELSE b0 END AS b1, CASE WHEN w1 > b0 AND v1 <> 0 THEN v1 ELSE l0 END AS l1 FROM a)"""
+
+
+@query(f"WITH {BEST_SQL} SELECT issue, comment_id, CASE WHEN w2 > b1 AND v2 <> 0 THEN v2 ELSE l1 END AS value, round(CASE WHEN w2 > b1 THEN w2 ELSE b1 END, 6) AS w FROM b")
+def best_run_stances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stance for each comment from the best runs of each focus label; issue 2 is left out by name."""
+    obs = observations(spark, sf_dir).select("issue", "comment_id", "value")
+    issue, run = F.col("issue"), F.col("run")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("run")
+    runs = obs.groupBy("issue").agg(F.count(F.lit(1)).alias("seen")).select("issue", "seen", every).select(
+        "issue", (run % 3).cast("int").alias("focus"), "run", ((issue * 7 + run * 3) % 10 / 10.0).alias("metric"),
+        F.when((issue + run) % 5 == 0, 0.5).otherwise(F.lit(0.6) + run / 20.0).alias("precision"), (F.col("seen") + run % 2).alias("num_comments"),
+    )
+    said = obs.select("issue", "comment_id", "value", every).where("comment_id % 7 <> run")
+    said = said.select("run", "issue", "comment_id", F.when((F.col("comment_id") + run) % 4 == 0, 0).otherwise(F.col("value")).alias("value"))
+    return rounded(op.from_best_runs(runs, said, ("2",)), "w").select("issue", "comment_id", "value", "w")
+
+
 EDGES = EDGE_SQL

@@ -82,3 +82,52 @@ def disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def adjudicated_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = votes(spark, sf_dir)
     return sc.gold(rows.where("annotator = 0"), rows.where("annotator = 2 and doc_id % 2 = 0"), "doc_id")
+
+
+BASE_SQL = f"""{PAIR_SQL}, base AS (SELECT lang, said, gold, said AS predicted FROM pair, (VALUES ('favor'), ('against'), ('neutral')) s(said)),
+bhit AS (SELECT lang, said, label, CAST(count(*) FILTER (gold = label AND predicted = label) AS DOUBLE) AS hit, count(*) FILTER (predicted = label) AS all_said, count(*) FILTER (gold = label) AS support FROM base, (VALUES ('favor'), ('against'), ('neutral')) l(label) GROUP BY 1, 2, 3),
+bpr AS (SELECT *, CASE WHEN support > 0 THEN coalesce(hit / nullif(all_said, 0), 0) ELSE 0 END AS p, coalesce(hit / nullif(support, 0), 0) AS r FROM bhit),
+bf AS (SELECT lang, said, label, support, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f1 FROM bpr), bm AS (SELECT lang, said, coalesce(avg(f1) FILTER (label <> 'neutral' AND support > 0), 0) AS macro FROM bf GROUP BY 1, 2)"""
+
+
+@query(f"WITH {BASE_SQL} SELECT lang, said, round(macro, 6) AS macro FROM bm")
+def constant_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macro scores of classifiers that always say the same."""
+    rows = pairs(spark, sf_dir).drop("predicted")
+    every = None
+    for label in sc.CLASSES:
+        one = sc.constant(rows, label).withColumn("always", F.lit(label))
+        every = one if every is None else every.unionByName(one)
+    metrics = sc.class_metrics(sc.confusion(every, ["lang", "always"]), ["lang", "always"])
+    return rounded(sc.macro(metrics, ["lang", "always"]).withColumnRenamed("always", "said"), "macro")
+
+
+@query(f"WITH {BASE_SQL} SELECT said, round(avg(macro), 6) AS macro, count(*) AS n FROM bm GROUP BY 1")
+def averaged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baselines' scores averaged over stances (here languages)."""
+    return rounded(sc.averaged(constant_baselines(spark, sf_dir), ["said"], ["lang"], ["macro"]), "macro")
+
+
+@query(f"WITH {VOTE_SQL} SELECT a.lang, b.label AS gold, a.label AS predicted, count(*) AS n FROM vote a JOIN vote b ON a.doc_id = b.doc_id AND b.annotator = 0 WHERE a.annotator = 1 GROUP BY 1, 2, 3")
+def annotator_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An annotator's labels scored against another's as if they were a classifier's."""
+    rows = votes(spark, sf_dir)
+    scored = sc.annotator_as_classifier(rows, rows.where("annotator = 0"), "doc_id", "annotator", 1)
+    return sc.confusion(scored.join(rows.where("annotator = 0").select("doc_id", "lang"), "doc_id"), ["lang"])
+
+
+@query(f"WITH {PAIR_SQL} SELECT lang, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS epoch, round(avg(CASE WHEN gold <> predicted THEN 1.0::DOUBLE ELSE 0 END), 6) AS loss, count(*) AS n FROM pair GROUP BY 1, 2")
+def mean_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pairs(spark, sf_dir).withColumn("epoch", F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd"))
+    loss = F.avg(F.when(F.col("gold") != F.col("predicted"), 1.0).otherwise(0.0)).alias("loss")
+    return rounded(rows.groupBy("lang", "epoch").agg(loss, F.count(F.lit(1)).alias("n")), "loss")
+
+
+@query(f"WITH {COUNT_SQL} SELECT doc_id, favor, against, neutral, TRUE AS again, FALSE AS changed FROM cnt WHERE greatest(favor, against, neutral) < favor + against + neutral")
+def reused_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Disagreements, whether the list of them is still the same, and that a shorter list is not."""
+    counts = sc.label_counts(votes(spark, sf_dir), ["lang"], "doc_id")
+    open_, _ = sc.to_adjudicate(counts, "doc_id")
+    again = sc.to_adjudicate(counts, "doc_id", open_)[1]
+    changed = sc.to_adjudicate(counts, "doc_id", open_.orderBy("doc_id").limit(1))[1]
+    return open_.select("doc_id", "favor", "against", "neutral", F.lit(again).alias("again"), F.lit(changed).alias("changed"))

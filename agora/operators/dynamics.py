@@ -1,10 +1,17 @@
-"""Opinion dynamics: update rules, and a simulation that is a table for each step."""
+"""Opinion dynamics: update rules, a simulation that is a table for each step, and many small ones side by side."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from agora.functions import draws
+from agora.sources import store
+
 
 def degroot(state: Column, attention: Column, content: Column) -> Column:
     return state + attention * content
@@ -27,6 +34,13 @@ def choice_weight(distance: Column, exponent: float) -> Column:
     return F.least(power, F.lit(100.0))
 
 
+def bernoulli_average(distance: Column, average: Column, n: Column, exponent: float) -> Column:
+    """The chance of one of n contents when the others are taken to be at their average distance; null for two zeros."""
+    one, rest = F.pow(distance, F.lit(-exponent)), F.pow(average, F.lit(-exponent))
+    both = one + (n - 1) * rest
+    return F.when((distance > 0) & (average > 0), one / both)
+
+
 def choice_probabilities(pairs: DataFrame, keys: list[str], distance: str, exponent: float) -> DataFrame:
     """p of each candidate among those of its keys; 0 where all weights are 0."""
     w = choice_weight(F.col(distance), exponent)
@@ -43,63 +57,171 @@ def choose(pairs: DataFrame, keys: list[str], order: str, draw: Column) -> DataF
     return rows.withColumn("_n", n).where("_n = 1").drop("_n", "_up", "_draw")
 
 
+def chosen_difference(pairs: DataFrame, keys: list[str], item: str, order: str, difference: str, draw: Column, every: DataFrame) -> DataFrame:
+    """(keys, chosen, difference) for every key: what choose() takes, or -1 and 0 where nothing can be chosen."""
+    found = choose(pairs, keys, order, draw).select(*keys, F.col(item).alias("chosen"), F.col(difference).alias("difference"))
+    return every.select(*keys).distinct().join(found, keys, "left").na.fill({"chosen": -1, "difference": 0.0})
+
+
+def with_null_choice(pairs: DataFrame, keys: list[str], item: str, distance: str, away: float) -> DataFrame:
+    """pairs and, for each key, the choice of nothing (item -1), as far away as `away`."""
+    nothing = pairs.select(*keys).distinct().withColumn(item, F.lit(-1).cast(dict(pairs.dtypes)[item])).withColumn(distance, F.lit(float(away)))
+    return pairs.select(*keys, item, distance).unionByName(nothing)
+
+
 def nearest_stance(x: Column) -> Column:
     """The nearest of -1, 0, 1; of equally near ones the lower."""
     return F.when(x <= -0.5, -1).when(x <= 0.5, 0).otherwise(1)
 
 
 def users(spark: SparkSession, n: int, seed: int) -> DataFrame:
-    """Users with a uniform position and clipped normal traits."""
+    """Users with a uniform position and clipped normal traits, all drawn by hash of the user."""
 
     def trait(k: int, mean: float, spread: float) -> Column:
-        return F.least(F.greatest(F.randn(seed + k) * spread + mean, F.lit(0.0)), F.lit(1.0))
-
-    return spark.range(n).select(
-        F.col("id").alias("user_id"),
-        (F.rand(seed) * 2 - 1).alias("initial"),
-        trait(1, 0.7, 0.1).alias("sus"),
-        trait(2, 0.5, 0.1).alias("attention"),
-        trait(3, 0.3, 0.1).alias("post_rate"),
-    ).withColumn("position", F.col("initial"))
+        return F.least(F.greatest(draws.normal(seed + k, "user_id") * spread + mean, F.lit(0.0)), F.lit(1.0))
 
+    rows = spark.range(n).select(F.col("id").alias("user_id")).withColumn("initial", draws.uniform(seed, "user_id") * 2 - 1)
+    rows = rows.withColumns({"sus": trait(1, 0.7, 0.1), "attention": trait(2, 0.5, 0.1), "post_rate": trait(3, 0.3, 0.1)})
+    return rows.withColumn("position", F.col("initial"))
 
-def _noise(seed: int, step: int, *keys: str) -> Column:
-    """A uniform number in [0, 1) by hash, so that a step computed again draws the same."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed), F.lit(step)), F.lit(1 << 30)) / float(1 << 30)
 
+def step(state: DataFrame, posts: DataFrame, at: int, seed: int, cells: int, exponent: float = 2.0, lifetime: int = 10, recent: int = 20) -> tuple[DataFrame, DataFrame]:
+    """One step: old posts expire, users post, each reads one recent post chosen by nearness, positions move.
 
-def step(state: DataFrame, posts: DataFrame, at: int, seed: int, exponent: float = 2.0, lifetime: int = 10, recent: int = 20) -> tuple[DataFrame, DataFrame]:
-    """One step: old posts expire, users post, each reads one recent post chosen by nearness, positions move."""
+    Readers and posts meet in `cells` that are dealt anew in each step; a cell shows its
+    `recent` last posts, which is what a user can see of the platform.
+    """
     posts = posts.where(F.col("time") > at - lifetime)
-    writers = state.where(_noise(seed, at, "user_id") < F.col("post_rate"))
-    stance = nearest_stance(F.col("position") + (_noise(seed + 1, at, "user_id") - 0.5) * 0.2)
+    writers = state.where(draws.uniform(seed, F.lit(at), "user_id") < F.col("post_rate"))
+    stance = nearest_stance(F.col("position") + (draws.uniform(seed + 1, F.lit(at), "user_id") - 0.5) * 0.2)
     posts = posts.unionByName(writers.select(F.col("user_id").alias("author"), F.lit(at).alias("time"), stance.cast("double").alias("stance")))
-    # Readers and posts meet in cells; each cell shows its most recent posts.
-    cells = 16
-    shown = posts.withColumn("cell", F.pmod(F.xxhash64("author", "time"), F.lit(cells)))
+    shown = posts.withColumn("cell", F.pmod(F.xxhash64("author", "time", F.lit(at)), F.lit(cells)))
     n = F.row_number().over(Window.partitionBy("cell").orderBy(F.col("time").desc(), "author"))
     shown = shown.withColumn("_n", n).where(F.col("_n") <= recent).drop("_n")
     readers = state.withColumn("cell", F.pmod(F.xxhash64("user_id", F.lit(at)), F.lit(cells)))
     pairs = readers.join(shown, "cell").where("author <> user_id").withColumn("distance", F.abs(F.col("stance") - F.col("position")))
     pairs = choice_probabilities(pairs.withColumn("k", F.struct("author", "time")), ["user_id"], "distance", exponent)
-    read = choose(pairs, ["user_id"], "k", _noise(seed + 2, at, "user_id")).select("user_id", (F.col("attention") * (F.col("stance") - F.col("position"))).alias("pull"))
+    read = choose(pairs, ["user_id"], "k", draws.uniform(seed + 2, F.lit(at), "user_id")).select("user_id", (F.col("attention") * (F.col("stance") - F.col("position"))).alias("pull"))
     moved = state.join(read, "user_id", "left")
     new = F.col("position") + F.coalesce("pull", F.lit(0.0))
     position = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("sus") * new + (1 - F.col("sus")) * F.col("initial")))
     return moved.withColumn("position", position).drop("pull"), posts
 
 
-def simulate(spark: SparkSession, n: int, steps: int, seed: int = 0) -> DataFrame:
-    """(step, user_id, position) of every step; lineage is cut by checkpoints where a folder is set."""
-    state = users(spark, n, seed)
+def simulate(spark: SparkSession, n: int, steps: int, seed: int = 0, per_cell: int = 64) -> DataFrame:
+    """(step, user_id, position) of every step of one large population; each step is a table in the shared folder."""
+    state = store.saved(users(spark, n, seed), "state")
     posts = spark.createDataFrame([], "author long, time int, stance double")
     history = state.select(F.lit(0).alias("step"), "user_id", "position")
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
     for at in range(1, steps + 1):
-        state, posts = step(state, posts, at, seed)
-        if folder:
-            state, posts = state.checkpoint(), posts.checkpoint()
+        state, posts = (store.saved(d, "state") for d in step(state, posts, at, seed, max(1, -(-n // per_cell))))
         history = history.unionByName(state.select(F.lit(at).alias("step"), "user_id", "position"))
     return history
+
+
+PLATFORM = "replica long, kind string, id long, user_id long, time int, position double, post_id long, parent_id long"
+
+
+def platforms(spark: SparkSession, replicas: int, n: int = 100, steps: int = 100, seed: int = 0, exponent: float = 2.0, lifetime: int = 10, seen: int = 3) -> DataFrame:
+    """Many small platforms, a task each: users, posts and comments of every step, in one table of PLATFORM.
+
+    In each step some users post; then each picks a live post by nearness and moves to it,
+    sees its last `seen` comments and moves to their mean, and picks the post or one of them
+    to answer (which moves the user too, where it is a comment); some write that answer.
+    Posts and comments older than `lifetime` are gone. A replica is drawn from its number
+    and the seed alone, and its size is n users, whatever the number of replicas.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for replica in batch["id"]:
+                yield _platform(int(replica), n, steps, seed, exponent, lifetime, seen)
+
+    return spark.range(0, replicas, 1, min(replicas, 4 * spark.sparkContext.defaultParallelism)).mapInPandas(run, PLATFORM)
+
+
+def _pick(rnd: np.random.Generator, distance: np.ndarray, exponent: float) -> int:
+    with np.errstate(divide="ignore"):
+        weight = np.minimum(distance**-exponent, 100.0)
+    return int(rnd.choice(len(weight), p=weight / weight.sum()))
+
+
+def _platform(replica: int, n: int, steps: int, seed: int, exponent: float, lifetime: int, seen: int) -> pd.DataFrame:
+    rnd = np.random.default_rng([seed, replica])
+    initial = rnd.uniform(-1, 1, n)
+    trait = lambda mean: np.clip(rnd.normal(mean, 0.1, n), 0, 1)
+    sus, see, reply, attend, rate = trait(0.7), trait(0.3), trait(0.4), trait(0.5), trait(0.3)
+    position, rows = initial.copy(), [(replica, "user", i, i, 0, initial[i], None, None) for i in range(n)]
+    posts: list[tuple] = []  # (id, author, time, position)
+    comments: dict[int, list[tuple]] = {}
+    made = {"post": 0, "comment": 0}
+
+    def stance(x: float) -> float:
+        x += rnd.normal(0, 0.1)
+        return -1.0 if x <= -0.5 else 0.0 if x <= 0.5 else 1.0
+
+    for at in range(1, steps + 1):
+        posts = [p for p in posts if p[2] > at - lifetime]
+        comments = {p[0]: [c for c in comments.get(p[0], []) if c[2] > at - lifetime] for p in posts}
+        for i in np.flatnonzero(rnd.random(n) < rate).tolist():
+            new = (made["post"], i, at, stance(position[i]))
+            made["post"] += 1
+            posts.append(new)
+            comments[new[0]] = []
+            rows.append((replica, "post", new[0], i, at, new[3], None, None))
+        where, answers = np.array([p[3] for p in posts]), []
+        moved = position.copy()
+        for i in range(n if posts else 0):
+            post = posts[_pick(rnd, np.abs(where - position[i]), exponent)]
+            moved[i] += attend[i] * (post[3] - position[i])
+            shown = comments[post[0]][-seen:]
+            near = np.array([post[3], *(c[3] for c in shown)]) - position[i]
+            chosen = _pick(rnd, np.abs(near), exponent)
+            if shown:
+                moved[i] += see[i] * near[1:].mean() + reply[i] * (near[chosen] if chosen else 0)
+            if rnd.random() < rate[i]:
+                answers.append((post[0], i, stance(position[i]), shown[chosen - 1][0] if chosen else None))
+        for post, i, x, parent in answers:
+            comments[post].append((made["comment"], i, at, x))
+            rows.append((replica, "comment", made["comment"], i, at, x, post, parent))
+            made["comment"] += 1
+        position = np.clip(sus * moved + (1 - sus) * initial, -1, 1)
+        rows += [(replica, "user", i, i, at, position[i], None, None) for i in range(n)]
+    out = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in PLATFORM.split(", ")])
+    return out.astype({"post_id": "Int64", "parent_id": "Int64"})
+
+
+def interaction_edges(platform: DataFrame) -> DataFrame:
+    """(replica, src, dst, type, time): who answered whose post or comment."""
+    comments = platform.where("kind = 'comment'")
+    posts = platform.where("kind = 'post'").select("replica", F.col("id").alias("post_id"), F.col("user_id").alias("dst"))
+    others = comments.select("replica", F.col("id").alias("parent_id"), F.col("user_id").alias("dst"))
+    to_posts = comments.where("parent_id is null").join(posts, ["replica", "post_id"]).withColumn("type", F.lit("post_comment"))
+    to_comments = comments.where("parent_id is not null").join(others, ["replica", "parent_id"]).withColumn("type", F.lit("comment_reply"))
+    columns = ["replica", F.col("user_id").alias("src"), "dst", "type", "time"]
+    return to_posts.select(*columns).unionByName(to_comments.select(*columns))
+
+
+def fit_choice_weight(candidates: DataFrame, keys: list[str], distance: str, chosen: str, prior: float = 1.0, tolerance: float = 1e-8, rounds: int = 60) -> tuple[float, float]:
+    """The exponent w of P(choice) ~ distance ** -w that explains the choices best, and its standard error.
+
+    Newton steps on the log likelihood with a normal prior around 0 of that standard
+    deviation; each sends three sums to the driver. Distances are kept from 0 by 0.01,
+    which is where the weight of a choice would reach its bound. Keys without a choice or
+    with one candidate say nothing.
+    """
+    x = F.log(F.greatest(F.col(distance), F.lit(0.01)))
+    rows = store.saved(candidates.select(*keys, x.alias("x"), F.col(chosen).cast("int").alias("c")), "choices")
+    w, bend = 0.0, 1.0
+    for _ in range(rounds):
+        e = F.exp(-F.lit(w) * F.col("x"))
+        sums = rows.groupBy(*keys).agg(F.sum(e).alias("z"), F.sum(e * F.col("x")).alias("zx"), F.sum(e * F.col("x") * F.col("x")).alias("zxx"), F.sum(F.when(F.col("c") == 1, F.col("x"))).alias("own"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("k")).where("n = 1 and k > 1")
+        mean = F.col("zx") / F.col("z")
+        got = sums.agg(F.sum(mean - F.col("own")).alias("slope"), F.sum(F.col("zxx") / F.col("z") - mean * mean).alias("bend")).first()
+        slope = (got["slope"] or 0.0) - w / prior**2
+        bend = (got["bend"] or 0.0) + 1 / prior**2
+        move = max(-2.0, min(2.0, slope / bend))
+        w += move
+        if abs(move) < tolerance:
+            break
+    return w, bend**-0.5

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from agora.sources import store
+
 STATES = (-1, 0, 1)
 
 
@@ -128,30 +130,35 @@ START_PRIOR, MOVE_PRIOR = np.array([1.0, 10.0, 1.0]), 0.9 * np.eye(3) + 0.1
 
 
 def expected_moves(seq: np.ndarray, start: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Forward and backward over emission rows: expected first state, expected moves, log likelihood."""
-    n = len(seq)
-    f, b, scale = np.zeros((n, 3)), np.ones((n, 3)), np.zeros(n)
-    state = start * seq[0]
+    """Forward and backward over sequences of one length (sequences x steps x 3 emissions): summed expected first states, moves, log likelihood."""
+    count, n, _ = seq.shape
+    f, b, scale = np.zeros((n, count, 3)), np.ones((count, 3)), np.zeros((n, count, 1))
+    state = start * seq[:, 0]
     for i in range(n):
         if i:
-            state = f[i - 1] @ moves * seq[i]
-        scale[i] = max(state.sum(), 1e-300)
+            state = f[i - 1] @ moves * seq[:, i]
+        scale[i] = np.maximum(state.sum(1, keepdims=True), 1e-300)
         f[i] = state / scale[i]
-    for i in range(n - 2, -1, -1):
-        b[i] = moves @ (seq[i + 1] * b[i + 1]) / scale[i + 1]
-    pairs = sum((np.outer(f[i], seq[i + 1] * b[i + 1]) * moves / scale[i + 1] for i in range(n - 1)), np.zeros((3, 3)))
-    return f[0] * b[0], pairs, float(np.log(scale).sum())
+    pairs = np.zeros((3, 3))
+    for i in range(n - 1, 0, -1):
+        ahead = seq[:, i] * b / scale[i]
+        pairs += f[i - 1].T @ ahead * moves
+        b = ahead @ moves.T
+    return (f[0] * b).sum(0), pairs, float(np.log(scale).sum())
 
 
-def hidden_markov(obs: DataFrame, profile: DataFrame, group: str, user: str = "user_id", order: tuple[str, ...] = ("t", "comment_id"), rounds: int = 12) -> DataFrame:
+def hidden_markov(obs: DataFrame, profile: DataFrame, group: str, user: str = "user_id", order: tuple[str, ...] = ("t", "comment_id"), rounds: int = 200, tolerance: float = 1e-3) -> DataFrame:
     """(group, from, to, p): moves between hidden stances of each group, seen through classifiers.
 
-    Expectation runs in Spark, a user's sequence at a time; what reaches the driver in a
-    round is nine sums and three for each group. Prior counts below 1 are clipped at 0.
+    Expectation runs in Spark, over batches of sequences of one length; what reaches the
+    driver in a round is nine sums and three for each group. Rounds end when no move
+    changes by `tolerance` or more. Prior counts below 1 are clipped at 0. A user's
+    sequence is one row, so it should fit a task.
     """
     emission = row_normalized(profile).groupBy("classifier_idx", F.col("pred_value").alias("value")).agg(F.array_sort(F.collect_list(F.struct("true_value", "p"))).alias("e"))
     rows = obs.where("value is not null").join(emission, ["classifier_idx", "value"]).select(group, user, F.struct(*order, F.transform("e", lambda x: x["p"]).alias("e")).alias("s"))
-    sequences = rows.groupBy(group, user).agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["e"]).alias("seq")).where(F.size("seq") > 1).select(F.col(group).cast("string").alias("g"), "seq").cache()
+    sequences = rows.groupBy(group, user).agg(F.flatten(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["e"])).alias("seq")).where(F.size("seq") > 3)
+    sequences = store.saved(sequences.select(F.col(group).cast("string").alias("g"), F.size("seq").alias("n"), "seq").sortWithinPartitions("g", "n"), "sequences")
     groups = sorted(r["g"] for r in sequences.select("g").distinct().collect())
     model = {g: (np.full(3, 1 / 3), MOVE_PRIOR / MOVE_PRIOR.sum(1, keepdims=True)) for g in groups}
     schema = "g string, i int, j int, x double"
@@ -161,20 +168,24 @@ def hidden_markov(obs: DataFrame, profile: DataFrame, group: str, user: str = "u
         def expect(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 sums: dict[str, np.ndarray] = {}
-                for g, seq in zip(batch["g"], batch["seq"], strict=True):
-                    first, pairs, _ = expected_moves(np.stack(seq), *now[g])
+                for (g, n), part in batch.groupby(["g", "n"]):
+                    first, pairs, _ = expected_moves(np.stack(part["seq"].to_numpy()).reshape(len(part), n // 3, 3), *now[g])
                     sums[g] = sums.get(g, np.zeros((4, 3))) + np.vstack([first, pairs])
                 yield pd.DataFrame([(g, i, j, m[i, j]) for g, m in sums.items() for i in range(4) for j in range(3)], columns=["g", "i", "j", "x"])
 
         total: dict[str, np.ndarray] = {g: np.zeros((4, 3)) for g in groups}
         for r in sequences.mapInPandas(expect, schema).groupBy("g", "i", "j").agg(F.sum("x").alias("x")).collect():
             total[r["g"]][r["i"], r["j"]] = r["x"]
+        changed = 0.0
         for g, m in total.items():
             start = np.maximum(m[0] + START_PRIOR - 1, 0)
             moves = np.maximum(m[1:] + MOVE_PRIOR - 1, 0)
             moves = np.where(moves.sum(1, keepdims=True) > 0, moves, 1.0)
-            model[g] = (start / max(start.sum(), 1e-300), moves / moves.sum(1, keepdims=True))
-    sequences.unpersist()
+            moves = moves / moves.sum(1, keepdims=True)
+            changed = max(changed, float(np.abs(moves - model[g][1]).max()))
+            model[g] = (start / max(start.sum(), 1e-300), moves)
+        if changed < tolerance:
+            break
     spark = obs.sparkSession
     return spark.createDataFrame([(g, STATES[i], STATES[j], float(model[g][1][i, j])) for g in groups for i in range(3) for j in range(3)], f"{group} string, `from` int, `to` int, p double")
 

@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agora.functions import draws
+
 DAY = 86_400
 
 
@@ -97,10 +99,16 @@ def timeline(obs: DataFrame, spans: DataFrame, width: int, halflife: float | Non
 
 
 def complete(line: DataFrame, spans: DataFrame, obs: DataFrame) -> DataFrame:
-    """A row for every window, user and issue, null where there is no observation."""
-    users = obs.select("user_id").distinct()
-    issues = obs.select("issue").distinct()
-    cells = users.join(issues).join(spans.select("window_id"))
+    """A row for every window, user and issue, null where there is no observation.
+
+    Its size is the product of the three; a caller that wants less gives fewer spans, or
+    observations of fewer users. Spans and issues are few, and each user makes its cells
+    where it stands.
+    """
+    issues = obs.agg(F.sort_array(F.collect_set("issue")).alias("_issues"))
+    cells = spans.agg(F.sort_array(F.collect_set("window_id")).alias("_windows")).join(issues)
+    users = obs.select("user_id").distinct().join(F.broadcast(cells))  # one row
+    cells = users.select("user_id", F.explode("_issues").alias("issue"), "_windows").select("user_id", "issue", F.explode("_windows").alias("window_id"))
     return cells.join(line, ["window_id", "user_id", "issue"], "left")
 
 
@@ -190,19 +198,39 @@ class OpinionTimeline:
         return self.obs.where(F.col("user_id") == user_id)
 
 
-def reply_candidates(turns: DataFrame, thread: str, order: str, text: str, parent: str) -> DataFrame:
-    """For each later turn, the candidates it could answer, the post first, and which it did (0 the post)."""
-    own = Window.partitionBy(thread).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = turns.withColumn("candidates", F.collect_list(order).over(own)).where(F.size("candidates") > 0)
+def reply_candidates(turns: DataFrame, thread: str, order: str, text: str, parent: str, within: int | None = None) -> DataFrame:
+    """For each later turn, the candidates it could answer, the post first, and which it did (0 the post).
+
+    Without `within` a candidate list is the whole thread before a turn, so its size is the
+    thread's length squared; with it, it holds the post and the last `within` turns. A turn
+    that answers none of them has chosen the post.
+    """
+    own = Window.partitionBy(thread).orderBy(order)
+    before = F.collect_list(order).over(own.rowsBetween(-within if within else Window.unboundedPreceding, -1))
+    rows = turns.withColumn("candidates", before).withColumn("_post", F.first(order).over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.where(F.size("candidates") > 0)
+    post = F.array(F.col("_post"))
+    rows = rows.withColumn("candidates", F.when(F.col("candidates")[0] == F.col("_post"), F.col("candidates")).otherwise(F.concat(post, F.col("candidates")))).drop("_post")
     chosen = F.when(F.col(parent).isNull(), 0).otherwise(F.greatest(F.array_position("candidates", F.col(parent)) - 1, F.lit(0)))
     return rows.withColumn("chosen", chosen.cast("long"))
 
 
+def reply_pairs(turns: DataFrame, thread: str, order: str, parent: str, x: str, within: int) -> DataFrame:
+    """(thread, order, candidate, distance, chosen) of the turns a turn could answer: the last `within` before it.
+
+    distance is that of the two turns' x; chosen marks the parent. Turns without a parent go.
+    """
+    last = Window.partitionBy(thread).orderBy(order).rowsBetween(-within, -1)
+    rows = turns.withColumn("_c", F.collect_list(F.struct(F.col(order).alias("candidate"), F.col(x).alias("_x"))).over(last)).where(F.col(parent).isNotNull())
+    rows = rows.withColumn("_c", F.explode("_c"))
+    return rows.select(thread, order, F.col("_c.candidate").alias("candidate"), F.abs(F.col("_c._x") - F.col(x)).alias("distance"), (F.col("_c.candidate") == F.col(parent)).cast("int").alias("chosen"))
+
+
 def synthetic(spark, users: int, points: int, spread: float, seed: int, low: float = -1.0, high: float = 1.0) -> DataFrame:
     """Observations of users whose true stances go evenly from low to high: a normal draw, clipped, cut at thirds."""
     rows = spark.range(users * points).select(F.col("id").alias("comment_id"), F.floor(F.col("id") / points).alias("user_id"), (F.col("id") % points).alias("t"))
     truth = F.lit(low) + F.col("user_id") * ((high - low) / max(users - 1, 1))
-    draw = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), truth + F.randn(seed) * spread))
+    draw = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), truth + draws.normal(seed, "comment_id") * spread))
     value = F.when(draw > 1 / 3, 1).when(draw < -1 / 3, -1).otherwise(0)
     return rows.withColumn("truth", truth).withColumn("value", value).withColumn("issue", F.lit(0).cast("long")).withColumn("classifier_idx", F.lit(0))
 

@@ -11,6 +11,8 @@ from agora.operators import inference as inf
 from agora.operators import topics as tp
 from agora.plans.opinions import rounded
 from agora.registry import query
+from agora.functions.draws import uniform, uniform_sql
+from agora.sources import store
 from agora.tables import EDGE_SQL, OBS_SQL, PROFILE_SQL, edges, observations, profiles, read
 
 
@@ -104,12 +106,12 @@ def beta_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hmm_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inf.hidden_markov(observations(spark, sf_dir), profiles(spark), "issue", rounds=6)
+    return inf.hidden_markov(observations(spark, sf_dir), profiles(spark), "issue")
 
 
 @query()
 def hmm_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inf.movement_index(inf.hidden_markov(observations(spark, sf_dir), profiles(spark), "event_type", rounds=4), ["event_type"])
+    return inf.movement_index(inf.hidden_markov(observations(spark, sf_dir), profiles(spark), "event_type"), ["event_type"])
 
 
 #: What each event's user has just seen: up to 20 events before it on its issue and day. d is how far the seen value lies above the user's.
@@ -136,9 +138,69 @@ def bounded_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(dy.bounded_confidence(seen(spark, sf_dir), ["a"], "d", 10.0), "move")
 
 
+MOVE_SQL = f"{SEEN_SQL}, own AS (SELECT a, avg(d) AS d, avg(abs(d)) AS far, count(*) AS n FROM pairs GROUP BY 1), x AS (SELECT a, raw, d, far, n FROM own JOIN r ON comment_id = a)"
+
+
+@query(f"WITH {MOVE_SQL} SELECT a, round(raw + 0.3 * d, 6) + 0.0 AS degroot, round(0.4 * raw + 0.6 * (raw + d), 6) + 0.0 AS friedkin_johnsen, n FROM x")
+def update_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = seen(spark, sf_dir).groupBy("a").agg(F.avg("d").alias("d"), F.count(F.lit(1)).alias("n"))
+    rows = own.join(observations(spark, sf_dir).select(F.col("comment_id").alias("a"), "raw"), "a")
+    moved = dy.degroot(F.col("raw"), F.lit(0.3), F.col("d"))
+    return rounded(rows.select("a", moved.alias("degroot"), dy.friedkin_johnsen(F.col("raw"), F.col("raw") + F.col("d"), F.lit(0.4)).alias("friedkin_johnsen"), "n"), "degroot", "friedkin_johnsen")
+
+
+@query(f"WITH {MOVE_SQL} SELECT pairs.a, b, round(power(abs(pairs.d), -2.0) / (power(abs(pairs.d), -2.0) + (n - 1) * power(far, -2.0)), 6) AS p FROM pairs JOIN x USING (a) WHERE pairs.d <> 0")
+def bernoulli_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = seen(spark, sf_dir)
+    own = rows.groupBy("a").agg(F.avg(F.abs("d")).alias("far"), F.count(F.lit(1)).alias("n"))
+    found = rows.join(own, "a").where("d <> 0")
+    return rounded(found.select("a", "b", dy.bernoulli_average(F.abs("d"), F.col("far"), F.col("n"), 2.0).alias("p")), "p")
+
+
+@query(f"""WITH {SEEN_SQL}, n AS (SELECT a, b, d, abs(d) AS far FROM pairs UNION ALL SELECT DISTINCT a, -1, 0.0, 5.0 FROM pairs), w AS (SELECT a, b, d, CASE WHEN far = 0 THEN 100.0::DOUBLE ELSE least(power(far, -2.0), 100.0) END AS w FROM n), p AS (SELECT a, b, d, sum(w / tot) OVER (PARTITION BY a ORDER BY b ROWS UNBOUNDED PRECEDING) AS up FROM (SELECT *, sum(w) OVER (PARTITION BY a) AS tot FROM w)),
+c AS (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY b) AS k FROM p WHERE up > {uniform_sql(21, 'a')}) SELECT comment_id AS a, coalesce(b, -1) AS chosen, round(coalesce(d, 0), 6) + 0.0 AS difference FROM obs LEFT JOIN (SELECT * FROM c WHERE k = 1) c ON a = comment_id""")
+def null_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each event's user takes up of what they have seen, or nothing: -1 and a difference of 0."""
+    rows = seen(spark, sf_dir).withColumn("far", F.abs("d"))
+    pairs = dy.choice_probabilities(dy.with_null_choice(rows, ["a"], "b", "far", 5.0), ["a"], "far", 2.0)
+    pairs = pairs.join(rows.select("a", "b", "d"), ["a", "b"], "left").na.fill(0.0, ["d"])
+    every = observations(spark, sf_dir).select(F.col("comment_id").alias("a"))
+    return rounded(dy.chosen_difference(pairs, ["a"], "b", "b", "d", uniform(21, "a"), every), "difference")
+
+
 @query()
 def simulate_opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dy.simulate(spark, 100, 5)
+    """Four platforms of 100 users and 100 steps: users' positions at every step."""
+    return dy.platforms(spark, 4).where("kind = 'user'").select("replica", "user_id", F.col("time").alias("step"), "position")
+
+
+@query()
+def simulated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who answered whom on two simulated platforms."""
+    return dy.interaction_edges(dy.platforms(spark, 2)).groupBy("replica", "type", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def simulated_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opinions of simulated users by windows of ten steps."""
+    from agora.operators import opinions as op
+
+    platform = store.saved(dy.platforms(spark, 2), "platform")
+    obs = op.from_simulator(platform.where("kind = 'post'"), platform.where("kind = 'comment'"))
+    rows = op.weighted(obs, profiles(spark))
+    line = op.opinion(op.in_windows(rows, op.windows(spark, 0, 100, 10), 10), ["replica", "window_id", "user_id", "issue"])
+    return rounded(line, "mean", "var")
+
+
+@query()
+def choice_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exponent that explains best which earlier turn each turn answers, by how far apart their lengths are."""
+    from agora.operators import opinions as op
+
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.when(F.col("turn") > 1, F.col("turn") - 1).alias("parent"), F.log(F.length("text") + 1.0).alias("x"))
+    rows = op.reply_pairs(turns, "conv_id", "turn", "parent", "x", within=64)
+    w, error = dy.fit_choice_weight(rows, ["conv_id", "turn"], "distance", "chosen")
+    return spark.createDataFrame([(w, error)], "w double, error double")
 
 
 @query()

@@ -35,7 +35,7 @@ def test_beta_roots_have_no_slope():
 def test_hidden_states_move_as_made(spark):
     rows = [(u, t, t, 1 if (t // 5) % 2 else -1, 0, "g") for u in range(20) for t in range(20)]
     obs = spark.createDataFrame(rows, "user_id long, t long, comment_id long, value int, classifier_idx int, g string")
-    moves = inf.hidden_markov(obs, profiles(spark), "g", rounds=5)
+    moves = inf.hidden_markov(obs, profiles(spark), "g")
     p = {(r["from"], r["to"]): r.p for r in moves.collect()}
     for s in (-1, 0, 1):
         assert sum(p[s, k] for k in (-1, 0, 1)) == pytest.approx(1)

@@ -94,9 +94,15 @@ def normal_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows, "mu").withColumn("s", F.round("s", 5) + F.lit(0.0))
 
 
-@query()
+#: Halving an interval 80 times finds where the slope of the log density in log sigma is 0.
+MAP_SQL = f"""{POST_SQL}, st AS (SELECT user_id, issue, count(*) AS n, avg(qf - qa) AS mu, greatest(sum(qf + qa) - count(*) * power(avg(qf - qa), 2), 0) AS s FROM post GROUP BY 1, 2),
+bi AS (SELECT user_id, issue, n, mu, s, -20.0::DOUBLE AS lo, 20.0::DOUBLE AS hi, 0 AS k FROM st UNION ALL SELECT user_id, issue, n, mu, s, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END, k + 1 FROM (SELECT *, (lo + hi) / 2 AS mid, -n - 1 + s * exp(-(lo + hi)) - ((lo + hi) / 2 - 0.1) / 0.04 > 0 AS up FROM bi WHERE k < 80))"""
+
+
+@query(f"WITH RECURSIVE {MAP_SQL} SELECT user_id, issue, n, round(mu, 6) + 0.0 AS mu, round(exp((lo + hi) / 2), 5) AS sigma FROM bi WHERE k = 80")
 def normal_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inf.normal(inf.posterior(observations(spark, sf_dir), profiles(spark)), ["user_id", "issue"])
+    rows = inf.normal(inf.posterior(observations(spark, sf_dir), profiles(spark)), ["user_id", "issue"])
+    return rounded(rows, "mu").withColumn("sigma", F.round("sigma", 5))
 
 
 @query()
@@ -205,8 +211,29 @@ def choice_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def topic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tp.reduce(read(spark, sf_dir, "embeddings"), 5)
-    return tp.topics(rows, 10).select("vec_id", "label", "topic", "distance")
+    rows = read(spark, sf_dir, "embeddings")
+    return tp.fit(rows, 10).apply(rows).select("vec_id", "label", "topic", "distance")
+
+
+@query()
+def topic_model_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model fitted on the even labels, its topics merged to five, applied to the odd ones."""
+    rows = read(spark, sf_dir, "embeddings")
+    model = tp.fit(rows.where("label % 2 = 0"), 10).merged(5)
+    return model.apply(rows.where("label % 2 = 1")).select("vec_id", "label", "topic", "distance")
+
+
+@query()
+def topic_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merges of ten topics down to one, nearest first."""
+    tree = tp.fit(read(spark, sf_dir, "embeddings"), 10, hierarchical=True).tree()
+    return spark.createDataFrame([(i, a, b, d) for i, (a, b, d) in enumerate(tree)], "step int, stays int, goes int, distance double")
+
+
+@query()
+def topics_within_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return tp.within_topics(rows, tp.fit(rows, 4, share=1.0), 3, share=1.0).select("vec_id", "label", "topic", "subtopic")
 
 
 @query("""WITH c AS (SELECT lang AS topic, word, count(*) AS n FROM (SELECT lang, unnest(string_split(text, ' ')) AS word FROM documents) WHERE word <> '' GROUP BY 1, 2), z AS (SELECT topic, sum(n) AS size FROM c GROUP BY 1), m AS (SELECT avg(size) AS mean FROM z), s AS (SELECT topic, word, n, n / size * ln(1 + mean / sum(n) OVER (PARTITION BY word)) AS score FROM c JOIN z USING (topic), m)

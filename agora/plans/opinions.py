@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agora.functions.draws import normal_sql
 from agora.operators import opinions as op
 from agora.registry import query
 from agora.tables import EDGE_SQL, OBS_SQL, PROFILE_SQL, WEIGHT_SQL, observations, profiles, read, seconds
@@ -145,10 +146,14 @@ def reply_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.array_join(F.col("candidates").cast("array<string>"), ",").alias("candidates"), "chosen")
 
 
-@query()
+SYNTHETIC_SQL = f"made AS (SELECT id AS comment_id, id // 100 AS user_id, -1.0::DOUBLE + (id // 100) * (2.0::DOUBLE / 9) AS truth FROM range(1000) r(id)), drawn AS (SELECT *, greatest(-1, least(1, truth + {normal_sql(0, 'comment_id')} * 0.5)) AS d FROM made), syn AS (SELECT *, CASE WHEN d > 1.0::DOUBLE / 3 THEN 1 WHEN d < -1.0::DOUBLE / 3 THEN -1 ELSE 0 END AS value FROM drawn)"
+
+
+@query(f"WITH {SYNTHETIC_SQL} SELECT user_id, round(truth, 6) AS truth, round(avg(value), 6) + 0.0 AS mean, round(var_samp(value), 6) AS var, count(*) AS n FROM syn GROUP BY 1, 2")
 def synthetic_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten made users, seen by a perfect classifier: there is no table to read."""
     rows = op.synthetic(spark, 10, 100, 0.5, 0)
-    return op.opinion(op.weighted(rows, profiles(spark)), ["user_id", "truth"])
+    return rounded(op.opinion(op.weighted(rows, profiles(spark)), ["user_id", "truth"]), "truth", "mean", "var")
 
 
 #: Six runs of a classifier for each issue, two for each focus label; a run errs on every fourth comment.

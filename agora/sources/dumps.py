@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import StructType
 
 COMMENT = "author string, author_fullname string, body string, created_utc long, id string, parent_id string, permalink string, score long, subreddit string"
 SUBMISSION = "author string, author_fullname string, title string, selftext string, created_utc long, id string, num_comments long, permalink string, score long, subreddit string"
@@ -22,56 +25,81 @@ class _File(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, schema: StructType, options: dict):
-        self.schema, self.options = schema, options
+    def __init__(self, options: dict):
+        self.options = options
 
     def partitions(self) -> list[_File]:
         return [_File(p) for p in json.loads(self.options["files"])]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         import io
 
         import zstandard
 
-        names, whole = self.schema.names, {f.name for f in self.schema if isinstance(f.dataType, LongType)}
-        with open(partition.path, "rb") as raw, zstandard.ZstdDecompressor(max_window_size=WINDOW).stream_reader(raw, read_across_frames=True) as lines:
+        with opened(partition.path) as raw, zstandard.ZstdDecompressor(max_window_size=WINDOW).stream_reader(raw, read_across_frames=True) as lines:
+            some, size = [], 0
             for line in io.TextIOWrapper(lines, encoding="utf-8", errors="replace"):
-                try:
-                    row = json.loads(line)
-                except ValueError:
-                    continue  # a line cut off
-                if isinstance(row, dict):
-                    yield tuple(_cast(row.get(n), n in whole) for n in names)
+                some.append(line.rstrip("\n"))
+                size += len(line)
+                if size > 1 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["line"])
+                    some, size = [], 0
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["line"])
 
 
-def _cast(value, whole: bool):
-    if value is None:
-        return None
-    if whole:
-        try:
-            return int(float(value))
-        except (TypeError, ValueError):
-            return None
-    return value if isinstance(value, str) else json.dumps(value)
+def opened(path: str):
+    """A file of any store that Arrow knows by its scheme, opened to be read."""
+    from pyarrow import fs
+
+    where, name = fs.FileSystem.from_uri(path) if re.match(r"\w+:", path) else (fs.LocalFileSystem(), path)
+    return where.open_input_file(name)
 
 
 class ZstdLines(DataSource):
-    """format("zstd_lines"): option files is a JSON list of paths that all executors see; a task for each file, as zstd has no splits."""
+    """format("zstd_lines"): the lines of compressed files; option files is a JSON list of paths. A task for each file, as zstd has no splits."""
 
     @classmethod
     def name(cls) -> str:
         return "zstd_lines"
 
     def schema(self) -> str:
-        return COMMENT
+        return "line string"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(schema, dict(self.options))
+        return _Reader(dict(self.options))
 
 
 def read_zstd(spark: SparkSession, files: list[str], schema: str = COMMENT) -> DataFrame:
+    """Rows of compressed lines of JSON; lines that are cut off or no objects go, numbers may be written as text."""
     spark.dataSource.register(ZstdLines)
-    return spark.read.format("zstd_lines").schema(schema).option("files", json.dumps(files)).load()
+    lines = spark.read.format("zstd_lines").option("files", json.dumps(files)).load()
+    fields = [f.split(" ") for f in schema.split(", ")]
+    # Text takes a value of any kind; a cast then gives the numbers.
+    loose = ", ".join(f"{name} string" for name, _ in fields) + ", _cut string"
+    rows = lines.select(F.from_json("line", loose, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_cut"}).alias("r")).where("r is not null and r._cut is null")
+    kinds = [F.col(f"r.{name}").try_cast("double").cast("long").alias(name) if kind == "long" else F.col(f"r.{name}").alias(name) for name, kind in fields]
+    return rows.select(*kinds)
+
+
+def write_zstd(lines: DataFrame, path: str) -> DataFrame:
+    """A column of lines as compressed files of a folder in a store that Arrow knows, one for each Arrow batch; their paths."""
+    from pyarrow import fs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        where, folder = fs.FileSystem.from_uri(path)
+        where.create_dir(folder)
+        for batch in batches:
+            content = "".join(f"{x}\n" for x in batch.column(0).to_pylist() if x is not None).encode()
+            # Named by what it holds, so a task that runs again writes the same file.
+            name = f"{hashlib.sha256(content).hexdigest()[:24]}.zst"
+            with where.open_output_stream(f"{folder}/{name}", compression=None) as f:
+                f.write(zstandard.ZstdCompressor().compress(content))
+            yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{name}"])], ["path"])
+
+    return lines.mapInArrow(run, "path string")
 
 
 def in_scope(rows: DataFrame, communities: list[str], tombstones: tuple[str, ...] = ("[deleted]", "[removed]"), text: str = "body") -> DataFrame:

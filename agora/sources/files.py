@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agora.functions.text import extract
+from agora.sources.dumps import opened
+
 
 def scan(spark: SparkSession, paths: list[str], loose: bool = True) -> DataFrame:
     """Parquet files as one table; loose: columns that a file lacks are null, else the columns must agree."""
-    parts = [spark.read.parquet(p) for p in paths]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=loose), parts)
+    if loose:
+        return spark.read.option("mergeSchema", True).parquet(*paths)
+    columns = {tuple(sorted(spark.read.parquet(p).dtypes)) for p in paths}
+    if len(columns) > 1:
+        raise ValueError("the files differ in their columns")
+    return spark.read.parquet(*paths)
+
+
+def scan_matching(spark: SparkSession, folder: str, name: str, communities: list[str] | None = None) -> DataFrame:
+    """The files of a folder whose names match, as one table, of some communities; columns that a file lacks are null."""
+    rows = spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(folder).where(F.col("_metadata.file_name").rlike(name))
+    return rows.where(F.col("subreddit").isin(communities)) if communities else rows
 
 
 def scan_months(spark: SparkSession, folder: str, first: str, last: str, communities: list[str] | None = None) -> DataFrame:
@@ -48,19 +61,68 @@ def write_parquet(rows: DataFrame, path: str, codec: str = "zstd", by: list[str]
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """(path, row, embedding) of dense two-dimensional arrays, a task for some files."""
+def read_npy(spark: SparkSession, paths: list[str], rows: int = 65_536) -> DataFrame:
+    """(path, row, embedding) of dense two-dimensional arrays in C order; a task reads some rows of a file.
+
+    The driver reads the files' headers.
+    """
+    parts = []
+    for path in paths:
+        with opened(path) as f:
+            shape, kind, at = _header(f)
+        parts += [(path, k, min(rows, shape[0] - k), shape[1], kind.str, at) for k in range(0, shape[0], rows)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, first, n, width, kind, at in batch.itertuples(index=False):
+                size = np.dtype(kind).itemsize * width
+                with opened(path) as f:
+                    f.seek(at + first * size)
+                    values = np.frombuffer(f.read(n * size), kind).reshape(n, width)
+                for k in range(0, n, 4096):
+                    some = values[k : k + 4096].astype(np.float64)
+                    yield pd.DataFrame({"path": path, "row": np.arange(first + k, first + k + len(some)), "embedding": list(some)})
+
+    plan = spark.createDataFrame(parts, "path string, first long, n long, width long, kind string, at long")
+    return plan.repartition(max(1, len(parts))).mapInPandas(run, "path string, row long, embedding array<double>")
+
+
+def _header(f) -> tuple[tuple[int, int], np.dtype, int]:
+    version = np.lib.format.read_magic(f)
+    shape, order, kind = {(1, 0): np.lib.format.read_array_header_1_0, (2, 0): np.lib.format.read_array_header_2_0}[version](f)
+    if len(shape) != 2 or order:
+        raise ValueError("only two-dimensional arrays in C order are read")
+    return shape, kind, f.tell()
+
+
+def write_npy(rows: DataFrame, key: str, embedding: str, path: str) -> DataFrame:
+    """Embeddings as .npy files of a folder in a store that Arrow knows, one for each Arrow batch; (path, row, key) of every row."""
+    from pyarrow import fs
+
+    kind = dict(rows.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, folder = fs.FileSystem.from_uri(path)
+        where.create_dir(folder)
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                values = np.load(io.BytesIO(content), allow_pickle=False)
-                for k in range(0, len(values), 4096):
-                    part = values[k : k + 4096]
-                    yield pd.DataFrame({"path": name, "row": np.arange(k, k + len(part)), "embedding": list(part.astype(np.float64))})
+            values = np.stack(batch["e"].to_numpy()).astype(np.float64)
+            # Named by what it holds, so a task that runs again writes the same file.
+            name = f"{hashlib.sha256(values.tobytes() + repr(batch['k'].tolist()).encode()).hexdigest()[:24]}.npy"
+            content = io.BytesIO()
+            np.save(content, values)
+            with where.open_output_stream(f"{folder}/{name}", compression=None) as f:
+                f.write(content.getvalue())
+            yield pd.DataFrame({"path": f"{path}/{name}", "row": np.arange(len(batch)), key: batch["k"]})
+
+    return rows.select(F.col(key).alias("k"), F.col(embedding).alias("e")).mapInPandas(run, f"path string, row long, {key} {kind}")
+
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, row long, embedding array<double>")
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file in any store that Spark writes to."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(content))
+    out.close()
 
 
 def node_link(edges: DataFrame, nodes: DataFrame, path: str) -> None:
@@ -80,7 +142,8 @@ def json_row(*columns: str, lists: tuple[str, ...] = ()) -> Column:
 
 
 def runs(spark: SparkSession, path: str) -> DataFrame:
-    """Metrics files of runs in folders <topic>/<run>/metrics.json, with both names."""
-    rows = spark.read.option("multiLine", True).json(f"{path}/*/*/metrics.json").withColumn("_path", F.input_file_name())
+    """Metrics files of runs, <topic>/<run>/metrics_<rows>.json, with both names and the number of rows in the file's name."""
+    rows = spark.read.option("multiLine", True).json(f"{path}/*/*/metrics*.json").withColumn("_path", F.col("_metadata.file_path"))
     part = F.split("_path", "/")
-    return rows.withColumn("topic", F.element_at(part, -3)).withColumn("run", F.element_at(part, -2)).drop("_path")
+    rows = rows.withColumn("topic", F.element_at(part, -3)).withColumn("run", F.element_at(part, -2))
+    return rows.withColumn("num_comments", extract(F.element_at(part, -1), r"_(\d+)\.json$").cast("long")).drop("_path")

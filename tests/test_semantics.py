@@ -33,7 +33,7 @@ def test_text_of_parts(spark):
     assert one(spark, tx.quotes(F.lit("&gt; said\nno"))) == '"said"\nno'
     assert one(spark, tx.wrapped(F.lit("a" * 100 + " b"))) == "a" * 100 + "\nb\n"
     assert one(spark, tx.field_of(F.lit("Reason: because\nAnswer: yes\n---\nAnswer: no"), "Answer")) == "yes"
-    assert one(spark, tx.normalized(F.lit("@me  see https://x.y don’t…"))) == "@USER see HTTPURL don't..."
+    assert one(spark, tx.normalized(F.lit("@me  see https://x.y don’t…"))) == "@USER see HTTPURL do n't ..."
 
 
 def test_blank_and_sentinel_texts(spark):

@@ -115,11 +115,12 @@ def _clusters(vectors: np.ndarray, params: Params) -> np.ndarray:
 def fit(labelled: DataFrame, params: Params = Params(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Fit on a bounded sample of the rows whose language is known; the driver gets their counts."""
     rows = labelled.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null")
+    rows = rows.withColumn("h", F.xxhash64("id", "t", F.lit(params.seed)))
     sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     wanted = F.lit(False)
     for language, n in sizes.items():
         share = min(1.0, params.rows / n)
-        wanted |= (F.col("l") == language) & (F.pmod(F.xxhash64("id", F.lit(params.seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+        wanted |= (F.col("l") == language) & (F.pmod(F.col("h"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +128,9 @@ def fit(labelled: DataFrame, params: Params = Params(), key: str = "doc_id", tex
                 grams = np.minimum(counts(chunk, params.bits), 65535).astype("<u2")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), pa.array([g.tobytes() for g in grams], pa.binary())], ["l", "grams"])
 
-    got = rows.where(wanted).select("l", "t").mapInArrow(vectors, "l string, grams binary").collect() if sizes else []
+    # Rows that repeat a key and a text have one hash and count once, so the sample stays bounded.
+    once = rows.where(wanted).groupBy("l", "h").agg(F.min("t").alias("t")) if sizes else rows
+    got = once.select("l", "t").mapInArrow(vectors, "l string, grams binary").collect() if sizes else []
     got.sort(key=lambda r: (r["l"], r["grams"]))
     grams = np.stack([np.frombuffer(r["grams"], "<u2") for r in got]).astype(np.float32) if got else np.zeros((0, params.features), np.float32)
     named = np.array([r["l"] for r in got])

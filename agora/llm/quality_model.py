@@ -156,6 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params(), key: str
     marked = marked.where(F.pmod(F.xxhash64("id", F.lit(params.seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     # The sample is bounded by params.rows, so it may be broadcast.
     sample = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(F.broadcast(marked), "id")
+    # A key that documents repeat teaches once, by its least text.
+    sample = sample.groupBy("id", "y").agg(F.min("t").alias("t"))
     got = with_statistics(sample, ["y"], "t").collect()
     values = np.array([[r["y"], *r[1:]] for r in got]).reshape(len(got), 1 + len(STATISTICS))
     values = values[np.lexsort(values.T)]

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import re
 
 import numpy as np
 
@@ -8,6 +9,12 @@ from agora.llm import fingerprint as fp
 from tests.llm.conftest import texts
 
 
+def exact_likeness(one, two):
+    """Generalised Jaccard similarity of two texts' words; of two texts without words 1."""
+    x, y = (collections.Counter(w for w in re.split(r"[\x20\x09-\x0D]+", t.lower()) if w) for t in (one, two))
+    return sum((x & y).values()) / sum((x | y).values()) if x or y else 1.0
+
+
 def test_edited_texts_and_likeness(spark, edge):
     docs = {k: t or "" for k, t in texts().items()}
     order = sorted(docs, reverse=True)

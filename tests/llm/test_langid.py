@@ -69,3 +69,11 @@ def test_junk_among_the_labelled_rows_teaches_nothing(spark):
     strange = ["漢字仮名交文 日本語文", "только что пришли домой", "9f3ac0de77b1", "x"]
     got = langid.predict(spark.createDataFrame(list(enumerate(strange)), "doc_id long, text string"), model)
     assert got.where("not rejected").count() == 0
+
+
+def test_a_repeated_row_counts_once_in_the_sample(spark):
+    rows = [(i, f"the cat and the dog number {i}", "en") for i in range(40)] + [(50 + i, f"der hund und die katze nummer {i}", "de") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    hot = frame.limit(1).crossJoin(spark.range(20_000)).select(*frame.columns)
+    one, two = langid.fit(frame), langid.fit(frame.unionByName(hot), langid.Params(rows=60_000))
+    assert one.languages == two.languages and (one.centroids == two.centroids).all()

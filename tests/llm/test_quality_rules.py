@@ -38,3 +38,12 @@ def test_lines_decide(spark, nothing):
     assert [got[i][0] for i in range(1, 8)] == [True, False, True, False, True, False, False]
     assert got[1][1] == 0 and got[5][1] == 3
     assert clean(nothing).count() == 0
+
+
+def test_failed_lines_leave_the_text(spark):
+    good = "\n".join(f"Word{i} plain{i} sentence{i} holds{i} good{i}." for i in range(4))
+    bad = "home | about | shop | cart"
+    cases = {1: good, 2: f"{bad}\n{good}", 3: f"{good}\n{bad}", 4: f"{good}\n\n{bad}\n{bad}\nEnd é here.", 5: bad, 6: None, 7: f"{bad}\n", 8: "Next text."}
+    frame = spark.createDataFrame(list(cases.items()), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.clean_text for r in clean(frame, cleaned=True).collect()}
+    assert got == {1: good, 2: good, 3: good + "\n", 4: good + "\n\nEnd é here.", 5: "", 6: "", 7: "", 8: "Next text."}

@@ -7,13 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agora.functions import draws
 
-def typed_edges(rows: DataFrame, src: str, dst: str, kind: str, t: str | None, columns: list[str]) -> DataFrame:
-    """Edges of one type; the time column is named unix_createtime, other columns go into attrs. Edges without an end go."""
+
+def typed_edges(rows: DataFrame, src: str, dst: str, kind: str, t: str | None, columns: list[str], whole: bool = True) -> DataFrame:
+    """Edges of one type; the time column is named unix_createtime, other columns go into attrs. Edges without an end go where `whole`."""
     attrs = F.struct(*columns) if columns else F.struct(F.lit(None).cast("string").alias("none"))
     when = F.col(t) if t else F.lit(None).cast("long")
     out = rows.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("type"), when.alias("unix_createtime"), F.to_json(attrs).alias("attrs"))
-    return out.where("src is not null and dst is not null")
+    return out.where("src is not null and dst is not null") if whole else out
 
 
 def mention_edges(rows: DataFrame, src: str, mentions: str, kind: str, t: str | None, columns: list[str], once: bool) -> DataFrame:
@@ -25,10 +27,15 @@ def mention_edges(rows: DataFrame, src: str, mentions: str, kind: str, t: str |
 
 
 def reply_edges(rows: DataFrame, author: str, item: str, parent: str, kind: str, t: str | None) -> DataFrame:
-    """From a reply's author to the author of the base comment that it answers; replies to replies find none."""
+    """From a reply's author to the author of the base comment that it answers; replies to replies find none and keep a null end."""
     bases = rows.where(F.col(parent).isNull()).select(F.col(item).alias(parent), F.col(author).alias("_to"))
     replies = rows.where(F.col(parent).isNotNull()).join(bases, parent, "left")
-    return typed_edges(replies, author, "_to", kind, t, [item])
+    return typed_edges(replies, author, "_to", kind, t, [item], whole=False)
+
+
+def share_edges(rows: DataFrame, src: str, shared: str, kind: str, t: str | None, columns: list[str]) -> DataFrame:
+    """From who shares to whose content it is; rows that share nothing go."""
+    return typed_edges(rows.where(F.col(shared).isNotNull()), src, shared, kind, t, columns)
 
 
 def graph(*parts: DataFrame) -> DataFrame:
@@ -73,7 +80,7 @@ def rings(edges: DataFrame, starts: DataFrame, orders: int = 3) -> DataFrame:
 
 def capped(rows: DataFrame, keys: list[str], item: Column, cap: int, seed: int = 0) -> DataFrame:
     """At most cap rows of each key, those of smallest hash: the reference sampling of large neighbourhoods."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(item, F.lit(seed)), item))
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(draws.uniform(seed, item), item))
     return rows.withColumn("_n", n).where(F.col("_n") <= cap).drop("_n")
 
 

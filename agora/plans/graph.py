@@ -35,12 +35,12 @@ def mention_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH c AS (SELECT conv_id * 100 + turn AS item, conv_id * 10 + turn % 3 AS author, CASE WHEN turn > 0 THEN conv_id * 100 + turn // 2 END AS parent FROM conversations), b AS (SELECT item, author FROM c WHERE parent IS NULL) SELECT r.author AS src, b.author AS dst, r.item FROM c r JOIN b ON r.parent = b.item WHERE r.parent IS NOT NULL""")
+@query("""WITH c AS (SELECT conv_id * 100 + turn AS item, conv_id * 10 + turn % 3 AS author, CASE WHEN turn > 0 THEN conv_id * 100 + turn // 2 END AS parent FROM conversations), b AS (SELECT item, author FROM c WHERE parent IS NULL) SELECT r.author AS src, coalesce(b.author, -1) AS dst, r.item FROM c r LEFT JOIN b ON r.parent = b.item WHERE r.parent IS NOT NULL""")
 def reply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn, conv = F.col("turn"), F.col("conv_id")
     rows = read(spark, sf_dir, "conversations").select((conv * 100 + turn).alias("item"), (conv * 10 + turn % 3).alias("author"), F.when(turn > 0, conv * 100 + F.floor(turn / 2)).alias("parent"))
     out = gr.reply_edges(rows, "author", "item", "parent", "comment_reply", None)
-    return out.select("src", "dst", F.get_json_object("attrs", "$.item").cast("long").alias("item"))
+    return out.select("src", F.coalesce("dst", F.lit(-1)).alias("dst"), F.get_json_object("attrs", "$.item").cast("long").alias("item"))
 
 
 @query(f"""WITH {EDGE_SQL}, e AS (SELECT src AS node, type FROM edge UNION ALL SELECT dst, type FROM edge), a AS (SELECT node, type FROM e UNION ALL SELECT node, 'all' FROM e), d AS (SELECT type, node, count(*) AS degree FROM a GROUP BY 1, 2), c AS (SELECT type, degree, count(*) AS n FROM d GROUP BY 1, 2), m AS (SELECT type, unnest(generate_series(0, max(degree))) AS degree FROM c GROUP BY 1)

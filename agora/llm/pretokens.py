@@ -66,11 +66,36 @@ def split(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 class PieceIds:
-    """Ids of pieces; those of at most `longest` bytes are remembered, up to `most` of them."""
+    """Ids of pieces; those of at most `longest` bytes are remembered in two generations of up to `most` pieces.
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 1 << 17, longest: int = 48):
+    When the younger generation is full it becomes the older one, and what is not asked
+    for again goes; so frequent pieces stay, and memory is bounded.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 1 << 18, longest: int = 48):
         self.encode, self.most, self.longest = encode, most, longest
-        self.known: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces, as the bytes of 32-bit numbers."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        ids = list(map(young.get, pieces))
+        missing = []
+        for i, p in enumerate(pieces):
+            if ids[i] is None:
+                found = ids[i] = old.get(p)
+                if found is None:
+                    missing.append(i)
+                else:
+                    young[p] = found
+        for i, made in zip(missing, self.encode([pieces[i] for i in missing]), strict=True):
+            found = ids[i] = array("I", made).tobytes()
+            if len(pieces[i]) <= self.longest:
+                young[pieces[i]] = found
+        return ids
 
     def of(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the chunk's texts in order, and where each text's begin (n + 1)."""
@@ -78,16 +103,7 @@ class PieceIds:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(chunk.n + 1, np.int64)
         number, pieces = distinct(chunk.data, np.diff(np.append(starts, len(chunk.data))))
-        pieces = pieces.to_pylist()
-        ids = [self.known.get(p) for p in pieces]
-        missing = [i for i, x in enumerate(ids) if x is None]
-        if missing:
-            if len(self.known) + len(missing) > self.most:
-                self.known.clear()
-            for i, made in zip(missing, self.encode([pieces[i] for i in missing]), strict=True):
-                ids[i] = array("I", made).tobytes()
-                if len(pieces[i]) <= self.longest:
-                    self.known[pieces[i]] = ids[i]
+        ids = self._ids(pieces.to_pylist())
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         begin = np.cumsum(size) - size
         flat = np.frombuffer(b"".join(ids), np.uint32)

@@ -211,13 +211,14 @@ def fit_choice_weight(candidates: DataFrame, keys: list[str], distance: str, cho
     with one candidate say nothing.
     """
     x = F.log(F.greatest(F.col(distance), F.lit(0.01)))
-    rows = store.saved(candidates.select(*keys, x.alias("x"), F.col(chosen).cast("int").alias("c")), "choices")
+    rows = store.saved(candidates.select(*keys, x.alias("_x"), F.col(chosen).cast("int").alias("_c")), "choices")
     w, bend = 0.0, 1.0
     for _ in range(rounds):
-        e = F.exp(-F.lit(w) * F.col("x"))
-        sums = rows.groupBy(*keys).agg(F.sum(e).alias("z"), F.sum(e * F.col("x")).alias("zx"), F.sum(e * F.col("x") * F.col("x")).alias("zxx"), F.sum(F.when(F.col("c") == 1, F.col("x"))).alias("own"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("k")).where("n = 1 and k > 1")
-        mean = F.col("zx") / F.col("z")
-        got = sums.agg(F.sum(mean - F.col("own")).alias("slope"), F.sum(F.col("zxx") / F.col("z") - mean * mean).alias("bend")).first()
+        x, c = F.col("_x"), F.col("_c")
+        e = F.exp(-F.lit(w) * x)
+        sums = rows.groupBy(*keys).agg(F.sum(e).alias("_z"), F.sum(e * x).alias("_zx"), F.sum(e * x * x).alias("_zxx"), F.sum(F.when(c == 1, x)).alias("_own"), F.sum(c).alias("_n"), F.count(F.lit(1)).alias("_k")).where("_n = 1 and _k > 1")
+        mean = F.col("_zx") / F.col("_z")
+        got = sums.agg(F.sum(mean - F.col("_own")).alias("slope"), F.sum(F.col("_zxx") / F.col("_z") - mean * mean).alias("bend")).first()
         slope = (got["slope"] or 0.0) - w / prior**2
         bend = (got["bend"] or 0.0) + 1 / prior**2
         move = max(-2.0, min(2.0, slope / bend))

@@ -147,12 +147,13 @@ def bounded_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 MOVE_SQL = f"{SEEN_SQL}, own AS (SELECT a, avg(d) AS d, avg(abs(d)) AS far, count(*) AS n FROM pairs GROUP BY 1), x AS (SELECT a, raw, d, far, n FROM own JOIN r ON comment_id = a)"
 
 
-@query(f"WITH {MOVE_SQL} SELECT a, round(raw + 0.3 * d, 6) + 0.0 AS degroot, round(0.4 * raw + 0.6 * (raw + d), 6) + 0.0 AS friedkin_johnsen, n FROM x")
+@query(f"WITH {MOVE_SQL} SELECT a, round(raw + 0.3 * d, 8) + 0.0 AS degroot, round(0.4 * raw + 0.6 * (raw + d), 8) + 0.0 AS friedkin_johnsen, n FROM x")
 def update_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = seen(spark, sf_dir).groupBy("a").agg(F.avg("d").alias("d"), F.count(F.lit(1)).alias("n"))
     rows = own.join(observations(spark, sf_dir).select(F.col("comment_id").alias("a"), "raw"), "a")
-    moved = dy.degroot(F.col("raw"), F.lit(0.3), F.col("d"))
-    return rounded(rows.select("a", moved.alias("degroot"), dy.friedkin_johnsen(F.col("raw"), F.col("raw") + F.col("d"), F.lit(0.4)).alias("friedkin_johnsen"), "n"), "degroot", "friedkin_johnsen")
+    moved, pulled = dy.degroot(F.col("raw"), F.lit(0.3), F.col("d")), dy.friedkin_johnsen(F.col("raw"), F.col("raw") + F.col("d"), F.lit(0.4))
+    # Values of few decimals: six places would meet ties.
+    return rows.select("a", (F.round(moved, 8) + F.lit(0.0)).alias("degroot"), (F.round(pulled, 8) + F.lit(0.0)).alias("friedkin_johnsen"), "n")
 
 
 @query(f"WITH {MOVE_SQL} SELECT pairs.a, b, round(power(abs(pairs.d), -2.0) / (power(abs(pairs.d), -2.0) + (n - 1) * power(far, -2.0)), 6) AS p FROM pairs JOIN x USING (a) WHERE pairs.d <> 0")

@@ -226,3 +226,12 @@ def fit_choice_weight(candidates: DataFrame, keys: list[str], distance: str, cho
         if abs(move) < tolerance:
             break
     return w, bend**-0.5
+
+
+def evaluated(platform: DataFrame) -> DataFrame:
+    """(replica, time, polarization, moved): how far users stand from their mean, halved, and how far they moved in the step."""
+    users_ = platform.where("kind = 'user'").select("replica", "user_id", "time", ((F.col("position") + 1) / 2).alias("b"))
+    before = F.lag("b").over(Window.partitionBy("replica", "user_id").orderBy("time"))
+    means = users_.groupBy("replica", "time").agg(F.avg("b").alias("_mean"))
+    rows = users_.withColumn("_d", F.abs(F.col("b") - before)).join(means, ["replica", "time"])
+    return rows.groupBy("replica", "time").agg((F.avg(F.abs(F.col("b") - F.col("_mean"))) / 2).alias("polarization"), F.avg("_d").alias("moved"))

@@ -6,6 +6,7 @@ value is -1, 0, 1 or null. Nothing is padded, and missing cells are rows that do
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,13 +64,17 @@ def windows(spark, low: int, high: int, width: int) -> DataFrame:
 
 
 def months(bounds: DataFrame, low: str = "lo", high: str = "hi") -> DataFrame:
-    """(window_id, lo, hi) in seconds: calendar months from the first's start, while they begin before the last time."""
-    start = F.date_trunc("month", F.timestamp_seconds(F.col(low)))
-    steps = F.explode(F.sequence(start, F.timestamp_seconds(F.col(high)), F.expr("interval 1 month")))
-    out = bounds.select(steps.alias("s"), F.col(high).alias("_high"))
-    out = out.select(F.unix_seconds("s").alias("lo"), F.unix_seconds(F.add_months("s", 1).cast("timestamp")).alias("hi"), "_high").where("lo < _high")
-    epoch_month = F.year(F.timestamp_seconds("lo")) * 12 + F.month(F.timestamp_seconds("lo"))
-    return out.select(epoch_month.cast("long").alias("window_id"), "lo", "hi")
+    """(window_id, lo, hi) in seconds: calendar months in UTC from the first's start, while they begin before the last time.
+
+    Days are counted from 1970, so no result depends on the session's time zone.
+    """
+    first = F.lit("1970-01-01").cast("date")
+    day = lambda c: F.date_add(first, F.floor(F.col(c) / DAY).cast("int"))
+    steps = F.explode(F.sequence(F.trunc(day(low), "month"), day(high), F.expr("interval 1 month"))).alias("s")
+    seconds = lambda d: F.datediff(d, first).cast("long") * DAY
+    out = bounds.where(F.col(low).isNotNull() & F.col(high).isNotNull()).select(steps, F.col(high).alias("_high"))
+    out = out.select((F.year("s") * 12 + F.month("s")).cast("long").alias("window_id"), seconds(F.col("s")).alias("lo"), seconds(F.add_months("s", 1)).alias("hi"), "_high")
+    return out.where("lo < _high").drop("_high")
 
 
 def in_windows(rows: DataFrame, spans: DataFrame, width: int, t: str = "t") -> DataFrame:
@@ -161,12 +166,22 @@ def sequences(obs: DataFrame) -> DataFrame:
     return obs.where("value is not null").groupBy("user_id", "issue").agg(rows.alias("rows"))
 
 
+#: Weights of observations by the name of an aggregation: from the precision w, the age in days and the half-life.
+WEIGHTS: dict[str, Callable[[Column, Column, float], Column]] = {
+    "weighted": lambda w, days, halflife: w,
+    "exponential": lambda w, days, halflife: w * decay(days, halflife),
+}
+#: Aggregations that infer the share of each stance behind the classifiers' answers.
+INFERRED = ("categorical", "normal", "beta")
+
+
 @dataclass
 class OpinionTimeline:
     """Observations, classifier profiles and how to aggregate them.
 
-    aggregation: "weighted" or "exponential"; least: the fewest observations of a user on
-    an issue; attribute: a column whose modal value each user gets.
+    aggregation: a name of WEIGHTS, which a caller may extend, or of INFERRED; least: the
+    fewest observations of a user on an issue; attribute: a column whose modal value each
+    user gets.
     """
 
     obs: DataFrame
@@ -181,18 +196,23 @@ class OpinionTimeline:
         missing = [c for c in self.required if c not in self.obs.columns]
         if missing:
             raise ValueError(f"observations lack {', '.join(missing)}")
-        if self.aggregation not in ("weighted", "exponential"):
+        if self.aggregation not in WEIGHTS and self.aggregation not in INFERRED:
             raise ValueError(f"unknown aggregation {self.aggregation}")
         self.rows = weighted(min_support(self.obs, self.least), self.profile)
 
+    def _opinions(self, rows: DataFrame, keys: list[str], end: Column) -> DataFrame:
+        if self.aggregation in INFERRED:
+            from agora.operators import inference
+
+            return getattr(inference, self.aggregation)(inference.posterior(rows.drop("w"), self.profile), keys)
+        return opinion(rows, keys, WEIGHTS[self.aggregation](F.col("w"), age_in_days(F.col("t"), end), self.halflife))
+
     def data(self, spans: DataFrame, width: int) -> DataFrame:
-        out = timeline(self.rows, spans, width, self.halflife if self.aggregation == "exponential" else None)
+        out = self._opinions(in_windows(self.rows, spans, width), ["window_id", "user_id", "issue"], F.col("hi"))
         return out.join(modal(self.obs, "user_id", self.attribute), "user_id", "left") if self.attribute else out
 
     def window(self, low: int, high: int) -> DataFrame:
-        rows = self.rows.where(F.col("t").between(low, high))
-        w = F.col("w") if self.aggregation == "weighted" else F.col("w") * decay(age_in_days(F.col("t"), F.lit(high)), self.halflife)
-        return opinion(rows, ["user_id", "issue"], w)
+        return self._opinions(self.rows.where(F.col("t").between(low, high)), ["user_id", "issue"], F.lit(high))
 
     def user(self, user_id) -> DataFrame:
         return self.obs.where(F.col("user_id") == user_id)

@@ -199,6 +199,12 @@ def simulated_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(line, "mean", "var")
 
 
+@query()
+def simulated_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polarization and movement at each step of two simulated platforms."""
+    return dy.evaluated(dy.platforms(spark, 2))
+
+
 @query()
 def choice_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exponent that explains best which earlier turn each turn answers, by how far apart their lengths are."""

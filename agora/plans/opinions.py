@@ -118,20 +118,13 @@ def opinion_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(year(s) * 12 + month(s) AS BIGINT) AS window_id, CAST(epoch(s) AS BIGINT) AS lo, CAST(epoch(s + INTERVAL 1 MONTH) AS BIGINT) AS hi FROM m WHERE s < hi""")
 def month_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders")
-    with_utc(spark)
     return op.months(orders.select(seconds(orders, "o_orderdate").alias("t")).agg(F.min("t").alias("lo"), F.max("t").alias("hi")))
 
 
-def with_utc(spark: SparkSession) -> None:
-    """Calendars are in UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-
-
 @query("""WITH b AS (SELECT date_trunc('month', min(o_orderdate)) AS lo, max(o_orderdate) AS hi FROM orders), m AS (SELECT unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS s, hi FROM b), w AS (SELECT CAST(year(s) * 12 + month(s) AS BIGINT) AS window_id, CAST(epoch(s) AS BIGINT) AS lo, CAST(epoch(s + INTERVAL 1 MONTH) AS BIGINT) AS hi FROM m WHERE s < hi)
 SELECT window_id, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN w ON epoch(o_orderdate) >= lo AND epoch(o_orderdate) <= hi GROUP BY 1""")
 def monthly_orders_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders")
-    with_utc(spark)
     rows = orders.select(seconds(orders, "o_orderdate").alias("t"), "o_totalprice")
     spans = op.months(rows.agg(F.min("t").alias("lo"), F.max("t").alias("hi")))
     found = op.in_windows(rows, spans, 31 * 86_400)

@@ -10,6 +10,7 @@ from agora.operators import graph as gr
 from agora.operators import interactions as it
 from agora.operators import opinions as op
 from agora.operators import stance as st
+from agora.plans.graph import POST_SQL
 from agora.plans.opinions import WEEK, rounded, weeks
 from agora.plans.streams import DISTANCE_SQL, LINK_SQL, content, links
 from agora.registry import query
@@ -137,3 +138,10 @@ def timeline_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = op.OpinionTimeline(observations(spark, sf_dir), profiles(spark), least=5, attribute="event_type")
     rows = line.data(weeks(spark, sf_dir), WEEK)
     return rows.groupBy("window_id", "issue", "event_type").agg(F.sum("n").alias("n"))
+
+
+@query(f"WITH {POST_SQL}, win AS (SELECT (SELECT (min(t) - 345600) // 604800 FROM obs) AS a, (SELECT (max(t) - 345600) // 604800 FROM obs) AS z), spans AS (SELECT i - a AS window_id, 345600 + i * 604800 AS lo, 345600 + (i + 1) * 604800 AS hi FROM win, generate_series(a, z) g(i)) SELECT window_id, user_id, issue, round(avg(qa), 6) AS p_against, round(avg(qn), 6) AS p_neutral, round(avg(qf), 6) AS p_favor FROM post JOIN spans ON t >= lo AND t <= hi GROUP BY 1, 2, 3")
+def inferred_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A timeline object whose aggregation infers the share of each stance."""
+    line = op.OpinionTimeline(observations(spark, sf_dir), profiles(spark), "categorical")
+    return rounded(line.data(weeks(spark, sf_dir), WEEK), "p_against", "p_neutral", "p_favor")

@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -107,10 +107,14 @@ def in_scope(rows: DataFrame, communities: list[str], tombstones: tuple[str, ...
     return rows.where(F.col("subreddit").isin(communities) & ~F.col(text).isin(*tombstones))
 
 
+def month_of(seconds: str) -> Column:
+    """The month in UTC of seconds since 1970, whatever the session's time zone."""
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col(seconds) / 86_400).cast("int")), "yyyy-MM")
+
+
 def write_monthly(rows: DataFrame, path: str, codec: str = "zstd") -> None:
     """Parquet by month of creation; months that are written again are replaced."""
-    month = F.date_format(F.timestamp_seconds("created_utc"), "yyyy-MM")
-    (rows.withColumn("year_month", month).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", codec).partitionBy("year_month").parquet(path))
+    (rows.withColumn("year_month", month_of("created_utc")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", codec).partitionBy("year_month").parquet(path))
 
 
 def unprocessed(inputs: DataFrame, done: DataFrame, key: str = "year_month") -> DataFrame:
@@ -120,5 +124,5 @@ def unprocessed(inputs: DataFrame, done: DataFrame, key: str = "year_month") ->
 
 def stream_json(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str) -> None:
     """Every new JSON file of a folder, once, to Parquet by month; stops when all that is there is done."""
-    rows = spark.readStream.schema(schema).json(folder).withColumn("year_month", F.date_format(F.timestamp_seconds("created_utc"), "yyyy-MM"))
+    rows = spark.readStream.schema(schema).json(folder).withColumn("year_month", month_of("created_utc"))
     rows.writeStream.format("parquet").partitionBy("year_month").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -12,6 +12,7 @@ from agora.operators import dynamics as dy
 from agora.operators import inference as inf
 from agora.operators import interactions as it
 from agora.operators import landscape as la
+from agora.operators import opinions as op
 from agora.operators import ordered
 from agora.operators import relational as rel
 from agora.operators import scoring as sc
@@ -178,3 +179,25 @@ def test_methods_refuse_what_they_do_not_know(spark):
             st.classify(rows, method, prompting, "x", "y", "z", lambda p: p)
     sided = st.classify(rows, "twostep", "predict", "x", "y", "z", lambda p: ["yes\nagainst it"] * len(p)).first()
     assert sided.stance == "against"
+
+
+def test_hashed_embeddings_are_near_for_like_texts(spark):
+    rows = [(0, "the cat sat on the mat"), (1, "The cat sat on a mat"), (2, "quarterly revenue rose sharply"), (3, None), (4, "")]
+    got = {r.i: r.embedding for r in tp.hashed_embedding(spark.createDataFrame(rows, "i int, t string"), "t", 256).collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(got[a], got[b]))
+    assert dot(0, 0) == pytest.approx(1) and dot(0, 1) > 0.5 > abs(dot(0, 2))
+    assert all(x == 0 for x in got[4])
+
+
+def test_aggregations_by_name(spark):
+    obs = spark.createDataFrame([(i, i % 3, i * 3600, i % 2, (i % 3) - 1, i % 3) for i in range(60)], "comment_id long, user_id long, t long, issue long, value int, classifier_idx int")
+    op.WEIGHTS["plain"] = lambda w, days, halflife: F.lit(1.0)
+    try:
+        means = op.OpinionTimeline(obs, profiles(spark), "plain").window(0, 10**6)
+        assert {r.user_id: r["mean"] for r in means.collect()} == {0: -1.0, 1: 0.0, 2: 1.0}
+    finally:
+        del op.WEIGHTS["plain"]
+    for name in (*op.WEIGHTS, *op.INFERRED):
+        assert op.OpinionTimeline(obs, profiles(spark), name).window(0, 10**6).count() == 6
+    with pytest.raises(ValueError):
+        op.OpinionTimeline(obs, profiles(spark), "other")

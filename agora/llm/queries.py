@@ -43,7 +43,7 @@ URL_RULES = [
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/pages.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = urls.fit(urls.labelled_by_documents(table, labels))
+    model = urls.fit(urls.labelled(table, labels, URL_RULES))
     return urls.judge(table, model, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 

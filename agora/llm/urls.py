@@ -12,7 +12,7 @@ from agora.llm.trees import Boosted, boost
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "url_digits", "host_digits", "host_hyphens", "host_entropy", "parameters", "fragment", "longest_label", "vowels", "suffix_rate")
+FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "url_digits", "host_digits", "host_hyphens", "host_entropy", "parameters", "fragment", "longest_label", "vowels", "suffix_rate", "segment_rate")
 
 
 @dataclass(frozen=True)
@@ -60,6 +60,11 @@ def suffix(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
+def segment(host: Column, path: Column) -> Column:
+    """The suffix of a host with the first segment of the path."""
+    return F.concat_ws("/", suffix(host), F.regexp_extract(path, r"\A/([^/]*)/", 1))
+
+
 def _entropy(text: Column) -> Column:
     """Bits for each character."""
     n = F.greatest(F.length(text), F.lit(1))
@@ -68,7 +73,7 @@ def _entropy(text: Column) -> Column:
 
 
 def features(url: Column, host: Column, path: Column) -> list[Column]:
-    """FEATURES but the suffix rate."""
+    """FEATURES but the rates."""
     full = F.coalesce(url, F.lit(""))
     query = F.regexp_extract(full, r"\?([^#]*)", 1)
 
@@ -106,19 +111,40 @@ def labelled_by_documents(urls: DataFrame, labels: DataFrame, url: str = "url")
     return urls.select(F.col(url).alias("url")).withColumn("number", number).where("number is not null").join(marked, "number").select("url", "label")
 
 
+def labelled(urls: DataFrame, labels: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
+    """(url, label): what the rules say of the URLs they fit, and of others what their documents' labels say."""
+    host, path = host_and_path(F.col(url))
+    rows = urls.select(F.col(url).alias("url"), verdict_of(host, path, rules)[1].alias("said")).distinct()
+    by_document = labelled_by_documents(rows.where("said is null"), labels)
+    return rows.where("said is not null").select("url", F.when(F.col("said") == "block", 1).otherwise(0).alias("label")).unionByName(by_document)
+
+
+def verdict_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
+    """Name and verdict of the longest rule that fits, of equal ones the first by name; null without one."""
+    rule = verdict = F.lit(None).cast("string")
+    for one in sorted(rules, key=lambda r: (-len(r.name), r.name), reverse=True):
+        fits = one.fits(host, path)
+        rule, verdict = F.when(fits, F.lit(one.name)).otherwise(rule), F.when(fits, F.lit(one.verdict)).otherwise(verdict)
+    return rule, verdict
+
+
 @dataclass
 class Model:
     trees: Boosted
-    rates: dict[str, float]
+    rates: list[dict[str, float]]  # of suffixes and of segments
     mean: float
     held_out: dict[str, float] = field(default_factory=dict)  # accuracy, that of the mean alone, and rows
 
     def probability(self, url: Column, host: Column, path: Column) -> Column:
         """That a URL is unwanted: the trees as CASE expressions."""
-        rate = F.lit(self.mean)
-        for name, value in self.rates.items():
-            rate = F.when(suffix(host) == name, F.lit(value)).otherwise(rate)
-        raw = self.trees.column([*(F.col(f"f{i}") for i in range(len(FEATURES) - 1)), rate])
+        names = (suffix(host), segment(host, path))
+        columns = [F.col(f"f{i}") for i in range(len(FEATURES) - len(names))]
+        for name, rates in zip(names, self.rates, strict=True):
+            rate = F.lit(self.mean)
+            for known, value in rates.items():
+                rate = F.when(name == known, F.lit(value)).otherwise(rate)
+            columns.append(rate)
+        raw = self.trees.column(columns)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-raw))
 
 
@@ -126,9 +152,9 @@ def fit(labelled: DataFrame, params: Params = Params(), url: str = "url", label:
     """Boosted trees on at most about params.rows labelled URLs, those of smallest hash; the driver gets these alone.
 
     A URL counts once, however often it is repeated, with the largest of its labels; null
-    URLs and labels teach nothing. Suffix statistics are the share of label 1 among the
-    sample's URLs of a suffix, with the mean for one more row, so that a suffix of one kind
-    does not give the label away.
+    URLs and labels teach nothing. Statistics of suffixes, and of suffixes with the first
+    segment of the path, are the share of label 1 among the sample's URLs, with the mean
+    for one more row, so that a suffix of one kind does not give the label away.
     """
     rows = labelled.select(F.col(url).alias("u"), F.col(label).cast("double").alias("y")).where("u is not null and y is not null")
     rows = rows.groupBy("u").agg(F.max("y").alias("y"))
@@ -137,20 +163,16 @@ def fit(labelled: DataFrame, params: Params = Params(), url: str = "url", label:
     rows = rows.where(F.pmod(F.xxhash64("u", F.lit(params.seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     host, path = host_and_path(F.col("u"))
     rows = rows.withColumn("h", host).withColumn("p", path)
-    got = rows.select("y", suffix(F.col("h")).alias("s"), *features(F.col("u"), F.col("h"), F.col("p"))).collect()
+    got = rows.select("y", suffix(F.col("h")).alias("s"), segment(F.col("h"), F.col("p")).alias("g"), *features(F.col("u"), F.col("h"), F.col("p"))).collect()
     got.sort(key=tuple)
     if not got:
-        return Model(Boosted(-6.0), {}, 0.0)
+        return Model(Boosted(-6.0), [{}, {}], 0.0)
     y = np.array([r[0] for r in got])
     held = np.random.default_rng(params.seed).random(len(y)) < params.held
     taught = [r for r, h in zip(got, held, strict=True) if not h] or got
     mean = float(np.mean([r[0] for r in taught]))
-    sums: dict[str, list[float]] = {}
-    for r in taught:
-        sums.setdefault(r[1], []).append(r[0])
-    often = sorted(sums, key=lambda s: (-len(sums[s]), s))[:50]
-    rates = {s: (sum(sums[s]) + mean) / (len(sums[s]) + 1) for s in often if len(sums[s]) >= params.support}
-    x = np.array([[*r[2:], rates.get(r[1], mean)] for r in got])
+    rates = [_rates(taught, k, mean, params) for k in (1, 2)]
+    x = np.array([[*r[3:], rates[0].get(r[1], mean), rates[1].get(r[2], mean)] for r in got])
     train = ~held if (~held).any() else np.ones(len(y), bool)
     trees = boost(x[train], y[train], params.rounds, params.depth)
     said = {"rows": float(held.sum())}
@@ -161,6 +183,14 @@ def fit(labelled: DataFrame, params: Params = Params(), url: str = "url", label:
     return Model(trees, rates, mean, said)
 
 
+def _rates(rows: list, column: int, mean: float, params: Params) -> dict[str, float]:
+    sums: dict[str, list[float]] = {}
+    for r in rows:
+        sums.setdefault(r[column], []).append(r[0])
+    often = sorted(sums, key=lambda s: (-len(sums[s]), s))[:50]
+    return {s: (sum(sums[s]) + mean) / (len(sums[s]) + 1) for s in often if len(sums[s]) >= params.support}
+
+
 def _best(trees: Boosted, x: np.ndarray, y: np.ndarray) -> int:
     """How many of the trees have the least log loss on rows they have not seen."""
     raws = [trees.kept(k).raw(x) for k in range(len(trees.trees) + 1)]
@@ -179,10 +209,7 @@ def judge(urls: DataFrame, model: Model, rules: list[Rule], key: str = "page_id"
     host, path = host_and_path(F.col("u"))
     rows = urls.select(F.col(key).alias("k"), F.col(url).alias("u")).withColumn("h", host).withColumn("p", path)
     rows = rows.select("*", *[c.alias(f"f{i}") for i, c in enumerate(features(F.col("u"), F.col("h"), F.col("p")))])
-    rule, verdict = F.lit(None).cast("string"), F.when(F.col("probability") >= 0.5, "block").otherwise("allow")
-    for one in sorted(rules, key=lambda r: (-len(r.name), r.name), reverse=True):
-        fits = one.fits(F.col("h"), F.col("p"))
-        rule = F.when(fits, F.lit(one.name)).otherwise(rule)
-        verdict = F.when(fits, F.lit(one.verdict)).otherwise(verdict)
+    rule, verdict = verdict_of(F.col("h"), F.col("p"), rules)
+    verdict = F.coalesce(verdict, F.when(F.col("probability") >= 0.5, "block").otherwise("allow"))
     rows = rows.withColumn("probability", model.probability(F.col("u"), F.col("h"), F.col("p")))
     return rows.select(F.col("k").alias(key), F.col("h").alias("host"), F.col("p").alias("path"), rule.alias("rule"), verdict.alias("verdict"), "probability")

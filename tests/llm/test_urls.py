@@ -21,7 +21,7 @@ def plain(url):
 
 def test_hosts_paths_and_rules(spark):
     frame = spark.createDataFrame([(i, u, "h") for i, u in enumerate(CASES)], "page_id long, url string, host string")
-    model = urls.Model(urls.Boosted(-6.0), {}, 0.0)
+    model = urls.Model(urls.Boosted(-6.0), [{}, {}], 0.0)
     for r in urls.judge(frame, model, URL_RULES).collect():
         host, path = plain(CASES[r.page_id])
         assert (r.host, r.path) == (host, path)
@@ -56,8 +56,8 @@ def test_trees_learn_labels_and_columns_agree(spark):
     assert sum((r.verdict == "block") == (r.page_id == 1) for r in got) >= 0.97 * len(got)
     # The CASE columns give what the trees give.
     host, path = urls.host_and_path(F.col("url"))
-    x = rest.select("url", urls.suffix(host).alias("s"), F.array(*urls.features(F.col("url"), host, path)).alias("f")).collect()
-    raw = model.trees.raw(np.array([[*r.f, model.rates.get(r.s, model.mean)] for r in x]))
+    x = rest.select("url", urls.suffix(host).alias("s"), urls.segment(host, path).alias("g"), F.array(*urls.features(F.col("url"), host, path)).alias("f")).collect()
+    raw = model.trees.raw(np.array([[*r.f, model.rates[0].get(r.s, model.mean), model.rates[1].get(r.g, model.mean)] for r in x]))
     want = {r.url: 1 / (1 + math.exp(-v)) for r, v in zip(x, raw)}
     shown = urls.judge(rest.withColumn("page_id", F.col("url")), model, []).select("page_id", "probability").collect()
     assert all(abs(r.probability - want[r.page_id]) < 1e-9 for r in shown)
@@ -89,6 +89,9 @@ def test_urls_take_the_labels_of_their_documents(spark):
     frame = spark.createDataFrame([(u,) for u in cases], "url string")
     got = {r.url: r.label for r in urls.labelled_by_documents(frame, marks).collect()}
     assert got == {u: k for u, k in cases.items() if k is not None}
+    rules = [urls.Rule("allow", "h", "/en/"), urls.Rule("block", "h", "/n")]
+    both = {r.url: r.label for r in urls.labelled(frame.unionByName(frame), marks, rules).collect()}
+    assert both == got | {"http://h/en/7?x=9": 0, "http://h/en/7/": 0, "http://h/en/9#top": 0, "http://h/no": 1}
 
 
 def test_nothing(spark):

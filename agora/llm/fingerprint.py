@@ -47,7 +47,7 @@ def draws(term: Column, weights: list[Column], sample: Column, params: Params) -
 
 
 def fingerprints(texts: DataFrame, keys: list[str], bodies: list[str], params: Params = Params()) -> DataFrame:
-    """keys, and for each of the columns `bodies` the fingerprint of its text, named p0, p1, ...
+    """keys, for each of the columns `bodies` the fingerprint of its text, named p0, p1, ..., and sha, the last one's sha256.
 
     Rows must differ in their keys. Where texts is already partitioned by a key, nothing is
     shuffled: a text's words are counted, drawn and reduced where the text lies. Texts of a
@@ -56,29 +56,34 @@ def fingerprints(texts: DataFrame, keys: list[str], bodies: list[str], params: P
     """
     n = len(bodies)
     texts = texts.select(*keys, F.posexplode(F.array(*bodies)).alias("version", "body"))
+    texts = texts.withColumn("sha", F.when(F.col("version") == n - 1, F.sha2(F.col("body").cast("binary"), 256)))
     words = F.split(F.lower("body"), r"[\x20\x09-\x0D]+")
     # The empty word keeps texts without words; it is no term.
-    terms = texts.select(*keys, "version", F.explode(F.concat(F.array(F.lit("")), words)).alias("word"))
-    terms = terms.select(*keys, "version", F.when(F.col("word") != "", F.xxhash64("word")).alias("term"))
+    terms = texts.select(*keys, "version", "sha", F.explode(F.concat(F.array(F.lit("")), words)).alias("word"))
+    # The digest travels as four numbers beside the empty word: it needs no second look at the texts.
+    parts = {f"d{i}": F.when(F.col("word") == "", F.conv(F.substring("sha", 16 * i + 1, 16), 16, -10).cast("long")) for i in range(4)}
+    terms = terms.select(*keys, "version", F.when(F.col("word") != "", F.xxhash64("word")).alias("term"), *[c.alias(d) for d, c in parts.items()])
     counts = [F.count(F.when(F.col("version") == v, 1)).alias(f"n{v}") for v in range(n)]
-    weights = terms.groupBy(*keys, "term").agg(*counts)
-    weights = weights.select(*keys, "term", *[F.when(F.col("term").isNotNull() & (F.col(f"n{v}") > 0), F.log(F.col(f"n{v}").cast("double"))).alias(f"w{v}") for v in range(n)])
+    digests = [F.max(d).alias(d) for d in parts]
+    weights = terms.groupBy(*keys, "term").agg(*counts, *digests)
+    weights = weights.select(*keys, "term", *parts, *[F.when(F.col("term").isNotNull() & (F.col(f"n{v}") > 0), F.log(F.col(f"n{v}").cast("double"))).alias(f"w{v}") for v in range(n)])
     groups = -(-params.samples // ABREAST)
     rows = weights.select("*", F.explode(F.array(*[F.lit(g) for g in range(groups)])).alias("group"))
     mins = []
     for j in range(ABREAST):
         values = draws(F.col("term"), [F.col(f"w{v}") for v in range(n)], F.col("group") * ABREAST + j, params)
         mins += [F.min(value).alias(f"m{v}_{j}") for v, value in enumerate(values)]
-    reduced = rows.groupBy(*keys, "group").agg(*mins)
+    reduced = rows.groupBy(*keys, "group").agg(*mins, *digests)
 
     def part(v: int, j: int) -> Column:
         m = F.col(f"m{v}_{j}")
         digits = F.lpad(F.hex(F.pmod(F.xxhash64(m), F.lit(16**HEX - 1)) + 1), HEX, "0")
         return F.lower(F.when(m.isNull(), F.lit("0" * HEX)).otherwise(digits))
 
-    parts = [F.struct("group", F.concat(*[part(v, j) for j in range(ABREAST)]).alias("digits")) for v in range(n)]
-    joined = reduced.groupBy(*keys).agg(*[F.array_sort(F.collect_list(parts[v])).alias(f"parts{v}") for v in range(n)])
-    return joined.select(*keys, *[F.substring(F.array_join(F.col(f"parts{v}.digits"), ""), 1, HEX * params.samples).alias(f"p{v}") for v in range(n)])
+    found = [F.struct("group", F.concat(*[part(v, j) for j in range(ABREAST)]).alias("digits")) for v in range(n)]
+    joined = reduced.groupBy(*keys).agg(*[F.array_sort(F.collect_list(found[v])).alias(f"parts{v}") for v in range(n)], *digests)
+    prints = [F.substring(F.array_join(F.col(f"parts{v}.digits"), ""), 1, HEX * params.samples).alias(f"p{v}") for v in range(n)]
+    return joined.select(*keys, *prints, F.lower(F.concat(*[F.lpad(F.hex(d), 16, "0") for d in parts])).alias("sha"))
 
 
 def likeness(one: Column, other: Column, params: Params = Params()) -> Column:
@@ -144,12 +149,12 @@ def edited_likeness(docs: DataFrame, params: Params = Params(), key: str = "doc_
     lenders = texts.select(*[F.col(c).alias("next_" + c) for c in name], F.col("t").alias("other"))
     n = F.floor(F.col("s") / 2)
     third = F.floor(n / 3)
-    lent = save(asks, "asks").join(lenders, next_name).select(*name, "ask", "times", *next_name, F.substring(F.col("other"), F.lit(1), third.cast("int")).alias("lent"))
+    asks = save(asks, "asks")
+    lent = asks.join(lenders, next_name).select(*name, "ask", F.substring(F.col("other"), F.lit(1), third.cast("int")).alias("lent"))
     both = texts.join(lent, name)
     both = both.withColumn("edited", F.concat(F.substring(F.col("t"), F.lit(1), (n - third).cast("int")), "lent"))
-    facts = both.select(*name, "ask", "times", *next_name, F.sha2(F.col("edited").cast("binary"), 256).alias("sha"))
     prints = fingerprints(both.select(*name, "ask", "t", "edited"), [*name, "ask"], ["t", "edited"], params)
-    rows = save(prints.join(facts, [*name, "ask"]), "prints")
+    rows = save(prints.join(asks, [*name, "ask"]), "prints")
     after = rows.where("ask = 0").select(*[F.col(c).alias("next_" + c) for c in name], F.col("p0").alias("next_print"))
     rows = rows.join(after, next_name).withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     return rows.select(

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.quality_rules import IS_LOWER, IS_SEPARATOR, IS_STOP, IS_SYMBOL, IS_UPPER, Rules, _sums, _table, judge
+from agora.llm.quality_rules import IS_LOWER, IS_SEPARATOR, IS_STOP, IS_UPPER, Rules, _sums, _table, judge
 from agora.llm.scratch import whole_texts
 from agora.llm.textarrays import Chunk, chunks, first_of_each, word_numbers
 from agora.llm.trees import Path, boost

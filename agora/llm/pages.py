@@ -36,7 +36,7 @@ PARTS = frozenset("menu nav navbar navigation breadcrumb breadcrumbs sidebar sid
 #: Names that adverts and notices bear; a style tree over all hosts says whether they are what they claim.
 CLAIMS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recirculation widget".split())
 #: Words that say where something stands, not what it is.
-LAYOUT = frozenset("slot box container wrapper wrap area section list bar block top bottom left right unit inner outer item link links panel holder group row col column primary secondary header heading title".split())
+LAYOUT = frozenset("slot box container wrapper wrap area section list bar block top bottom left right unit inner outer item link links panel holder group row col column primary secondary header heading title site page global".split())
 #: Elements whose names are about their own text.
 UNNAMED = frozenset("h1 h2 h3 h4 h5 h6 article main body html".split())
 DEEPEST = 48  # levels of a page that have style nodes
@@ -70,7 +70,7 @@ def element(tag: str, attributes: str, in_article: bool) -> Element:
             furniture = True
     claim = ""
     if words and tag not in UNNAMED and words <= PARTS | CLAIMS | LAYOUT:
-        furniture |= bool(words & PARTS)
+        furniture |= bool(words & PARTS) or ("header" in words and not in_article)
         claim = min(words & CLAIMS, default="")
     kept = sorted(w for w in words if not any(ch.isdigit() for ch in w))
     return Element(furniture, claim, f"{tag}.{'.'.join(kept)}")

@@ -30,6 +30,8 @@ def test_names_drop_only_what_they_name():
     for gone in ("<p hidden>x</p>", '<p hidden="">x</p>', '<div style="color:red; DISPLAY : none">x</div>', '<div class="form">x</div>', '<div id="comments-list">x</div>', '<div class="ad ad-7">x</div>', '<div class="cookie-notice bottom">x</div>', "<div role=navigation>x</div>"):
         assert text(f"<article><p>Keep</p>{gone}</article>") == "Keep", gone
     assert text("<p>&am<b>p;</b> &amp;amp;</p>") == "&amp; &amp;"
+    page = '<div id="page"><div class="site-header">x</div><article><div class="header">Keep</div></article></div>'
+    assert text(page) == "Keep" and text('<div class="page header">x</div><p>Keep</p>') == "Keep"
 
 
 def test_deep_pages_take_linear_time():

@@ -190,11 +190,6 @@ def ranks(path: str) -> Ranks:
     return Ranks(path)
 
 
-@functools.cache
-def rank_pieces(path: str) -> PieceIds:
-    return PieceIds(ranks(path).merge)
-
-
 def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, ids_sha256 and decoded_sha256 of every row's whole text.
 
@@ -205,7 +200,8 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, table = rank_pieces(path), ranks(path)
+        table = ranks(path)
+        ids_of = PieceIds(table.merge)  # goes with the task, so no worker holds it for other work
         size = max(table.token) + 1
         written, token = [str(i) for i in range(size)], [table.token.get(i, b"") for i in range(size)]
         for batch in batches:

@@ -11,11 +11,11 @@ from __future__ import annotations
 import functools
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -33,12 +33,13 @@ class Tokens:
     library finds before it splits (such as an end of text) are left to the library.
     """
 
-    def __init__(self, tokenizer: Tokenizer, pieces: PieceIds):
-        self.tokenizer, self.pieces = tokenizer, pieces
+    def __init__(self, tokenizer: Tokenizer, encode: Callable[[list[bytes]], list[list[int]]]):
+        self.tokenizer, self.encode = tokenizer, encode
         self.added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
 
-    def of(self, chunk: Chunk) -> list[np.ndarray]:
-        ids, at = self.pieces.of(chunk)
+    def of(self, chunk: Chunk, pieces: PieceIds) -> list[np.ndarray]:
+        """Ids of each text of a chunk; `pieces` remembers what this task has met."""
+        ids, at = pieces.of(chunk)
         out = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         whole = chunk.text()
         if any(token in whole for token in self.added):
@@ -66,7 +67,7 @@ def json_tokens(path: str) -> Tokens:
     def encode(words: list[bytes]) -> list[list[int]]:
         return [[t.id for t in model.tokenize(w.decode("latin-1").translate(byte_chars))] for w in words]
 
-    return Tokens(tokenizer, PieceIds(encode))
+    return Tokens(tokenizer, encode)
 
 
 def cut(docs: DataFrame, tokenizer: str, size: int, key: str, text: str, end_id: int) -> DataFrame:
@@ -74,12 +75,13 @@ def cut(docs: DataFrame, tokenizer: str, size: int, key: str, text: str, end_id:
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = json_tokens(tokenizer)
+        known = PieceIds(tokens.encode)  # goes with the task, so no worker holds it for other work
         for batch in batches:
             keys = batch.column(0)
             for chunk in chunks(batch.column(1)):
                 rows, number, start, length, crc = [], [], [], [], []
                 last = np.array([end_id], "<u4").tobytes()
-                for i, ids in enumerate(tokens.of(chunk)):
+                for i, ids in enumerate(tokens.of(chunk, known)):
                     own = ids.astype("<u4").tobytes() + last
                     n = len(own) // 4
                     a, b, k = 0, (n - 1) % size + 1, 0

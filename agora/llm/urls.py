@@ -135,16 +135,17 @@ class Model:
     mean: float
     held_out: dict[str, float] = field(default_factory=dict)  # accuracy, that of the mean alone, and rows
 
-    def probability(self, url: Column, host: Column, path: Column) -> Column:
-        """That a URL is unwanted: the trees as CASE expressions."""
-        names = (suffix(host), segment(host, path))
-        columns = [F.col(f"f{i}") for i in range(len(FEATURES) - len(names))]
-        for name, rates in zip(names, self.rates, strict=True):
-            rate = F.lit(self.mean)
-            for known, value in rates.items():
-                rate = F.when(name == known, F.lit(value)).otherwise(rate)
-            columns.append(rate)
-        raw = self.trees.column(columns)
+    def rate_columns(self, host: Column, path: Column) -> list[Column]:
+        """The rates of a URL's suffix and segment; the mean where they are unknown."""
+        out = []
+        for name, rates in zip((suffix(host), segment(host, path)), self.rates, strict=True):
+            known = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]) if rates else None
+            out.append(F.coalesce(F.try_element_at(known, name), F.lit(self.mean)) if rates else F.lit(self.mean))
+        return out
+
+    def probability(self) -> Column:
+        """That a URL is unwanted: the trees as CASE expressions over the columns f0, f1, ... of FEATURES."""
+        raw = self.trees.column([F.col(f"f{i}") for i in range(len(FEATURES))])
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-raw))
 
 
@@ -208,8 +209,10 @@ def judge(urls: DataFrame, model: Model, rules: list[Rule], key: str = "page_id"
     """
     host, path = host_and_path(F.col("u"))
     rows = urls.select(F.col(key).alias("k"), F.col(url).alias("u")).withColumn("h", host).withColumn("p", path)
-    rows = rows.select("*", *[c.alias(f"f{i}") for i, c in enumerate(features(F.col("u"), F.col("h"), F.col("p")))])
+    # Columns of their own, so that the trees name them and do not repeat what they stand for.
+    given = features(F.col("u"), F.col("h"), F.col("p")) + model.rate_columns(F.col("h"), F.col("p"))
+    rows = rows.select("*", *[c.alias(f"f{i}") for i, c in enumerate(given)])
     rule, verdict = verdict_of(F.col("h"), F.col("p"), rules)
     verdict = F.coalesce(verdict, F.when(F.col("probability") >= 0.5, "block").otherwise("allow"))
-    rows = rows.withColumn("probability", model.probability(F.col("u"), F.col("h"), F.col("p")))
+    rows = rows.withColumn("probability", model.probability())
     return rows.select(F.col("k").alias(key), F.col("h").alias("host"), F.col("p").alias("path"), rule.alias("rule"), verdict.alias("verdict"), "probability")

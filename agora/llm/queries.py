@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm import bpe, fingerprint, langid, neardup, packing, pages, quality_model, quality_rules, sharding, urls
+from agora.llm import bpe, fim, fingerprint, langid, neardup, packing, pages, quality_model, quality_rules, sharding, suffixtree, urls, variants
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,23 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return neardup.near_duplicates(docs, neardup.Params(shingle=4, percent=80))
+    return neardup.near_duplicates(docs, neardup.Params(shingle=4, percent=80)).drop("first")
+
+
+def op11_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = suffixtree.score(docs, _fold(7) != 2)
+    return rows.select("doc_id", (_fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.fill_in_middle(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    restored = fim.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -90,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash": op10_minhash,
+    "op11_suffix_tree": op11_suffix_tree,
+    "op12_variants": op12_variants,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 #: Line rules and counts of op9_quality_rules in SQL.

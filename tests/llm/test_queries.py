@@ -1,4 +1,4 @@
-"""The ten queries as the driver calls them, on tables with odd rows and one text beyond every chunk."""
+"""The numbered queries as the driver calls them, on tables with odd rows and one text beyond every chunk."""
 
 import base64
 import collections
@@ -16,13 +16,18 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from agora.llm import fingerprint
+from agora.llm import fingerprint, suffixtree
 from agora.llm.queries import ORACLES, QUERIES, URL_RULES
 from tests.llm.conftest import texts
+from tests.llm.test_fim import plain as plain_fim
 from tests.llm.test_fingerprint import exact_likeness
 from tests.llm.test_neardup import plain
 from tests.llm.test_quality_rules import plain as plain_counts
+from tests.llm.test_suffixtree import plain as plain_scores
 from tests.llm.test_urls import plain as plain_url
+from tests.llm.test_variants import COLUMNS, counts
+from tests.llm.test_variants import plain as plain_variants
+from tests.llm.test_variants import same as same_variants
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{i % 9973} and{i % 7}" for i in range(90_000)) + "\n" + "x" * 30_000
@@ -198,11 +203,41 @@ def test_op10(spark, folder):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want
 
 
+def test_op11(spark, folder):
+    docs = documents(spark, folder)
+    params = suffixtree.Params()
+    want, _ = plain_scores([(i, t, i is not None and _fold(i, 7) != 2) for i, t in docs], params)
+    got = QUERIES["op11_suffix_tree"](spark, folder)
+    assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    key = lambda r: (str(r[0]), *r[2:5], round(r[5], 3))
+    want = sorted(((i, None if i is None else not learn, *rest) for i, learn, *rest in want), key=key)
+    for a, b in zip(sorted(map(tuple, got.collect()), key=key), want, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-5)
+
+
+def test_op12(spark, folder):
+    rows = QUERIES["op12_variants"](spark, folder)
+    assert sorted(rows.columns) == sorted(COLUMNS)
+    same_variants(rows, plain_variants(counts(documents(spark, folder))))
+
+
+def test_op13(spark, folder):
+    want = collections.Counter()
+    for i, t in documents(spark, folder):
+        *row, output = plain_fim(i, t)
+        want[i, *row, hashlib.sha256(output.encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
+    got = QUERIES["op13_fill_in_middle"](spark, folder)
+    assert got.columns == ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"]
+    assert collections.Counter(map(tuple, got.collect())) == want
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
     want = con.execute(ORACLES[name]).df()
-    got = QUERIES[name](spark, SF).select(*want.columns).toPandas()
+    got = QUERIES[name](spark, SF).toPandas()
+    assert sorted(got.columns) == sorted(want.columns)
+    got = got[list(want.columns)]
     said = [sorted(map(json.dumps, d.astype(object).values.tolist())) for d in (got, want)]
     assert said[0] == said[1]

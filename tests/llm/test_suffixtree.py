@@ -97,7 +97,7 @@ def learn():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) != 2
 
 
-@pytest.mark.parametrize("params", [suffixtree.Params(), suffixtree.Params(words=20, endings=8, depth=2, share=50, known=60), suffixtree.Params(words=5, endings=3, depth=4, share=400, known=0)])
+@pytest.mark.parametrize("params", [suffixtree.Params(), suffixtree.Params(words=20, endings=8, depth=2, share=50, known=60), suffixtree.Params(words=5, endings=3, depth=4, share=400, known=30)])
 def test_texts(spark, edge, params):
     patterns = [" ".join(["a b c d", "d c b a"][i % 2] for _ in range(40)) for i in range(10)] + ["c a b " * 50] * 3
     more = spark.createDataFrame([*((4000 + i, t) for i, t in enumerate(patterns)), (None, "no key"), (4000, "again " * 30)], "doc_id long, text string")

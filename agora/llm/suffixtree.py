@@ -310,7 +310,7 @@ def score(docs: DataFrame, learn: Column, params: Params = Params(), key: str =
     are unknown and symbols equally likely; an empty table gives an empty table; other
     columns are ignored.
     """
-    words = save(word_counts(docs.where(F.coalesce(learn, F.lit(False))), params, text), "words", fewer=True)
+    words = save(word_counts(docs.where(F.coalesce(learn, F.lit(False))), params, text), "words")
     vocab = vocabulary(words, params)
     coded = save(encode(docs, learn, vocab, key, text), "coded")
     tree = fit(coded, params)

@@ -203,7 +203,7 @@ def variants(docs: DataFrame, params: Params = Params(), key: str = "doc_id", te
     again; an empty table gives an empty table; other columns are ignored.
     """
     counted = letter_runs(docs, params, key, text).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= params.least)
-    words = save(counted.select(F.monotonically_increasing_id().alias("id"), "word", "n"), "words", fewer=True)
+    words = save(counted.select(F.monotonically_increasing_id().alias("id"), "word", "n"), "words")
     near = words.join(near_words(words, params), "word", "left")
     form_n = -F.col("best.less")
     formed = F.col("best").isNotNull() & (form_n >= params.times * F.col("n"))

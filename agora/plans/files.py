@@ -60,8 +60,9 @@ def zstd_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(F.col("turn") % 3 == 2, "[deleted]").otherwise(F.col("text"))
     line = F.to_json(F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("subreddit"), body.alias("body"), F.col("turn").cast("string").alias("score")))
     lines = turns.select(F.explode(F.array(line, F.lit('{"cut": '))).alias("line"))
-    made = [r["path"] for r in store.saved(dumps.write_zstd(lines, place(spark, "dump")), "paths").distinct().collect()]
-    rows = dumps.in_scope(dumps.read_zstd(spark, made), ["user", "assistant"])
+    path = place(spark, "dump")
+    dumps.write_zstd(lines, path, frame=1 << 16)
+    rows = dumps.in_scope(dumps.read_zstd(spark, path, split=1 << 16), ["user", "assistant"])
     return rows.select(F.split_part("id", F.lit("-"), F.lit(1)).cast("long").alias("id"), F.col("score").alias("turn"), F.length("body").cast("long").alias("chars"))
 
 
@@ -71,7 +72,7 @@ def new_files_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, orders = place(spark, "arriving"), read(spark, sf_dir, "orders")
     rows = orders.select(seconds(orders, "o_orderdate").alias("created_utc"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("subreddit"))
     for state in ("F", "O"):
-        rows.where(F.col("subreddit") == state).coalesce(1).write.mode("append").json(f"{path}/in")
+        rows.where(F.col("subreddit") == state).write.mode("append").json(f"{path}/in")
         dumps.stream_json(spark, f"{path}/in", "created_utc long, id string, subreddit string", f"{path}/out", f"{path}/state")
     done = spark.read.parquet(f"{path}/out")
     left = dumps.unprocessed(orders.select(F.col("o_orderstatus").alias("subreddit")).distinct(), done.select("subreddit").distinct(), "subreddit")
@@ -81,11 +82,10 @@ def new_files_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT k - 1 AS dim, round(avg(embedding[k]::DOUBLE), 6) + 0.0 AS mean, count(*) AS n FROM embeddings, generate_series(1, 64) g(k) GROUP BY 1")
 def npy_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrays as .npy files and back, joined to their keys by path and row."""
+    """Arrays as .npy files and back, joined to their keys by file and row."""
     path = place(spark, "npy")
-    index = store.saved(files.write_npy(read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")), "vec_id", "e", path), "index")
-    made = sorted(r["path"] for r in index.select("path").distinct().collect())
-    rows = files.read_npy(spark, made).join(index, ["path", "row"]).select("vec_id", F.posexplode("embedding").alias("dim", "x"))
+    files.write_npy(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", path, size=300)
+    rows = files.read_npy(spark, path, split=1 << 16).join(files.npy_keys(spark, path, "vec_id"), ["file", "row"]).select("vec_id", F.posexplode("embedding").alias("dim", "x"))
     return rounded(rows.groupBy(F.col("dim").cast("long").alias("dim")).agg(F.avg("x").alias("mean"), F.count(F.lit(1)).alias("n")), "mean")
 
 

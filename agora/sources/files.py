@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import hashlib
 import io
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 from agora.functions.text import extract
-from agora.sources.dumps import opened
+from agora.sources.staged import MANIFEST, Staged, listed, opened
 
 
 def scan(spark: SparkSession, paths: list[str], loose: bool = True) -> DataFrame:
@@ -61,30 +65,90 @@ def write_parquet(rows: DataFrame, path: str, codec: str = "zstd", by: list[str]
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
-def read_npy(spark: SparkSession, paths: list[str], rows: int = 65_536) -> DataFrame:
-    """(path, row, embedding) of dense two-dimensional arrays in C order; a task reads some rows of a file.
+@dataclass
+class _Slice(InputPartition):
+    path: str
+    start: int
+    end: int
 
-    The driver reads the files' headers.
-    """
-    parts = []
-    for path in paths:
-        with opened(path) as f:
-            shape, kind, at = _header(f)
-        parts += [(path, k, min(rows, shape[0] - k), shape[1], kind.str, at) for k in range(0, shape[0], rows)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class _Arrays(DataSourceReader):
+    """Ranges of bytes of each file; a range has the rows that begin in it, as the file's header tells its task."""
+
+    def __init__(self, options: dict):
+        self.paths = json.loads(options["files"]) if "files" in options else [options["path"]]
+        self.split = int(options.get("split", 64 << 20))
+
+    def partitions(self) -> list[_Slice]:
+        return [_Slice(p, at, at + self.split) for path in self.paths for p, size in listed(path, ".npy") for at in range(0, size, self.split)]
+
+    def read(self, partition: _Slice) -> Iterator[pa.RecordBatch]:
+        with opened(partition.path) as f:
+            (n, width), kind, at = _header(f)
+            size = np.dtype(kind).itemsize * width
+            first, last = (min(n, max(0, -(-(x - at) // max(size, 1)))) for x in (partition.start, partition.end))
+            for k in range(first, last, 4096):
+                m = min(4096, last - k)
+                f.seek(at + k * size)
+                values = np.frombuffer(f.read(m * size), kind).astype(np.float64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * width, pa.int32()), pa.array(values))
+                yield pa.RecordBatch.from_arrays([pa.array([partition.path.rpartition("/")[2]] * m), pa.array(np.arange(k, k + m)), lists], ["file", "row", "embedding"])
+
+
+class _ArrayWriter(Staged):
+    """Arrays of at most some rows, each with a Parquet file of the keys of its rows."""
+
+    def __init__(self, path: str, overwrite: bool, rows: int):
+        super().__init__(path, overwrite)
+        self.rows = rows
+
+    def contents(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes]]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for path, first, n, width, kind, at in batch.itertuples(index=False):
-                size = np.dtype(kind).itemsize * width
-                with opened(path) as f:
-                    f.seek(at + first * size)
-                    values = np.frombuffer(f.read(n * size), kind).reshape(n, width)
-                for k in range(0, n, 4096):
-                    some = values[k : k + 4096].astype(np.float64)
-                    yield pd.DataFrame({"path": path, "row": np.arange(first + k, first + k + len(some)), "embedding": list(some)})
+            for k in range(0, batch.num_rows, 4096):
+                held.append(batch.slice(k, 4096))
+                if sum(b.num_rows for b in held) >= self.rows:
+                    yield from self._files(held)
+                    held = []
+        if sum(b.num_rows for b in held):
+            yield from self._files(held)
+
+    def _files(self, held: list[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes]]:
+        keys = pa.chunked_array([b.column(0) for b in held])
+        values = np.array([v for b in held for v in b.column(1).to_pylist()], np.float64)
+        name, content = self.name(".npy"), io.BytesIO()
+        np.save(content, values)
+        yield name, len(values), content.getvalue()
+        table = io.BytesIO()
+        pq.write_table(pa.table({"file": [name] * len(values), "row": np.arange(len(values)), "key": keys}), table)
+        yield name.replace(".npy", ".keys.parquet"), len(values), table.getvalue()
+
+
+class NpyRows(DataSource):
+    """format("npy_rows"): rows of dense two-dimensional arrays in C order; path is a file or folder, option files a JSON list of such.
+
+    Reading, option split is the bytes of a task. Writing takes (key, embedding), with equal
+    sizes of all vectors, and option rows is the most of a file.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "npy_rows"
+
+    def schema(self) -> str:
+        return "file string, row long, embedding array<double>"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _Arrays(dict(self.options))
 
-    plan = spark.createDataFrame(parts, "path string, first long, n long, width long, kind string, at long")
-    return plan.repartition(max(1, len(parts))).mapInPandas(run, "path string, row long, embedding array<double>")
+    def writer(self, schema: StructType, overwrite: bool) -> _ArrayWriter:
+        return _ArrayWriter(self.options["path"], overwrite, int(self.options.get("rows", 65_536)))
+
+
+def read_npy(spark: SparkSession, files: str | list[str], split: int = 64 << 20) -> DataFrame:
+    """(file, row, embedding) of dense two-dimensional arrays, of files or folders; a task reads some bytes of a file."""
+    spark.dataSource.register(NpyRows)
+    return spark.read.format("npy_rows").option("files", json.dumps([files] if isinstance(files, str) else files)).option("split", split).load()
 
 
 def _header(f) -> tuple[tuple[int, int], np.dtype, int]:
@@ -95,26 +159,17 @@ def _header(f) -> tuple[tuple[int, int], np.dtype, int]:
     return shape, kind, f.tell()
 
 
-def write_npy(rows: DataFrame, key: str, embedding: str, path: str) -> DataFrame:
-    """Embeddings as .npy files of a folder in a store that Arrow knows, one for each Arrow batch; (path, row, key) of every row."""
-    from pyarrow import fs
+def write_npy(rows: DataFrame, key: str, embedding: str, path: str, size: int = 65_536) -> None:
+    """Embeddings as .npy files of a folder and the keys of their rows beside them, all of them or none."""
+    rows.sparkSession.dataSource.register(NpyRows)
+    rows.select(F.col(key).alias("key"), F.col(embedding).cast("array<double>").alias("embedding")).write.format("npy_rows").option("rows", size).mode("append").save(path)
 
-    kind = dict(rows.dtypes)[key]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        where, folder = fs.FileSystem.from_uri(path)
-        where.create_dir(folder)
-        for batch in batches:
-            values = np.stack(batch["e"].to_numpy()).astype(np.float64)
-            # Named by what it holds, so a task that runs again writes the same file.
-            name = f"{hashlib.sha256(values.tobytes() + repr(batch['k'].tolist()).encode()).hexdigest()[:24]}.npy"
-            content = io.BytesIO()
-            np.save(content, values)
-            with where.open_output_stream(f"{folder}/{name}", compression=None) as f:
-                f.write(content.getvalue())
-            yield pd.DataFrame({"path": f"{path}/{name}", "row": np.arange(len(batch)), key: batch["k"]})
-
-    return rows.select(F.col(key).alias("k"), F.col(embedding).alias("e")).mapInPandas(run, f"path string, row long, {key} {kind}")
+def npy_keys(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(file, row, key) of the arrays that finished jobs have written to a folder."""
+    done = spark.read.parquet(f"{path}/{MANIFEST}").where(F.col("file").endswith(".keys.parquet")).select(F.replace("file", F.lit(".keys.parquet"), F.lit(".npy")).alias("file"))
+    keys = spark.read.parquet(f"{path}/*.keys.parquet").withColumnRenamed("key", key)
+    return keys.join(done, "file", "left_semi")
 
 
 def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:

@@ -26,6 +26,67 @@ def test_zstd_lines_become_monthly_parquet(spark, tmp_path):
     assert {r.id for r in files.scan_months(spark, str(tmp_path / "out"), "2024-03", "2024-12", ["s"]).collect()} == {"c3"}
 
 
+def lines_of(spark, path, split):
+    spark.dataSource.register(dumps.ZstdLines)
+    rows = spark.read.format("zstd_lines").option("path", str(path)).option("split", split).load()
+    return rows.rdd.getNumPartitions(), sorted(r.line for r in rows.collect())
+
+
+@pytest.mark.parametrize("cut", [0, 9])
+def test_frames_are_read_by_several_tasks(spark, tmp_path, cut):
+    """Lines over several frames, frames of half a line, frames without any, raw blocks that look like a beginning."""
+    rnd = np.random.default_rng(2)
+    lines = [f"{i} " + "x" * int(rnd.choice([0, 5, 40, 900, 30_000])) for i in range(400)]
+    text = "\n".join(lines).encode()
+    cuts = sorted({0, len(text), *rnd.integers(0, len(text), 150).tolist(), 5000, 5001, 5002})
+    skipped = (0x184D2A53).to_bytes(4, "little") + (6).to_bytes(4, "little") + dumps.FRAME.to_bytes(4, "little") + b"\0\0"
+    parts = [zstandard.ZstdCompressor(level=int(rnd.integers(1, 4)), write_checksum=bool(i % 2), write_content_size=bool(i % 3)).compress(text[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    parts.insert(7, skipped)
+    noise = rnd.integers(0, 256, 3000).astype(np.uint8).tobytes().replace(b"\n", b"_") + dumps.FRAME.to_bytes(4, "little") * 50
+    parts.append(zstandard.ZstdCompressor().compress(b"\n" + noise))
+    raw = b"".join(parts)
+    path = tmp_path / "many.zst"
+    path.write_bytes(raw[: len(raw) - cut])
+    want = sorted([*lines, *([noise.decode("utf-8", "replace").rstrip("\r")] if not cut else [])])
+    for split in (200, 1000, 7001, 10**9):
+        tasks, got = lines_of(spark, path, split)
+        assert tasks == -(-(len(raw) - cut) // split) or tasks == 1
+        assert [x for x in got if x in set(lines)] == sorted(lines)
+        assert cut or got == want
+
+
+def test_sinks_show_whole_jobs_alone(spark, tmp_path):
+    rows = spark.range(1000).repartition(4).selectExpr("cast(id as string) line")
+    folder = tmp_path / "out"
+    dumps.write_zstd(rows, f"file://{folder}", frame=500)
+    assert len(list(folder.glob("*.zst"))) == 4 and not list(folder.glob("_*"))
+    before = sorted(p.name for p in folder.rglob("*"))
+    # A task that fails after others have written leaves nothing.
+    broken = rows.withColumn("line", F.when(F.col("line") == "999", F.raise_error(F.lit("on purpose"))).otherwise(F.col("line")))
+    with pytest.raises(Exception, match="on purpose"):
+        dumps.write_zstd(broken, f"file://{folder}")
+    assert sorted(p.name for p in folder.rglob("*")) == before
+    (folder / "left-over.zst").write_bytes(b"no frame")  # of a job that never came to its end
+    tasks, got = lines_of(spark, f"file://{folder}", 300)
+    assert tasks > 4 and got == sorted(map(str, range(1000)))
+    spark.range(5).selectExpr("cast(id as string) line").coalesce(1).write.format("zstd_lines").mode("overwrite").save(str(folder))
+    assert lines_of(spark, folder, 10**9) == (1, ["0", "1", "2", "3", "4"])
+    notes = spark.read.parquet(f"{folder}/manifest")
+    assert [r["rows"] for r in notes.collect()] == [5] and not (folder / "left-over.zst").exists()
+
+
+def test_arrays_keep_their_keys(spark, tmp_path):
+    rows = spark.range(1000).repartition(3).select(F.concat(F.lit("k"), "id").alias("key"), F.array(F.col("id").cast("float"), F.lit(0.5).cast("float")).alias("v"))
+    path = f"file://{tmp_path}/npy"
+    files.write_npy(rows, "key", "v", path, size=100)
+    got = files.read_npy(spark, path, split=300).join(files.npy_keys(spark, path, "key"), ["file", "row"])
+    assert {(r.key, *r.embedding) for r in got.collect()} == {(f"k{i}", float(i), 0.5) for i in range(1000)}
+    broken = rows.withColumn("v", F.when(F.col("key") == "k7", F.raise_error(F.lit("on purpose"))).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="on purpose"):
+        files.write_npy(broken, "key", "v", path, size=100)
+    assert files.read_npy(spark, path).count() == 1000 and not list((tmp_path / "npy").glob("_*"))
+
+
 def test_each_file_is_read_once(spark, tmp_path):
     folder, out, place = (str(tmp_path / n) for n in ("in", "out", "state"))
     (tmp_path / "in").mkdir()
@@ -48,7 +109,7 @@ def test_tables_come_back(spark, tmp_path):
     with pytest.raises(Exception):
         files.scan(spark, [str(tmp_path / "p"), str(tmp_path / "q")], loose=False).count()
     np.save(tmp_path / "v.npy", np.arange(6.0).reshape(3, 2))
-    assert [r.embedding for r in files.read_npy(spark, [str(tmp_path / "v.npy")], rows=2).orderBy("row").collect()] == [[0, 1], [2, 3], [4, 5]]
+    assert [r.embedding for r in files.read_npy(spark, [str(tmp_path / "v.npy")], split=100).orderBy("row").collect()] == [[0, 1], [2, 3], [4, 5]]
     edges = spark.createDataFrame([("a", "b", "t")], "src string, dst string, type string")
     files.node_link(edges, spark.createDataFrame([("a",), ("b",)], "node string"), str(tmp_path / "g"))
     links, nodes = files.read_node_link(spark, str(tmp_path / "g"), "source string, target string, type string")

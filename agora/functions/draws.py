@@ -32,24 +32,25 @@ def normal_sql(seed: int, *keys: str) -> str:
     return f"(sqrt(-2 * ln({uniform_sql(seed, *keys)} + power(2.0::DOUBLE, -33))) * cos(2 * pi() * {uniform_sql(seed + 1_000_003, *keys)}))"
 
 
-def poisson(u: Column, most: int = 7) -> Column:
-    """A Poisson(1) count from a uniform, by its distribution up to `most`."""
+def poisson(u: Column) -> Column:
+    """A Poisson(1) count from a uniform of this module, by its distribution."""
     out = F.lit(0)
-    for k, below in enumerate(_poisson_steps(most), start=1):
+    for k, below in enumerate(_poisson_steps(), start=1):
         out = F.when(u > below, F.lit(k)).otherwise(out)
     return out
 
 
-def poisson_sql(u: str, most: int = 7) -> str:
-    steps = list(enumerate(_poisson_steps(most), start=1))
+def poisson_sql(u: str) -> str:
+    steps = list(enumerate(_poisson_steps(), start=1))
     return "CASE " + " ".join(f"WHEN {u} > {below!r}::DOUBLE THEN {k}" for k, below in reversed(steps)) + " ELSE 0 END"
 
 
-def _poisson_steps(most: int) -> list[float]:
+def _poisson_steps() -> list[float]:
+    """The distribution at 0, 1, 2... as far as a uniform of 32 bits can lie above it."""
     p = total = math.exp(-1)
     out = []
-    for k in range(1, most + 1):
+    while total < 1 - 2.0**-32:
         out.append(total)
-        p /= k
+        p /= len(out)
         total += p
     return out

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions import vectors as vec
+from agora.operators import neighbours as nb
 from agora.operators.graph import capped
 from agora.operators.ordered import running
 from agora.sources import store
@@ -121,35 +120,12 @@ def circle_means(content: DataFrame, asks: DataFrame, circles: DataFrame, user:
 
 
 def nearest(queries: DataFrame, rows: DataFrame, key: str, embedding: str, k: int, block: int = 2048) -> DataFrame:
-    """(query, item, cosine, rank): the k rows of the largest cosine for each query, its own row left out.
+    """(query, item, cosine, rank): the k rows of the largest cosine for each query, its own row left out; ties by key.
 
-    Both tables are dealt over blocks; where two blocks meet, a task multiplies two small
-    matrices and returns k rows for each query, never all pairs. Zero vectors are near nothing.
+    Vectors are made unit long, whose distances order as cosines do, and searched through
+    the exact index of operators.neighbours. Keys are longs. Zero vectors are near nothing.
     """
-    sizes = [max(1, -(-d.count() // block)) for d in (queries, rows)]
-    both = []
-    for side, (frame, own, other) in enumerate(((queries, sizes[0], sizes[1]), (rows, sizes[1], sizes[0]))):
-        dealt = frame.select(F.col(key).alias("id"), F.transform(embedding, lambda x: x.cast("double")).alias("e"), F.lit(side).alias("side"), F.pmod(F.xxhash64(key), F.lit(own)).alias("own"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long"))))
-        both.append(dealt.select("id", "e", "side", F.col("own" if side == 0 else "other").alias("i"), F.col("other" if side == 0 else "own").alias("j")))
-
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        q, r = part[part["side"] == 0], part[part["side"] == 1]
-        if q.empty or r.empty:
-            return pd.DataFrame({"query": [], "item": [], "cosine": []})
-        a, b = np.stack(q["e"].to_numpy()), np.stack(r["e"].to_numpy())
-        size = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            cosine = np.where(size > 0, a @ b.T / size, -np.inf)
-        ids, items, out = q["id"].to_numpy(), r["id"].to_numpy(), []
-        for n, row in enumerate(cosine):
-            row = np.where(items == ids[n], -np.inf, row)
-            for m in np.lexsort((items, -np.round(row, 9)))[:k]:
-                if np.isfinite(row[m]):
-                    out.append((ids[n], items[m], row[m]))
-        return pd.DataFrame(out, columns=["query", "item", "cosine"])
-
-    kind = dict(rows.dtypes)[key]
-    found = both[0].unionByName(both[1]).groupBy("i", "j").applyInPandas(meet, f"query {kind}, item {kind}, cosine double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.round("cosine", 9).desc(), "item"))
-    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    e = nb.unit(embedding)
+    sides = [frame.select(F.col(key).cast("long").alias("id"), e.alias("e")).where(F.exists("e", lambda x: x != 0)) for frame in (queries, rows)]
+    found = nb.nearest(nb.build(sides[1], block=block), sides[0], k)
+    return found.select("query", "item", (1 - F.col("d") * F.col("d") / 2).alias("cosine"), "rank")

@@ -6,7 +6,10 @@ Rows are (user_id, issue, mean, var).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 from itertools import combinations
+from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 
 from agora.functions import draws
 from agora.sources import store
+from agora.sources.store import saved
 
 
 def issue_pairs(rows: DataFrame, without_zero: bool = False) -> DataFrame:
@@ -213,21 +217,87 @@ def farthest_windows(line: DataFrame) -> DataFrame:
     return far.groupBy("user_id").agg(F.max("d").alias("distance"))
 
 
-def bootstrap(rows: DataFrame, keys: list[str], unit: list[str], replicates: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the correlation, each pair drawn Poisson(1) times in each replicate.
+@dataclass(frozen=True)
+class Statistic:
+    """A number of a group that follows from sums over its rows: what each row adds, and the number from the sums."""
 
-    The draws come from a hash of the row's `unit` columns and the replicate. A row meets
-    its replicates inside the task, where partial sums take them up: what is shuffled is a
-    row for each key, replicate and task.
+    terms: Callable[[], list[Column]]
+    value: Callable[[list[Column]], Column]
+
+
+def _correlation(t: list[Column]) -> Column:
+    n, x, y, xx, yy, xy = t
+    both = F.greatest(xx * n - x * x, F.lit(0.0)) * F.greatest(yy * n - y * y, F.lit(0.0))
+    return F.try_divide(xy * n - x * y, F.sqrt(both))
+
+
+#: Pearson's correlation of x and y, and the mean of `mean` weighted by e ** -var.
+CORRELATION = Statistic(lambda: [F.lit(1.0), F.col("x"), F.col("y"), F.col("x") * F.col("x"), F.col("y") * F.col("y"), F.col("x") * F.col("y")], _correlation)
+WEIGHTED_MEAN = Statistic(lambda: [F.exp(-F.col("var")), F.exp(-F.col("var")) * F.col("mean")], lambda t: F.try_divide(t[1], t[0]))
+
+
+def bootstrap(rows: DataFrame, keys: list[str], unit: list[str], statistic: Statistic, replicates: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """(keys, n, estimate, low, high): bias-corrected and accelerated intervals of a statistic of each group.
+
+    Each row is drawn Poisson(1) times in each replicate, by a hash of its `unit` columns and
+    the replicate. A row meets its replicates inside the task, where partial sums take
+    them up: what is shuffled is a row for each key, replicate and task.
+
+    The bias is the share of replicates below the estimate (half of those equal); the
+    acceleration is the skew of the values without one row each, which follow from the
+    group's sums less the row's own terms. An interval is null where all replicates are on
+    one side. A group's list has as many values as there are replicates.
     """
-    draws_ = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    draws_ = draws_.withColumn("w", draws.poisson(draws.uniform(seed, "replicate", *unit)).cast("double")).where("w > 0")
-    sums = draws_.groupBy(*keys, "replicate").agg(*_sums(F.col("w"), F.col("x"), F.col("y")))
-    cov = F.col("sxy") * F.col("sw") - F.col("sx") * F.col("sy")
-    vx, vy = F.col("sxx") * F.col("sw") - F.col("sx") * F.col("sx"), F.col("syy") * F.col("sw") - F.col("sy") * F.col("sy")
-    r = F.try_divide(cov, F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0))))
-    cut = (1 - level) / 2
-    return sums.groupBy(*keys).agg(F.percentile(r, F.lit(cut)).alias("low"), F.percentile(r, F.lit(1 - cut)).alias("high"), F.avg(r).alias("mean"))
+    count = len(statistic.terms())
+    names = [f"_t{k}" for k in range(count)]
+    rows = saved(rows.select(*keys, *[u for u in unit if u not in keys], *[t.cast("double").alias(x) for t, x in zip(statistic.terms(), names, strict=True)]), "terms")
+    whole = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"_s{k}") for k, x in enumerate(names)])
+    sums = [F.col(f"_s{k}") for k in range(count)]
+    whole = saved(whole.withColumn("estimate", statistic.value(sums)), "whole")
+
+    without = F.col("_v") - F.col("estimate")
+    left = rows.join(whole, keys).withColumn("_v", statistic.value([s - F.col(x) for s, x in zip(sums, names, strict=True)]))
+    left = left.groupBy(*keys).agg(F.count("_v").alias("_m"), *[F.sum(F.pow(without, F.lit(p))).alias(f"_d{p}") for p in (1, 2, 3)])
+    m, mean = F.col("_m"), F.try_divide(F.col("_d1"), F.col("_m"))
+    second = F.col("_d2") - m * mean * mean
+    third = F.col("_d3") - 3 * mean * F.col("_d2") + 2 * m * mean * mean * mean
+    skew = F.coalesce(F.when(second > 1e-24, -third / (6 * F.pow(F.greatest(second, F.lit(1e-24)), F.lit(1.5)))), F.lit(0.0))
+
+    drawn = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    drawn = drawn.withColumn("_w", draws.poisson(draws.uniform(seed, "replicate", *unit)).cast("double")).where("_w > 0")
+    drawn = drawn.groupBy(*keys, "replicate").agg(*[F.sum(F.col("_w") * F.col(x)).alias(f"_s{k}") for k, x in enumerate(names)])
+    values = drawn.select(*keys, statistic.value(sums).alias("_r")).where("_r is not null").groupBy(*keys).agg(F.array_sort(F.collect_list("_r")).alias("_values"))
+
+    # Equal to nine digits is equal: sums in another order differ beyond.
+    est = F.round("estimate", 9)
+    below = F.size(F.filter("_values", lambda r: F.round(r, 9) < est)) + F.size(F.filter("_values", lambda r: F.round(r, 9) == est)) / 2
+    found = whole.join(left.select(*keys, skew.alias("_skew")), keys).join(values, keys, "left")
+    found = found.withColumn("_cuts", _accelerated(level)(F.try_divide(below, F.size("_values")), F.col("_skew")))
+    low, high = (_quantile(F.col("_values"), F.col("_cuts")[k]) for k in (0, 1))
+    return found.select(*keys, "n", "estimate", low.alias("low"), high.alias("high"))
+
+
+def _accelerated(level: float):
+    """Of a share below and an acceleration: the two shares at which the replicates are cut."""
+
+    def cuts(share: pd.Series, skew: pd.Series) -> pd.Series:
+        z = NormalDist()
+        ends = (z.inv_cdf((1 - level) / 2), z.inv_cdf((1 + level) / 2))
+        out = []
+        for p, a in zip(share, skew, strict=True):
+            bias = z.inv_cdf(p) if p is not None and 0 < p < 1 else None
+            out.append(None if bias is None else [z.cdf(bias + (bias + e) / (1 - a * (bias + e))) for e in ends])
+        return pd.Series(out)
+
+    return F.pandas_udf(cuts, "array<double>")
+
+
+def _quantile(values: Column, share: Column) -> Column:
+    """Between the two of a sorted list that a share falls between."""
+    at = share * (F.size(values) - 1)
+    low = F.floor(at).cast("int")
+    one, two = F.get(values, low), F.get(values, F.least(low + 1, F.size(values) - 1))
+    return one + (at - low) * (two - one)
 
 
 def _incomplete_beta(a: float, b: float, x: float) -> float:

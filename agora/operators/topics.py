@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions import vectors as vec
+from agora.operators import density, reduction
+from agora.operators import neighbours as nb
 
 OUTLIER = -1
 
@@ -69,8 +71,8 @@ def _vectors(rows: DataFrame, column: str) -> DataFrame:
 def fit(rows: DataFrame, k: int, reduced: int | None = 5, share: float = 0.2, farthest: float = 3.0, key: str = "vec_id", column: str = "embedding", seed: int = 0, hierarchical: bool = False) -> TopicModel:
     """Topics of a share of the rows, drawn by hash of their key: components, then k-means or bisecting k-means.
 
-    Nonlinear reduction and density clusters have no Spark form; principal components and
-    a reach of `farthest` times a topic's mean distance stand in for them.
+    The model is k centers and the reach of each, `farthest` times its mean distance, so it
+    can be kept and applied to other rows; density_topics() finds topics by density.
     """
     from agora.operators.relational import hash_sample
 
@@ -88,6 +90,19 @@ def fit(rows: DataFrame, k: int, reduced: int | None = 5, share: float = 0.2, fa
     return TopicModel(components, centers, np.array([farthest * means.get(i, 0.0) for i in range(len(centers))]), whole.names)
 
 
+def density_topics(rows: DataFrame, size: int, key: str = "vec_id", column: str = "embedding", dims: int | None = 5, neighbours: int = 10, cosine: bool = True) -> DataFrame:
+    """(key, topic): topics of at least `size` rows where vectors lie densely, OUTLIER elsewhere.
+
+    Vectors go through a spectral reduction to `dims` dimensions (None: as they are), which
+    keeps neighbourhoods that bend, and then into density clusters, of which there may be
+    any number. See operators.reduction and operators.density for both. Keys are longs.
+    """
+    unit = rows.select(key, (nb.unit(column) if cosine else nb.clean(column)).alias("e"))
+    if dims and unit.where("e is not null and size(e) > 0").limit(1).count():
+        unit = reduction.fit(unit, dims, key, "e").transform(unit, "e", "e")
+    return density.clusters(unit, key, "e", size, neighbours).withColumnRenamed("cluster", "topic")
+
+
 def within_topics(rows: DataFrame, model: TopicModel, k: int, key: str = "vec_id", column: str = "embedding", **how) -> DataFrame:
     """rows with a topic and a subtopic of it, from a model fitted inside each topic; outliers have subtopic OUTLIER."""
     placed = model.apply(rows, column).drop("reduced", "distance")

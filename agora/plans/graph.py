@@ -222,6 +222,13 @@ def topic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tp.fit(rows, 10).apply(rows).select("vec_id", "label", "topic", "distance")
 
 
+@query()
+def density_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics by density of reduced embeddings, of at least a hundredth of all."""
+    rows = read(spark, sf_dir, "embeddings")
+    return tp.density_topics(rows, max(5, rows.count() // 100))
+
+
 @query()
 def topic_model_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model fitted on the even labels, its topics merged to five, applied to the odd ones."""

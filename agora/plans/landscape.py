@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -139,11 +142,53 @@ def extreme_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {PAIR_SQL}, d AS (SELECT i, j, x, y, k AS replicate, CAST({poisson_sql(uniform_sql(0, 'k', 'user_id', 'i', 'j'))} AS DOUBLE) AS w FROM pairs, generate_series(1, 200) g(k)), s AS (SELECT i, j, replicate, {SUMS_SQL} FROM d WHERE w > 0 GROUP BY 1, 2, 3),
-r AS (SELECT i, j, (sxy * sw - sx * sy) / nullif(sqrt(greatest(sxx * sw - sx * sx, 0) * greatest(syy * sw - sy * sy, 0)), 0) AS r FROM s) SELECT i, j, round(quantile_cont(r, 0.025), 6) + 0.0 AS low, round(quantile_cont(r, 0.975), 6) + 0.0 AS high, round(avg(r), 6) + 0.0 AS mean FROM r GROUP BY 1, 2""")
+def _normal_sql(x: str) -> str:
+    """The normal distribution by Simpson's rule over its density."""
+    return f"(0.5 + list_sum(list_transform(generate_series(0, 1000), lambda k: (CASE WHEN k = 0 OR k = 1000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-power(({x}) * k / 1000.0::DOUBLE, 2) / 2))) * ({x}) / 3000.0::DOUBLE / sqrt(2 * pi()))"
+
+
+def _interval_sql(rows: str, keys: str, unit: str, terms: list[str], value: Callable[[list[str]], str]) -> str:
+    """CTEs ending in `ci`: bias-corrected and accelerated intervals of a value of sums over the rows of a table."""
+    on = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    names, sums = [f"t{k}" for k in range(len(terms))], [f"s{k}" for k in range(len(terms))]
+    halves = ", ".join(repr(8 * 0.5**k) for k in range(1, 50))
+    z = NormalDist().inv_cdf(0.975)
+    cut = [_normal_sql(f"b0 + (b0 + {e!r}) / (1 - skew * (b0 + {e!r}))") for e in (-z, z)]
+    at = lambda c: f"(v[CAST(floor({c} * (len(v) - 1)) AS BIGINT) + 1] + ({c} * (len(v) - 1) - floor({c} * (len(v) - 1))) * (v[least(CAST(floor({c} * (len(v) - 1)) AS BIGINT) + 2, len(v))] - v[CAST(floor({c} * (len(v) - 1)) AS BIGINT) + 1]))"
+    return f"""tt AS (SELECT {keys}, {unit} AS unit, {", ".join(f"{t} AS {x}" for t, x in zip(terms, names))} FROM {rows}),
+ww AS (SELECT *, {value(sums)} AS est FROM (SELECT {keys}, count(*) AS n, {", ".join(f"sum({x}) AS {y}" for x, y in zip(names, sums))} FROM tt GROUP BY {keys})),
+dd AS (SELECT {", ".join(f"a.{k}" for k in keys.split(", "))}, {value([f"(b.{y} - a.{x})" for x, y in zip(names, sums)])} - est AS d FROM tt a JOIN ww b ON {on}),
+mm AS (SELECT {keys}, count(d) AS m, avg(d) AS mean, sum(d * d) AS d2, sum(d * d * d) AS d3 FROM dd GROUP BY {keys}),
+kk AS (SELECT {keys}, coalesce(CASE WHEN d2 - m * mean * mean > 1e-24 THEN -(d3 - 3 * mean * d2 + 2 * m * mean * mean * mean) / (6 * power(greatest(d2 - m * mean * mean, 1e-24), 1.5)) END, 0.0) AS skew FROM mm),
+pp AS (SELECT tt.*, k AS replicate, CAST({poisson_sql(uniform_sql(0, "k", "unit"))} AS DOUBLE) AS w FROM tt, generate_series(1, 200) g(k)),
+rr AS (SELECT {keys}, {value(sums)} AS r FROM (SELECT {keys}, replicate, {", ".join(f"sum(w * {x}) AS {y}" for x, y in zip(names, sums))} FROM pp WHERE w > 0 GROUP BY {keys}, replicate)),
+vv AS (SELECT {keys}, list_sort(list(r)) AS v FROM rr WHERE r IS NOT NULL GROUP BY {keys}),
+jj AS (SELECT ww.*, skew, v, (len(list_filter(v, lambda r: round(r, 9) < round(est, 9))) + len(list_filter(v, lambda r: round(r, 9) = round(est, 9))) / 2.0::DOUBLE) / len(v) AS p FROM ww JOIN kk USING ({keys}) LEFT JOIN vv USING ({keys})),
+zz AS (SELECT *, CASE WHEN p > 0 AND p < 1 THEN list_reduce([0.0::DOUBLE, {halves}], lambda x, s: x + s * (CASE WHEN {_normal_sql("x")} < p THEN 1 ELSE -1 END)) END AS b0 FROM jj),
+cc AS (SELECT *, {cut[0]} AS c0, {cut[1]} AS c1 FROM zz),
+ci AS (SELECT {keys}, n, est, {at("c0")} AS low, {at("c1")} AS high FROM cc)"""
+
+
+_CORR = _interval_sql("pairs", "i, j", "user_id", ["1.0::DOUBLE", "x", "y", "x * x", "y * y", "x * y"], lambda t: f"({t[5]} * {t[0]} - {t[1]} * {t[2]}) / nullif(sqrt(greatest({t[3]} * {t[0]} - {t[1]} * {t[1]}, 0) * greatest({t[4]} * {t[0]} - {t[2]} * {t[2]}, 0)), 0)")
+
+
+@query(f"WITH {PAIR_SQL}, {_CORR} SELECT i, j, n, round(est, 6) + 0.0 AS estimate, round(low, 5) + 0.0 AS low, round(high, 5) + 0.0 AS high FROM ci")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = la.issue_pairs(opinions(spark, sf_dir)).select("user_id", "i", "j", "x", "y")
-    return rounded(la.bootstrap(rows, ["i", "j"], ["user_id", "i", "j"]), "low", "high", "mean")
+    """Bias-corrected intervals of the correlation of two issues."""
+    rows = la.issue_pairs(opinions(spark, sf_dir)).withColumn("unit", F.col("user_id"))
+    found = rounded(la.bootstrap(rows, ["i", "j"], ["unit"], la.CORRELATION), "estimate")
+    return found.withColumns({c: F.round(c, 5) + F.lit(0.0) for c in ("low", "high")})
+
+
+_MEANS = _interval_sql("(SELECT * FROM line WHERE var IS NOT NULL)", "window_id, issue", "user_id", ["exp(-var)", "exp(-var) * mean"], lambda t: f"{t[1]} / nullif({t[0]}, 0)")
+
+
+@query(f"WITH {LINE_SQL}, {_MEANS} SELECT window_id, issue, n, round(est, 6) + 0.0 AS estimate, round(low, 5) + 0.0 AS low, round(high, 5) + 0.0 AS high FROM ci WHERE n >= 2")
+def window_mean_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bias-corrected intervals of the mean opinion of each window, weighted by e ** -var."""
+    rows = line(spark, sf_dir).where("var is not null").withColumn("unit", F.col("user_id"))
+    found = rounded(la.bootstrap(rows, ["window_id", "issue"], ["unit"], la.WEIGHTED_MEAN).where("n >= 2"), "estimate")
+    return found.withColumns({c: F.round(c, 5) + F.lit(0.0) for c in ("low", "high")})
 
 
 #: Embeddings in order of id; each is compared with the one before.

@@ -145,3 +145,15 @@ def streaming_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = place(spark, "stream")
     so.run_to(so.last_seen(stream, lifetime=86_400), f"{path}/live", f"{path}/state", "update")
     return spark.read.parquet(f"{path}/live")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER w < 43200000000 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM g)
+SELECT user_id, min(t) AS started, max(t) + 43200000000 AS ended, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS events FROM s GROUP BY user_id, k HAVING max(t) + 43200000000 <= (SELECT max(t) // 1000 * 1000 FROM e) - 3600000000""")
+def streaming_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a user's events with less than half a day between them, as far as the watermark has closed them."""
+    batch = read(spark, sf_dir, "events")
+    stream = spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parquet*").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    path = place(spark, "stream")
+    so.run_to(so.sessions(stream, "user_id", "ts", "12 hours", "1 hour", F.sum("event_id").alias("events")), f"{path}/sessions", f"{path}/state", "append")
+    rows = spark.read.parquet(f"{path}/sessions")
+    return rows.select("user_id", F.unix_micros("start").alias("started"), F.unix_micros("end").alias("ended"), "n", "events")

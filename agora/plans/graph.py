@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agora.operators import dynamics as dy
@@ -216,6 +216,23 @@ def choice_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(w, error)], "w double, error double")
 
 
+@query()
+def reply_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What moves the hidden states of the two sides of each talk: they see all earlier turns, answer the last and write one of some length."""
+    from agora.operators import replies
+
+    turns = read(spark, sf_dir, "conversations")
+    size = lambda c: F.log1p(F.length(c).cast("double"))
+    wrote = F.array(size(F.col("text")) - 5, size(F.regexp_replace("text", "[^ ]", "")) - 3)
+    earlier = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    rows = turns.select("conv_id", "turn", F.concat_ws("-", "conv_id", "role").alias("user"), wrote.alias("wrote")).withColumn("seen", F.collect_list("wrote").over(earlier))
+    rows = rows.withColumn("answered", F.when(F.size("seen") > 0, F.size("seen") - 1))
+    table = replies.segments(rows, "user", [F.col("turn")], "wrote", "seen", "answered", 2)
+    model = replies.fit(table, 2, rank=1)
+    values = {"attention": model.attention, "weight": model.weight, "weight_error": model.error, "noise": model.noise, **{f"covariance_{i}{j}": float(model.covariance[i, j]) for i in range(2) for j in range(i + 1)}}
+    return spark.createDataFrame([(k, float(v)) for k, v in values.items()], "parameter string, value double")
+
+
 @query()
 def topic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -55,3 +55,61 @@ def last_seen(stream: DataFrame, user: str = "user_id", t: str = "t", lifetime:
         yield pd.DataFrame({user: [key[0]], t: [newest], "live": [len(times)]})
 
     return stream.groupBy(user).applyInPandasWithState(step, f"{user} long, {t} long, live long", "times array<long>", "update", GroupStateTimeout.NoTimeout)
+
+
+def live_content(stream: DataFrame, user: str, time: str, lifetime: int, late: str) -> DataFrame:
+    """(user, at, live): how many rows of a user are not older than `lifetime` seconds, whenever that changes by new rows or by the clock.
+
+    The clock is the watermark, `late` behind the newest row of all users. The state counts
+    a user's rows by second, no more than lifetime / 1 numbers whatever a user writes; what
+    has expired leaves it. When the watermark passes the oldest second that counts, the user
+    is told anew, and a user with nothing left has no state. Rows behind the watermark
+    are too late and go; the time in `at` is the newest row's, or the watermark's.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        clock = state.getCurrentWatermarkMs() // 1000
+        seconds, counts = state.get if state.exists else ([], [])
+        held = dict(zip(seconds, counts, strict=True))
+        newest = max(held, default=clock)
+        if not state.hasTimedOut:
+            for batch in batches:
+                for second, n in batch["_second"].value_counts().items():
+                    held[int(second)] = held.get(int(second), 0) + int(n)
+            newest = max(held, default=clock)
+        at = max(clock, newest)
+        held = {second: n for second, n in sorted(held.items()) if second > at - lifetime}
+        if held:
+            state.update((list(held), list(held.values())))
+            state.setTimeoutTimestamp(max((min(held) + lifetime) * 1000, state.getCurrentWatermarkMs() + 1))
+        else:
+            state.remove()
+        yield pd.DataFrame({user: [key[0]], "at": [at], "live": [sum(held.values())]})
+
+    rows = stream.where(F.col(time).isNotNull()).withWatermark(time, late).select(user, time, F.unix_seconds(time).alias("_second"))
+    kind = dict(stream.dtypes)[user]
+    return rows.groupBy(user).applyInPandasWithState(step, f"{user} {kind}, at long, live long", "seconds array<long>, counts array<long>", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def sessions(stream: DataFrame, user: str, time: str, gap: str, late: str, *sums: Column) -> DataFrame:
+    """(user, start, end, n, sums): runs of a user's rows with less than `gap` between them, told once the watermark has passed their end.
+
+    end is the last row's time and the gap. A session is one row of sums in the state,
+    however long; it leaves the state when it is told.
+    """
+    rows = stream.withWatermark(time, late).groupBy(user, F.session_window(time, gap).alias("session")).agg(F.count(F.lit(1)).alias("n"), *sums)
+    return rows.withColumn("start", F.col("session.start")).withColumn("end", F.col("session.end")).drop("session")
+
+
+def trailing(content: DataFrame, asks: DataFrame, keys: list[str], time: str, at: str, span: str, late: str) -> DataFrame:
+    """asks with each row of content of the same keys in the `span` up to it, both ends included, from two streams.
+
+    Both streams have a watermark, so Spark drops content from its state once no ask that
+    is not too late can be in reach of it. Columns other than the keys differ in name.
+    """
+    left, right = asks.withWatermark(at, late).alias("asks"), content.withWatermark(time, late).alias("content")
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(f"asks.{k}") == F.col(f"content.{k}")
+    near = (F.col(time) <= F.col(at)) & (F.col(time) >= F.col(at) - F.expr(f"interval {span}"))
+    return left.join(right, same & near).select("asks.*", *[F.col(f"content.`{c}`") for c in content.columns if c not in keys])

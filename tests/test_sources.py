@@ -139,3 +139,59 @@ def test_streams_agree_with_batches(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     so.run_to(so.last_seen(stream), str(tmp_path / "live"), str(tmp_path / "c2"), "update")
     assert {(r.user_id, r.live) for r in spark.read.parquet(str(tmp_path / "live")).collect()} == {(0, 4), (1, 4), (2, 4)}
+
+
+def files_of(spark, folder, rows, schema):
+    """A stream of one file for each list of rows, in their order."""
+    folder.mkdir()
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema).withColumn("time", F.timestamp_seconds("t")).coalesce(1).write.mode("append").parquet(str(folder / f"{i:03}"))
+    return spark.readStream.schema(f"{schema}, time timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(folder))
+
+
+def ran(stream, path, mode):
+    """All batches to Parquet; the rows, and the number of rows in the state after each."""
+    query = stream.writeStream.outputMode(mode).foreachBatch(lambda d, _: d.write.mode("append").parquet(f"{path}/out")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress]
+
+
+def test_content_expires_from_the_state(spark, tmp_path):
+    """Users who write no more are told when their content expires, and leave the state."""
+    batches = [[(1, 100), (1, 100), (2, 105), (3, 109)], [(1, 112), (2, 90)], [(4, 200)], [(4, 201), (1, 195)], [(4, 400)]]
+    stream = files_of(spark, tmp_path / "in", batches, "user_id long, t long")
+    held = ran(so.live_content(stream, "user_id", "time", 30, "10 seconds"), tmp_path, "update")
+    rows = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    last = {u: max((at, -live) for v, at, live in rows if v == u) for u, *_ in rows}
+    assert {u: -live for u, (_, live) in last.items()} == {1: 0, 2: 0, 3: 0, 4: 1}
+    assert (1, 100, 2) in rows and (1, 112, 3) in rows and (4, 201, 2) in rows and (2, 105, 2) in rows
+    assert max(held) >= 3 and held[-1] == 1
+
+
+def test_sessions_and_interval_joins_are_those_of_a_batch(spark, tmp_path):
+    rnd = np.random.default_rng(4)
+    times = np.sort(rnd.integers(0, 3000, 240))
+    rows = [(int(rnd.integers(0, 4)), int(t), i) for i, t in enumerate(times)]
+    parts = [rows[i : i + 40] for i in range(0, 240, 40)]
+    parts = [sorted(p, key=lambda r: (r[2] * 7919) % 40) for p in parts] + [[(99, 100_000, 9999)]]
+    stream = files_of(spark, tmp_path / "in", parts, "user_id long, t long, item long")
+    held = ran(so.sessions(stream, "user_id", "time", "60 seconds", "5 minutes", F.sum("item").alias("items")), tmp_path / "s", "append")
+    got = {(r.user_id, int(r.start.timestamp()), int(r.end.timestamp())): (r.n, r["items"]) for r in spark.read.parquet(f"{tmp_path}/s/out").collect()}
+    want, open_ = {}, {}
+    for u, t, i in rows:
+        if u in open_ and t < open_[u][1]:
+            a, b, n, s = open_[u]
+            open_[u] = (a, t + 60, n + 1, s + i)
+        else:
+            if u in open_:
+                a, b, n, s = open_[u]
+                want[u, a, b] = (n, s)
+            open_[u] = (t, t + 60, 1, i)
+    want |= {(u, a, b): (n, s) for u, (a, b, n, s) in open_.items()}
+    assert got == want and held[-1] <= 1
+    content = stream.select("user_id", "item", "time")
+    asks = stream.select("user_id", F.col("item").alias("ask"), F.col("time").alias("at")).where("ask % 3 = 0")
+    held = ran(so.trailing(content, asks, ["user_id"], "time", "at", "100 seconds", "5 minutes"), tmp_path / "j", "append")
+    got = {(r.ask, r["item"]) for r in spark.read.parquet(f"{tmp_path}/j/out").collect()}
+    assert got == {(a, i) for u, at, a in rows if a % 3 == 0 for v, t, i in rows if u == v and at - 100 <= t <= at} | {(9999, 9999)}
+    assert held[-1] < max(held) / 4

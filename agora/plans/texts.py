@@ -109,3 +109,27 @@ def parsed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(label, F.lit("-")).alias("label"),
         F.coalesce(tx.value_of_label(label), F.lit(-9)).alias("value"),
     )
+
+
+@query(r"""WITH w AS (SELECT doc_id, lang, unnest(list_filter(regexp_split_to_array(lower(text), '[\s\d!-/:-@\[-`{-~]+'), lambda x: x <> '')) AS word FROM documents), g AS (SELECT doc_id, lang, substr(' ' || word || ' ', CAST(unnest(generate_series(1, length(word))) AS BIGINT), 3) AS gram FROM w), t AS (SELECT gram, count(*) FILTER (lang = 'en') AS own, count(*) FILTER (lang <> 'en') AS other FROM g WHERE doc_id % 5 <> 0 AND lang IS NOT NULL GROUP BY 1),
+m AS (SELECT gram, ln((own + 1) / (sum(own) OVER () + count(*) OVER ())) - ln((other + 1) / (sum(other) OVER () + count(*) OVER ())) AS odds FROM t), s AS (SELECT doc_id, count(*) AS n_grams, sum(coalesce(odds, 0)) / count(*) AS odds FROM g LEFT JOIN m USING (gram) GROUP BY 1)
+SELECT doc_id, doc_id % 5 = 0 AS held_out, coalesce(n_grams, 0) AS n_grams, round(odds, 6) + 0.0 AS odds, coalesce(odds > 0, FALSE) AS is_language FROM documents LEFT JOIN s USING (doc_id)""")
+def learned_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document is English, by character trigrams of four fifths of them."""
+    from agora.functions import language
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where("doc_id % 5 <> 0"), F.col("lang") == "en")
+    found = language.judged(docs, model, "doc_id")
+    return found.select("doc_id", (F.col("doc_id") % 5 == 0).alias("held_out"), "n_grams", (F.round("odds", 6) + F.lit(0.0)).alias("odds"), "is_language")
+
+
+@query()
+def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all documents from the words that stand near one another in them."""
+    from agora.operators import wordvectors as wv
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    words = F.filter(F.split(F.lower("text"), r"[\s\p{Punct}]+"), lambda w: w != "")
+    vectors = wv.fit(wv.contexts(docs, words), dims=16, passes=1)
+    return wv.of_texts(docs, vectors, "doc_id", words, 16)

@@ -38,7 +38,7 @@ def slug(text: Column) -> Column:
 
 def pretty(text: Column, prefix: str, names: dict[str, str]) -> Column:
     """A column name as a label: without prefix, in title case, or as named."""
-    bare = F.initcap(F.replace(F.when(text.startswith(prefix), F.substring(text, len(prefix) + 1, 1_000)).otherwise(text), F.lit("_"), F.lit(" ")))
+    bare = F.initcap(F.replace(F.when(text.startswith(prefix), F.substring(text, F.lit(len(prefix) + 1), F.length(text))).otherwise(text), F.lit("_"), F.lit(" ")))
     for name, label in names.items():
         bare = F.when(text == name, F.lit(label)).otherwise(bare)
     return bare

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions import draws
+from agora.operators.ordered import running
+from agora.sources import store
 
 
 def typed_edges(rows: DataFrame, src: str, dst: str, kind: str, t: str | None, columns: list[str], whole: bool = True) -> DataFrame:
@@ -84,6 +86,29 @@ def capped(rows: DataFrame, keys: list[str], item: Column, cap: int, seed: int =
     return rows.withColumn("_n", n).where(F.col("_n") <= cap).drop("_n")
 
 
+def trailing_means(content: DataFrame, asks: DataFrame, keys: list[str], t: str, item: str, value: str, ask: str, at: str, span: int) -> DataFrame:
+    """(ask, n, mean) of the content that trailing() gives each ask; asks without any go.
+
+    A window's sum is the difference of two running sums over a key's content in order, and
+    its first and last row are found by their places. So an ask costs two rows whatever
+    its window holds, and a key that has most rows is dealt over ranges.
+    """
+    none = F.lit(None)
+    rows = content.select(*keys, F.col(t).alias("_t"), F.lit(1).alias("_kind"), F.col(item).cast("long").alias("_item"), F.col(value).cast("double").alias("_x"), F.lit(1).cast("long").alias("_one"))
+    # Marks stand before all content of their time, or behind it.
+    marks = [asks.select(*keys, when.alias("_t"), F.lit(kind).alias("_kind"), F.col(ask).cast("long").alias("_item"), none.cast("double").alias("_x"), F.lit(0).cast("long").alias("_one")) for when, kind in ((F.col(at) - span, 0), (F.col(at), 2))]
+    order = [F.col("_t"), F.col("_kind"), F.col("_item")]
+    line = running(rows.unionByName(marks[0]).unionByName(marks[1]), keys, order, {"_n": F.col("_one"), "_sum": F.coalesce("_x", F.lit(0.0))})
+    line = store.saved(line, "line")
+    low, high = (line.where(f"_kind = {k}").select(*keys, F.col("_item").alias(ask), F.col("_n").alias(f"_n{k}"), F.col("_sum").alias(f"_s{k}")) for k in (0, 2))
+    both = low.join(high, [*keys, ask]).where("_n2 - _n0 > 2")
+    at_place = line.where("_kind = 1").select(*keys, F.col("_n").alias("_place"), "_x")
+    for name, place in (("_first", F.col("_n0") + 1), ("_last", F.col("_n2"))):
+        both = both.withColumn("_place", place).join(at_place.withColumnRenamed("_x", name), [*keys, "_place"]).drop("_place")
+    n = F.col("_n2") - F.col("_n0") - 2
+    return both.select(ask, n.alias("n"), ((F.col("_s2") - F.col("_s0") - F.col("_first") - F.col("_last")) / n).alias("mean"))
+
+
 def trailing(content: DataFrame, asks: DataFrame, keys: list[str], t: str, at: str, span: int) -> DataFrame:
     """Content of the `span` seconds up to each ask, both ends included, less the first and the last row.
 

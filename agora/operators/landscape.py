@@ -167,6 +167,8 @@ def asymmetric_polarization(rows: DataFrame, issues: list) -> DataFrame:
     partition and range, so no task orders a partition. Partitions double with each issue.
     """
     spark = rows.sparkSession
+    if len(issues) > 16:
+        raise ValueError("partitions double with each issue: choose at most 16, or merge some first")
     blocks = [(k, issue) for k, block in enumerate(two_blocks(issues)) for issue in block]
     kind = dict(rows.dtypes)["issue"]
     parts = spark.createDataFrame(blocks, f"part int, issue {kind}")

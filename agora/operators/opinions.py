@@ -235,12 +235,12 @@ def reply_candidates(turns: DataFrame, thread: str, order: str, text: str, paren
     return rows.withColumn("chosen", chosen.cast("long"))
 
 
-def reply_pairs(turns: DataFrame, thread: str, order: str, parent: str, x: str, within: int) -> DataFrame:
-    """(thread, order, candidate, distance, chosen) of the turns a turn could answer: the last `within` before it.
+def reply_pairs(turns: DataFrame, thread: str, order: str, parent: str, x: str, within: int | None = None) -> DataFrame:
+    """(thread, order, candidate, distance, chosen) of the turns a turn could answer: all before it, or the last `within`.
 
     distance is that of the two turns' x; chosen marks the parent. Turns without a parent go.
     """
-    last = Window.partitionBy(thread).orderBy(order).rowsBetween(-within, -1)
+    last = Window.partitionBy(thread).orderBy(order).rowsBetween(-within if within else Window.unboundedPreceding, -1)
     rows = turns.withColumn("_c", F.collect_list(F.struct(F.col(order).alias("candidate"), F.col(x).alias("_x"))).over(last)).where(F.col(parent).isNotNull())
     rows = rows.withColumn("_c", F.explode("_c"))
     return rows.select(thread, order, F.col("_c.candidate").alias("candidate"), F.abs(F.col("_c._x") - F.col(x)).alias("distance"), (F.col("_c.candidate") == F.col(parent)).cast("int").alias("chosen"))

@@ -170,9 +170,11 @@ def histogram_moments(bins: DataFrame, keys: list[str], low: float, high: float,
     return rows.withColumn("mean", mean).withColumn("var", F.col("_xx") / F.col("n") - mean * mean).drop("_x", "_xx")
 
 
-def by_length(rows: DataFrame, sequence: str, item: str) -> DataFrame:
-    """Batches of sequences of one length: (length, items, count)."""
-    return rows.groupBy(F.size(sequence).cast("long").alias("length")).agg(F.sort_array(F.collect_list(item)).alias("items"), F.count(F.lit(1)).alias("count"))
+def by_length(rows: DataFrame, sequence: str, item: str, most: int = 256) -> DataFrame:
+    """Batches of at most `most` sequences of one length, in order of their items: (length, batch, items, count)."""
+    placed = numbered(rows.select(F.size(sequence).cast("long").alias("length"), F.col(item).alias("_item")), ["length"], [F.col("_item")])
+    batch = F.floor(F.col("place") / most).alias("batch")
+    return placed.groupBy("length", batch).agg(F.sort_array(F.collect_list("_item")).alias("items"), F.count(F.lit(1)).alias("count"))
 
 
 def of_sample(rows: DataFrame, parents: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:

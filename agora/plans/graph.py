@@ -67,8 +67,7 @@ def trailing_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observations(spark, sf_dir)
     content = obs.select("user_id", "t", F.col("comment_id").alias("item"), "raw")
     asks = obs.select("user_id", F.col("comment_id").alias("ask"), F.col("t").alias("at"))
-    found = gr.trailing(content, asks, ["user_id"], "t", "at", 604_800)
-    return rounded(found.groupBy("ask").agg(F.count(F.lit(1)).alias("n"), F.avg("raw").alias("mean")), "mean")
+    return rounded(gr.trailing_means(content, asks, ["user_id"], "t", "item", "raw", "ask", "at", 604_800), "mean")
 
 
 NORMAL_SQL = f"{PROFILE_SQL}, cn AS (SELECT classifier_idx, true_value, pred_value, CAST(n AS DOUBLE) / nullif(sum(n) OVER (PARTITION BY classifier_idx, pred_value), 0) AS q, CAST(n AS DOUBLE) / nullif(sum(n) OVER (PARTITION BY classifier_idx, true_value), 0) AS p FROM profile)"
@@ -211,7 +210,7 @@ def choice_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     from agora.operators import opinions as op
 
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.when(F.col("turn") > 1, F.col("turn") - 1).alias("parent"), F.log(F.length("text") + 1.0).alias("x"))
-    rows = op.reply_pairs(turns, "conv_id", "turn", "parent", "x", within=64)
+    rows = op.reply_pairs(turns, "conv_id", "turn", "parent", "x")
     w, error = dy.fit_choice_weight(rows, ["conv_id", "turn"], "distance", "chosen")
     return spark.createDataFrame([(w, error)], "w double, error double")
 
@@ -239,6 +238,22 @@ def topic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tp.fit(rows, 10).apply(rows).select("vec_id", "label", "topic", "distance")
 
 
+@query()
+def sampled_opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posterior of each user's opinion on each issue, by chains of draws."""
+    from agora.operators import sampling
+
+    return sampling.sampled_opinions(observations(spark, sf_dir), profiles(spark), ["user_id", "issue"])
+
+
+@query()
+def smooth_opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smooth opinion behind each event, given all of its user's on the issue."""
+    from agora.operators import smooth
+
+    return smooth.trajectories(observations(spark, sf_dir), profiles(spark), ["user_id", "issue"], ["t", "comment_id"])
+
+
 @query()
 def density_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics by density of reduced embeddings, of at least a hundredth of all."""

@@ -37,10 +37,10 @@ def histogram_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rel.histogram_moments(bins, ["event_type"], 0.0, 100.0, 20), "mean", "var")
 
 
-@query(f"WITH {OBS_SQL}, s AS (SELECT user_id, count(*) AS length FROM obs GROUP BY 1) SELECT length, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY user_id) AS users, count(*) AS \"count\" FROM s GROUP BY 1")
+@query(f"WITH {OBS_SQL}, s AS (SELECT user_id, count(*) AS length FROM obs GROUP BY 1), b AS (SELECT *, (row_number() OVER (PARTITION BY length ORDER BY user_id) - 1) // 4 AS batch FROM s) SELECT length, batch, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY user_id) AS users, count(*) AS \"count\" FROM b GROUP BY 1, 2")
 def batches_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = observations(spark, sf_dir).groupBy("user_id").agg(F.collect_list("value").alias("seq"))
-    return rel.by_length(rows, "seq", "user_id").select("length", F.array_join(F.col("items").cast("array<string>"), ",").alias("users"), "count")
+    return rel.by_length(rows, "seq", "user_id", 4).select("length", "batch", F.array_join(F.col("items").cast("array<string>"), ",").alias("users"), "count")
 
 
 @query("SELECT label AS topic, count(*) AS n FROM embeddings GROUP BY 1")

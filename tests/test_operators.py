@@ -2,6 +2,7 @@
 
 import collections
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -168,8 +169,23 @@ def test_p_values_and_bootstrap(spark):
     assert fits[0].p < 1e-9 and abs(fits[0].slope - 3) < 0.4 and fits[1].p > 0.001
     assert la._incomplete_beta(2.0, 3.0, 0.4) == pytest.approx(0.5248, abs=1e-10)
     assert la._incomplete_beta(0.5, 0.5, 0.25) == pytest.approx(2 / math.pi * math.asin(0.5), abs=1e-12)
-    ends = {r.i: r for r in la.bootstrap(frame, ["i"], ["i", "k"]).collect()}
+    ends = {r.i: r for r in la.bootstrap(frame, ["i"], ["i", "k"], la.CORRELATION, replicates=400).collect()}
     assert ends[0].low < fits[0].r2**0.5 < ends[0].high and ends[0].low > 0.9 > ends[1].high
+    # The same correction from values without one row each, and from plain draws.
+    z = NormalDist()
+    for i, r in ends.items():
+        x, y = np.array([[b, c] for a, _, b, c, _, _ in rows if a == i]).T
+        own = np.corrcoef(x, y)[0, 1]
+        left = np.array([np.corrcoef(np.delete(x, k), np.delete(y, k))[0, 1] for k in range(100)])
+        d = left.mean() - left
+        skew = (d**3).sum() / (6 * (d**2).sum() ** 1.5)
+        drawn = np.sort([np.corrcoef(x[k], y[k])[0, 1] for k in rnd.integers(0, 100, (20_000, 100))])
+        bias = z.inv_cdf((drawn < own).mean())
+        cuts = [np.quantile(drawn, z.cdf(bias + (bias + e) / (1 - skew * (bias + e)))) for e in (-1.96, 1.96)]
+        assert r.estimate == pytest.approx(own) and (r.low, r.high) == pytest.approx(cuts, abs=0.15 * (cuts[1] - cuts[0]))
+    one = la.bootstrap(frame.where("k = 1"), ["i"], ["i", "k"], la.CORRELATION).first()
+    assert one.n == 1 and one.low is None and one.estimate is None
+    assert la.bootstrap(frame.where("false"), ["i"], ["i", "k"], la.CORRELATION).count() == 0
 
 
 def test_methods_refuse_what_they_do_not_know(spark):

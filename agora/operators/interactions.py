@@ -20,15 +20,24 @@ def with_previous(rows: DataFrame, user: str, order: list[str], embedding: str,
     return rows.withColumn("prev", F.lag(embedding).over(own.orderBy(*order)))
 
 
+def means_around(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """rows with before and after: the means of a value over all earlier rows of their key, and over themselves and all later."""
+    x = F.col(value).cast("double")
+    known = x.isNotNull().cast("long")
+    sums = running(rows, keys, [F.col(c) for c in order], {"_sum": F.coalesce(x, F.lit(0.0)), "_seen": known}, totals=True)
+    before = F.try_divide(F.col("_sum") - F.coalesce(x, F.lit(0.0)), F.col("_seen") - known)
+    after = F.try_divide(F.col("_sum_all") - F.col("_sum") + F.coalesce(x, F.lit(0.0)), F.col("_seen_all") - F.col("_seen") + known)
+    return sums.withColumn("before", before).withColumn("after", after).drop("_sum", "_seen", "_sum_all", "_seen_all")
+
+
 def before_and_after(rows: DataFrame, user: str, order: list[str], item: str, embedding: str) -> DataFrame:
     """(user, item, before, after): means of all earlier content, and of this and all later, by dimension.
 
-    A window for each user and dimension keeps tasks small where a user has much content.
+    Both follow from running sums of a user and dimension over ranges of the order, so a user
+    who has most content is dealt over tasks.
     """
-    cells = rows.select(user, item, *order, F.posexplode(embedding).alias("dim", "x"))
-    own = Window.partitionBy(user, "dim").orderBy(*order)
-    x = F.avg(F.col("x").cast("double"))
-    cells = cells.withColumn("b", x.over(own.rowsBetween(Window.unboundedPreceding, -1))).withColumn("a", x.over(own.rowsBetween(0, Window.unboundedFollowing)))
+    cells = means_around(rows.select(user, item, *[c for c in order if c not in (user, item)], F.posexplode(embedding).alias("dim", "x")), [user, "dim"], order, "x")
+    cells = cells.withColumnsRenamed({"before": "b", "after": "a"})
     parts = cells.groupBy(user, item).agg(F.array_sort(F.collect_list(F.struct("dim", "b", "a"))).alias("p"))
     before = F.when(F.col("p")[0]["b"].isNotNull(), F.transform("p", lambda c: c["b"]))
     return parts.select(user, item, before.alias("before"), F.transform("p", lambda c: c["a"]).alias("after"))

@@ -44,6 +44,15 @@ def parquet_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("subreddit").alias("community"), "id", F.coalesce("extra", F.lit("-")).alias("extra"))
 
 
+@query("SELECT o_orderkey AS id, o_orderstatus AS community FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def strict_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two folders as one table, whose columns must agree."""
+    path, orders = place(spark, "strict"), read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("community"))
+    for state in ("F", "O"):
+        files.write_parquet(orders.where(F.col("community") == state), f"{path}/{state}")
+    return files.scan(spark, [f"{path}/F", f"{path}/O"], loose=False)
+
+
 @query("SELECT strftime(o_orderdate, '%Y-%m') AS year_month, o_orderstatus AS subreddit, count(*) AS n FROM orders WHERE strftime(o_orderdate, '%Y-%m') BETWEEN '1995-03' AND '1996-06' AND o_orderstatus IN ('F', 'P') GROUP BY 1, 2")
 def monthly_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly Parquet, pruned to months and communities."""

@@ -35,6 +35,14 @@ def mention_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT conv_id AS src, unnest(regexp_extract_all(lower(text), '[a-z]{12,}')) AS dst, 'mention' AS type, turn FROM conversations""")
+def every_mention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge for each mention, those that a turn repeats among them."""
+    rows = read(spark, sf_dir, "conversations").withColumn("mentions", F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]{12,}"), F.lit(0)))
+    out = gr.mention_edges(rows, "conv_id", "mentions", "mention", None, ["turn"], once=False)
+    return out.select("src", "dst", "type", F.get_json_object("attrs", "$.turn").cast("int").alias("turn"))
+
+
 @query("""WITH c AS (SELECT conv_id * 100 + turn AS item, conv_id * 10 + turn % 3 AS author, CASE WHEN turn > 0 THEN conv_id * 100 + turn // 2 END AS parent FROM conversations), b AS (SELECT item, author FROM c WHERE parent IS NULL) SELECT r.author AS src, coalesce(b.author, -1) AS dst, r.item FROM c r LEFT JOIN b ON r.parent = b.item WHERE r.parent IS NOT NULL""")
 def reply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn, conv = F.col("turn"), F.col("conv_id")

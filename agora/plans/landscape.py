@@ -12,6 +12,7 @@ from agora.functions import vectors as vec
 from agora.functions.draws import poisson_sql, uniform_sql
 from agora.operators import landscape as la
 from agora.operators import opinions as op
+from agora.operators.interactions import means_around
 from agora.plans.opinions import VAR_SQL, WEEK, WINDOW_SQL, rounded, weeks, weighted
 from agora.registry import query
 from agora.tables import WEIGHT_SQL
@@ -218,10 +219,8 @@ def centroid_by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT label, vec_id, dim, round(avg(v) OVER (PARTITION BY label, dim ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) + 0.0 AS before_mean, round(avg(v) OVER (PARTITION BY label, dim ORDER BY vec_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) + 0.0 AS after_mean FROM x""")
 def before_after_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", "vec_id", F.posexplode("embedding").alias("dim", "v"))
-    order = Window.partitionBy("label", "dim").orderBy("vec_id")
-    v = F.avg(F.col("v").cast("double"))
-    before, after = v.over(order.rowsBetween(Window.unboundedPreceding, -1)), v.over(order.rowsBetween(0, Window.unboundedFollowing))
-    return rounded(rows.select("label", "vec_id", F.col("dim").cast("long").alias("dim"), before.alias("before_mean"), after.alias("after_mean")), "before_mean", "after_mean")
+    rows = means_around(rows, ["label", "dim"], ["vec_id"], "v")
+    return rounded(rows.select("label", "vec_id", F.col("dim").cast("long").alias("dim"), F.col("before").alias("before_mean"), F.col("after").alias("after_mean")), "before_mean", "after_mean")
 
 
 @query(f"WITH {DIST_SQL}, d AS (SELECT vec_id, euclid AS p, 1 - cosine AS o FROM dist) SELECT vec_id, round(1 / (1 + exp(o - p)), 6) AS nearer, round(1 / (1 + exp(-least((o + p) / 2.0 - 1, 100))), 6) AS beyond FROM d")

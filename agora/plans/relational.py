@@ -189,3 +189,9 @@ def ordered_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rel.top_k(observations(spark, sf_dir), ["user_id"], [F.col("t"), F.col("comment_id")], 2**31 - 1)
     part = F.when(F.col("rank") <= 10, "train").when(F.col("rank") <= 20, "dev").otherwise("test")
     return rows.select("comment_id", "user_id", part.alias("part"))
+
+
+@query(f"SELECT o_orderkey, o_custkey FROM orders ORDER BY {uniform_sql(3, 'o_orderkey')}, o_orderkey LIMIT 50")
+def fixed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty orders, those of smallest hash."""
+    return rel.fixed_sample(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 50, 3)

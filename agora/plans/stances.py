@@ -145,3 +145,10 @@ def inferred_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A timeline object whose aggregation infers the share of each stance."""
     line = op.OpinionTimeline(observations(spark, sf_dir), profiles(spark), "categorical")
     return rounded(line.data(weeks(spark, sf_dir), WEEK), "p_against", "p_neutral", "p_favor")
+
+
+@query(f"WITH {OBS_SQL} SELECT * FROM obs WHERE user_id = (SELECT min(user_id) FROM obs)")
+def user_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A timeline object's observations of one user."""
+    obs = observations(spark, sf_dir)
+    return op.OpinionTimeline(obs, profiles(spark)).user(obs.agg(F.min("user_id")).first()[0])

@@ -36,14 +36,17 @@ class Params:
     """`rows` bounds the labelled sample; suffixes with fewer than `support` rows have the mean rate.
 
     A share `held` of the sample takes no part in the trees and says how many of them to
-    keep: where labels do not follow the URL that is none, and all URLs have the mean.
+    keep: where labels do not follow the URL that is none, and all URLs have the mean. A
+    second such share takes part in neither and gives the figures of a fit. The rates that
+    trees learn from come out of `folds` parts, each from the rows of the others.
     """
 
     rows: int = 6000
     rounds: int = 20
     depth: int = 3
     support: int = 20
-    held: float = 0.25
+    held: float = 0.2
+    folds: int = 5
     seed: int = 31
 
 
@@ -133,7 +136,7 @@ class Model:
     trees: Boosted
     rates: list[dict[str, float]]  # of suffixes and of segments
     mean: float
-    held_out: dict[str, float] = field(default_factory=dict)  # accuracy, that of the mean alone, and rows
+    held_out: dict[str, float] = field(default_factory=dict)  # accuracy, that of the mean alone, and rows, none of which took part
 
     def rate_columns(self, host: Column, path: Column) -> list[Column]:
         """The rates of a URL's suffix and segment; the mean where they are unknown."""
@@ -154,8 +157,9 @@ def fit(labelled: DataFrame, params: Params = Params(), url: str = "url", label:
 
     A URL counts once, however often it is repeated, with the largest of its labels; null
     URLs and labels teach nothing. Statistics of suffixes, and of suffixes with the first
-    segment of the path, are the share of label 1 among the sample's URLs, with the mean
-    for one more row, so that a suffix of one kind does not give the label away.
+    segment of the path, are the share of label 1 among the taught URLs, with the mean for
+    one more row. A taught URL's own statistics leave out its fold, so that its label does
+    not speak in them; all names with enough rows have one, at most rows / support.
     """
     rows = labelled.select(F.col(url).alias("u"), F.col(label).cast("double").alias("y")).where("u is not null and y is not null")
     rows = rows.groupBy("u").agg(F.max("y").alias("y"))
@@ -169,27 +173,34 @@ def fit(labelled: DataFrame, params: Params = Params(), url: str = "url", label:
     if not got:
         return Model(Boosted(-6.0), [{}, {}], 0.0)
     y = np.array([r[0] for r in got])
-    held = np.random.default_rng(params.seed).random(len(y)) < params.held
-    taught = [r for r, h in zip(got, held, strict=True) if not h] or got
-    mean = float(np.mean([r[0] for r in taught]))
-    rates = [_rates(taught, k, mean, params) for k in (1, 2)]
+    rnd = np.random.default_rng(params.seed)
+    draw, fold = rnd.random(len(y)), rnd.integers(0, params.folds, len(y))
+    part = np.where(draw < params.held, 1, np.where(draw < 2 * params.held, 2, 0))  # taught, chooses, measures
+    if not (part == 0).any():
+        part[:] = 0
+    taught = part == 0
+    mean = float(y[taught].mean())
+    rates = [_rates(got, taught, k, mean, params) for k in (1, 2)]
     x = np.array([[*r[3:], rates[0].get(r[1], mean), rates[1].get(r[2], mean)] for r in got])
-    train = ~held if (~held).any() else np.ones(len(y), bool)
-    trees = boost(x[train], y[train], params.rounds, params.depth)
-    said = {"rows": float(held.sum())}
-    if held.any():
-        trees = trees.kept(_best(trees, x[held], y[held]))
-        said["accuracy"] = float(((trees.raw(x[held]) >= 0) == (y[held] > 0)).mean())
-        said["of_mean"] = float(((mean >= 0.5) == (y[held] > 0)).mean())
+    for f in range(params.folds):
+        others = [_rates(got, taught & (fold != f), k, mean, params) for k in (1, 2)]
+        for i in np.flatnonzero(taught & (fold == f)).tolist():
+            x[i, -2:] = others[0].get(got[i][1], mean), others[1].get(got[i][2], mean)
+    trees = boost(x[taught], y[taught], params.rounds, params.depth)
+    trees = trees.kept(_best(trees, x[part == 1], y[part == 1]) if (part == 1).any() else 0)
+    last = part == 2
+    said = {"rows": float(last.sum())}
+    if last.any():
+        said["accuracy"] = float(((trees.raw(x[last]) >= 0) == (y[last] > 0)).mean())
+        said["of_mean"] = float(((mean >= 0.5) == (y[last] > 0)).mean())
     return Model(trees, rates, mean, said)
 
 
-def _rates(rows: list, column: int, mean: float, params: Params) -> dict[str, float]:
+def _rates(rows: list, taught: np.ndarray, column: int, mean: float, params: Params) -> dict[str, float]:
     sums: dict[str, list[float]] = {}
-    for r in rows:
-        sums.setdefault(r[column], []).append(r[0])
-    often = sorted(sums, key=lambda s: (-len(sums[s]), s))[:50]
-    return {s: (sum(sums[s]) + mean) / (len(sums[s]) + 1) for s in often if len(sums[s]) >= params.support}
+    for i in np.flatnonzero(taught).tolist():
+        sums.setdefault(rows[i][column], []).append(rows[i][0])
+    return {s: (sum(v) + mean) / (len(v) + 1) for s, v in sums.items() if len(v) >= params.support}
 
 
 def _best(trees: Boosted, x: np.ndarray, y: np.ndarray) -> int:

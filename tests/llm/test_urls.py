@@ -63,6 +63,56 @@ def test_trees_learn_labels_and_columns_agree(spark):
     assert all(abs(r.probability - want[r.page_id]) < 1e-9 for r in shown)
 
 
+def plain_features(url):
+    """FEATURES but the rates, in Python."""
+    host, path = plain(url)
+    url = url or ""
+    query = re.search(r"\?([^#]*)", url)
+    query = query[1] if query else ""
+    share = lambda t, signs: sum(c in signs for c in t) / max(len(t), 1)
+    digits = "0123456789"
+    entropy = -sum(p * math.log2(p) for p in (host.count(c) / len(host) for c in set(host)))
+    parameters = query.count("&") + 1 if query else 0
+    return [len(url), len(host), len(path), path.count("/"), host.count("."), share(url, digits), share(host, digits), host.count("-"), entropy, parameters, int("#" in url), max(map(len, host.split("."))), share(host, "aeiou")]
+
+
+def test_verdicts_without_a_rule_are_those_of_the_trees(spark):
+    """All pages of a table, judged again by features and trees in Python."""
+    sf = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    model = urls.fit(urls.labelled(pages, spark.read.parquet(f"{sf}/labels.parquet"), URL_RULES))
+    got = {r.page_id: r for r in urls.judge(pages, model, URL_RULES).collect()}
+    judged = 0
+    for r in pages.select("page_id", "url").collect():
+        host, path = plain(r.url)
+        name = ".".join(host.split(".")[-2:])
+        first = re.match(r"/([^/]*)/", path)
+        rates = [model.rates[0].get(name, model.mean), model.rates[1].get(f"{name}/{first[1] if first else ''}", model.mean)]
+        raw = float(model.trees.raw(np.array([[*plain_features(r.url), *rates]]))[0])
+        assert abs(got[r.page_id].probability - 1 / (1 + math.exp(-raw))) < 1e-9
+        if got[r.page_id].rule is None:
+            judged += 1
+            assert got[r.page_id].verdict == ("block" if raw >= 0 else "allow")
+    assert judged > 50
+
+
+def test_rates_do_not_tell_a_row_its_own_label(spark):
+    """Names of a few rows each, labels by chance: rates that hold a row's own label would look as if they told it."""
+    rnd = np.random.default_rng(8)
+    rows = [(f"http://s{i % 80}.com/{i}", int(rnd.random() < 0.5)) for i in range(4800)]
+    model = urls.fit(spark.createDataFrame(rows, "url string, label int"))
+    assert abs(model.held_out["accuracy"] - 0.5) < 0.08 and model.held_out["rows"] > 300
+    assert len(model.rates[0]) > 50  # all that have enough rows
+
+
+def test_columns_named_like_inner_ones(spark):
+    frame = spark.createDataFrame(labelled(300), "url string, label int").withColumn("page_id", F.lit(1))
+    names = ["u", "h", "p", "y", "k", "f0", "f14", "probability", "rule", "verdict", "host", "path"]
+    more = frame.select("*", *(F.lit("q").alias(c) for c in names))
+    key = lambda d: sorted((r.host, r.path, r.verdict, r.probability) for r in d.collect())
+    assert key(urls.judge(more, urls.fit(more), [])) == key(urls.judge(frame, urls.fit(frame), []))
+
+
 def test_labels_that_do_not_follow_the_url_teach_nothing(spark):
     rnd = np.random.default_rng(1)
     frame = spark.createDataFrame([(u, int(rnd.random() < 0.25)) for u, _ in labelled(3000)], "url string, label int")

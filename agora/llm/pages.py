@@ -24,19 +24,22 @@ from agora.llm.urls import host_and_path
 
 # Fixed values of HTML: how elements nest and which of them start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+MATH = frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle semantics".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | MATH
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th", "thead", "tbody"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}}
 
 # Elements, roles and names of class or id of what an article is without by definition.
-FURNITURE = frozenset("head nav footer aside form script style noscript template iframe svg math button select textarea input dialog object embed applet canvas audio video menu title map datalist fieldset".split())
+FURNITURE = frozenset("head nav footer aside form script style noscript template iframe svg button select textarea input dialog object embed applet canvas audio video menu title map datalist fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form status".split())
-PARTS = frozenset("menu nav navbar navigation breadcrumb breadcrumbs sidebar sidenav footer comment comments commentlist disqus replies respond form login search pagination pager toolbar masthead".split())
+PARTS = frozenset("menu nav navbar subnav navigation breadcrumb breadcrumbs sidebar sidenav footer comment comments commentlist disqus replies respond form login search pagination pager toolbar masthead".split())
 #: Names that adverts and notices bear; a style tree over all hosts says whether they are what they claim.
-CLAIMS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recirculation widget".split())
+CLAIMS = frozenset("ad ads adsbygoogle adv advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recirculation widget".split())
 #: Words that say where something stands, not what it is.
-LAYOUT = frozenset("slot box container wrapper wrap area section list bar block top bottom left right unit inner outer item link links panel holder group row col column primary secondary header heading title site page global".split())
+LAYOUT = frozenset("slot box container wrapper wrap area section list bar block top bottom left right unit inner outer item link links panel holder group row col column primary secondary header heading title site page global post".split())
+#: Words of the comments of readers, and those that may stand beside them; they name an article element too.
+COMMENTS, OF_READERS = frozenset("comment comments commentlist reply replies respond".split()), frozenset("reader readers user users guest article thread body author text even odd depth child parent".split())
 #: Elements whose names are about their own text.
 UNNAMED = frozenset("h1 h2 h3 h4 h5 h6 article main body html".split())
 DEEPEST = 48  # levels of a page that have style nodes
@@ -45,6 +48,7 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 _UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
+_NUMBER = re.compile(r"v?\d+")  # of a version or an item, which names nothing
 
 
 @dataclass
@@ -63,12 +67,13 @@ def element(tag: str, attributes: str, in_article: bool) -> Element:
     for name, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            words.update(w for w in _SPLIT.split(value.lower()) if w and not w.isdigit())
+            words.update(w for w in _SPLIT.split(value.lower()) if w and not _NUMBER.fullmatch(w))
         elif name == "role":
             furniture |= value.lower().strip() in ROLES
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _UNSHOWN.search(value):
             furniture = True
     claim = ""
+    furniture |= bool(words & COMMENTS) and words <= COMMENTS | OF_READERS | LAYOUT
     if words and tag not in UNNAMED and words <= PARTS | CLAIMS | LAYOUT:
         furniture |= bool(words & PARTS) or ("header" in words and not in_article)
         claim = min(words & CLAIMS, default="")

@@ -29,6 +29,11 @@ def test_names_drop_only_what_they_name():
         assert text(f"<article>{kept}</article>") == "Keep", kept
     for gone in ("<p hidden>x</p>", '<p hidden="">x</p>', '<div style="color:red; DISPLAY : none">x</div>', '<div class="form">x</div>', '<div id="comments-list">x</div>', '<div class="ad ad-7">x</div>', '<div class="cookie-notice bottom">x</div>', "<div role=navigation>x</div>"):
         assert text(f"<article><p>Keep</p>{gone}</article>") == "Keep", gone
+    for gone in ('<article class="comment">x</article>', '<article class="comment comment-12 even depth-1"><p>x</p></article>', '<div class="reader-comments">x</div>', '<div id="user-comments">x</div>', '<div class="article-comments">x</div>', '<div id="subnav">x</div>', '<div class="cookie-banner-v2">x</div>', '<ins class="adsbygoogle">x</ins>', '<div class="sponsored-post">x</div>'):
+        assert text(f"<article><p>Keep</p>{gone}</article>") == "Keep", gone
+        assert text(f"<p>Keep</p>{gone}") == "Keep", gone
+    assert text('<article class="post">Keep</article>') == text('<article class="comment on events">Keep</article>') == "Keep"
+    assert text("<p>The energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here</p>") == "The energy is E=m here"
     assert text("<p>&am<b>p;</b> &amp;amp;</p>") == "&amp; &amp;"
     page = '<div id="page"><div class="site-header">x</div><article><div class="header">Keep</div></article></div>'
     assert text(page) == "Keep" and text('<div class="page header">x</div><p>Keep</p>') == "Keep"

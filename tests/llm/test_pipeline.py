@@ -30,7 +30,7 @@ def test_stages_take_effect_one_after_another(spark):
 def test_query_is_registered():
     import __spark_entry__ as entry
 
-    assert "pipeline" in entry.queries() and sum(n.startswith("op") and n[2].isdigit() for n in entry.queries()) == 10
+    assert "pipeline" in entry.queries() and sum(n.startswith("op") and n[2].isdigit() for n in entry.queries()) == 13
 
 
 def test_stages_keep_columns_of_any_name(spark, nothing):

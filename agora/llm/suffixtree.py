@@ -30,7 +30,7 @@ class Params:
     words: int = 766
     endings: int = 256
     depth: int = 3
-    share: int = 1024
+    share: int = 4096
     known: int = 1 << 19
 
     @property

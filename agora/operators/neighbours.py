@@ -59,7 +59,8 @@ def build(rows: DataFrame, key: str = "id", embedding: str = "e", block: int = 2
     # A share with more than twice the rows wanted has them for certain.
     share = min(1 << 20, (2 * lists + 64) * (1 << 20) // max(size, 1) + 1)
     drawn = table.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share)
-    pivots = np.array([r.e for r in drawn.orderBy(F.xxhash64("id"), "id").limit(lists).collect()], float).reshape(-1, dims or 1)
+    found = drawn.orderBy(F.xxhash64("id"), "id").limit(lists).select("e").toArrow().column("e").combine_chunks()
+    pivots = np.asarray(found.flatten(), float).reshape(-1, dims or 1)
 
     def place(batches):
         for part in batches:

@@ -152,7 +152,8 @@ def hidden_markov(obs: DataFrame, profile: DataFrame, group: str, user: str = "u
 
     Expectation runs in Spark, over batches of sequences of one length; what reaches the
     driver in a round is nine sums and three for each group. Rounds end when no move
-    changes by `tolerance` or more; after `rounds` of them it raises. Prior counts below 1 are clipped at 0. A user's
+    changes by `tolerance` or more; after `rounds` of them it raises. A tolerance of
+    0 asks for just that many rounds. Prior counts below 1 are clipped at 0. A user's
     sequence is one row, so it should fit a task.
     """
     emission = row_normalized(profile).groupBy("classifier_idx", F.col("pred_value").alias("value")).agg(F.array_sort(F.collect_list(F.struct("true_value", "p"))).alias("e"))
@@ -188,7 +189,8 @@ def hidden_markov(obs: DataFrame, profile: DataFrame, group: str, user: str = "u
         if changed < tolerance:
             break
     else:
-        raise RuntimeError(f"the moves have not settled after {rounds} rounds: one last changed by {changed:g}")
+        if tolerance:
+            raise RuntimeError(f"the moves have not settled after {rounds} rounds: one last changed by {changed:g}")
     spark = obs.sparkSession
     return spark.createDataFrame([(g, STATES[i], STATES[j], float(model[g][1][i, j])) for g in groups for i in range(3) for j in range(3)], f"{group} string, `from` int, `to` int, p double")
 

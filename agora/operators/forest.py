@@ -11,14 +11,15 @@ from agora.sources.store import saved
 
 
 def _roots(parents: DataFrame) -> DataFrame:
-    """(x, root) of (x, parent), where a root is its own parent: every step doubles the way to it."""
+    """(x, root) of (x, parent), where a root is its own parent: every round goes four times as far up."""
     now = saved(parents.select("x", F.col("parent").alias("root")), "parents")
     while True:
         up = now.select(F.col("x").alias("root"), F.col("root").alias("above"))
-        new = saved(now.join(up, "root").select("x", "above", (F.col("root") != F.col("above")).alias("moved")), "parents")
-        moved = new.where("moved").limit(1).count()
-        now = new.select("x", F.col("above").alias("root"))
-        if not moved:
+        twice = now.join(up, "root")
+        up = twice.select(F.col("x").alias("above"), F.col("above").alias("top"))
+        new = saved(twice.join(up, "above").select("x", F.col("top").alias("root"), (F.col("root") != F.col("top")).alias("moved")), "parents")
+        now = new.select("x", "root")
+        if not new.where("moved").limit(1).count():
             return now
 
 

@@ -77,15 +77,16 @@ def months(bounds: DataFrame, low: str = "lo", high: str = "hi") -> DataFrame:
     return out.where("lo < _high").drop("_high")
 
 
-def in_windows(rows: DataFrame, spans: DataFrame, width: int, t: str = "t") -> DataFrame:
-    """Rows with each window that holds their time, both ends included.
+def in_windows(rows: DataFrame, spans: DataFrame, width: int, t: str = "t", ends: bool = True) -> DataFrame:
+    """Rows with each window that holds their time, both ends included, or (not `ends`) the first alone.
 
     Windows are cut at multiples of `width`; a row meets a window by an equal cell and the
     bounds are tested again, so there is no nested loop over rows and windows.
     """
     cells = spans.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
     rows = rows.withColumn("_cell", F.floor(F.col(t) / width))
-    return rows.join(cells, "_cell").where((F.col(t) >= F.col("lo")) & (F.col(t) <= F.col("hi"))).drop("_cell")
+    before = F.col(t) <= F.col("hi") if ends else F.col(t) < F.col("hi")
+    return rows.join(cells, "_cell").where((F.col(t) >= F.col("lo")) & before).drop("_cell")
 
 
 def age_in_days(t: Column, end: Column) -> Column:
@@ -207,8 +208,8 @@ class OpinionTimeline:
             return getattr(inference, self.aggregation)(inference.posterior(rows.drop("w"), self.profile), keys)
         return opinion(rows, keys, WEIGHTS[self.aggregation](F.col("w"), age_in_days(F.col("t"), end), self.halflife))
 
-    def data(self, spans: DataFrame, width: int) -> DataFrame:
-        out = self._opinions(in_windows(self.rows, spans, width), ["window_id", "user_id", "issue"], F.col("hi"))
+    def data(self, spans: DataFrame, width: int, ends: bool = True) -> DataFrame:
+        out = self._opinions(in_windows(self.rows, spans, width, ends=ends), ["window_id", "user_id", "issue"], F.col("hi"))
         return out.join(modal(self.obs, "user_id", self.attribute), "user_id", "left") if self.attribute else out
 
     def window(self, low: int, high: int) -> DataFrame:

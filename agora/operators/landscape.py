@@ -5,15 +5,20 @@ Rows are (user_id, issue, mean, var).
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from agora.functions import draws
 from agora.sources import store
@@ -242,8 +247,8 @@ def bootstrap(rows: DataFrame, keys: list[str], unit: list[str], statistic: Stat
     """(keys, n, estimate, low, high): bias-corrected and accelerated intervals of a statistic of each group.
 
     Each row is drawn Poisson(1) times in each replicate, by a hash of its `unit` columns and
-    the replicate. A row meets its replicates inside the task, where partial sums take
-    them up: what is shuffled is a row for each key, replicate and task.
+    the replicate. Rows of a unit share their draws, which are made once for all of a unit's
+    rows in a batch; a product of draws and terms gives the sums of all replicates.
 
     The bias is the share of replicates below the estimate (half of those equal); the
     acceleration is the skew of the values without one row each, which follow from the
@@ -265,9 +270,7 @@ def bootstrap(rows: DataFrame, keys: list[str], unit: list[str], statistic: Stat
     third = F.col("_d3") - 3 * mean * F.col("_d2") + 2 * m * mean * mean * mean
     skew = F.coalesce(F.when(second > 1e-24, -third / (6 * F.pow(F.greatest(second, F.lit(1e-24)), F.lit(1.5)))), F.lit(0.0))
 
-    drawn = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    drawn = drawn.withColumn("_w", draws.poisson(draws.uniform(seed, "replicate", *unit)).cast("double")).where("_w > 0")
-    drawn = drawn.groupBy(*keys, "replicate").agg(*[F.sum(F.col("_w") * F.col(x)).alias(f"_s{k}") for k, x in enumerate(names)])
+    drawn = _resampled(rows, keys, unit, names, replicates, seed)
     values = drawn.select(*keys, statistic.value(sums).alias("_r")).where("_r is not null").groupBy(*keys).agg(F.array_sort(F.collect_list("_r")).alias("_values"))
 
     # Equal to nine digits is equal: sums in another order differ beyond.
@@ -279,6 +282,57 @@ def bootstrap(rows: DataFrame, keys: list[str], unit: list[str], statistic: Stat
     return found.select(*keys, "n", "estimate", low.alias("low"), high.alias("high"))
 
 
+def _resampled(rows: DataFrame, keys: list[str], unit: list[str], names: list[str], replicates: int, seed: int, most: int = 512) -> DataFrame:
+    """(keys, replicate, _s0, _s1, ...): sums of the terms of each replicate's rows; replicates that draw no row of a key have none.
+
+    A task keeps sums of at most `most` keys, so it sends a row for each key and replicate
+    that it met, or more where it meets many keys.
+    """
+    steps = np.array(draws.poisson_steps())
+    suffix = F.concat(*[F.coalesce(F.concat(F.lit(":"), F.col(u).cast("string")), F.lit("")) for u in unit])
+    kinds = dict(rows.dtypes)
+    own = [f"_k{i}" for i in range(len(keys))]
+    table = rows.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], suffix.alias("_u"), *names).repartition("_u").sortWithinPartitions("_u")
+    head = [f"{seed}:{k}".encode() for k in range(1, replicates + 1)]
+
+    def told(sums: dict) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(sums), 16):
+            some = list(sums.items())[at : at + 16]
+            found = [(k, np.flatnonzero(total[:, -1]), total) for k, total in some]
+            sizes = np.array([len(i) for _, i, _ in found])
+            each = np.repeat(np.arange(len(found)), sizes)
+            columns = [pa.array([k[c] for k, _, _ in found], type=schema.field(c).type).take(pa.array(each)) for c in range(len(keys))]
+            columns.append(pa.array(np.concatenate([i for _, i, _ in found]) + 1, pa.int32()))
+            columns += [pa.array(np.concatenate([t[i, c] for _, i, t in found])) for c in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                units = part.column("_u").dictionary_encode()
+                raw = np.array([[int.from_bytes(hashlib.md5(h + u).digest()[:4], "big") for h in head] for u in (x.encode() for x in units.dictionary.to_pylist())], float)
+                drawn = np.searchsorted(steps, raw / 2.0**32, "left").astype(float)[units.indices.to_numpy()]
+                # A null adds nothing to a sum; the last column tells whether a replicate has a row at all.
+                terms = np.stack([part.column(n).fill_null(0.0).to_numpy(zero_copy_only=False) for n in names] + [np.ones(part.num_rows)], 1)
+                groups: dict[tuple, list[int]] = {}
+                for i, k in enumerate(zip(*[part.column(o).to_pylist() for o in own], strict=True)):
+                    groups.setdefault(k, []).append(i)
+                for k, where in groups.items():
+                    more = drawn[where].T @ terms[where]
+                    sums[k] = sums[k] + more if k in sums else more
+                if len(sums) > most:
+                    yield from told(sums)
+                    sums = {}
+        yield from told(sums)
+
+    out = ", ".join([*[f"{o} {kinds[k]}" for k, o in zip(keys, own, strict=True)], "replicate int", *[f"{n} double" for n in names]])
+    schema = to_arrow_schema(StructType.fromDDL(out))
+    parts = table.mapInArrow(run, out).groupBy(*own, "replicate").agg(*[F.sum(n).alias(f"_s{i}") for i, n in enumerate(names)])
+    return parts.withColumnsRenamed(dict(zip(own, keys, strict=True)))
+
+
 def _accelerated(level: float):
     """Of a share below and an acceleration: the two shares at which the replicates are cut."""
 

@@ -5,7 +5,10 @@ import datetime as dt
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from agora.functions import draws
+from agora.operators import landscape as la
 from agora.plans import ORACLES, QUERIES
 from tests.test_queries import plain
 
@@ -38,3 +41,18 @@ def test_an_event_on_the_border_of_two_weeks_is_in_one(made):
     rows = [(t, i % 2, "click" if i % 5 else "view", 1) for i, t in enumerate([0, 0, 0, 5, 6, 7, week, week, week, week + 1, week + 2, week + 3] * 3)]
     got, want = made("timeline_attributes", events=events(rows))
     assert got == want and len(got) > 0
+
+
+def test_a_bootstrap_draws_a_unit_once_and_sums_as_spark_does(spark, monkeypatch):
+    made = spark.range(600).select((F.col("id") % 40).alias("unit"), (F.col("id") % 3).alias("g"), (F.col("id") % 7 / 7.0).alias("a"), F.when(F.col("id") % 11 > 0, F.col("id") % 5 + 0.5).alias("b"))
+    rows = made.unionByName(made.limit(5).withColumns({"unit": F.lit(None).cast("long"), "g": F.lit(None).cast("long")}))
+    want = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(20)))).withColumn("w", draws.poisson(draws.uniform(3, "replicate", "unit"))).where("w > 0")
+    want = want.groupBy("g", "replicate").agg(F.sum(F.col("w") * F.col("a")).alias("_s0"), F.sum(F.col("w") * F.col("b")).alias("_s1"))
+    hashed = []
+    monkeypatch.setattr(draws, "uniform", lambda *a: hashed.append(a) or F.lit(0.0))
+    for most in (1, 512):
+        got = la._resampled(rows, ["g"], ["unit"], ["a", "b"], 20, 3, most)
+        both = [{(r.g, r.replicate): (r._s0, r._s1) for r in f.collect()} for f in (got, want)]
+        assert both[0].keys() == both[1].keys() and len(both[0]) > 60
+        assert all(both[0][k] == pytest.approx(both[1][k], abs=1e-9) for k in both[1])
+    assert not hashed  # no hash for each row and replicate

@@ -3,12 +3,14 @@
 import datetime as dt
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from agora.functions import draws
 from agora.operators import dynamics as dy
+from agora.operators import interactions as it
 from agora.operators import landscape as la
 from agora.plans import ORACLES, QUERIES
 from tests.test_queries import plain
@@ -67,3 +69,37 @@ def test_a_choice_of_nothing_is_made_without_a_shuffle(spark):
     want = dy.chosen_difference(want.join(pairs.select("a", "b", "d"), ["a", "b"], "left").na.fill(0.0, ["d"]), ["a"], "b", "b", "d", draws.uniform(21, "a"), rows)
     assert sorted(got.collect()) == sorted(want.collect())
     assert got.where("chosen <> -1").count() > 100 and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def content(spark):
+    """(item, user, t, key) of which one user has most, and vectors with a gap."""
+    rows = spark.range(90).select(F.col("id").alias("item"), F.when(F.col("id") % 4 == 0, F.col("id") % 3).otherwise(9).alias("user"), (F.col("id") * 7 % 50).alias("t"), (F.col("id") % 5).alias("key"))
+    return rows, spark.createDataFrame([(i, [float(i), i / 3 + 1]) for i in range(5)], "vec_id long, embedding array<float>")
+
+
+def test_means_of_a_week_move_vectors_once_and_not_through_the_order(spark):
+    rows, vectors = content(spark)
+    asks = spark.range(25).select(F.col("id").alias("ask"), (F.col("id") * 3 - 4).alias("at"))
+    e = {r.vec_id: np.array(r.embedding) for r in vectors.collect()}
+    line = sorted((r.t, r.item, r.key) for r in rows.collect())
+    for block in (4, 4096):
+        got = {r.ask: r for r in it.global_means(rows, asks, "t", "item", "key", "at", 10, 2, vectors, block).collect()}
+        assert len(got) == 25
+        for ask, r in got.items():
+            inside = [x for x in line if r["at"] - 10 <= x[0] <= r["at"]][1:-1]
+            assert r.global_n == len(inside)
+            assert r.global_content is None if not inside else np.allclose(r.global_content, np.mean([e[x[2]] for x in inside], 0))
+
+
+def test_means_before_and_after_are_the_same_in_short_stretches(spark):
+    rows, vectors = content(spark)
+    e = {r.vec_id: np.array(r.embedding) for r in vectors.collect()}
+    whole = sorted((r.user, r.t, r.item, r.key) for r in rows.collect())
+    for length in (4, 1024):
+        got = {r["item"]: r for r in it.before_and_after(rows, "user", ["t", "item"], "item", "key", vectors, length).collect()}
+        assert len(got) == 90
+        for u, t, i, _ in whole:
+            own = [x for x in whole if x[0] == u]
+            at = own.index((u, t, i, _))
+            assert got[i].before is None if at == 0 else np.allclose(got[i].before, np.mean([e[x[3]] for x in own[:at]], 0))
+            assert np.allclose(got[i].after, np.mean([e[x[3]] for x in own[at:]], 0))

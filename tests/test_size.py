@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from agora.functions import draws
 from agora.operators import dynamics as dy
+from agora.operators import graph as gr
 from agora.operators import interactions as it
 from agora.operators import landscape as la
 from agora.plans import ORACLES, QUERIES
@@ -103,3 +104,25 @@ def test_means_before_and_after_are_the_same_in_short_stretches(spark):
             at = own.index((u, t, i, _))
             assert got[i].before is None if at == 0 else np.allclose(got[i].before, np.mean([e[x[3]] for x in own[:at]], 0))
             assert np.allclose(got[i].after, np.mean([e[x[3]] for x in own[at:]], 0))
+
+
+def test_rings_of_many_users_are_masks_and_not_pairs(spark):
+    edges = spark.range(3000).select((F.col("id") % 1500).alias("src"), ((F.col("id") * 37 + 11) % 1600).alias("dst"))
+    near: dict[int, set] = {}
+    for r in edges.collect():
+        if r.src != r.dst:
+            near.setdefault(r.src, set()).add(r.dst)
+            near.setdefault(r.dst, set()).add(r.src)
+    want = set()
+    for user in range(1500):
+        seen = last = {user}
+        for k in (1, 2, 3):
+            last = set().union(*[near.get(n, set()) for n in last]) - seen
+            seen = seen | last
+            want |= {(user, n, k) for n in last}
+    starts = edges.select("src").distinct()
+    masks, _ = gr.ring_masks(edges, starts)
+    assert masks.count() <= 2 * 3 * 1600  # users of a chunk share a row
+    assert {tuple(r) for r in gr.rings(edges, starts).collect()} == want
+    sizes = pd.DataFrame(sorted(want)).groupby([0, 2]).size()
+    assert {(r.user, r.ring): r.n for r in gr.ring_sizes(edges, starts).collect()} == sizes.to_dict()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -14,16 +14,21 @@ from agora.functions import text as tx
 Model = Callable[[list[str]], list[str]]
 
 
-def ask(rows: DataFrame, prompt: Column, model: Model, name: str) -> DataFrame:
-    """rows with the model's answer to a prompt, asked in Arrow batches."""
-    schema = rows.schema.add(name, "string")
-    rows = rows.withColumn(name, prompt)
+def asked_of(prompts: Column, model: Model) -> Column:
+    """The model's answer to each prompt; only the prompts go to Python, a few hundred to the model at once."""
+
+    def run(part: pd.Series) -> pd.Series:
+        texts, out = part.fillna("").tolist(), []
+        for at in range(0, len(texts), 256):
+            out += model(texts[at : at + 256])
+        return pd.Series(out, dtype=object)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(**{name: model(batch[name].fillna("").tolist())})
+    return F.pandas_udf(run, "string")(prompts)
 
-    return rows.mapInPandas(run, schema)
+
+def ask(rows: DataFrame, prompt: Column, model: Model, name: str) -> DataFrame:
+    """rows with the model's answer to a prompt, asked in Arrow batches."""
+    return rows.withColumn(name, asked_of(prompt, model))
 
 
 def one_step(rows: DataFrame, target: str, text: str, model: Model | None = None) -> DataFrame:
@@ -100,8 +105,8 @@ def classify(rows: DataFrame, method: str, prompting: str, target: str, against:
             told = ask(rows, F.concat(question, F.lit(" Let us think step by step.")), model, "_reasons")
             return told.withColumn(name, F.element_at(F.split("_reasons", "\n"), -1)).drop("_reasons")
         tries = [f"_try{k}" for k in range(attempts)]
-        for k, c in enumerate(tries):
-            rows = ask(rows, F.concat(question, F.lit(f" (attempt {k + 1})")), model, c)
+        # Side by side, so that one Python worker of a task answers them all.
+        rows = rows.withColumns({c: asked_of(F.concat(question, F.lit(f" (attempt {k + 1})")), model) for k, c in enumerate(tries)})
         if prompting == "multichaincomparison":
             said = [F.concat(F.lit(f"\nAttempt {k + 1}: "), F.split_part(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(1)), F.lit(" (not sure)")) for k, c in enumerate(tries)]
             return ask(rows, F.concat(question, *said), model, name).drop(*tries)

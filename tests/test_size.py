@@ -13,6 +13,7 @@ from agora.operators import dynamics as dy
 from agora.operators import graph as gr
 from agora.operators import interactions as it
 from agora.operators import landscape as la
+from agora.operators import stance as st
 from agora.plans import ORACLES, QUERIES
 from tests.test_queries import plain
 
@@ -126,3 +127,11 @@ def test_rings_of_many_users_are_masks_and_not_pairs(spark):
     assert {tuple(r) for r in gr.rings(edges, starts).collect()} == want
     sizes = pd.DataFrame(sorted(want)).groupby([0, 2]).size()
     assert {(r.user, r.ring): r.n for r in gr.ring_sizes(edges, starts).collect()} == sizes.to_dict()
+
+
+def test_asking_sends_prompts_alone_to_python(spark):
+    rows = spark.range(30).select("id", F.lit("p").alias("post"), F.lit(None).cast("string").alias("parent"), F.col("id").cast("string").alias("comment"))
+    told = st.classify(rows, "onestep", "multichaincomparison", "a", "b", "c", lambda prompts: ["favor"] * len(prompts))
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert told.where("stance = 'favor'").count() == 30
+    assert "MapInPandas" not in plan and plan.count("ArrowEvalPython") <= 2

@@ -69,3 +69,19 @@ def test_odd_rows(spark):
     table = replies.segments(spark.createDataFrame(rows, SCHEMA), "user", [F.col("t")], "wrote", "seen", "answered", 1)
     got = {(r.user, r.place): r.state for r in replies.states(table, replies.Replies(0.5, 0.0, 1.0, np.zeros((1, 0)), 1.0), 1).collect()}
     assert got == {("a", 0): [0.0], ("a", 1): [0.0], ("a", 2): [0.5], (None, 0): [1.5]}
+
+
+def test_users_of_one_segment_need_no_task_of_their_own(spark, monkeypatch):
+    """A round over whole users is a pass over segments, without a shuffle by user; cut and whole users mix."""
+    rows, truth = made(0.3, 1.0, np.zeros((2, 1)), 0.1, "chosen", users=6, hot=100)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    model = replies.Replies(0.3, 1.0, 0.1, np.zeros((2, 0)), 0.1)
+    mixed = replies.segments(frame, "user", [F.col("t")], "wrote", "seen", "answered", 2, 64)
+    assert {r.segments for r in mixed.select("segments").collect()} == {1, 2}
+    sums = replies._expected(mixed, model, 2, "chosen")
+    got = {(int(r.user[1:]), r.place): np.array(r.state) for r in replies.states(mixed, model, 2).collect()}
+    assert got.keys() == truth.keys() and all(np.allclose(got[k], truth[k]) for k in truth)
+    monkeypatch.setattr(replies, "_starts", None)
+    whole = replies.segments(frame, "user", [F.col("t")], "wrote", "seen", "answered", 2, 128)
+    assert np.allclose(replies._expected(whole, model, 2, "chosen", replies._are_cut(whole)), sums)
+    assert replies.fit(whole, 2).attention == pytest.approx(0.3, abs=0.05)

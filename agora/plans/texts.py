@@ -119,8 +119,8 @@ def learned_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from agora.functions import language
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = language.fit(docs.where("doc_id % 5 <> 0"), F.col("lang") == "en")
-    found = language.judged(docs, model, "doc_id")
+    known = language.vocabulary(docs, F.when(F.col("doc_id") % 5 != 0, F.col("lang") == "en"))
+    found = language.judged(docs, language.learned(known), "doc_id", known=known)
     return found.select("doc_id", (F.col("doc_id") % 5 == 0).alias("held_out"), "n_grams", (F.round("odds", 6) + F.lit(0.0)).alias("odds"), "is_language")
 
 

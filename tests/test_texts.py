@@ -22,6 +22,16 @@ def test_a_language_is_told_on_held_out_texts(spark):
     assert language.fit(docs.where("false"), F.col("lang") == "en").count() == 0
 
 
+def test_words_are_judged_once_each_and_rare_ones_by_a_join(spark):
+    """What is broadcast has a bound, and a text's score does not depend on it."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").where("doc_id < 100")
+    model = language.fit(docs, F.col("lang") == "en").cache()
+    whole, few, none = ({r.doc_id: (r.n_grams, r.is_language, round(r.odds or 0, 9)) for r in language.judged(docs, model, "doc_id", most=n).collect()} for n in (1 << 17, 50, 0))
+    assert whole == few == none and len(whole) == docs.count()
+    counts = spark.createDataFrame([("a", 9), ("b", 4), ("c", 4), ("d", 1)], "word string, n long")
+    assert [language._frequent(counts, n) for n in (0, 1, 2, 3, 4)] == [10, 9, 9, 4, 0]
+
+
 @pytest.fixture(scope="module")
 def themes(spark):
     """Texts of three themes whose words stand together, and of words of no theme."""

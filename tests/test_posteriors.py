@@ -39,6 +39,24 @@ def test_samples_agree_with_all_hidden_stances_summed(spark, obs):
     assert sampling.mixing(np.array([[0.0, 0.1, 0.2, 0.1], [5.0, 5.1, 5.2, 5.1]])) > 3
 
 
+def test_keys_are_sampled_side_by_side(spark, monkeypatch):
+    """A group of many keys is one call; groups cut by the bound and kinds that a key lacks change no posterior."""
+    calls, real = [], sampling.chains
+    monkeypatch.setattr(sampling, "chains", lambda counts, *a: calls.append(len(counts)) or real(counts, *a))
+    emission = np.array([[[0.7, 0.2, 0.1], [0.1, 0.2, 0.7]], [[0.7, 0.2, 0.1], [1.0, 1.0, 1.0]]])
+    x = sampling.chains(np.array([[6, 0], [6, 0]]), emission, np.random.default_rng(1), 4, 3000, 100, 1.0)
+    assert calls == [2] and x.shape == (2, 4, 3000, 3)
+    assert np.abs(x.mean((1, 2))[0] - x.mean((1, 2))[1]).max() < 0.02
+    monkeypatch.setattr(sampling, "GROUP", 64)
+    rows = spark.range(1500).selectExpr("id AS user_id", "int(id % 3) - 1 AS value", "1 AS classifier_idx")
+    sampled = sampling.sampled_opinions(rows, profiles(spark), ["user_id"], draws=100)
+    assert sampled.rdd.getNumPartitions() >= 6
+    got = sampled.collect()
+    assert len(got) == 1500 and len({r["mean"] for r in got}) > 1400
+    each = [np.mean([r["mean"] for r in got if r.user_id % 3 == k]) for k in range(3)]
+    assert each[0] < each[1] < each[2]
+
+
 @pytest.mark.parametrize("steps", [4, 512])
 def test_trajectories_are_those_of_a_dense_solve(spark, obs, steps):
     got = {}

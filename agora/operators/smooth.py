@@ -55,17 +55,22 @@ def trajectories(obs: DataFrame, profile: DataFrame, keys: list[str], order: lis
 
     A key's observations are cut into stretches by place. What a stretch does to any state
     is five numbers, so stretches are summed up alone, joined in order, and then filled
-    in; so too backward. No task holds more than a stretch, or a short row for each.
+    in; so too backward. No task holds more than a stretch, or a short row for each, and
+    only keys of several stretches are joined.
     """
     t = order[0]
     rows = obs.where("value is not null").join(F.broadcast(precisions(profile)), ["classifier_idx", "value"]).where("w > 0")  # nine rows for each classifier
     rows = numbered(rows.select(*keys, *order, F.col("value").cast("double").alias("_y"), (F.lit(noise) / F.col("w")).alias("_r")), keys, [F.col(c) for c in order])
-    rows = rows.withColumn("_part", F.floor(F.col("place") / steps))
+    rows = rows.withColumn("_part", F.floor(F.col("place") / steps)).withColumn("_parts", F.ceil(F.col("place_of") / steps))
     step = F.struct("place", F.col(t).cast("double").alias("t"), F.col("_y").alias("y"), F.col("_r").alias("r"), F.struct(*order).alias("o"))
-    parts = rows.groupBy(*keys, "_part").agg(F.array_sort(F.collect_list(step)).alias("s"))
+    every = saved(rows.groupBy(*keys, "_part", "_parts").agg(F.array_sort(F.collect_list(step)).alias("s")), "observed")
+    # A key of one stretch has nothing before or after it, so it takes part in no join.
+    alone, parts = every.where("_parts = 1").drop("_parts"), every.where("_parts > 1").drop("_parts")
+    cut = parts.limit(1).count() > 0
     # The time before a stretch is that of the last row of the one before.
     ends = parts.select(*keys, (F.col("_part") + 1).alias("_part"), F.element_at("s", -1)["t"].alias("_before"))
-    parts = saved(_same(parts, ends, [*keys, "_part"], "left"), "stretches")
+    if cut:
+        parts = saved(_same(parts, ends, [*keys, "_part"], "left"), "stretches")
 
     def elements(s, before: float | None) -> list[Element]:
         times = [before if before == before else None, *[x["t"] for x in s]]
@@ -90,10 +95,6 @@ def trajectories(obs: DataFrame, profile: DataFrame, keys: list[str], order: lis
         table = source.mapInPandas(alone, schema)
         return table.groupBy(*keys).applyInPandas(along, schema).withColumnRenamed("e", name)
 
-    source = parts
-    ahead = carried("_ahead", 5, lambda r: reduce(_forward, elements(r["s"], r["_before"])), _forward, later=False)
-    filtered = saved(_same(parts, ahead, [*keys, "_part"], "left"), "ahead")
-
     def states(r) -> tuple[list, list]:
         """The filtered mean and variance of each step, and its part in the smoother but for the key's last step."""
         now = tuple(r["_ahead"]) if r["_ahead"] is not None else None
@@ -109,10 +110,16 @@ def trajectories(obs: DataFrame, profile: DataFrame, keys: list[str], order: lis
             back.append((gain, m - gain * f * m, p - gain * f * p))
         return out, back
 
-    begins = parts.select(*keys, (F.col("_part") - 1).alias("_part"), F.col("s")[0]["t"].alias("_after"))
-    source = saved(_same(filtered, begins, [*keys, "_part"], "left"), "filtered")
-    behind = carried("_behind", 3, lambda r: reduce(_backward, states(r)[1]), _backward, later=True)
-    whole = _same(source, behind, [*keys, "_part"], "left")
+    none = {"_before": "double", "_ahead": "array<double>", "_after": "double", "_behind": "array<double>"}
+    whole = alone.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in none.items()])
+    if cut:
+        source = parts
+        ahead = carried("_ahead", 5, lambda r: reduce(_forward, elements(r["s"], r["_before"])), _forward, later=False)
+        filtered = saved(_same(parts, ahead, [*keys, "_part"], "left"), "ahead")
+        begins = parts.select(*keys, (F.col("_part") - 1).alias("_part"), F.col("s")[0]["t"].alias("_after"))
+        source = saved(_same(filtered, begins, [*keys, "_part"], "left"), "filtered")
+        behind = carried("_behind", 3, lambda r: reduce(_backward, states(r)[1]), _backward, later=True)
+        whole = whole.unionByName(_same(source, behind, [*keys, "_part"], "left"))
 
     def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:

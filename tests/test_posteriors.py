@@ -75,3 +75,11 @@ def test_trajectories_are_those_of_a_dense_solve(spark, obs, steps):
         solve = np.linalg.solve(k + np.diag(r), np.column_stack([y, k]))
         mean, var = k @ solve[:, 0], np.diag(k - k @ solve[:, 1:])
         assert np.allclose([got[user][a, b] for a, b, *_ in rows], np.column_stack([mean, var]), atol=1e-9)
+
+
+def test_keys_of_one_stretch_take_part_in_no_join(spark, obs, monkeypatch):
+    """Only cut keys are joined; with none of them there is no join at all."""
+    some = {(r.user_id, r.t, r.comment_id): (r["mean"], r["var"]) for r in smooth.trajectories(obs, profiles(spark), ["user_id"], ["t", "comment_id"], steps=20).collect()}
+    monkeypatch.setattr(smooth, "_same", None)
+    whole = {(r.user_id, r.t, r.comment_id): (r["mean"], r["var"]) for r in smooth.trajectories(obs, profiles(spark), ["user_id"], ["t", "comment_id"]).collect()}
+    assert some.keys() == whole.keys() and all(np.allclose(some[k], whole[k]) for k in some)

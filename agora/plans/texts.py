@@ -131,5 +131,5 @@ def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     words = F.filter(F.split(F.lower("text"), r"[\s\p{Punct}]+"), lambda w: w != "")
-    vectors = wv.fit(wv.contexts(docs, words), dims=16, passes=1)
+    vectors = wv.fit(wv.counted(docs, words), dims=16, passes=1)
     return wv.of_texts(docs, vectors, "doc_id", words, 16)

@@ -74,3 +74,35 @@ def test_pairs_are_those_within_the_window(spark):
     assert got == {("a", "a"): 2, ("a", "c"): 3, ("c", "a"): 3}
     odd = wv.of_texts(spark.createDataFrame([(1, "zz"), (2, None)], "id long, text string"), spark.createDataFrame([("a", [1.0])], "word string, vector array<double>"), "id", F.split("text", " "), 1)
     assert {r.id: r.embedding for r in odd.collect()} == {1: None, 2: None}
+
+
+def test_vectors_do_not_depend_on_chunks_or_on_where_words_are_looked_up(spark, themes, monkeypatch):
+    """Counts are packed blocks; many chunks, several blocks and the join of words give what one chunk gives."""
+    words = F.split("text", " ")
+    whole = wv.counted(themes, words)
+    assert whole.pairs() == [(0, 0)] and whole.size == 56
+    rows = {(r.word, r.context): r.n for r in wv.contexts(themes, words).collect()}
+    assert whole.total == sum(rows.values()) and all(rows[b, a] == n for (a, b), n in rows.items())
+    monkeypatch.setattr(wv, "HELD", 1000)
+    few = wv.counted(themes, words, chunk=20, most=10)
+    assert len(few.pairs()) == 6 and few.total == whole.total
+    one, many, table = ({r.word: np.array(r.vector) for r in wv.fit(c, dims=3, passes=1).collect()} for c in (whole, few, wv.contexts(themes, words)))
+    assert one.keys() == many.keys() == table.keys()
+    for other in (many, table):
+        assert max(abs(abs(one[w]) - abs(other[w])).max() for w in one) < 1e-4
+    vectors = wv.fit(whole, dims=3, passes=1)
+    a, b = ({r.id: np.array(r.embedding) for r in wv.of_texts(themes, vectors, "id", words, 3, most=n).collect()} for n in (1 << 19, 20))
+    assert a.keys() == b.keys() and max(abs(a[i] - b[i]).max() for i in a) < 1e-9
+
+
+def test_products_move_sums_of_words_and_no_row_for_a_pair(spark, themes):
+    counts = wv.counted(themes, F.split("text", " "))
+    assert counts.blocks.count() <= 6  # 3 x 3 parts, a pair of parts once
+    assert wv._sums(counts, 1).count() == 1
+    assert wv.fit(wv.counted(themes.where("false"), F.split("text", " ")), dims=3).count() == 0
+
+
+def test_counts_that_differ_by_direction_are_kept(spark):
+    pairs = spark.createDataFrame([("a", "x", 5), ("b", "y", 7), ("x", "a", 1)], "word string, context string, n long")
+    got = {r.word: np.array(r.vector) for r in wv.fit(pairs, dims=3, more=2).collect()}
+    assert got.keys() == {"a", "b", "x"} and abs(got["a"] @ got["b"]) < 1e-4

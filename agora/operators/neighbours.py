@@ -47,6 +47,18 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def smallest(d: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k least of each row in order, of equal ones the first; for few of many this is less than a sort."""
+    k = min(k, d.shape[1])
+    if k > 16:
+        return np.argsort(d, 1, kind="stable")[:, :k]
+    d, out, row = d.copy(), np.empty((len(d), k), np.intp), np.arange(len(d))
+    for i in range(k):
+        out[:, i] = d.argmin(1)
+        d[row, out[:, i]] = np.inf
+    return out
+
+
 def build(rows: DataFrame, key: str = "id", embedding: str = "e", block: int = 2048, most: int = 1 << 23) -> Index:
     """An index of every row with a vector; vectors are of equal size and already clean.
 
@@ -91,7 +103,7 @@ def _search(index: Index, asked: DataFrame, k: int) -> DataFrame:
     items = index.rows.join(F.broadcast(plan.drop("blocks")), "list").select("list", "block", every("parts").alias("part"), "id", "e")
 
     def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
+        out = [pd.DataFrame({"query": np.zeros(0, np.int64), "item": np.zeros(0, np.int64), "d": np.zeros(0)})]
         if len(q) and len(r):
             a, b, ids, items = np.stack(q["e"].to_numpy()), np.stack(r["e"].to_numpy()), q["id"].to_numpy(), r["id"].to_numpy()
             for at in range(0, len(a), 512):
@@ -99,12 +111,14 @@ def _search(index: Index, asked: DataFrame, k: int) -> DataFrame:
                 some[ids[at : at + 512, None] == items[None, :]] = np.inf
                 # What rounding may have put beyond the k-th is measured again, by differences.
                 limit = np.partition(some, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1] + 1e-6
-                for i, (row, most) in enumerate(zip(some, limit, strict=True), at):
-                    near = np.flatnonzero((row <= most) & np.isfinite(row))
-                    d = np.sqrt(((b[near] - a[i]) ** 2).sum(1)).round(12)
-                    for j in np.lexsort((items[near], d))[:k]:
-                        out.append((ids[i], items[near[j]], d[j]))
-        return pd.DataFrame(out, columns=["query", "item", "d"])
+                row, near = np.nonzero((some <= limit[:, None]) & np.isfinite(some))
+                # Copies can be all of a block, so differences are taken of some at a time.
+                d = np.concatenate([np.sqrt(((b[near[i : i + 65536]] - a[at + row[i : i + 65536]]) ** 2).sum(1)) for i in range(0, max(len(row), 1), 65536)]).round(12)
+                order = np.lexsort((items[near], d, row))
+                row, near, d = row[order], near[order], d[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                out.append(pd.DataFrame({"query": ids[at + row[best]], "item": items[near[best]], "d": d[best]}))
+        return pd.concat(out)
 
     key = ["list", "block", "part"]
     return queries.groupBy(*key).cogroup(items.groupBy(*key)).applyInPandas(meet, "query long, item long, d double")
@@ -132,7 +146,7 @@ def nearest(index: Index, queries: DataFrame, k: int, key: str = "id", embedding
     def first(batches):
         for part in batches:
             d = distances(np.stack(part["e"].to_numpy()), pivots)[:, held] if len(part) else np.zeros((0, len(held)))
-            lists = np.argsort(d, 1, kind="stable")[:, :probes]
+            lists = smallest(d, probes)
             yield pd.DataFrame({"list": held[lists.ravel()], "id": np.repeat(part["id"].to_numpy(), lists.shape[1]), "e": list(np.repeat(part["e"].to_numpy(), lists.shape[1]))})
 
     def rest(batches):
@@ -141,7 +155,7 @@ def nearest(index: Index, queries: DataFrame, k: int, key: str = "id", embedding
                 continue
             d = distances(np.stack(part["e"].to_numpy()), pivots)[:, held]
             done = np.zeros(d.shape, bool)
-            np.put_along_axis(done, np.argsort(d, 1, kind="stable")[:, :probes], True, 1)
+            np.put_along_axis(done, smallest(d, probes), True, 1)
             least = np.maximum.reduce([d - hi[held], lo[held] - d, (d - d.min(1, keepdims=True)) / 2])
             row, col = np.nonzero(~done & (least <= part["most"].to_numpy()[:, None] + 1e-6))
             yield pd.DataFrame({"list": held[col], "id": part["id"].to_numpy()[row], "e": part["e"].to_numpy()[row]})

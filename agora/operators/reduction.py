@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.operators.neighbours import clean, distances
+from agora.operators.neighbours import clean, distances, smallest
 
 
 @dataclass
@@ -26,7 +26,7 @@ class Spectral:
         d = distances(x, self.landmarks)
         # One landmark more than is used gives the scale, so none of those used has weight 0.
         k = min(self.near + 1, len(self.landmarks))
-        place = np.argsort(d, 1, kind="stable")[:, :k]
+        place = smallest(d, k)
         d = np.take_along_axis(d, place, 1)
         scale = np.maximum(d[:, -1:], 1e-12)
         place, d = place[:, : self.near], d[:, : self.near]
@@ -79,8 +79,9 @@ def fit(rows: DataFrame, dims: int, key: str = "vec_id", column: str = "embeddin
         yield pd.DataFrame({"i": i, "j": j, "w": total[i, j]})
 
     gram = np.zeros((len(marks), len(marks)))
-    for r in table.select("e").mapInPandas(sums, "i int, j int, w double").groupBy("i", "j").agg(F.sum("w").alias("w")).toLocalIterator():
-        gram[r.i, r.j] = r.w
+    # At most landmarks x landmarks numbers, in one job.
+    found = table.select("e").mapInPandas(sums, "i int, j int, w double").groupBy("i", "j").agg(F.sum("w").alias("w")).toArrow()
+    gram[found.column("i").to_numpy(), found.column("j").to_numpy()] = found.column("w").to_numpy()
     root = 1 / np.sqrt(np.maximum(gram.sum(1), 1e-12))
     values, vectors = np.linalg.eigh(gram * root[:, None] * root[None, :])
     order = np.argsort(-values)[1 : dims + 1]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from agora.operators import density, forest
+from agora.operators import density, forest, reduction
 from agora.operators import neighbours as nb
 
 
@@ -191,3 +191,28 @@ def test_clusters(spark, seed, size, k, copies, ranges):
     sizes = [sum(g == c for g in got.values()) for c in range(max(got.values()) + 1)]
     assert sizes == sorted(sizes, reverse=True)
     assert density.clusters(rows.where("false"), "id", "e", size, k).count() == 0
+
+
+def test_the_least_of_a_row_are_those_of_a_stable_sort():
+    rnd = np.random.default_rng(3)
+    d = rnd.integers(0, 9, (200, 40)).astype(float)  # with many ties
+    for k in (1, 6, 16, 30, 50):
+        assert (nb.smallest(d, k) == np.argsort(d, 1, kind="stable")[:, :k]).all()
+
+
+def test_a_reduction_brings_its_sums_in_one_job(spark):
+    """Sums of landmarks came by a job for each shuffle partition that was left."""
+    x = np.random.default_rng(4).normal(size=(300, 6))
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    spark.sparkContext.setJobGroup("reduction", "")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        reduction.fit(frame(spark, x).select("id", "e"), 3, "id", "e", landmarks=40)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("reduction")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 12

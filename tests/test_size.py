@@ -135,3 +135,54 @@ def test_asking_sends_prompts_alone_to_python(spark):
     plan = told._jdf.queryExecution().executedPlan().toString()
     assert told.where("stance = 'favor'").count() == 30
     assert "MapInPandas" not in plan and plan.count("ArrowEvalPython") <= 2
+
+
+def plain_ring_means(rows, vectors, asks, links, span):
+    """{(ask, ring): (n, mean)} by loops, an average of each dimension's numbers that are not null."""
+    near: dict[int, set] = {}
+    for a, b in links:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    out, line = {}, sorted((r.t, r.item, r.user, r.key) for r in rows)
+    for ask, user, at in asks:
+        inside = [x for x in line if at - span <= x[0] <= at][1:-1]
+        seen = last = {user}
+        for k in (1, 2, 3):
+            last = set().union(*[near.get(n, set()) for n in last]) - seen
+            seen = seen | last
+            of = [vectors[x[3]] for x in inside if x[2] in last and vectors.get(x[3])]
+            if of:
+                dims = [[v[d] for v in of if d < len(v) and v[d] is not None] for d in range(2)]
+                out[ask, k] = (len(of), [sum(x) / len(x) if x else None for x in dims])
+    return out
+
+
+@pytest.mark.parametrize("odd", [False, True])
+@pytest.mark.parametrize("held", [1 << 20, 400])
+def test_means_of_rings_are_summed_by_author_and_not_by_pairs(spark, monkeypatch, odd, held):
+    inf = float("inf")
+    vectors = {k: [k / 7, 3.0 - k] for k in range(40)}
+    if odd:
+        vectors |= {3: [None, 1.0], 4: [inf, 2.0], 5: [-inf, float("nan")], 6: [], 7: None, 8: [1.0]}
+    rows = spark.range(2000).select(F.col("id").alias("item"), (F.col("id") * 11 % 97).alias("user"), (F.col("id") * 13 % 500).alias("t"), (F.col("id") * 7 % 43).alias("key"))
+    asks = spark.range(150).select((F.col("id") * 9).alias("ask"), (F.col("id") % 101).alias("user"), (F.col("id") * 4 % 520 - 5).alias("at"))
+    links = spark.range(70).select((F.col("id") % 50).alias("src"), F.when(F.col("id") < 60, F.col("id") * 17 % 90).alias("dst"))
+    monkeypatch.setattr(it, "HELD", held)  # the small one cuts authors and vectors into shares
+    frame = spark.createDataFrame(list(vectors.items()), "key long, e array<float>")
+    got = {(r.ask, r.ring): (r.n, r["mean"]) for r in it.ring_means(rows, asks, links, frame, "user", "user", "t", "item", "key", "at", 60, 2, "ask").collect()}
+    e = {r.key: r.e for r in frame.collect()}
+    want = plain_ring_means(rows.collect(), e, [tuple(r) for r in asks.collect()], [tuple(r) for r in links.where("dst is not null").collect()], 60)
+    assert got.keys() == want.keys() and len(want) > 200
+    for k in want:
+        assert got[k][0] == want[k][0]
+        assert got[k][1] == pytest.approx(want[k][1], abs=1e-9, nan_ok=True)
+
+
+def test_neighbours_means_make_no_pairs(spark, monkeypatch):
+    def pairs(*a, **b):
+        raise AssertionError("pairs of users, or of asks and content, are made")
+
+    monkeypatch.setattr(gr, "rings", pairs)
+    monkeypatch.setattr(it, "circle_means", pairs)
+    QUERIES["neighbour_distances"](spark, "/root/testdata/sf0.001").collect()

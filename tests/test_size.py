@@ -186,3 +186,27 @@ def test_neighbours_means_make_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(gr, "rings", pairs)
     monkeypatch.setattr(it, "circle_means", pairs)
     QUERIES["neighbour_distances"](spark, "/root/testdata/sf0.001").collect()
+
+
+def test_ring_sizes_shuffle_nothing_for_an_edge_or_a_node(spark, monkeypatch):
+    monkeypatch.setattr(gr.walks, "EDGES", 200)
+    monkeypatch.setattr(gr.walks, "HELD_BITS", 1)  # a word for each task
+    hub = spark.range(400).select(F.lit("hub").alias("src"), F.concat(F.lit("u"), "id").alias("dst"))
+    some = spark.range(900).select(F.concat(F.lit("u"), F.col("id") % 300), F.concat(F.lit("v"), F.col("id") * 7 % 500))
+    odd = spark.createDataFrame([("u1", "u1"), (None, "u2"), ("u3", None), ("hub", "hub")], "src string, dst string")
+    edges = hub.unionByName(some.toDF("src", "dst")).unionByName(odd)
+    starts = edges.select("src").distinct().unionByName(spark.createDataFrame([("alone",)], "src string"))
+    near: dict[str, set] = {}
+    for r in edges.where("src <> dst").collect():
+        near.setdefault(r.src, set()).add(r.dst)
+        near.setdefault(r.dst, set()).add(r.src)
+    want = {}
+    for user in (r.src for r in starts.collect() if r.src in near):
+        seen = last = {user}
+        for k in (1, 2, 3):
+            last = set().union(*[near[n] for n in last]) - seen
+            seen = seen | last
+            want |= {(user, k): len(last)} if last else {}
+    found = gr.ring_sizes(edges, starts)
+    assert {(r.user, r.ring): r.n for r in found.collect()} == want and len(want) > 600
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
